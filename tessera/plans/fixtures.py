@@ -177,3 +177,56 @@ VIEWS = {
     "v_features": v_features,
     "v_runs": v_runs,
 }
+
+
+# ---------------------------------------------------------------- wide sample table
+
+def v_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's wide layout rebuilt from driver tables: id/label block,
+    scalar and multi-hot int features, a dense vector and two behaviour
+    sequence domains, named by family prefix + feature id."""
+    vi = v_interactions(spark, sf)
+    vb = v_basket(spark, sf)
+    us = v_user_seq(spark, sf)
+    cust = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    part = read_table(spark, sf, "part").select("p_partkey", "p_size")
+    d = (
+        vi.join(vb, vi.sample_id == vb.l_orderkey, "left")
+        .join(cust, vi.user_id == cust.c_custkey, "left")
+        .join(part, vi.item_id == part.p_partkey, "left")
+        .join(us.withColumnRenamed("ts_now", "seq_now"), "user_id", "left")
+    )
+    return d.select(
+        "sample_id", "user_id", "item_id", "label_type", "label_time",
+        F.col("ts_now").alias("timestamp"),
+        F.col("c_nationkey").cast("bigint").alias("user_int_feats_1"),
+        (F.pmod(F.col("user_id"), F.lit(7)) - 1).alias("user_int_feats_3"),
+        F.col("items").alias("user_int_feats_15"),
+        F.col("qty").cast("array<float>").alias("user_dense_feats_61"),
+        F.col("p_size").cast("bigint").alias("item_int_feats_5"),
+        F.transform("items", lambda x: F.pmod(x, F.lit(50))).alias("item_int_feats_11"),
+        F.col("seq_type").alias("domain_a_seq_38"),
+        F.col("seq_ts").alias("domain_a_seq_39"),
+        F.col("seq_val").alias("domain_a_seq_40"),
+        F.col("seq_type").alias("domain_b_seq_70"),
+        F.col("seq_val").alias("domain_b_seq_71"),
+    )
+
+
+SQL["v_wide"] = f"""
+select vi.sample_id, vi.user_id, vi.item_id, vi.label_type, vi.label_time, vi.ts_now "timestamp",
+       cast(c.c_nationkey as bigint) user_int_feats_1,
+       ((vi.user_id % 7) - 1) user_int_feats_3,
+       vb.items user_int_feats_15,
+       cast(vb.qty as float[]) user_dense_feats_61,
+       cast(p.p_size as bigint) item_int_feats_5,
+       list_transform(vb.items, lambda x: x % 50) item_int_feats_11,
+       us.seq_type domain_a_seq_38, us.seq_ts domain_a_seq_39, us.seq_val domain_a_seq_40,
+       us.seq_type domain_b_seq_70, us.seq_val domain_b_seq_71
+from ({SQL['v_interactions']}) vi
+left join ({SQL['v_basket']}) vb on vi.sample_id = vb.l_orderkey
+left join customer c on vi.user_id = c.c_custkey
+left join part p on vi.item_id = p.p_partkey
+left join ({SQL['v_user_seq']}) us on vi.user_id = us.user_id"""
+
+VIEWS["v_wide"] = v_wide

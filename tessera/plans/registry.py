@@ -66,3 +66,187 @@ from (select split, label_type, count(*) n, sum(count(*)) over (partition by spl
 @register("R2_split_report", with_views(f", {SPLIT_SQL_CORE.strip()}\n{R2_SQL}", "v_interactions"))
 def q_split_report(spark, sf):
     return R.split_report(_split(spark, sf), "label_type")
+
+
+# ---------------------------------------------------------------- catalog / inference (C)
+
+from tessera.operators import catalog as C  # noqa: E402
+from tessera.operators import encode as EN  # noqa: E402
+from tessera.plans import duck as D  # noqa: E402
+
+# Column list of the wide fixture (fixed by its definition).
+WIDE_INT = [  # (column, kind, fid, is_array, domain, ordinal)
+    ("user_int_feats_1", "user_int", 1, False, None, 6),
+    ("user_int_feats_3", "user_int", 3, False, None, 7),
+    ("user_int_feats_15", "user_int", 15, True, None, 8),
+    ("user_dense_feats_61", "user_dense", 61, True, None, 9),
+    ("item_int_feats_5", "item_int", 5, False, None, 10),
+    ("item_int_feats_11", "item_int", 11, True, None, 11),
+    ("domain_a_seq_38", "seq", 38, True, "seq_a", 12),
+    ("domain_a_seq_39", "seq", 39, True, "seq_a", 13),
+    ("domain_a_seq_40", "seq", 40, True, "seq_a", 14),
+    ("domain_b_seq_70", "seq", 70, True, "seq_b", 15),
+    ("domain_b_seq_71", "seq", 71, True, "seq_b", 16),
+]
+
+
+def _infer_sql_rows() -> list[str]:
+    parts = []
+    for col, kind, fid, is_arr, dom, ordn in WIDE_INT:
+        if kind == "user_dense":
+            vocab = "cast(0 as bigint)"
+            dim = f"coalesce(arg_min(len({col}), case when {col} is not null then sample_id end), 1)"
+        else:
+            pm = (f"max(list_max(list_filter({col}, lambda v: v > 0)))" if is_arr
+                  else f"max(case when {col} > 0 then {col} end)")
+            vocab = f"coalesce({pm} + 1, 1)"
+            dim = f"coalesce(max(len({col})), 1)" if (is_arr and kind != "seq") else "1"
+        d = f"'{dom}'" if dom else "cast(null as varchar)"
+        parts.append(
+            f"select '{col}' as \"column\", '{kind}' kind, {d} domain, {fid} fid, {ordn} ordinal, "
+            f"cast({vocab} as bigint) vocab, cast({dim} as bigint) dim from v_wide"
+        )
+    return parts
+
+
+INFER_SQL = "inferred as (" + "\nunion all\n".join(_infer_sql_rows()) + ")"
+
+
+def _inferred(spark, sf):
+    return C.infer_schema(V.v_wide(spark, sf), "sample_id")
+
+
+@register("C1_catalog")
+def q_catalog(spark, sf):
+    return C.catalog_df(spark, V.v_wide(spark, sf))
+
+
+register("C2_C4_infer_schema", with_views(f", {INFER_SQL}\nselect * from inferred", "v_wide"))(_inferred)
+
+register(
+    "C5_infer_ts_fid",
+    with_views(
+        f""", {INFER_SQL}
+select domain, case when vocab > {C.TS_VOCAB_MIN} then fid end ts_fid
+from (select *, row_number() over (partition by domain order by vocab desc, ordinal) r
+      from inferred where kind = 'seq') where r = 1""",
+        "v_wide",
+    ),
+)(lambda spark, sf: C.infer_ts_fid(_inferred(spark, sf)))
+
+register(
+    "C6_cardinality_flags",
+    with_views(
+        f""", {INFER_SQL}
+select coalesce(domain, kind) family, count(*) n_features,
+       count(*) filter (where vocab <= 0) n_skip, count(*) filter (where vocab > 10000) n_id_like
+from inferred where kind <> 'user_dense' group by 1""",
+        "v_wide",
+    ),
+)(lambda spark, sf: C.cardinality_flags(_inferred(spark, sf), 0, 10000))
+
+
+# ---------------------------------------------------------------- encode batch
+
+# A frozen schema.json-style config for the wide fixture (vocab, dims, ts fid):
+# deliberately small vocabularies so out-of-vocabulary clipping is exercised.
+ENCODE_SCHEMA = {
+    "user_int": [[1, 25, 1], [3, 6, 1], [15, 1500, 8]],
+    "item_int": [[5, 40, 1], [11, 50, 4]],
+    "user_dense": [[61, 8]],
+    "seq": {
+        "seq_a": {"prefix": "domain_a_seq", "ts_fid": 39, "features": [[38, 5], [39, 0], [40, 3000]]},
+        "seq_b": {"prefix": "domain_b_seq", "ts_fid": None, "features": [[70, 4], [71, 0]]},
+    },
+}
+ENCODE_MAX_LENS = {"seq_a": 64, "seq_b": 50}
+WIDE_ARRAYS = {c for c, _, _, a, _, _ in WIDE_INT if a}
+
+
+def _int_block_sql(prefix: str, entries) -> str:
+    parts = []
+    for fid, vocab, dim in sorted(entries):
+        col = f"{prefix}{fid}"
+        parts.append(D.pad_ids(col, dim, vocab) if col in WIDE_ARRAYS else f"[{D.clean_scalar(col, vocab)}]")
+    return D.concat(parts)
+
+
+def _encode_sql(schema=ENCODE_SCHEMA, max_lens=ENCODE_MAX_LENS) -> str:
+    cols = [
+        "sample_id",
+        "cast(coalesce(label_type, 0) = 2 as bigint) label",
+        '"timestamp"',
+        _int_block_sql("user_int_feats_", schema["user_int"]) + " user_int_feats",
+        _int_block_sql("item_int_feats_", schema["item_int"]) + " item_int_feats",
+        D.concat([D.pad_dense(f"user_dense_feats_{fid}", dim) for fid, dim in sorted(schema["user_dense"])], "float")
+        + " user_dense_feats",
+    ]
+    for dom in sorted(schema["seq"]):
+        cfg, L = schema["seq"][dom], max_lens[dom]
+        sides = EN.side_fids(cfg)
+        pre = cfg["prefix"] + "_"
+        cols.append("[" + ", ".join(D.pad_ids(f"{pre}{fid}", L, vs) for fid, vs in sides) + f"] {dom}")
+        lens = [f"least({D.length(pre + str(fid))}, {L})" for fid, _ in sides]
+        cols.append((f"greatest({', '.join(lens)})" if len(lens) > 1 else lens[0]) + f" {dom}_len")
+        if cfg.get("ts_fid") is None:
+            cols.append(f"list_resize(cast([] as bigint[]), {L}, cast(0 as bigint)) {dom}_time_bucket")
+        else:
+            cols.append(D.time_bucket_array('"timestamp"', D.pad_raw(f"{pre}{cfg['ts_fid']}", L)) + f" {dom}_time_bucket")
+    return "select " + ",\n  ".join(cols) + " from v_wide"
+
+
+def q_encode(spark, sf):
+    return EN.encode_batch(V.v_wide(spark, sf), ENCODE_SCHEMA, ENCODE_MAX_LENS)
+
+
+register("A10_A13_encode_batch", with_views(_encode_sql(), "v_wide"))(q_encode)
+
+FEATURE_GROUPS = {"geo": [1, 3], "basket": [15]}
+
+
+def _groups_sql() -> str:
+    by_fid = {e[0]: e for e in ENCODE_SCHEMA["user_int"]}
+    cols = ["sample_id"]
+    for name, members in FEATURE_GROUPS.items():
+        cols.append(_int_block_sql("user_int_feats_", [by_fid[m] for m in members]) + f" {name}")
+    return "select " + ", ".join(cols) + " from v_wide"
+
+
+register("A19_feature_groups", with_views(_groups_sql(), "v_wide"))(
+    lambda spark, sf: EN.feature_groups(V.v_wide(spark, sf), "user_int_feats_", ENCODE_SCHEMA["user_int"], FEATURE_GROUPS)
+)
+
+
+def _oob_sql() -> str:
+    parts = []
+    for kind in ("user_int", "item_int"):
+        for fid, vocab, dim in ENCODE_SCHEMA[kind]:
+            col = f"{kind}_feats_{fid}"
+            if vocab <= 0:
+                continue
+            if col in WIDE_ARRAYS:
+                over = f"list_filter({col}[1:{dim}], lambda v: v >= {vocab})"
+                parts.append(f"select '{kind}' grp, '{col}' \"column\", {vocab} vocab, coalesce(sum(len({over})), 0) n, "
+                             f"min(list_min({over})) lo, max(list_max({over})) hi from v_wide")
+            else:
+                parts.append(f"select '{kind}' grp, '{col}' \"column\", {vocab} vocab, count(*) filter (where {col} >= {vocab}) n, "
+                             f"min(case when {col} >= {vocab} then {col} end) lo, max(case when {col} >= {vocab} then {col} end) hi from v_wide")
+    for dom, cfg in ENCODE_SCHEMA["seq"].items():
+        L = ENCODE_MAX_LENS[dom]
+        for fid, vocab in EN.side_fids(cfg):
+            if vocab <= 0:
+                continue
+            col = f"{cfg['prefix']}_{fid}"
+            over = f"list_filter({col}[1:{L}], lambda v: v >= {vocab})"
+            parts.append(f"select '{dom}' grp, '{col}' \"column\", {vocab} vocab, coalesce(sum(len({over})), 0) n, "
+                         f"min(list_min({over})) lo, max(list_max({over})) hi from v_wide")
+    u = "\nunion all\n".join(parts)
+    return f"""select grp, "column", cast(vocab as bigint) vocab, cast(n as bigint) oob_count,
+       cast(lo as bigint) min_oob, cast(hi as bigint) max_oob,
+       case when lo >= vocab then 'TOO_HIGH' else 'TOO_LOW' end direction
+from ({u}) where n > 0"""
+
+
+register("G15_oob_stats", with_views(_oob_sql(), "v_wide"))(
+    lambda spark, sf: EN.oob_stats(V.v_wide(spark, sf), ENCODE_SCHEMA, ENCODE_MAX_LENS)
+)
