@@ -29,10 +29,14 @@ def pool_sum_double(x) -> Column:
     return F.coalesce(F.aggregate(_c(x), F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
 
 
-def pool_mean(x) -> Column:
-    """A1: mean of elements, 0.0 for null/empty."""
+def pool_mean(x, integral: bool = False) -> Column:
+    """A1: mean of elements, 0.0 for null/empty. Integral arrays are summed
+    exactly in bigint first, so the mean is one correctly rounded division."""
     x = _c(x)
-    s = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    if integral:
+        s = F.aggregate(x, F.lit(0).cast("bigint"), lambda a, v: a + v).cast("double")
+    else:
+        s = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
     return F.coalesce(s / F.nullif(F.size(x), F.lit(0)), F.lit(0.0))
 
 

@@ -250,3 +250,244 @@ from ({u}) where n > 0"""
 register("G15_oob_stats", with_views(_oob_sql(), "v_wide"))(
     lambda spark, sf: EN.oob_stats(V.v_wide(spark, sf), ENCODE_SCHEMA, ENCODE_MAX_LENS)
 )
+
+
+# ---------------------------------------------------------------- arrays (A)
+
+from tessera.functions import arrays as A  # noqa: E402
+from tessera.functions import scalars as S  # noqa: E402
+
+
+def _r6(c):
+    return F.round(c, 6)
+
+
+@register(
+    "A1_A5_array_pool",
+    with_views(
+        """select l_orderkey,
+  coalesce(cast(list_sum(items) as double) / nullif(len(items), 0), 0.0) items_mean, coalesce(list_max(items), 0) items_max,
+  coalesce(list_min(items), 0) items_min, cast(coalesce(list_sum(items), 0) as bigint) items_sum,
+  cast(coalesce(len(items), 0) as bigint) items_len,
+  round(coalesce(list_avg(qty), 0.0), 6) qty_mean, round(coalesce(list_sum(qty), 0.0), 6) qty_sum
+from v_basket""",
+        "v_basket",
+    ),
+)
+def q_array_pool(spark, sf):
+    b = V.v_basket(spark, sf)
+    return b.select(
+        "l_orderkey",
+        A.pool_mean("items", True).alias("items_mean"), A.pool_max("items").alias("items_max"),
+        A.pool_min("items").alias("items_min"), A.pool_sum("items").alias("items_sum"),
+        A.length("items").alias("items_len"),
+        _r6(A.pool_mean("qty")).alias("qty_mean"), _r6(A.pool_sum_double("qty")).alias("qty_sum"),
+    )
+
+
+SEQ_COLS = ["domain_a_seq_38", "domain_a_seq_39", "domain_a_seq_40"]
+
+
+@register(
+    "A6_A7_sequence_stats",
+    with_views(
+        "select sample_id, "
+        + ", ".join(
+            f"cast(coalesce(len({c}), 0) as bigint) {c}_len, coalesce(cast(list_sum({c}) as double) / nullif(len({c}), 0), 0.0) {c}_mean, "
+            f"coalesce(list_max({c}), 0) {c}_max, coalesce({c}[-1], 0) {c}_last"
+            for c in SEQ_COLS
+        )
+        + " from v_wide",
+        "v_wide",
+    ),
+)
+def q_seq_stats(spark, sf):
+    w = V.v_wide(spark, sf)
+    cols = ["sample_id"]
+    for c in SEQ_COLS:
+        cols += [A.length(c).alias(f"{c}_len"), A.pool_mean(c, True).alias(f"{c}_mean"),
+                 A.pool_max(c).alias(f"{c}_max"), A.last(c).alias(f"{c}_last")]
+    return w.select(*cols)
+
+
+@register(
+    "A8_A9_pad",
+    with_views(
+        f"""select sample_id, {D.pad_ids('user_int_feats_15', 5, 1000)} items_pad,
+  {D.pad_ids('domain_a_seq_38', 16, 0)} seq_zero, {D.pad_dense('user_dense_feats_61', 4)} qty_pad
+from v_wide""",
+        "v_wide",
+    ),
+)
+def q_pad(spark, sf):
+    w = V.v_wide(spark, sf)
+    return w.select(
+        "sample_id", A.pad_ids("user_int_feats_15", 5, 1000).alias("items_pad"),
+        A.pad_ids("domain_a_seq_38", 16, 0).alias("seq_zero"), A.pad_dense("user_dense_feats_61", 4).alias("qty_pad"),
+    )
+
+
+_L, _K = 64, 8
+
+
+@register(
+    "A14_A15_mask_and_latest_k",
+    with_views(
+        f"""select user_id, mask, round(s / greatest(n, 1), 6) masked_mean,
+  list_concat(list_resize(cast([] as bigint[]), {_K} - len(tail), cast(0 as bigint)), tail) latest
+from (select user_id, n, list_transform(p, lambda v, i: i - 1 >= n) mask,
+             list_sum(p[1:n]) s, p[greatest(n - {_K}, 0) + 1 : greatest(n - {_K}, 0) + least(n, {_K})] tail
+      from (select user_id, {D.pad_ids('seq_val', _L, 1000000)} p, least({D.length('seq_val')}, {_L}) n from v_user_seq))""",
+        "v_user_seq",
+    ),
+)
+def q_mask_latest(spark, sf):
+    u = V.v_user_seq(spark, sf).select(
+        "user_id", A.pad_ids("seq_val", _L, 1000000).alias("p"), A.padded_len("seq_val", _L).alias("n")
+    )
+    return u.select(
+        "user_id", A.padding_mask("p", "n").alias("mask"), _r6(A.masked_mean("p", "n")).alias("masked_mean"),
+        A.latest_k("p", "n", _K).alias("latest"),
+    )
+
+
+@register(
+    "A17_vector_chunks",
+    """select vec_id, list_transform(range(0, 5), lambda i:
+         list_resize(cast(embedding as float[]), 65, cast(0 as float))[i * 13 + 1 : i * 13 + 13]) chunks
+from embeddings""",
+)
+def q_chunks(spark, sf):
+    e = V.embeddings(spark, sf)
+    return e.select("vec_id", A.chunks("embedding", 5, 64).alias("chunks"))
+
+
+# ---------------------------------------------------------------- scalars (P)
+
+@register(
+    "P1_P5_P6_labels_time",
+    with_views(
+        """select sample_id, cast(coalesce(label_type, 0) = 2 as bigint) label, cast(label_type - 1 as bigint) y,
+  cast(((label_time % 86400) + 86400) % 86400 // 3600 as int) label_time_hour,
+  cast((((ts_now // 86400) + 3) % 7 + 7) % 7 as int) ts_weekday,
+  cast(((ts_now % 86400) + 86400) % 86400 // 3600 as int) ts_hour,
+  cast(user_id as varchar) user_key
+from v_interactions""",
+        "v_interactions",
+    ),
+)
+def q_labels_time(spark, sf):
+    v = V.v_interactions(spark, sf)
+    return v.select(
+        "sample_id", S.label_binary("label_type").alias("label"), S.label_shift("label_type").alias("y"),
+        S.hour_of_day("label_time").alias("label_time_hour"), S.weekday("ts_now").alias("ts_weekday"),
+        S.hour_of_day("ts_now").alias("ts_hour"), F.col("user_id").cast("string").alias("user_key"),
+    )
+
+
+@register(
+    "P2_drop_to_features",
+    with_views(
+        'select * exclude (sample_id, user_id, item_id, label_type, label_time, "timestamp") from v_wide', "v_wide"
+    ),
+)
+def q_drop(spark, sf):
+    return V.v_wide(spark, sf).drop("sample_id", "user_id", "item_id", "label_type", "label_time", "timestamp")
+
+
+@register(
+    "P3_P4_fill_and_clean",
+    with_views(
+        f"""select f.id, coalesce(f.f3, 0.0) f3_filled, coalesce(f.f1, 0.0) f1_filled
+from v_features f""",
+        "v_features",
+    ),
+)
+def q_fill(spark, sf):
+    f = V.v_features(spark, sf)
+    return f.select("id", S.fill_zero("f3").alias("f3_filled"), S.fill_zero("f1").alias("f1_filled"))
+
+
+@register(
+    "P4_scalar_clean",
+    with_views(
+        f"""select sample_id, {D.clean_scalar('user_int_feats_3', 6)} u3, {D.clean_scalar('user_int_feats_1', 0)} u1,
+  {D.clean_scalar('item_int_feats_5', 40)} i5 from v_wide""",
+        "v_wide",
+    ),
+)
+def q_clean(spark, sf):
+    w = V.v_wide(spark, sf)
+    return w.select(
+        "sample_id", S.clean_scalar("user_int_feats_3", 6).alias("u3"), S.clean_scalar("user_int_feats_1", 0).alias("u1"),
+        S.clean_scalar("item_int_feats_5", 40).alias("i5"),
+    )
+
+
+_LOGIT_SQL = "ln(least(greatest(prob, 1e-15), 1 - 1e-15) / (1 - least(greatest(prob, 1e-15), 1 - 1e-15)))"
+_SIG_SQL = f"(1.0 / (1.0 + exp(-({_LOGIT_SQL}))))"
+_BCE_SQL = f"(greatest({_LOGIT_SQL}, 0.0) - ({_LOGIT_SQL}) * label + ln(1 + exp(-abs({_LOGIT_SQL}))))"
+_FOCAL_SQL = (
+    f"((0.1 * label + 0.9 * (1 - label)) * pow(1.0 - ({_SIG_SQL} * label + (1.0 - {_SIG_SQL}) * (1 - label)), 2.0)"
+    f" * {_BCE_SQL})"
+)
+
+
+def _scored_logit(spark, sf):
+    return V.v_scored(spark, sf).withColumn("x", S.logit("prob"))
+
+
+@register(
+    "P7_P10_rowwise_loss",
+    with_views(
+        f"""select id, round(least(greatest(prob, 1e-15), 1 - 1e-15), 6) p_clip, round({_LOGIT_SQL}, 6) logit,
+  round({_SIG_SQL}, 6) p_back, cast(prob >= 0.5 as int) pred, round({_BCE_SQL}, 6) bce, round({_FOCAL_SQL}, 6) focal
+from v_scored""",
+        "v_scored",
+    ),
+)
+def q_rowwise_loss(spark, sf):
+    s = _scored_logit(spark, sf)
+    return s.select(
+        "id", _r6(S.clip_prob("prob")).alias("p_clip"), _r6(F.col("x")).alias("logit"),
+        _r6(S.sigmoid("x")).alias("p_back"), S.threshold("prob", 0.5).alias("pred"),
+        _r6(S.bce_with_logits("x", "label")).alias("bce"), _r6(S.focal_loss("x", "label", 0.1, 2.0)).alias("focal"),
+    )
+
+
+@register(
+    "P10_focal_reduce",
+    with_views(
+        f"select split, round(avg({_FOCAL_SQL}), 6) focal_mean, round(sum({_FOCAL_SQL}), 6) focal_sum from v_scored group by split",
+        "v_scored",
+    ),
+)
+def q_focal_reduce(spark, sf):
+    s = _scored_logit(spark, sf).withColumn("fl", S.focal_loss("x", "label", 0.1, 2.0))
+    return s.groupBy("split").agg(_r6(F.avg("fl")).alias("focal_mean"), _r6(F.sum("fl")).alias("focal_sum"))
+
+
+@register(
+    "P11_filters",
+    with_views(
+        """select sample_id, list_filter(domain_a_seq_38, lambda v: v > 0) pos_types
+from v_wide where domain_a_seq_38 is not null and label_time is not null""",
+        "v_wide",
+    ),
+)
+def q_filters(spark, sf):
+    w = V.v_wide(spark, sf).dropna(subset=["domain_a_seq_38", "label_time"])
+    return w.select("sample_id", A.positive_only("domain_a_seq_38").alias("pos_types"))
+
+
+_P12_NOW_SQL = "(label_time + (sample_id * 7919) % 40000000)"
+
+
+@register(
+    "P12_time_bucket",
+    with_views(f"select sample_id, {D.time_bucket(_P12_NOW_SQL, 'label_time')} bucket from v_interactions", "v_interactions"),
+)
+def q_time_bucket(spark, sf):
+    v = V.v_interactions(spark, sf)
+    now = F.col("label_time") + F.pmod(F.col("sample_id") * 7919, F.lit(40000000))
+    return v.select("sample_id", S.time_bucket(now, "label_time").alias("bucket"))
