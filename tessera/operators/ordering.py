@@ -76,3 +76,54 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], descen
     for c in value_cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_cum_{c}") + F.col(f"_off_{c}")).drop(f"_cum_{c}", f"_off_{c}")
     return out.drop("_p")
+
+
+def exact_quantiles(long_df: DataFrame, key_col: str, value_col: str, qs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles of ``value_col`` per ``key_col``
+    (pandas ``describe`` / DuckDB ``quantile_cont``), without holding any
+    group's values in one task:
+
+    1. value counts per (key, value) — partial aggregation;
+    2. running counts along (key, value) by ``prefix_sums`` (range sort);
+    3. for each quantile the ranks floor(h), ceil(h) with h = (n-1)q are
+       located by a range filter; the few hit rows are interpolated.
+    Output: key, q, value (double). Nulls are ignored.
+    """
+    vc = (
+        long_df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
+        .groupBy(key_col, F.col(value_col).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    # Composite order key (key, value) as a struct so prefix_sums can use one column.
+    vc = vc.withColumn("_k", F.struct(key_col, "_v"))
+    cum = prefix_sums(vc, "_k", ["_c"])
+    per_key = vc.groupBy(key_col).agg(F.sum("_c").alias("_n"))
+    key_off = per_key.select(
+        key_col, "_n",
+        F.coalesce(F.sum("_n").over(Window.orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_koff"),
+    )
+    qdf = long_df.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
+    targets = key_off.crossJoin(F.broadcast(qdf)).select(
+        key_col, "q", "_koff",
+        F.floor((F.col("_n") - 1) * F.col("q")).cast("bigint").alias("_lo"),
+        F.ceil((F.col("_n") - 1) * F.col("q")).cast("bigint").alias("_hi"),
+        ((F.col("_n") - 1) * F.col("q") - F.floor((F.col("_n") - 1) * F.col("q"))).alias("_frac"),
+    )
+    # rank r (0-based, within key) sits at the row with cum_prev <= r < cum
+    c = cum.join(F.broadcast(key_off.select(key_col, "_koff")), key_col).select(
+        key_col, "_v", (F.col("cum__c") - F.col("_c") - F.col("_koff")).alias("_from"),
+        (F.col("cum__c") - F.col("_koff")).alias("_to"),
+    )
+    def at(rank_col: str, name: str) -> DataFrame:
+        t = targets.select(key_col, "q", F.col(rank_col).alias("_r"))
+        return c.join(F.broadcast(t), key_col).where((F.col("_from") <= F.col("_r")) & (F.col("_r") < F.col("_to"))).select(
+            key_col, "q", F.col("_v").alias(name)
+        )
+
+    lo, hi = at("_lo", "_vlo"), at("_hi", "_vhi")
+    return (
+        targets.select(key_col, "q", "_frac")
+        .join(lo, [key_col, "q"])
+        .join(hi, [key_col, "q"])
+        .select(key_col, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
+    )

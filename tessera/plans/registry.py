@@ -491,3 +491,184 @@ def q_time_bucket(spark, sf):
     v = V.v_interactions(spark, sf)
     now = F.col("label_time") + F.pmod(F.col("sample_id") * 7919, F.lit(40000000))
     return v.select("sample_id", S.time_bucket(now, "label_time").alias("bucket"))
+
+
+# ---------------------------------------------------------------- profiling (G)
+
+from tessera.operators import profile as G  # noqa: E402
+
+WIDE_COLS = [
+    "sample_id", "user_id", "item_id", "label_type", "label_time", "timestamp", "user_int_feats_1",
+    "user_int_feats_3", "user_int_feats_15", "user_dense_feats_61", "item_int_feats_5", "item_int_feats_11",
+    "domain_a_seq_38", "domain_a_seq_39", "domain_a_seq_40", "domain_b_seq_70", "domain_b_seq_71",
+]
+WIDE_SCALARS = ["user_id", "item_id", "label_type", "user_int_feats_1", "user_int_feats_3", "item_int_feats_5"]
+FEAT_COLS = ["f1", "f2", "f3", "f4"]
+
+register(
+    "G1_basic_info",
+    with_views(
+        f"""select count(*) n_samples, cast({len(WIDE_COLS)} as bigint) n_features,
+  count(distinct user_id) n_users, count(distinct item_id) n_items from v_wide""",
+        "v_wide",
+    ),
+)(lambda spark, sf: G.basic_info(V.v_wide(spark, sf)))
+
+
+def _describe_sql() -> str:
+    parts = [
+        f"""select '{c}' "column", count({c}) "count", round(avg({c}), 6) mean, round(stddev_samp({c}), 6) std,
+  round(min({c}), 6) "min", round(max({c}), 6) "max", round(quantile_cont({c}, 0.25), 6) p25,
+  round(quantile_cont({c}, 0.5), 6) p50, round(quantile_cont({c}, 0.75), 6) p75 from v_features"""
+        for c in FEAT_COLS
+    ]
+    return "\nunion all\n".join(parts)
+
+
+@register("G2_describe", with_views(_describe_sql(), "v_features"))
+def q_describe(spark, sf):
+    d = G.describe(V.v_features(spark, sf), FEAT_COLS)
+    return d.select("column", "count", *[_r6(F.col(c)).alias(c) for c in ["mean", "std", "min", "max", "p25", "p50", "p75"]])
+
+
+register(
+    "G3_distinct_counts",
+    with_views(
+        "\nunion all\n".join(f"select '{c}' \"column\", count(distinct {c}) n_distinct from v_wide" for c in WIDE_SCALARS),
+        "v_wide",
+    ),
+)(lambda spark, sf: G.distinct_counts(V.v_wide(spark, sf), WIDE_SCALARS))
+
+register(
+    "G4_value_counts",
+    with_views(
+        """select item_int_feats_5, count(*) n, round(count(*) / sum(count(*)) over (), 6) share
+from v_wide where item_int_feats_5 is not null group by 1""",
+        "v_wide",
+    ),
+)(lambda spark, sf: G.value_counts(V.v_wide(spark, sf), "item_int_feats_5").withColumn("share", _r6(F.col("share"))))
+
+register(
+    "G5_time_range",
+    with_views(
+        "select min(label_time) label_time_min, max(label_time) label_time_max, min(ts_now) ts_now_min, max(ts_now) ts_now_max from v_interactions",
+        "v_interactions",
+    ),
+)(lambda spark, sf: G.time_range(V.v_interactions(spark, sf), ["label_time", "ts_now"]))
+
+register(
+    "G6_histogram",
+    with_views(
+        """select bin, count(*) n, round(any_value(lo) + (any_value(hi) - any_value(lo)) * bin / 30, 6) edge_lo
+from (select cast(least(floor((f2 - lo) / (hi - lo) * 30), 29) as int) bin, lo, hi
+      from v_features, (select min(f2) lo, max(f2) hi from v_features) r where f2 is not null) group by 1""",
+        "v_features",
+    ),
+)(lambda spark, sf: G.histogram(V.v_features(spark, sf), "f2", 30).withColumn("edge_lo", _r6(F.col("edge_lo"))))
+
+LEN_COLS = ["user_int_feats_15", "item_int_feats_11", "domain_a_seq_38", "domain_a_seq_39", "domain_b_seq_70"]
+
+
+def _len_profile_sql() -> str:
+    parts = [
+        f"""select '{c}' "column", min(l) min_len, max(l) max_len, round(avg(l), 6) mean_len,
+  round(quantile_cont(l, 0.5), 6) median_len from (select {D.length(c)} l from v_wide)"""
+        for c in LEN_COLS
+    ]
+    return "\nunion all\n".join(parts)
+
+
+@register("G7_G9_G10_length_profile", with_views(_len_profile_sql(), "v_wide"))
+def q_len_profile(spark, sf):
+    p = G.array_length_profile(V.v_wide(spark, sf), LEN_COLS)
+    return p.select("column", "min_len", "max_len", _r6(F.col("mean_len")).alias("mean_len"), _r6(F.col("median_len")).alias("median_len"))
+
+
+register(
+    "G8_dense_profile",
+    """select count(*) "count", round(avg(v), 6) mean, round(stddev_pop(v), 6) std, round(min(v), 6) "min",
+  round(max(v), 6) "max", round((select avg(len(embedding)) from embeddings), 6) mean_len
+from (select unnest(embedding) v from embeddings)""",
+)(lambda spark, sf: G.dense_profile(V.embeddings(spark, sf), "embedding").select(
+    "count", *[_r6(F.col(c)).alias(c) for c in ["mean", "std", "min", "max", "mean_len"]]))
+
+register(
+    "G12_interaction_summary",
+    with_views(
+        """select k "key", count(*) n_keys, cast(sum(c) as bigint) n_rows, min(c) min_per_key, max(c) max_per_key,
+  round(avg(c), 6) mean_per_key
+from (select 'user_id' k, user_id id, count(*) c from v_interactions group by 2
+      union all select 'item_id', item_id, count(*) from v_interactions group by 2) group by 1""",
+        "v_interactions",
+    ),
+)(lambda spark, sf: G.interaction_summary(V.v_interactions(spark, sf)).withColumn("mean_per_key", _r6(F.col("mean_per_key"))))
+
+register(
+    "G12_per_user_histogram",
+    with_views(
+        """select bin, count(*) n, round(any_value(lo) + (any_value(hi) - any_value(lo)) * bin / 20, 6) edge_lo
+from (select cast(least(floor((k - lo) / (hi - lo) * 20), 19) as int) bin, lo, hi
+from (select user_id, count(*) k from v_interactions group by 1) p,
+     (select case when min(k) = max(k) then min(k) - 0.5 else min(k) end lo,
+             case when min(k) = max(k) then max(k) + 0.5 else max(k) end hi
+      from (select user_id, count(*) k from v_interactions group by 1)) r) group by 1""",
+        "v_interactions",
+    ),
+)(lambda spark, sf: G.per_key_histogram(V.v_interactions(spark, sf), "user_id", 20).withColumn("edge_lo", _r6(F.col("edge_lo"))))
+
+register(
+    "G13_missing_values",
+    with_views(
+        "\nunion all\n".join(
+            f"select '{c}' \"column\", count(*) filter (where {c} is null{' or isnan(' + c + ')' if c in ('x',) else ''}) n_missing from v_wide"
+            for c in WIDE_COLS
+        ),
+        "v_wide",
+    ),
+)(lambda spark, sf: G.missing_values(V.v_wide(spark, sf)))
+
+register(
+    "G13_missing_summary",
+    with_views(
+        "select count(*) filter (where n > 0) n_cols_with_missing, cast(sum(case when c in ('user_id','item_id','label_type','label_time','timestamp') then n else 0 end) as bigint) id_missing from ("
+        + "\nunion all\n".join(f"select '{c}' c, count(*) filter (where {c} is null) n from v_wide" for c in WIDE_COLS)
+        + ")",
+        "v_wide",
+    ),
+)(lambda spark, sf: G.missing_summary(V.v_wide(spark, sf), ["user_id", "item_id", "label_type", "label_time", "timestamp"]))
+
+register(
+    "G14_duplicate_rows",
+    "select cast(sum(k - 1) as bigint) n_duplicates from (select count(*) k from lineitem group by l_orderkey, l_linenumber)",
+)(lambda spark, sf: G.duplicate_rows(V.read_table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]))
+
+register(
+    "G16_class_weights",
+    with_views(
+        """select y, n_c, round(sum(n_c) over () / (count(*) over () * n_c), 6) weight,
+  round(sum(case when y = 0 then n_c end) over () / sum(case when y = 1 then n_c end) over (), 6) scale_pos_weight
+from (select cast(label_type - 1 as bigint) y, count(*) n_c from v_interactions group by 1)""",
+        "v_interactions",
+    ),
+)(lambda spark, sf: G.class_weights(V.v_interactions(spark, sf).select(S.label_shift("label_type").alias("y")), "y")
+  .select("y", "n_c", _r6(F.col("weight")).alias("weight"), _r6(F.col("scale_pos_weight")).alias("scale_pos_weight")))
+
+register(
+    "G17_feature_std",
+    with_views(
+        "\nunion all\n".join(
+            f"select '{c}' \"column\", round(stddev_samp({c}), 6) std, coalesce(stddev_samp({c}) = 0 or isnan(stddev_samp({c})), true) skip from v_features"
+            for c in FEAT_COLS
+        ),
+        "v_features",
+    ),
+)(lambda spark, sf: G.feature_std(V.v_features(spark, sf), FEAT_COLS).withColumn("std", _r6(F.col("std"))))
+
+register(
+    "G18_grouped_mean_std",
+    with_views(
+        "select run_id, round(avg(val_auc), 6) mean, round(stddev_pop(val_auc), 6) std, count(val_auc) n from v_runs group by 1",
+        "v_runs",
+    ),
+)(lambda spark, sf: G.grouped_mean_std(V.v_runs(spark, sf), "run_id", "val_auc").select(
+    "run_id", _r6(F.col("mean")).alias("mean"), _r6(F.col("std")).alias("std"), "n"))
