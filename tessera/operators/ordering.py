@@ -58,14 +58,17 @@ def _running_sum_fn(value_cols: Sequence[str]):
     return run
 
 
-def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False) -> DataFrame:
-    """Inclusive running sums ``cum_<c>`` of ``value_cols`` along ``order_col``
-    (which must be unique; pre-aggregate ties first).
-
-    Range-partitioned sort -> per-partition running sum (Arrow batches) ->
-    per-partition totals -> broadcast offsets. No single-task window."""
-    key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    s = df.orderBy(key).withColumn("_p", F.spark_partition_id())
+def prefix_sums(df: DataFrame, order_cols, value_cols: Sequence[str], descending: bool = False) -> DataFrame:
+    """Inclusive running sums ``cum_<c>`` of ``value_cols`` along ``order_cols``
+    (a unique key; pre-aggregate ties first).
+
+    Range-partitioned sort (sampled bounds) -> per-partition running sum over
+    Arrow batches -> per-partition totals (one row per partition) ->
+    broadcast offsets. No single-task window over the data."""
+    if isinstance(order_cols, (str, Column)):
+        order_cols = [order_cols]
+    keys = [(F.col(c).desc() if descending else F.col(c).asc()) if isinstance(c, str) else c for c in order_cols]
+    s = df.orderBy(*keys).withColumn("_p", F.spark_partition_id())
     out_schema = T.StructType(
         list(s.schema.fields) + [T.StructField(f"_cum_{c}", s.schema[c].dataType, True) for c in value_cols]
     )
@@ -94,9 +97,7 @@ def exact_quantiles(long_df: DataFrame, key_col: str, value_col: str, qs: Sequen
         .groupBy(key_col, F.col(value_col).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    # Composite order key (key, value) as a struct so prefix_sums can use one column.
-    vc = vc.withColumn("_k", F.struct(key_col, "_v"))
-    cum = prefix_sums(vc, "_k", ["_c"])
+    cum = prefix_sums(vc, [key_col, "_v"], ["_c"])
     per_key = vc.groupBy(key_col).agg(F.sum("_c").alias("_n"))
     key_off = per_key.select(
         key_col, "_n",
@@ -127,3 +128,21 @@ def exact_quantiles(long_df: DataFrame, key_col: str, value_col: str, qs: Sequen
         .join(hi, [key_col, "q"])
         .select(key_col, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
     )
+
+
+def grouped_prefix_sums(
+    df: DataFrame, group_col: str, order_col: str, value_cols: Sequence[str], descending: bool = False
+) -> DataFrame:
+    """Running sums of ``value_cols`` along ``order_col`` inside each group
+    (``(group, order)`` must be unique). One distributed ``prefix_sums`` over
+    the composite key, minus each group's starting offset (a tiny table with
+    one row per group)."""
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    cum = prefix_sums(df, [F.col(group_col).asc(), o], value_cols)
+    totals = df.groupBy(group_col).agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    w = Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(group_col, *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_g_{c}") for c in value_cols])
+    out = cum.join(F.broadcast(offs), group_col)
+    for c in value_cols:
+        out = out.withColumn(f"cum_{c}", F.col(f"cum_{c}") - F.col(f"_g_{c}")).drop(f"_g_{c}")
+    return out

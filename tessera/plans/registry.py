@@ -672,3 +672,227 @@ register(
     ),
 )(lambda spark, sf: G.grouped_mean_std(V.v_runs(spark, sf), "run_id", "val_auc").select(
     "run_id", _r6(F.col("mean")).alias("mean"), _r6(F.col("std")).alias("std"), "n"))
+
+
+# ---------------------------------------------------------------- metrics (M) and ranking (W)
+
+from tessera.operators import metrics as M  # noqa: E402
+from tessera.operators import ranking as W  # noqa: E402
+
+_AUC_SQL = """
+c as (select split, prob, cast(sum(label) as bigint) pos, cast(sum(1 - label) as bigint) neg from v_scored
+      where not isnan(prob) group by 1, 2),
+a0 as (select *, sum(neg) over (partition by split order by prob rows between unbounded preceding and current row) cum_neg from c),
+a as (select split, sum(pos * ((cum_neg - neg) + neg / 2.0)) num, sum(pos) p, sum(neg) n from a0 group by 1),
+auc as (select split, case when p * n > 0 then num / (p * n) else 'nan'::double end auc from a)"""
+
+
+def _scored(spark, sf):
+    return V.v_scored(spark, sf)
+
+
+register("M1_auc", with_views(f", {_AUC_SQL.strip()}\nselect split, round(auc, 6) auc from auc", "v_scored"))(
+    lambda spark, sf: M.auc(_scored(spark, sf), "split").withColumn("auc", _r6(F.col("auc")))
+)
+
+register(
+    "M1_auc_overall",
+    with_views(
+        f", {_AUC_SQL.strip().replace('from v_scored', 'from (select label, prob, 1 split from v_scored)')}\nselect round(auc, 6) auc from auc",
+        "v_scored",
+    ),
+)(lambda spark, sf: M.auc(_scored(spark, sf).withColumn("split", F.lit(1)), "split").select(_r6(F.col("auc")).alias("auc")))
+
+_LL_SQL = "-(label * ln(least(greatest(prob, 1e-15), 1 - 1e-15)) + (1 - label) * ln(1 - least(greatest(prob, 1e-15), 1 - 1e-15)))"
+
+register("M2_logloss", with_views(f"select split, round(avg({_LL_SQL}), 6) logloss from v_scored group by 1", "v_scored"))(
+    lambda spark, sf: M.logloss(_scored(spark, sf), "split").withColumn("logloss", _r6(F.col("logloss")))
+)
+
+register(
+    "M2_bce_logits",
+    with_views(f"select split, round(avg({_BCE_SQL}), 6) bce from v_scored group by 1", "v_scored"),
+)(lambda spark, sf: M.bce_logits_mean(_scored_logit(spark, sf), "split", "label", "x").withColumn("bce", _r6(F.col("bce"))))
+
+register(
+    "M3_threshold_metrics",
+    with_views(
+        """select split, round((tp + tn) / (tp + fp + fn + tn), 6) accuracy,
+  round(case when tp + fp > 0 then tp / (tp + fp) else 0.0 end, 6) "precision",
+  round(case when tp + fn > 0 then tp / (tp + fn) else 0.0 end, 6) recall,
+  round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end, 6) f1
+from (select split, count(*) filter (where label = 1 and prob >= 0.5) tp, count(*) filter (where label = 0 and prob >= 0.5) fp,
+             count(*) filter (where label = 1 and prob < 0.5) fn, count(*) filter (where label = 0 and prob < 0.5) tn
+      from v_scored group by 1)""",
+        "v_scored",
+    ),
+)(lambda spark, sf: M.threshold_metrics(_scored(spark, sf), "split").select(
+    "split", *[_r6(F.col(c)).alias(c) for c in ["accuracy", "precision", "recall", "f1"]]))
+
+register(
+    "M4_classification_report",
+    with_views(
+        """, cm as (select split, label, cast(prob >= 0.5 as int) pred, count(*) n from v_scored group by 1, 2, 3),
+per as (select split, cast(cls as varchar) cls,
+          case when pp > 0 then tp / pp else 0.0 end "precision", case when sup > 0 then tp / sup else 0.0 end recall,
+          case when pp + sup > 0 then 2 * tp / (pp + sup) else 0.0 end f1, sup support
+        from (select split, k.cls, sum(case when label = k.cls and pred = k.cls then n else 0 end) tp,
+                     sum(case when pred = k.cls then n else 0 end) pp, sum(case when label = k.cls then n else 0 end) sup
+              from cm, (values (0), (1)) k(cls) group by 1, 2)),
+rep as (select * from per
+  union all select split, 'macro avg', avg("precision"), avg(recall), avg(f1), sum(support) from per group by 1
+  union all select split, 'weighted avg', sum("precision" * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), sum(support) from per group by 1)
+select split, cls, round("precision", 6) "precision", round(recall, 6) recall, round(f1, 6) f1, cast(support as bigint) support from rep""",
+        "v_scored",
+    ),
+)(lambda spark, sf: M.classification_report(_scored(spark, sf), "split").select(
+    "split", "cls", *[_r6(F.col(c)).alias(c) for c in ["precision", "recall", "f1"]], F.col("support").cast("bigint").alias("support")))
+
+register(
+    "M5_confusion_matrix",
+    with_views("select split, label, cast(prob >= 0.5 as int) pred, count(*) n from v_scored group by 1, 2, 3", "v_scored"),
+)(lambda spark, sf: M.confusion_matrix(_scored(spark, sf), "split"))
+
+_CURVE_SQL = """
+c as (select split, prob, cast(sum(label) as bigint) pos, cast(sum(1 - label) as bigint) neg from v_scored
+      where not isnan(prob) group by 1, 2),
+cc as (select *, sum(pos) over w cum_pos, sum(neg) over w cum_neg, sum(pos) over (partition by split) p, sum(neg) over (partition by split) n
+       from c window w as (partition by split order by prob desc rows between unbounded preceding and current row))"""
+
+register(
+    "M6_W7_roc_curve",
+    with_views(
+        f""", {_CURVE_SQL.strip()}
+select split, prob threshold, round(case when n > 0 then cum_neg / n else 'nan'::double end, 6) fpr,
+       round(case when p > 0 then cum_pos / p else 'nan'::double end, 6) tpr from cc""",
+        "v_scored",
+    ),
+)(lambda spark, sf: M.roc_curve(_scored(spark, sf), "split").select("split", "threshold", _r6(F.col("fpr")).alias("fpr"), _r6(F.col("tpr")).alias("tpr")))
+
+register(
+    "M7_pr_curve",
+    with_views(
+        f""", {_CURVE_SQL.strip()}
+select split, prob threshold, round(cum_pos / (cum_pos + cum_neg), 6) "precision",
+       round(case when p > 0 then cum_pos / p else 'nan'::double end, 6) recall from cc""",
+        "v_scored",
+    ),
+)(lambda spark, sf: M.pr_curve(_scored(spark, sf), "split").select("split", "threshold", _r6(F.col("precision")).alias("precision"), _r6(F.col("recall")).alias("recall")))
+
+register(
+    "M7_average_precision",
+    with_views(
+        f""", {_CURVE_SQL.strip()}
+select split, round(case when any_value(p) > 0 then sum(pos * cum_pos / (cum_pos + cum_neg)) / any_value(p) else 'nan'::double end, 6) average_precision
+from cc group by 1""",
+        "v_scored",
+    ),
+)(lambda spark, sf: M.average_precision(_scored(spark, sf), "split").withColumn("average_precision", _r6(F.col("average_precision"))))
+
+register(
+    "M8_best_f1_threshold",
+    with_views(
+        """select split, round(arg_max(i, struct_pack(f1 := f1, ni := -i)) / 100.0, 6) threshold,
+       round(max(f1), 6) f1
+from (select split, i, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end f1
+      from (select s.split, g.i, count(*) filter (where s.label = 1 and s.prob >= g.i / 100.0) tp,
+                   count(*) filter (where s.label = 0 and s.prob >= g.i / 100.0) fp,
+                   count(*) filter (where s.label = 1 and s.prob < g.i / 100.0) fn
+            from v_scored s, (select range i from range(10, 100)) g where not isnan(s.prob) group by 1, 2))
+group by 1""",
+        "v_scored",
+    ),
+)(lambda spark, sf: M.best_f1_threshold(_scored(spark, sf), "split").select("split", _r6(F.col("threshold")).alias("threshold"), _r6(F.col("f1")).alias("f1")))
+
+register(
+    "M9_nan_filter",
+    with_views(
+        "select count(*) filter (where prob is null or isnan(prob)) n_nan, count(*) filter (where not (prob is null or isnan(prob))) n_kept from v_scored",
+        "v_scored",
+    ),
+)(lambda spark, sf: (lambda kept_nan: kept_nan[1].crossJoin(kept_nan[0].agg(F.count(F.lit(1)).alias("n_kept"))))(M.nan_filter(_scored(spark, sf))))
+
+register(
+    "M10_split_comparison",
+    with_views(
+        f""", {_AUC_SQL.strip()}
+select 'events' model, round(max(case when split = 'train' then auc end), 6) auc_train,
+       round(max(case when split = 'val' then auc end), 6) auc_val, round(max(case when split = 'test' then auc end), 6) auc_test,
+       round(max(case when split = 'train' then auc end) - max(case when split = 'test' then auc end), 6) auc_gap from auc""",
+        "v_scored",
+    ),
+)(lambda spark, sf: M.split_comparison(M.auc(_scored(spark, sf), "split").withColumn("model", F.lit("events")), "model").select(
+    "model", *[_r6(F.col(c)).alias(c) for c in ["auc_train", "auc_val", "auc_test", "auc_gap"]]))
+
+register(
+    "M11_history_table",
+    with_views(
+        "select run_id, count(*) n_steps, round(avg(val_auc), 6) mean_val_auc, arg_max(val_auc, step) last_val_auc, min(step) first_step, max(step) last_step from v_runs group by 1",
+        "v_runs",
+    ),
+)(lambda spark, sf: V.v_runs(spark, sf).groupBy("run_id").agg(
+    F.count(F.lit(1)).alias("n_steps"), _r6(F.avg("val_auc")).alias("mean_val_auc"), F.max_by("val_auc", "step").alias("last_val_auc"),
+    F.min("step").alias("first_step"), F.max("step").alias("last_step")))
+
+register(
+    "W1_W2_top10",
+    with_views("select run_id, step, val_auc from v_runs order by val_auc desc, run_id, step limit 10", "v_runs"),
+)(lambda spark, sf: W.head(V.v_runs(spark, sf), "val_auc", 10, ["run_id", "step"]))
+
+register(
+    "W3_top_k_runs",
+    with_views(
+        "select * from (select run_id, step, val_auc, row_number() over (partition by run_id order by val_auc desc, step) \"rank\" from v_runs) where \"rank\" <= 3",
+        "v_runs",
+    ),
+)(lambda spark, sf: W.top_k_per_group(V.v_runs(spark, sf), "run_id", "val_auc", "step", 3))
+
+register(
+    "W4_best_step",
+    with_views(
+        "select run_id, arg_max(step, struct_pack(v := val_auc, ns := -step)) best_step, max(val_auc) best_value from v_runs group by 1",
+        "v_runs",
+    ),
+)(lambda spark, sf: W.best_step(V.v_runs(spark, sf), "run_id", "val_auc", "step", "max"))
+
+register(
+    "W5_feature_rank",
+    with_views(
+        """select "column", round(std, 6) std, row_number() over (order by std desc, "column") "rank" from (
+  select 'f1' "column", stddev_samp(f1) std from v_features union all select 'f2', stddev_samp(f2) from v_features
+  union all select 'f3', stddev_samp(f3) from v_features union all select 'f4', stddev_samp(f4) from v_features)""",
+        "v_features",
+    ),
+)(lambda spark, sf: W.rank_rows(G.feature_std(V.v_features(spark, sf), FEAT_COLS).drop("skip"), "std", 20, ["column"])
+  .select("column", _r6(F.col("std")).alias("std"), "rank"))
+
+register(
+    "W6_dedupe_last",
+    with_views(
+        "select user_id, arg_max(sample_id, sample_id) sample_id, arg_max(item_id, sample_id) item_id from v_interactions group by 1",
+        "v_interactions",
+    ),
+)(lambda spark, sf: W.dedupe(V.v_interactions(spark, sf).select("user_id", "sample_id", "item_id"), "user_id", "sample_id", "last"))
+
+register(
+    "W6_dedupe_first",
+    with_views(
+        "select user_id, arg_min(sample_id, sample_id) sample_id, arg_min(item_id, sample_id) item_id from v_interactions group by 1",
+        "v_interactions",
+    ),
+)(lambda spark, sf: W.dedupe(V.v_interactions(spark, sf).select("user_id", "sample_id", "item_id"), "user_id", "sample_id", "first"))
+
+register(
+    "W8_early_stopping",
+    with_views(
+        """, h as (select run_id, step, val_auc, row_number() over (partition by run_id order by step) rn,
+          max(val_auc) over (partition by run_id order by step rows between unbounded preceding and 1 preceding) prev_best from v_runs),
+i as (select *, max(case when prev_best is null or val_auc > prev_best then rn end)
+          over (partition by run_id order by rn rows between unbounded preceding and current row) last_imp from h)
+select run_id, max(val_auc) best_value, arg_min(step, struct_pack(nv := -val_auc, s := step)) best_step, any_value(stop_step) stop_step
+from (select *, min(case when rn - last_imp >= 3 then step end) over (partition by run_id) stop_step from i)
+where stop_step is null or step <= stop_step group by 1""",
+        "v_runs",
+    ),
+)(lambda spark, sf: W.early_stopping(V.v_runs(spark, sf), "run_id", "step", "val_auc", patience=3, min_delta=0.0, mode="max"))
