@@ -54,3 +54,57 @@ def concat(parts: list[str], empty_type: str = "bigint") -> str:
     if not parts:
         return f"cast([] as {empty_type}[])"
     return "list_concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
+
+
+# ---- augmentation twins (DuckDB list lambdas are 1-based: index i -> i - 1)
+
+from tessera.functions.rand import SqlExpr, gaussian_sql, uniform_sql  # noqa: E402
+
+
+def n1(x: str, key: str, col: str, ratio: float, sd: str, seed: int = 42) -> str:
+    g = gaussian_sql(SqlExpr(key), f"n1:{col}", str(seed))
+    return f"(case when {sd} is not null and not isnan({sd}) and {sd} <> 0 then {x} + {g} * {ratio!r} * {sd} else cast({x} as double) end)"
+
+
+def n2(x: str, key: str, col: str, lo: float, hi: float, seed: int = 42) -> str:
+    return f"({x} * ({lo!r} + {hi - lo!r} * {uniform_sql(SqlExpr(key), f'n2:{col}', str(seed))}))"
+
+
+def n3(x: str, key: str, col: str, ratio: float, seed: int = 42) -> str:
+    u = uniform_sql(SqlExpr(key), f"n3:{col}", str(seed), SqlExpr("i - 1"))
+    return f"list_transform({x}, lambda v, i: case when {u} > {ratio!r} then v else v * 0 end)"
+
+
+def _start(key: str, salt: str, seed: int, n: str, length: str) -> str:
+    return f"cast(floor({uniform_sql(SqlExpr(key), salt, str(seed))} * ({n} - {length} + 1)) as int)"
+
+
+def n4(x: str, key: str, col: str, ratio: float, seed: int = 42) -> str:
+    n = f"len({x})"
+    L = f"greatest(1, cast(floor({n} * {ratio!r}) as int))"
+    st = _start(key, f"n4:{col}", seed, n, L)
+    return f"(case when {x} is null or {n} <= 2 then {x} else {x}[{st} + 1 : {st} + {L}] end)"
+
+
+def n5(x: str, key: str, col: str, ratio: float, seed: int = 42) -> str:
+    n = f"len({x})"
+    k = f"greatest(1, cast(floor({n} * {ratio!r}) as int))"
+    u = uniform_sql(SqlExpr(key), f"n5:{col}", str(seed), SqlExpr("i - 1"))
+    chosen = f"list_transform(list_sort(list_transform({x}, lambda v, i: struct_pack(u := {u}, i := i - 1)))[1:{k}], lambda s: s.i)"
+    masked = f"list_transform({x}, lambda v, i: case when list_contains({chosen}, i - 1) then v * 0 else v end)"
+    return f"(case when {x} is null or {n} <= 2 then {x} else {masked} end)"
+
+
+def n6(x: str, key: str, col: str, ratio: float, seed: int = 42) -> str:
+    n = f"len({x})"
+    L = f"greatest(2, cast(floor({n} * {ratio!r}) as int))"
+    st = _start(key, f"n6:{col}", seed, n, L)
+    return f"(case when {x} is null or {n} <= 3 then {x} else {x}[{st} + 1 : {st} + {L}] end)"
+
+
+def n7(x: str, key: str, col: str, chunk: int = 3, seed: int = 42) -> str:
+    nc = f"greatest(cast(ceil(len({x}) / {chunk}) as int) - 1, 0)"
+    u = uniform_sql(SqlExpr(key), f"n7:{col}", str(seed), SqlExpr("j"))
+    parts = f"list_transform(range(0, {nc} + 1), lambda j: struct_pack(u := {u}, p := {x}[j * {chunk} + 1 : j * {chunk} + {chunk}]))"
+    out = f"flatten(list_transform(list_sort({parts}), lambda s: s.p))"
+    return f"(case when {x} is null or len({x}) = 0 then {x} else {out} end)"

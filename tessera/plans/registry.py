@@ -896,3 +896,174 @@ where stop_step is null or step <= stop_step group by 1""",
         "v_runs",
     ),
 )(lambda spark, sf: W.early_stopping(V.v_runs(spark, sf), "run_id", "step", "val_auc", patience=3, min_delta=0.0, mode="max"))
+
+
+# ---------------------------------------------------------------- augmentation (N, J3, A18)
+
+from tessera.functions.rand import uniform_sql, gaussian_sql  # noqa: E402,F401
+from tessera.operators import augment as N  # noqa: E402
+
+def _r4(c):
+    return F.round(c, 4)
+
+
+_SD = "(select stddev_samp(f1) sd_f1, stddev_samp(f2) sd_f2, stddev_samp(f4) sd_f4 from v_features) sd"
+
+register(
+    "N1_scalar_gaussian_noise",
+    with_views(
+        f"select id, {', '.join(f'round({D.n1(c, 'id', c, 0.01, 'sd_' + c)}, 4) {c}' for c in ['f1', 'f2', 'f4'])}, f3 from v_features, {_SD}",
+        "v_features",
+    ),
+)(lambda spark, sf: N.scalar_gaussian_noise(V.v_features(spark, sf).select("id", "f1", "f2", "f4", "f3"), ["f1", "f2", "f4"], "id", 0.01)
+  .select("id", *[_r4(F.col(c)).alias(c) for c in ["f1", "f2", "f4"]], "f3"))
+
+register(
+    "N2_scalar_random_scale",
+    with_views(f"select id, {', '.join(f'round({D.n2(c, 'id', c, 0.95, 1.05)}, 4) {c}' for c in ['f1', 'f2'])} from v_features", "v_features"),
+)(lambda spark, sf: N.scalar_random_scale(V.v_features(spark, sf).select("id", "f1", "f2"), ["f1", "f2"], "id", 0.95, 1.05)
+  .select("id", *[_r4(F.col(c)).alias(c) for c in ["f1", "f2"]]))
+
+_ARR = "user_int_feats_15"
+
+register(
+    "N3_N4_array_mask_crop",
+    with_views(
+        f"select sample_id, {D.n3(_ARR, 'sample_id', _ARR, 0.1)} masked, {D.n4(_ARR, 'sample_id', _ARR, 0.8)} cropped from v_wide",
+        "v_wide",
+    ),
+)(lambda spark, sf: (lambda w: N.array_random_mask(w, [_ARR], "sample_id", 0.1).select("sample_id", F.col(_ARR).alias("masked")).join(
+    N.array_random_crop(w, [_ARR], "sample_id", 0.8).select("sample_id", F.col(_ARR).alias("cropped")), "sample_id"))(
+    V.v_wide(spark, sf).select("sample_id", _ARR)))
+
+register(
+    "N5_N6_N7_sequence_ops",
+    with_views(
+        f"""select user_id, {D.n5('seq_val', 'user_id', 'seq_val', 0.15)} masked, {D.n6('seq_type', 'user_id', 'seq_type', 0.8)} sub,
+  {D.n7('seq_ts', 'user_id', 'seq_ts', 3)} reordered from v_user_seq""",
+        "v_user_seq",
+    ),
+)(lambda spark, sf: (lambda u: N.chunk_reorder(N.sequence_subsample(N.sequence_random_mask(u, ["seq_val"], "user_id", 0.15), ["seq_type"], "user_id", 0.8),
+                                               ["seq_ts"], "user_id", 3))(V.v_user_seq(spark, sf))
+  .select("user_id", F.col("seq_val").alias("masked"), F.col("seq_type").alias("sub"), F.col("seq_ts").alias("reordered")))
+
+AUG_SCALARS = ["user_int_feats_1", "item_int_feats_5"]
+AUG_ARRAYS = ["user_int_feats_15"]
+AUG_SEQS = ["domain_a_seq_38", "domain_a_seq_40"]
+_WSD = "(select " + ", ".join(f"stddev_samp({c}) sd_{c}" for c in AUG_SCALARS) + " from v_wide) sd"
+
+
+def _preset_sql(kind: str, key: str) -> str:
+    cols = []
+    for c in AUG_SCALARS:
+        if kind == "conservative":
+            cols.append(f"round({D.n1(c, key, c, 0.01, 'sd_' + c)}, 4) {c}")
+        else:
+            cols.append(f"round({D.n2(D.n1(c, key, c, 0.05, 'sd_' + c), key, c, 0.9, 1.1)}, 4) {c}")
+    for c in AUG_ARRAYS:
+        cols.append((D.n3(c, key, c, 0.1) if kind == "conservative" else D.n4(D.n3(c, key, c, 0.2), key, c, 0.8)) + f" {c}")
+    for c in AUG_SEQS:
+        r1, r2 = (0.1, 0.8) if kind == "conservative" else (0.15, 0.7)
+        cols.append(D.n6(D.n5(c, key, c, r1), key, c, r2) + f" {c}")
+    return ", ".join(cols)
+
+
+def _preset_spark(spark, sf, kind):
+    w = V.v_wide(spark, sf).select("sample_id", *AUG_SCALARS, *AUG_ARRAYS, *AUG_SEQS)
+    a = N.STRATEGIES[kind](w, AUG_SCALARS, AUG_ARRAYS, AUG_SEQS, "sample_id")
+    return a.withColumns({c: _r4(F.col(c)) for c in AUG_SCALARS})
+
+
+register("N8_conservative_preset", with_views(f"select sample_id, {_preset_sql('conservative', 'sample_id')} from v_wide, {_WSD}", "v_wide"))(
+    lambda spark, sf: _preset_spark(spark, sf, "conservative"))
+register("N9_aggressive_preset", with_views(f"select sample_id, {_preset_sql('aggressive', 'sample_id')} from v_wide, {_WSD}", "v_wide"))(
+    lambda spark, sf: _preset_spark(spark, sf, "aggressive"))
+
+_AKEY = "concat_ws('#', cast(sample_id as varchar), cast(copy + 42 as varchar))"
+
+
+@register(
+    "N10_augmented_dataset",
+    with_views(
+        ", ".join([]) + f"""select sample_id, {', '.join(f'round(cast({c} as double), 4) {c}' for c in AUG_SCALARS)}, {', '.join(AUG_ARRAYS + AUG_SEQS)}, 0 copy from v_wide
+union all
+select sample_id, {_preset_sql('conservative', _AKEY)}, copy
+from (select *, unnest(range(1, 3)) copy from v_wide), {_WSD}""",
+        "v_wide",
+    ),
+)
+def q_aug_dataset(spark, sf):
+    w = V.v_wide(spark, sf).select("sample_id", *AUG_SCALARS, *AUG_ARRAYS, *AUG_SEQS)
+    a = N.augmented_dataset(w, AUG_SCALARS, AUG_ARRAYS, AUG_SEQS, "sample_id", factor=3, strategy="conservative")
+    return a.withColumns({c: _r4(F.col(c)) for c in AUG_SCALARS}).withColumn("copy", F.col("copy").cast("int"))
+
+
+register(
+    "N11_batch_dense_augment",
+    f"""select vec_id, case when (vec_id % 32) < 3 then
+  list_transform(embedding, lambda v, i: cast(v * (0.9 + {0.2!r} * {uniform_sql(SqlExpr('vec_id'), 'n11s', '42')}) + {gaussian_sql(SqlExpr('vec_id'), 'n11g', '42', SqlExpr('i - 1'))} * 0.01 as float))
+  else embedding end embedding from embeddings""",
+)(lambda spark, sf: N.batch_dense_augment(V.embeddings(spark, sf).select("vec_id", "embedding"), "embedding", "vec_id", "vec_id", 32, 0.1, 0.01, (0.9, 1.1)))
+
+_PAIR_SQL = f"""select *, coalesce(lead({{c}}) over w, first_value({{c}}) over wa) {{c}}_partner from (
+  select *, {hash32_sql(SqlExpr('{k}'), 'pair', '42')} h, {hash32_sql(SqlExpr('{k}'), 'pair', '42')} >> 22 b from {{src}})
+window w as (partition by {{by}}b order by h, {{k}}), wa as (partition by {{by}}b order by h, {{k}} rows between unbounded preceding and unbounded following)"""
+
+
+def _pair_sql(src: str, k: str, c: str, by: str = "") -> str:
+    return _PAIR_SQL.replace("{k}", k).format(src=src, c=c, by=by, k=k)
+
+
+register(
+    "J3_partner_pairing",
+    with_views(f"select id, f2, f2_partner from ({_pair_sql('v_features', 'id', 'f2')})", "v_features"),
+)(lambda spark, sf: N.pair_partners(V.v_features(spark, sf).select("id", "f2"), "id", ["f2"]))
+
+register(
+    "N14_array_mix",
+    f"select vec_id, list_transform(list_zip(embedding, embedding_partner), lambda z: 0.3 * cast(z[1] as double) + 0.7 * cast(z[2] as double)) embedding from ({_pair_sql('embeddings', 'vec_id', 'embedding')})",
+)(lambda spark, sf: N.array_mix(V.embeddings(spark, sf).select("vec_id", "embedding"), "vec_id", "embedding", 0.3))
+
+register(
+    "A18_same_label_concat",
+    with_views(
+        f"select sample_id, label_type, list_concat(domain_a_seq_38, domain_a_seq_38_partner[1:5]) domain_a_seq_38 from ({_pair_sql('(select sample_id, label_type, domain_a_seq_38 from v_wide)', 'sample_id', 'domain_a_seq_38', 'label_type, ')})",
+        "v_wide",
+    ),
+)(lambda spark, sf: N.same_label_concat(V.v_wide(spark, sf).select("sample_id", "label_type", "domain_a_seq_38"), "sample_id", "domain_a_seq_38", "label_type", 5))
+
+
+def _beta_sql(key: str, a: float, attempts: int = 8) -> str:
+    res = "0.5"
+    for t in reversed(range(attempts)):
+        lx = f"(ln(1.0 - {uniform_sql(SqlExpr(key), 'mixup:x', '42', str(t))}) / {a!r})"
+        ly = f"(ln(1.0 - {uniform_sql(SqlExpr(key), 'mixup:y', '42', str(t))}) / {a!r})"
+        m = f"greatest({lx}, {ly})"
+        lse = f"({m} + ln(exp({lx} - {m}) + exp({ly} - {m})))"
+        res = f"(case when {lse} <= 0 then 1.0 / (1.0 + exp({ly} - {lx})) else {res} end)"
+    return res
+
+
+register(
+    "N13_mixup",
+    with_views(
+        f"""select id, round(lam * f2 + (1 - lam) * f2_partner, 6) f2, round(lam * y + (1 - lam) * y_partner, 6) y, round(lam, 6) lam from (
+  select *, {_beta_sql('id', 0.2)} lam from (
+    select p.*, q.y_partner from ({_pair_sql('(select id, f2, cast(label_type - 1 as double) y from v_features)', 'id', 'f2')}) p
+    join ({_pair_sql('(select id, f2, cast(label_type - 1 as double) y from v_features)', 'id', 'y')}) q using (id)))""",
+        "v_features",
+    ),
+)(lambda spark, sf: N.mixup(V.v_features(spark, sf).select("id", "f2", S.label_shift("label_type").cast("double").alias("y")), "id", ["f2"], "y", 0.2)
+  .select("id", _r6(F.col("f2")).alias("f2"), _r6(F.col("y")).alias("y"), _r6(F.col("lam")).alias("lam")))
+
+register(
+    "N15_train_only_augment",
+    with_views(
+        f""", {SPLIT_SQL_CORE.strip()}
+select sample_id, split, case when split = 'train' then {D.n3('items', 'sample_id', 'items', 0.1)} else items end items
+from (select sp.sample_id, sp.split, b.items from sp join v_basket b on sp.sample_id = b.l_orderkey)""",
+        "v_interactions", "v_basket",
+    ),
+)(lambda spark, sf: N.augment_train_only(
+    _split(spark, sf).join(V.v_basket(spark, sf), F.col("sample_id") == F.col("l_orderkey")).select("sample_id", "split", "items"),
+    lambda d: N.array_random_mask(d, ["items"], "sample_id", 0.1)))
