@@ -1067,3 +1067,212 @@ from (select sp.sample_id, sp.split, b.items from sp join v_basket b on sp.sampl
 )(lambda spark, sf: N.augment_train_only(
     _split(spark, sf).join(V.v_basket(spark, sf), F.col("sample_id") == F.col("l_orderkey")).select("sample_id", "split", "items"),
     lambda d: N.array_random_mask(d, ["items"], "sample_id", 0.1)))
+
+
+# ---------------------------------------------------------------- joins (J), fitted transforms (F1, F2)
+
+from tessera.operators import joins as J  # noqa: E402
+
+_SCALE_SQL = """select id, {cols} from v_features,
+  (select {stats} from v_features) s"""
+
+
+def _f1_sql() -> str:
+    stats = ", ".join(f"avg(case when not isnan({c}) then {c} end) m_{c}, stddev_pop(case when not isnan({c}) then {c} end) s_{c}" for c in FEAT_COLS)
+    cols = ", ".join(f"round(({c} - m_{c}) / (case when s_{c} is null or s_{c} = 0 then 1.0 else s_{c} end), 6) {c}" for c in FEAT_COLS)
+    return _SCALE_SQL.format(cols=cols, stats=stats)
+
+
+@register("F1_J1_standard_scale", with_views(_f1_sql(), "v_features"))
+def q_scale(spark, sf):
+    f = V.v_features(spark, sf).select("id", *FEAT_COLS)
+    out = J.apply_scaler(f, J.fit_scaler(f, FEAT_COLS), FEAT_COLS)
+    return out.select("id", *[_r6(F.col(c)).alias(c) for c in FEAT_COLS])
+
+
+@register(
+    "F2_J2_label_encode",
+    with_views(
+        """select sample_id, cast(dense_rank() over (order by cast(user_id as varchar)) - 1 as bigint) user_code,
+  cast(dense_rank() over (order by cast(item_id as varchar)) - 1 as bigint) item_code from v_interactions""",
+        "v_interactions",
+    ),
+)
+def q_label_encode(spark, sf):
+    v = V.v_interactions(spark, sf).select("sample_id", "user_id", "item_id")
+    out = J.apply_label_codes(v, J.fit_label_codes(v, "user_id"), "user_id", "user_code")
+    out = J.apply_label_codes(out, J.fit_label_codes(v, "item_id"), "item_id", "item_code")
+    return out.select("sample_id", "user_code", "item_code")
+
+
+_EMB_VOCAB, _EMB_DIM = 400, 64
+
+
+@register(
+    "J4_vector_lookup",
+    with_views(
+        f"""select b.l_orderkey, b.pos, b.id,
+  case when b.id > 0 and b.id < {_EMB_VOCAB} then coalesce(e.embedding, list_resize(cast([] as float[]), {_EMB_DIM}, cast(0 as float)))
+       else list_resize(cast([] as float[]), {_EMB_DIM}, cast(0 as float)) end embedding
+from (select l_orderkey, unnest(range(0, len(items))) pos, unnest(items) id from v_basket) b
+left join embeddings e on b.id > 0 and b.id < {_EMB_VOCAB} and e.vec_id = b.id""",
+        "v_basket",
+    ),
+)
+def q_lookup(spark, sf):
+    ids = V.v_basket(spark, sf).select("l_orderkey", F.posexplode("items").alias("pos", "id")).withColumn("pos", F.col("pos").cast("bigint"))
+    return J.lookup_vectors(ids, "id", V.embeddings(spark, sf), "vec_id", "embedding", _EMB_VOCAB, _EMB_DIM)
+
+
+@register(
+    "A16_embedding_bag",
+    with_views(
+        f"""with ex as (select l_orderkey, unnest(items) id from v_basket),
+v as (select ex.l_orderkey, unnest(range(0, {_EMB_DIM})) d, unnest(coalesce(e.embedding, list_resize(cast([] as float[]), {_EMB_DIM}, cast(0 as float)))) x
+      from ex left join embeddings e on e.vec_id = ex.id where ex.id > 0 and ex.id < {_EMB_VOCAB}),
+m as (select l_orderkey, list(round(mx, 6) order by d) bag from (select l_orderkey, d, avg(cast(x as double)) mx from v group by 1, 2) group by 1)
+select b.l_orderkey, coalesce(m.bag, list_resize(cast([] as double[]), {_EMB_DIM}, 0.0)) bag from v_basket b left join m using (l_orderkey)""",
+        "v_basket",
+    ).replace("with v_basket as", "with v_basket as", 1).replace(")\nwith ex as", "),\nex as", 1),
+)
+def q_bag(spark, sf):
+    out = J.embedding_bag_mean(V.v_basket(spark, sf), "l_orderkey", "items", V.embeddings(spark, sf), "vec_id", "embedding", _EMB_VOCAB, _EMB_DIM)
+    return out.withColumn("bag", F.transform("bag", lambda x: F.round(x, 6)))
+
+
+_CODE_SQL = """select e.vec_id, arg_min(c.vec_id, struct_pack(d := d2, i := c.vec_id)) code, round(min(d2), 6) d2 from (
+  select e.vec_id, c.vec_id cv, list_sum(list_transform(list_zip(e.embedding, c.embedding), lambda z: pow(cast(z[1] as double) - cast(z[2] as double), 2))) d2
+  from embeddings e, (select * from embeddings where vec_id < 16) c) x
+  join embeddings e on e.vec_id = x.vec_id join (select * from embeddings where vec_id < 16) c on c.vec_id = x.cv
+group by e.vec_id"""
+
+
+def _codebook(spark, sf):
+    e = V.embeddings(spark, sf)
+    return e.where(F.col("vec_id") < 16)
+
+
+register(
+    "J5_nearest_codebook",
+    """select vec_id, arg_min(cv, struct_pack(d := d2, i := cv)) code, round(min(d2), 6) d2 from (
+  select e.vec_id, c.vec_id cv,
+         list_sum(list_transform(list_zip(e.embedding, c.embedding), lambda z: pow(cast(z[1] as double) - cast(z[2] as double), 2))) d2
+  from embeddings e, (select * from embeddings where vec_id < 16) c) group by vec_id""",
+)(lambda spark, sf: J.nearest_code(V.embeddings(spark, sf), "vec_id", "embedding", _codebook(spark, sf), "vec_id", "embedding")
+  .select("vec_id", "code", _r6(F.col("d2")).alias("d2")))
+
+register(
+    "J5_vq_losses",
+    """select round(avg(d2 / 64), 6) codebook_loss, round(avg(d2 / 64) * 0.25, 6) commitment_loss, round(avg(d2 / 64) * 1.25, 6) vq_loss from (
+  select vec_id, min(list_sum(list_transform(list_zip(e.embedding, c.embedding), lambda z: pow(cast(z[1] as double) - cast(z[2] as double), 2)))) d2
+  from embeddings e, (select embedding from embeddings where vec_id < 16) c group by vec_id)""",
+)(lambda spark, sf: J.vq_losses(J.nearest_code(V.embeddings(spark, sf), "vec_id", "embedding", _codebook(spark, sf), "vec_id", "embedding"), 64)
+  .select(*[_r6(F.col(c)).alias(c) for c in ["codebook_loss", "commitment_loss", "vq_loss"]]))
+
+register(
+    "J7_keyed_xy_join",
+    with_views("select id, f1, f2, cast(label_type - 1 as bigint) y from v_features", "v_features"),
+)(lambda spark, sf: (lambda f: f.select("id", "f1", "f2").join(f.select("id", S.label_shift("label_type").alias("y")), "id"))(V.v_features(spark, sf)))
+
+register(
+    "J9_S11_coverage_check",
+    """select (select count(*) from (select distinct user_id from events where event_type = 'purchase') t
+           where user_id not in (select user_id from events where value >= 10)) n_missing,
+          (select count(*) from (select distinct user_id from events where value >= 10) p
+           where user_id not in (select user_id from events where event_type = 'purchase')) n_extra""",
+)(lambda spark, sf: J.coverage(
+    V.read_table(spark, sf, "events").where(F.col("value") >= 10).select("user_id").distinct(),
+    V.read_table(spark, sf, "events").where(F.col("event_type") == "purchase").select("user_id").distinct(), "user_id"))
+
+
+# ---------------------------------------------------------------- split family
+
+register(
+    "R3_stratified_kfold",
+    with_views(
+        f"""select sample_id, label_type, cast(floor(((rk + 1) * 5 - 1) / n) as int) fold
+from ({_rank_sql('v_interactions', 'sample_id', 'label_type', 'fold')})""",
+        "v_interactions",
+    ),
+)(lambda spark, sf: R.stratified_kfold(V.v_interactions(spark, sf).select("sample_id", "label_type"), "sample_id", "label_type", 5))
+
+_BLOCK_ROWS = 500
+
+
+def _event_blocks(spark, sf, block_rows=_BLOCK_ROWS):
+    from tessera.sources.tables import read_parquet_dir
+    e = read_parquet_dir(spark, f"{sf}/events.parquet").select("event_id", "_file", "_row")
+    e = e.withColumn("block", F.floor(F.col("_row") / block_rows).cast("bigint"))
+    n_blocks = e.select("block").distinct().count()  # block metadata: one row per block
+    return e, n_blocks
+
+
+def _tail_sql(block_rows: int, valid_ratio: float, train_ratio: float, legacy: bool) -> str:
+    # n_blocks known only at run time: computed in SQL the same way.
+    return f"""with b as (select event_id, event_id // {block_rows} block from events),
+n as (select count(distinct block) nb from b),
+k as (select nb, case when {valid_ratio!r} <= 0 then 0 else greatest(1, cast(floor(nb * {valid_ratio!r}) as bigint)) end nv from n),
+k2 as (select nb, nv, nb - nv nt, case when {train_ratio!r} < 1.0 then greatest(1, cast(floor((nb - nv) * {train_ratio!r}) as bigint)) else nb - nv end keep from k)
+select event_id, block, part from (
+  select event_id, block, case when block >= {'keep' if legacy else 'nt'} then 'valid' when block < keep then 'train' end part from b, k2)
+where part is not null"""
+
+
+def _tail(spark, sf, valid_ratio, train_ratio, legacy, block_rows=_BLOCK_ROWS):
+    e, nb = _event_blocks(spark, sf, block_rows)
+    return R.tail_split(e, "block", nb, valid_ratio, train_ratio, legacy).select("event_id", "block", "part")
+
+
+register("R4_R5_tail_split", _tail_sql(_BLOCK_ROWS, 0.1, 0.5, False))(lambda spark, sf: _tail(spark, sf, 0.1, 0.5, False))
+register("R5_tail_split_legacy", _tail_sql(_BLOCK_ROWS, 0.1, 0.5, True))(lambda spark, sf: _tail(spark, sf, 0.1, 0.5, True))
+register("R6_single_block", _tail_sql(10 ** 9, 0.0001, 1.0, False))(lambda spark, sf: _tail(spark, sf, 0.0001, 1.0, False, 10 ** 9))
+
+register(
+    "R7_shard",
+    f"select event_id, cast((event_id // {_BLOCK_ROWS}) % 4 as int) rank, cast(((event_id // {_BLOCK_ROWS}) // 4) % 2 as int) worker from events",
+)(lambda spark, sf: R.shard(_event_blocks(spark, sf)[0], "block", 4, 2).select("event_id", "rank", "worker"))
+
+register(
+    "R8_windowed_shuffle",
+    f"select event_id, cast((event_id // {_BLOCK_ROWS}) // 4 as bigint) shuffle_window, {hash32_sql(SqlExpr('event_id'), 'shuffle', '42')} shuffle_key from events",
+)(lambda spark, sf: R.windowed_shuffle(_event_blocks(spark, sf)[0], "block", "event_id", 4).select("event_id", "shuffle_window", "shuffle_key"))
+
+register(
+    "R9_batch_ids",
+    f"select event_id, event_id // {_BLOCK_ROWS} block, cast((event_id % {_BLOCK_ROWS}) // 64 as bigint) batch from events",
+)(lambda spark, sf: R.batch_ids(_event_blocks(spark, sf)[0].withColumn("_pos", F.pmod(F.col("_row"), F.lit(_BLOCK_ROWS))), "_pos", 64)
+  .select("event_id", "block", "batch"))
+
+register(
+    "R9_batch_count",
+    f"select cast(sum(ceil(n / 64)) as bigint) n_batches from (select event_id // {_BLOCK_ROWS} b, count(*) n from events group by 1)",
+)(lambda spark, sf: R.batch_count(_event_blocks(spark, sf)[0].groupBy("block").agg(F.count(F.lit(1)).alias("rows")), "rows", 64))
+
+register(
+    "R10_seeded_draws",
+    f"select event_id, {uniform_sql(SqlExpr('event_id'), 'draw', '42')} u42, {uniform_sql(SqlExpr('event_id'), 'draw', '43')} u43 from events",
+)(lambda spark, sf: V.read_table(spark, sf, "events").select(
+    "event_id", RD_uniform(F.col("event_id"), "draw", 42).alias("u42"), RD_uniform(F.col("event_id"), "draw", 43).alias("u43")))
+
+from tessera.functions.rand import uniform as RD_uniform  # noqa: E402
+
+
+# ---------------------------------------------------------------- sources
+
+from tessera.sources import tables as T_  # noqa: E402
+
+register("S1_read_table", "select * from orders")(lambda spark, sf: T_.read_table(spark, sf, "orders"))
+
+register("S2_read_dir_ordered", "select o_orderkey, o_orderkey _row from orders")(
+    lambda spark, sf: T_.read_parquet_dir(spark, f"{sf}/orders.parquet").select("o_orderkey", "_row"))
+
+register(
+    "S3_block_listing",
+    f"select event_id // {_BLOCK_ROWS} block_in_file, count(*) \"rows\" from events group by 1",
+)(lambda spark, sf: T_.blocks(T_.read_parquet_dir(spark, f"{sf}/events.parquet"), _BLOCK_ROWS).select(
+    F.col("block_in_file").cast("bigint").alias("block_in_file"), "rows"))
+
+register(
+    "S4_family_projection",
+    with_views("select sample_id, user_int_feats_1, user_int_feats_3, user_int_feats_15, item_int_feats_5, item_int_feats_11 from v_wide", "v_wide"),
+)(lambda spark, sf: T_.select_family(V.v_wide(spark, sf), ["user_int_feats_", "item_int_feats_"], keep=["sample_id"]))
