@@ -1276,3 +1276,177 @@ register(
     "S4_family_projection",
     with_views("select sample_id, user_int_feats_1, user_int_feats_3, user_int_feats_15, item_int_feats_5, item_int_feats_11 from v_wide", "v_wide"),
 )(lambda spark, sf: T_.select_family(V.v_wide(spark, sf), ["user_int_feats_", "item_int_feats_"], keep=["sample_id"]))
+
+
+# ---------------------------------------------------------------- ML features, fits, scoring (F, I, S5-S10)
+
+from tessera.operators import models as ML  # noqa: E402
+from tessera.sources import sinks as SK  # noqa: E402
+
+
+def _f3_sql() -> str:
+    def mean_int(c):
+        return f"coalesce(cast(list_sum({c}) as double) / nullif(len({c}), 0), 0.0)"
+
+    cols = [
+        "sample_id",
+        "cast(dense_rank() over (order by cast(user_id as varchar)) - 1 as bigint) user_id",
+        "cast(dense_rank() over (order by cast(item_id as varchar)) - 1 as bigint) item_id",
+        "label_type", "label_time",
+        "coalesce(user_int_feats_1, 0) user_int_feats_1", "coalesce(user_int_feats_3, 0) user_int_feats_3",
+        f"{mean_int('user_int_feats_15')} user_int_feats_15_mean",
+        "round(coalesce(list_sum(list_transform(user_dense_feats_61, lambda v: cast(v as double))) / nullif(len(user_dense_feats_61), 0), 0.0), 6) user_dense_feats_61_mean",
+        "coalesce(item_int_feats_5, 0) item_int_feats_5",
+        f"{mean_int('item_int_feats_11')} item_int_feats_11_mean",
+    ]
+    for c in ["domain_a_seq_38", "domain_a_seq_39", "domain_a_seq_40", "domain_b_seq_70", "domain_b_seq_71"]:
+        cols += [f"{D.length(c)} {c}_len", f"{mean_int(c)} {c}_mean", f"cast(coalesce(list_max({c}), 0) as bigint) {c}_max"]
+    cols += ["cast(((label_time % 86400) + 86400) % 86400 // 3600 as int) label_time_hour",
+             "cast((((label_time // 86400) + 3) % 7 + 7) % 7 as int) label_time_dayofweek"]
+    return "select " + ", ".join(cols) + " from v_wide"
+
+
+@register("F3_ml_feature_table", with_views(_f3_sql(), "v_wide"))
+def q_features_ml(spark, sf):
+    f = ML.features_ml(V.v_wide(spark, sf))
+    return f.withColumn("user_dense_feats_61_mean", _r6(F.col("user_dense_feats_61_mean")))
+
+
+def _anova_sql(cols) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"""select '{c}' feature, round(((sum(n * m * m) - sum(n) * pow(sum(n * m) / sum(n), 2)) / (count(*) - 1))
+  / (sum(coalesce((n - 1) * v, 0)) / (sum(n) - count(*))), 6) f_score
+from (select label_type, count({c}) n, avg({c}) m, var_samp({c}) v from v_features group by 1)""")
+    return "\nunion all\n".join(parts)
+
+
+register("F4_anova_f_scores", with_views(_anova_sql(["f1", "f2", "f3", "f4"]), "v_features"))(
+    lambda spark, sf: ML.anova_f(V.v_features(spark, sf), ["f1", "f2", "f3", "f4"], "label_type").withColumn("f_score", _r6(F.col("f_score"))))
+
+
+def _train_frame(spark, sf):
+    f = V.v_features(spark, sf).withColumn("y", S.label_shift("label_type").cast("double"))
+    f = f.fillna(0.0, subset=FEAT_COLS)
+    sp = R.stratified_split(f, "id", "y", 0.2, 0.1, 42)
+    return ML.with_balanced_weight(sp, "y")
+
+
+@register("F4_select_top_k")
+def q_select(spark, sf):
+    tr = _train_frame(spark, sf).where("split = 'train'")
+    chosen = ML.select_top_k(tr, FEAT_COLS, "y", 2)
+    return spark.createDataFrame([(c,) for c in chosen], "feature string")
+
+
+def _fit_lr(spark, sf):
+    d = _train_frame(spark, sf)
+    tr = d.where("split = 'train'")
+    w = tr.agg(F.sum("weight")).first()[0]
+    model = ML.logistic_regression(FEAT_COLS, "y", 1.0, w).fit(tr)
+    return d, model
+
+
+@register("F5_F8_lr_fit_score")
+def q_lr(spark, sf):
+    d, model = _fit_lr(spark, sf)
+    return ML.score(model, d, ["id", "split", "y"])
+
+
+@register("F6_gbt_fit_score")
+def q_gbt(spark, sf):
+    d = _train_frame(spark, sf)
+    model = ML.gbt(FEAT_COLS, "y").fit(d.where("split = 'train'"))
+    return ML.score(model, d, ["id", "split", "y"])
+
+
+@register("F7_gbt_weighted_early_stop")
+def q_lgbm(spark, sf):
+    d = _train_frame(spark, sf).withColumn("is_val", F.col("split") == "val")
+    model = ML.gbt(FEAT_COLS, "y", max_iter=100, depth=5, subsample=1.0, colsample=1.0, weight="weight", validation="is_val").fit(
+        d.where("split in ('train', 'val')"))
+    return ML.score(model, d, ["id", "split", "y"])
+
+
+@register("F9_S9_importance_csv")
+def q_importance(spark, sf):
+    _, model = _fit_lr(spark, sf)
+    imp = ML.importance(model, FEAT_COLS)
+    path = SK.scratch_path(spark, "importance")
+    SK.write_importance_csv(imp, path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+@register("F10_M10_evaluate_by_split")
+def q_evaluate(spark, sf):
+    d, model = _fit_lr(spark, sf)
+    s = ML.score(model, d, ["id", "split", "y"]).withColumn("label", F.col("y").cast("int"))
+    return M.metric_table(s, "split", "label", "prob")
+
+
+@register("F11_kmeans_codebook_assign")
+def q_kmeans(spark, sf):
+    e = V.embeddings(spark, sf)
+    book = ML.kmeans_codebook(e, "embedding", k=16)
+    return J.nearest_code(e, "vec_id", "embedding", book, "code", "center").select("vec_id", "code", _r6(F.col("d2")).alias("d2"))
+
+
+@register("S10_model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    d, model = _fit_lr(spark, sf)
+    path = SK.scratch_path(spark, "lr-model")
+    SK.save_model(model, path)
+    return ML.score(SK.load_model(path), d, ["id", "split"])
+
+
+@register("S5_S6_schema_sidecar_roundtrip")
+def q_sidecar(spark, sf):
+    schema = C.schema_dict(_inferred(spark, sf))
+    path = SK.scratch_path(spark, "schema-json")
+    SK.write_json_sidecar(spark, schema, path)
+    return SK.schema_catalog(SK.read_json_sidecar(spark, path))
+
+
+@register("S8_results_write")
+def q_results(spark, sf):
+    m = M.metric_table(_scored(spark, sf), "split")
+    long = m.select("split", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in ["auc", "logloss", "accuracy"]])))
+    path = SK.scratch_path(spark, "results")
+    SK.write_results(long, path)
+    return spark.read.json(path)
+
+
+_PRED_SQL = "select user_id, arg_max(round(value / (value + 50.0), 3), event_id) prob from events group by 1"
+
+register("S7_predictions_last_wins", _PRED_SQL)(
+    lambda spark, sf: SK.dedupe_predictions(
+        V.read_table(spark, sf, "events").withColumn("prob", F.round(F.col("value") / (F.col("value") + F.lit(50.0)), 3)), "user_id", "prob", "event_id"))
+
+register(
+    "I3_prediction_checks",
+    f"""select (select count(*) from ({_PRED_SQL}) p where prob is null or isnan(prob) or prob < 0 or prob > 1) n_bad_prob,
+  (select count(*) from (select distinct user_id from events) t where user_id not in (select user_id from ({_PRED_SQL}))) n_missing,
+  (select count(*) from ({_PRED_SQL}) p where user_id not in (select user_id from events)) n_extra""",
+)(lambda spark, sf: (lambda p, ids: SK.probability_range_ok(p, "prob").crossJoin(J.coverage(p, ids, "user_id")))(
+    SK.dedupe_predictions(V.read_table(spark, sf, "events").withColumn("prob", F.round(F.col("value") / (F.col("value") + F.lit(50.0)), 3)), "user_id", "prob", "event_id"),
+    V.read_table(spark, sf, "events").select("user_id").distinct()))
+
+register(
+    "I1_inference_encode",
+    with_views(_encode_sql().replace("cast(coalesce(label_type, 0) = 2 as bigint) label", "cast(0 as bigint) label"), "v_wide"),
+)(lambda spark, sf: EN.encode_batch(V.v_wide(spark, sf), ENCODE_SCHEMA, ENCODE_MAX_LENS, is_training=False))
+
+
+@register("I2_score_users")
+def q_score_users(spark, sf):
+    """Score every row with the fitted model and keep (user key, prob)."""
+    d, model = _fit_lr(spark, sf)
+    return ML.score(model, d, ["id"]).select(F.col("id").alias("user_id"), "prob")
+
+
+# ---------------------------------------------------------------- streaming (additions)
+
+from tessera.streaming import stream as ST  # noqa: E402
+
+register("ST_stream_event_counts", "select event_type, count(*) n from events group by 1")(
+    lambda spark, sf: ST.category_counts_stream(spark, sf, "events", "event_type"))
