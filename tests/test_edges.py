@@ -35,7 +35,7 @@ def test_scalar_clean(spark):
 
 
 def test_time_bucket_edges(spark):
-    now = 1_000_000
+    now = 1_700_000_000  # a real Unix time: ts = -1 is then > 1 year old
     rows = [(0, 0), (now + 100, 1), (now, 1), (now - 5, 1), (now - 6, 2), (now - 10**9, 63), (-1, 63)]
     df = spark.createDataFrame([(t,) for t, _ in rows], "ts bigint")
     got = [r[0] for r in df.select(S.time_bucket(F.lit(now), "ts")).collect()]
@@ -61,8 +61,8 @@ def test_domain_encode_length_and_buckets(spark):
     r = df.select(*EN.domain_columns("dom", cfg, 4)).first()
     assert r["dom"] == [[1, 2, 3, 4], [1, 2, 0, 0]]
     assert r["dom_len"] == 4
-    # ts 99 -> dt 1 -> bucket 1; ts 0 -> 0; ts -1 -> huge dt -> 63
-    assert r["dom_time_bucket"] == [1, 1, 0, 63]
+    # ts 99, 98 -> dt 1, 2 -> bucket 1; ts 0 -> 0; ts -1 is not cleaned: dt 101 -> 12 edges below -> 13
+    assert r["dom_time_bucket"] == [1, 1, 0, 13]
 
 
 def test_latest_k_right_aligned(spark):
