@@ -81,7 +81,9 @@ def prefix_sums(df: DataFrame, order_cols, value_cols: Sequence[str], descending
     return out.drop("_p")
 
 
-def exact_quantiles(long_df: DataFrame, key_col: str, value_col: str, qs: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    long_df: DataFrame, key_col: str, value_col: str, qs: Sequence[float], count_col: str | None = None
+) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value_col`` per ``key_col``
     (pandas ``describe`` / DuckDB ``quantile_cont``), without holding any
     group's values in one task:
@@ -92,11 +94,14 @@ def exact_quantiles(long_df: DataFrame, key_col: str, value_col: str, qs: Sequen
        located by a range filter; the few hit rows are interpolated.
     Output: key, q, value (double). Nulls are ignored.
     """
-    vc = (
-        long_df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
-        .groupBy(key_col, F.col(value_col).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    ok = F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))
+    if count_col is None:
+        vc = long_df.where(ok).groupBy(key_col, F.col(value_col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        # pin the (much smaller) value-count table: the passes below then
+        # re-read it instead of recomputing the input
+        vc = materialize(vc)
+    else:  # already one row per (key, value) with its count
+        vc = long_df.where(ok).select(key_col, F.col(value_col).cast("double").alias("_v"), F.col(count_col).alias("_c"))
     cum = prefix_sums(vc, [key_col, "_v"], ["_c"])
     per_key = vc.groupBy(key_col).agg(F.sum("_c").alias("_n"))
     key_off = per_key.select(

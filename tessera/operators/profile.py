@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.operators.ordering import exact_quantiles
+from tessera.session import materialize
 
 
 def _missing(c: str, dtype: str) -> Column:
@@ -120,10 +121,14 @@ def array_length_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), A.length(c).alias("len")) for c in cols])).alias("e")
     ).select("e.*")
-    stats = long.groupBy("column").agg(
-        F.min("len").alias("min_len"), F.max("len").alias("max_len"), F.avg("len").alias("mean_len")
+    # one pass over the table: (column, length) counts, pinned; everything
+    # else (min / max / mean / exact median) reads that small table
+    vc = materialize(long.groupBy("column", "len").agg(F.count(F.lit(1)).alias("k")))
+    stats = vc.groupBy("column").agg(
+        F.min("len").alias("min_len"), F.max("len").alias("max_len"),
+        (F.sum(F.col("len") * F.col("k")) / F.sum("k")).alias("mean_len"),
     )
-    med = exact_quantiles(long, "column", "len", [0.5]).select("column", F.col("value").alias("median_len"))
+    med = exact_quantiles(vc, "column", "len", [0.5], count_col="k").select("column", F.col("value").alias("median_len"))
     return stats.join(med, "column")
 
 

@@ -87,13 +87,21 @@ def v_scored(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def v_features(spark: SparkSession, sf: str) -> DataFrame:
+def v_features(spark: SparkSession, sf: str, with_id: bool = True) -> DataFrame:
     """Scalar features per lineitem row with a dense synthetic id over a full
-    sort key (computed by a distributed range sort, not a one-task window)."""
+    sort key (computed by a distributed range sort, not a one-task window).
+    ``with_id=False`` skips the numbering for column-wise statistics that
+    never read the id."""
     li = read_table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         "l_quantity", "l_discount", "l_tax", "l_returnflag",
     )
+    if not with_id:
+        return li.select(
+            F.col("l_quantity").alias("f1"), F.col("l_extendedprice").alias("f2"),
+            F.when(F.col("l_discount") != 0.0, F.col("l_discount")).alias("f3"), F.col("l_tax").alias("f4"),
+            F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("label_type"),
+        )
     numbered = global_row_number(
         li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "id"
     )

@@ -527,7 +527,7 @@ def _describe_sql() -> str:
 
 @register("G2_describe", with_views(_describe_sql(), "v_features"))
 def q_describe(spark, sf):
-    d = G.describe(V.v_features(spark, sf), FEAT_COLS)
+    d = G.describe(V.v_features(spark, sf, with_id=False), FEAT_COLS)
     return d.select("column", "count", *[_r6(F.col(c)).alias(c) for c in ["mean", "std", "min", "max", "p25", "p50", "p75"]])
 
 
@@ -564,7 +564,7 @@ from (select cast(least(floor((f2 - lo) / (hi - lo) * 30), 29) as int) bin, lo,
       from v_features, (select min(f2) lo, max(f2) hi from v_features) r where f2 is not null) group by 1""",
         "v_features",
     ),
-)(lambda spark, sf: G.histogram(V.v_features(spark, sf), "f2", 30).withColumn("edge_lo", _r6(F.col("edge_lo"))))
+)(lambda spark, sf: G.histogram(V.v_features(spark, sf, with_id=False), "f2", 30).withColumn("edge_lo", _r6(F.col("edge_lo"))))
 
 LEN_COLS = ["user_int_feats_15", "item_int_feats_11", "domain_a_seq_38", "domain_a_seq_39", "domain_b_seq_70"]
 
@@ -662,7 +662,7 @@ register(
         ),
         "v_features",
     ),
-)(lambda spark, sf: G.feature_std(V.v_features(spark, sf), FEAT_COLS).withColumn("std", _r6(F.col("std"))))
+)(lambda spark, sf: G.feature_std(V.v_features(spark, sf, with_id=False), FEAT_COLS).withColumn("std", _r6(F.col("std"))))
 
 register(
     "G18_grouped_mean_std",
@@ -864,7 +864,7 @@ register(
   union all select 'f3', stddev_samp(f3) from v_features union all select 'f4', stddev_samp(f4) from v_features)""",
         "v_features",
     ),
-)(lambda spark, sf: W.rank_rows(G.feature_std(V.v_features(spark, sf), FEAT_COLS).drop("skip"), "std", 20, ["column"])
+)(lambda spark, sf: W.rank_rows(G.feature_std(V.v_features(spark, sf, with_id=False), FEAT_COLS).drop("skip"), "std", 20, ["column"])
   .select("column", _r6(F.col("std")).alias("std"), "rank"))
 
 register(
@@ -1322,7 +1322,7 @@ from (select label_type, count({c}) n, avg({c}) m, var_samp({c}) v from v_featur
 
 
 register("F4_anova_f_scores", with_views(_anova_sql(["f1", "f2", "f3", "f4"]), "v_features"))(
-    lambda spark, sf: ML.anova_f(V.v_features(spark, sf), ["f1", "f2", "f3", "f4"], "label_type").withColumn("f_score", _r6(F.col("f_score"))))
+    lambda spark, sf: ML.anova_f(V.v_features(spark, sf, with_id=False), ["f1", "f2", "f3", "f4"], "label_type").withColumn("f_score", _r6(F.col("f_score"))))
 
 
 def _train_frame(spark, sf):
