@@ -1450,3 +1450,18 @@ from tessera.streaming import stream as ST  # noqa: E402
 
 register("ST_stream_event_counts", "select event_type, count(*) n from events group by 1")(
     lambda spark, sf: ST.category_counts_stream(spark, sf, "events", "event_type"))
+
+
+# ---------------------------------------------------------------- union
+
+register(
+    "U1_union_all",
+    with_views(
+        """select id, f1, 0 copy from v_features
+union all
+select id, round(f1 * 2.0, 6), 1 from v_features""",
+        "v_features",
+    ),
+)(lambda spark, sf: (lambda f: W.union_all([f.select("id", "f1", F.lit(0).alias("copy")),
+                                            f.select("id", _r6(F.col("f1") * 2.0).alias("f1"), F.lit(1).alias("copy"))]))(
+    V.v_features(spark, sf)))
