@@ -31,6 +31,7 @@ HEADLINE = [
     "J5_nearest_codebook",    # nearest codebook
     "A16_embedding_bag",
     "F3_ml_feature_table",
+    "N12_smote",              # oversampling (exact kNN inside)
 ]
 
 

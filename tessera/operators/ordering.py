@@ -32,15 +32,15 @@ def _offsets(totals: DataFrame, part_col: str, value_cols: Sequence[str]) -> Dat
 def global_row_number(df: DataFrame, order_cols: Sequence[str | Column], name: str = "rn") -> DataFrame:
     """1-based row number over a total order, computed without a single-task
     window. ``order_cols`` must be a unique key (ties are ordered arbitrarily)."""
-    s = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    s = materialize(s.withColumn("_p", F.shiftright("_mid", _POS_BITS)))
-    totals = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offs = _offsets(totals, "_p", ["_n"])
-    pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
+    s = df.orderBy(*order_cols).withColumn("__mid", F.monotonically_increasing_id())
+    s = materialize(s.withColumn("__part", F.shiftright("__mid", _POS_BITS)))
+    totals = s.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offs = _offsets(totals, "__part", ["__n"])
+    pos = F.col("__mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
     return (
-        s.join(F.broadcast(offs), "_p")
-        .withColumn(name, (F.col("_off__n") + pos + 1).cast("bigint"))
-        .drop("_mid", "_p", "_off__n")
+        s.join(F.broadcast(offs), "__part")
+        .withColumn(name, (F.col("_off___n") + pos + 1).cast("bigint"))
+        .drop("__mid", "__part", "_off___n")
     )
 
 

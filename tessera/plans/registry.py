@@ -1465,3 +1465,29 @@ select id, round(f1 * 2.0, 6), 1 from v_features""",
 )(lambda spark, sf: (lambda f: W.union_all([f.select("id", "f1", F.lit(0).alias("copy")),
                                             f.select("id", _r6(F.col("f1") * 2.0).alias("f1"), F.lit(1).alias("copy"))]))(
     V.v_features(spark, sf)))
+
+
+# ---------------------------------------------------------------- exact kNN (J6) and SMOTE
+# No DuckDB oracle: the brute-force SQL is an all-pairs join over the minority
+# class (400M pairs at sf0.01). tests/test_knn.py checks both against brute
+# force on the sf0.001 tables instead.
+
+from tessera.operators import knn as KN  # noqa: E402
+
+
+def _minority_features(spark, sf):
+    f = V.v_features(spark, sf).fillna(0.0, subset=FEAT_COLS)
+    return f.withColumn("y", S.label_shift("label_type"))
+
+
+@register("J6_knn_minority")
+def q_knn(spark, sf):
+    m = _minority_features(spark, sf).where("y = 1")
+    nn = KN.knn_self_join(m, "id", FEAT_COLS, k=5)
+    return nn.select("id", F.transform("nbrs", lambda x: x["id"]).alias("nbr_ids"), _r6(F.col("nbrs")[4]["d"]).alias("d_k"))
+
+
+@register("N12_smote")
+def q_smote(spark, sf):
+    f = _minority_features(spark, sf).select("id", *FEAT_COLS, "y")
+    return KN.smote(f, "id", FEAT_COLS, "y", minority=1, ratio=1.0, k=5)
