@@ -43,7 +43,9 @@ def _dist(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def knn_self_join(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, m0: int = 16) -> DataFrame:
+def knn_self_join(
+    df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, m0: int = 16, trace: list | None = None
+) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, excluding the point itself;
     ties broken by id) -> (id, nbrs array<struct<d: double, id>>)."""
     pts = df.select(F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
@@ -75,11 +77,14 @@ def knn_self_join(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, m
         good = g.where("_ok").select(F.col("_id").alias(id_col), "nbrs")
         done = good if done is None else done.unionByName(good)
         pending = g.where(~F.col("_ok")).select("_id", "_r", "_proj", "_x")
-        if pending.count() == 0 or 2 * w >= n:
-            if pending.count():  # window now spans the table: last round is exact
-                m = n
-                continue
+        left = pending.count()
+        if trace is not None:
+            trace.append((m, left))
+        if left == 0:
             break
+        if 2 * w >= n:  # next window spans the table: that round is exact
+            m = n
+            continue
         m *= 4
     return done
 
