@@ -9,6 +9,7 @@ over hash buckets of uniform size.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -171,11 +172,26 @@ def batch_dense_augment(
 
 # ---------------------------------------------------------------- pairing (J3) and mixing
 
-def pair_partners(df: DataFrame, key_col: str, cols: Sequence[str], by: Sequence[str] = (), seed: int = 42, bits: int = 10) -> DataFrame:
+PAIR_BUCKET_ROWS = 1 << 20
+
+
+def pair_bits(n_rows: int, floor_bits: int = 10) -> int:
+    """Hash bits for pairing buckets: at least 2^10 buckets, and enough that a
+    bucket (one window partition) holds about 1M rows or fewer."""
+    need = math.ceil(math.log2(n_rows / PAIR_BUCKET_ROWS)) if n_rows > PAIR_BUCKET_ROWS else 0
+    return min(32, max(floor_bits, need))
+
+
+def pair_partners(
+    df: DataFrame, key_col: str, cols: Sequence[str], by: Sequence[str] = (), seed: int = 42, bits: int | None = None
+) -> DataFrame:
     """Pair every row with a shuffled partner: rows are ordered by a seeded
     hash inside (by..., hash bucket) and each row takes the next row's
     ``cols`` (the last wraps to the first). Buckets are hash-uniform, so no
-    window partition grows with key skew; output is one partner per row."""
+    window partition grows with key skew, and the bucket count grows with
+    the row count; output is one partner per row."""
+    if bits is None:
+        bits = pair_bits(df.count())
     h = RD.hash32(F.col(key_col), "pair", seed)
     d = df.withColumn("_h", h).withColumn("_b", F.shiftright(h, 32 - bits))
     w = Window.partitionBy(*by, "_b").orderBy("_h", key_col)

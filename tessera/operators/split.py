@@ -20,16 +20,19 @@ which is what the DuckDB oracle runs.
 
 from __future__ import annotations
 
+import math
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import hash32
-from tessera.session import checked_broadcast
+from tessera.session import checked_broadcast, materialize
 
 DEFAULT_SEED = 42
 DEFAULT_BITS = 16
+# A bucket that straddles a cut point is ranked inside one task: keep it small.
+MAX_BUCKET_ROWS = 1 << 22
 
 
 def _cut(n: Column, frac: float) -> Column:
@@ -52,8 +55,15 @@ def rank_assign(
     ``assign`` must be monotone non-decreasing in rank."""
     cls = F.col(class_col) if class_col else F.lit(0)
     d = df.withColumn("_cls", cls).withColumn("_h", hash32(F.col(id_col), salt, seed))
-    d = d.withColumn("_b", F.shiftright("_h", 32 - bits))
-    hist = d.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    while True:
+        # histogram over (class, top ``bits`` of h); refined with more bits if
+        # any bucket is too large to rank in one task (only on huge inputs)
+        d = d.withColumn("_b", F.shiftright("_h", 32 - bits))
+        hist = materialize(d.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_cnt")))
+        biggest = hist.agg(F.max("_cnt")).first()[0] or 0
+        if biggest <= MAX_BUCKET_ROWS or bits >= 32:
+            break
+        bits = min(32, bits + max(1, math.ceil(math.log2(biggest / MAX_BUCKET_ROWS))))
     run = Window.partitionBy("_cls").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.select(
         "_cls", "_b", "_cnt",

@@ -72,3 +72,18 @@ def test_augmented_dataset_copies(spark):
     d = N.augmented_dataset(f, ["f1", "f2"], [], [], "id", factor=3)
     assert d.count() == 3 * f.count()
     assert d.where("copy = 0").select("id").distinct().count() == f.count()
+
+
+def test_split_histogram_refinement_keeps_result(spark, monkeypatch):
+    v = V.v_interactions(spark, SF)
+    a = {(r.sample_id, r.split) for r in R.stratified_split(v, "sample_id", "label_type", bits=16).collect()}
+    monkeypatch.setattr(R, "MAX_BUCKET_ROWS", 40)  # force the extra-bits pass
+    b = {(r.sample_id, r.split) for r in R.stratified_split(v, "sample_id", "label_type", bits=1).collect()}
+    assert a == b
+
+
+def test_pair_partners_bits_do_not_drop_rows(spark):
+    f = V.v_features(spark, SF).select("id", "f2")
+    for bits in (2, 10):
+        p = N.pair_partners(f, "id", ["f2"], bits=bits)
+        assert p.count() == f.count() and p.where("f2_partner is null").count() == 0
