@@ -188,3 +188,22 @@ def split_comparison(metrics_by_split: DataFrame, key: str = "model") -> DataFra
         key, F.col("train").alias("auc_train"), F.col("val").alias("auc_val"), F.col("test").alias("auc_test"),
         (F.col("train") - F.col("test")).alias("auc_gap"),
     )
+
+
+_KNOWN = ("auc", "logloss", "accuracy", "precision", "recall", "f1")
+
+
+def calculate_metrics(df: DataFrame, group: str, names=("auc", "logloss", "accuracy"), label: str = "label",
+                      score: str = "prob", t: float = 0.5) -> DataFrame:
+    """M3 entry point: the requested metrics per group; unknown names are
+    ignored, undefined values come back as NaN (AUC) or 0 (ratios)."""
+    want = [n for n in names if n in _KNOWN]
+    out = df.select(group).distinct()
+    if "auc" in want:
+        out = out.join(auc(df, group, label, score), group, "left")
+    if "logloss" in want:
+        out = out.join(logloss(df, group, label, score), group, "left")
+    rest = [n for n in want if n in ("accuracy", "precision", "recall", "f1")]
+    if rest:
+        out = out.join(threshold_metrics(df, group, label, score, t).select(group, *rest), group, "left")
+    return out.select(group, *want)

@@ -103,3 +103,10 @@ def test_array_pool_null_and_empty(spark):
     df = spark.createDataFrame([(None,), ([],), ([1, 2, 6],)], "x array<bigint>")
     r = df.select(A.pool_mean("x", True), A.pool_max("x"), A.pool_min("x"), A.pool_sum("x"), A.length("x")).collect()
     assert [tuple(x) for x in r] == [(0.0, 0, 0, 0, 0), (0.0, 0, 0, 0, 0), (3.0, 6, 1, 9, 3)]
+
+
+def test_calculate_metrics_ignores_unknown(spark):
+    df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.2), ("a", 1, 0.4)], "g string, label int, prob double")
+    r = M.calculate_metrics(df, "g", ["auc", "bogus", "f1"]).first()
+    assert r.asDict().keys() == {"g", "auc", "f1"}
+    assert r.auc == 1.0 and abs(r.f1 - 2 / 3) < 1e-12
