@@ -193,14 +193,25 @@ def v_wide(spark: SparkSession, sf: str) -> DataFrame:
     """The reference's wide layout rebuilt from driver tables: id/label block,
     scalar and multi-hot int features, a dense vector and two behaviour
     sequence domains, named by family prefix + feature id."""
-    vi = v_interactions(spark, sf)
+    # One lineitem aggregation feeds both the basket arrays and item_id
+    # (min partkey of the order = min of its basket), so lineitem is scanned
+    # and shuffled once; the inner join keeps exactly v_interactions' rows.
     vb = v_basket(spark, sf)
+    o = read_table(spark, sf, "orders")
+    vi = o.join(vb, o.o_orderkey == vb.l_orderkey).select(
+        F.col("o_orderkey").alias("sample_id"),
+        F.col("o_custkey").alias("user_id"),
+        F.array_min("items").alias("item_id"),
+        F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("label_type"),
+        _epoch("o_orderdate").alias("label_time"),
+        (_epoch("o_orderdate") - F.pmod(F.col("o_orderkey"), F.lit(900))).alias("ts_now"),
+        "items", "qty",
+    )
     us = v_user_seq(spark, sf)
     cust = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     part = read_table(spark, sf, "part").select("p_partkey", "p_size")
     d = (
-        vi.join(vb, vi.sample_id == vb.l_orderkey, "left")
-        .join(cust, vi.user_id == cust.c_custkey, "left")
+        vi.join(cust, vi.user_id == cust.c_custkey, "left")
         .join(part, vi.item_id == part.p_partkey, "left")
         .join(us.withColumnRenamed("ts_now", "seq_now"), "user_id", "left")
     )
