@@ -210,10 +210,12 @@ def v_wide(spark: SparkSession, sf: str) -> DataFrame:
     us = v_user_seq(spark, sf)
     cust = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     part = read_table(spark, sf, "part").select("p_partkey", "p_size")
+    # the two user-keyed joins run back to back so, at scale, they share one
+    # exchange of the wide side on user_id; the item join follows
     d = (
         vi.join(cust, vi.user_id == cust.c_custkey, "left")
-        .join(part, vi.item_id == part.p_partkey, "left")
         .join(us.withColumnRenamed("ts_now", "seq_now"), "user_id", "left")
+        .join(part, vi.item_id == part.p_partkey, "left")
     )
     return d.select(
         "sample_id", "user_id", "item_id", "label_type", "label_time",
