@@ -1491,3 +1491,9 @@ def q_knn(spark, sf):
 def q_smote(spark, sf):
     f = _minority_features(spark, sf).select("id", *FEAT_COLS, "y")
     return KN.smote(f, "id", FEAT_COLS, "y", minority=1, ratio=1.0, k=5)
+
+register(
+    "ST_stream_vector_chunks",
+    ORACLE["A17_vector_chunks"],
+)(lambda spark, sf: ST.stream_transform_to_parquet(
+    spark, sf, "embeddings", lambda b: b.select("vec_id", A.chunks("embedding", 5, 64).alias("chunks"))))

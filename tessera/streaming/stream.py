@@ -49,3 +49,14 @@ def encode_stream_to(spark: SparkSession, source: DataFrame, encode, path: str):
         .option("checkpointLocation", scratch_path(spark, "encode-ckpt"))
         .trigger(availableNow=True).start()
     )
+
+
+def stream_transform_to_parquet(spark: SparkSession, directory: str, table: str, transform) -> DataFrame:
+    """File stream over ``<directory>/<table>.parquet`` -> ``transform`` per
+    micro-batch (map-only) -> Parquet under the shared checkpoint folder, run
+    to completion (availableNow); returns the written table."""
+    schema = spark.read.parquet(f"{directory}/{table}.parquet").schema
+    out = scratch_path(spark, f"stream-{table}")
+    q = encode_stream_to(spark, parquet_stream(spark, directory, f"{table}.parquet", schema), transform, out)
+    q.awaitTermination()
+    return spark.read.parquet(out)
