@@ -1140,13 +1140,6 @@ def q_bag(spark, sf):
     return out.withColumn("bag", F.transform("bag", lambda x: F.round(x, 6)))
 
 
-_CODE_SQL = """select e.vec_id, arg_min(c.vec_id, struct_pack(d := d2, i := c.vec_id)) code, round(min(d2), 6) d2 from (
-  select e.vec_id, c.vec_id cv, list_sum(list_transform(list_zip(e.embedding, c.embedding), lambda z: pow(cast(z[1] as double) - cast(z[2] as double), 2))) d2
-  from embeddings e, (select * from embeddings where vec_id < 16) c) x
-  join embeddings e on e.vec_id = x.vec_id join (select * from embeddings where vec_id < 16) c on c.vec_id = x.cv
-group by e.vec_id"""
-
-
 def _codebook(spark, sf):
     e = V.embeddings(spark, sf)
     return e.where(F.col("vec_id") < 16)

@@ -87,3 +87,18 @@ def test_pair_partners_bits_do_not_drop_rows(spark):
     for bits in (2, 10):
         p = N.pair_partners(f, "id", ["f2"], bits=bits)
         assert p.count() == f.count() and p.where("f2_partner is null").count() == 0
+
+
+def test_augmentation_partition_independent(spark):
+    from tessera.plans import registry as REG
+
+    w = V.v_wide(spark, SF).select("sample_id", *REG.AUG_SCALARS, *REG.AUG_ARRAYS, *REG.AUG_SEQS)
+
+    def run(d):
+        # the noise scale is a sample std (a float sum whose order follows the
+        # partitioning), so compare the noisy scalars to 9 places
+        out = N.aggressive(d, REG.AUG_SCALARS, REG.AUG_ARRAYS, REG.AUG_SEQS, "sample_id")
+        out = out.withColumns({c: F.round(F.col(c), 9) for c in REG.AUG_SCALARS})
+        return {tuple(map(str, r)) for r in out.collect()}
+
+    assert run(w.repartition(1)) == run(w.repartition(7))
