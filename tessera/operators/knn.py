@@ -23,8 +23,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.rand import hash32, uniform
+from tessera.functions.rand import uniform
 from tessera.operators.ordering import global_row_number
+from tessera.operators.split import rank_assign
 from tessera.session import materialize
 
 INF = float("inf")
@@ -106,9 +107,11 @@ def smote(
     if n_syn <= 0 or n_min < 2:
         return orig
     nn = knn_self_join(mino, id_col, cols, k)
-    order = global_row_number(mino.select(id_col).withColumn("_h", hash32(F.col(id_col), "smote", seed)), ["_h", id_col], "_q")
     base, extra = divmod(n_syn, n_min)
-    reps = F.lit(base) + F.when(F.col("_q") - 1 < extra, 1).otherwise(0)
+    # the first ``extra`` points in a seeded hash order get one more sample:
+    # exact ranks from the bucketed histogram, no global sort
+    order = rank_assign(mino.select(id_col), id_col, None, lambda r, n: (r < extra).cast("int"), "_plus", "smote", seed)
+    reps = F.lit(base) + F.col("_plus")
     syn = order.select(id_col, reps.alias("_reps")).where("_reps > 0").join(nn, id_col)
     syn = syn.select(id_col, "nbrs", F.explode(F.sequence(F.lit(0), F.col("_reps") - 1)).alias("t"))
     pick = F.floor(uniform(F.col(id_col), "smote:nn", seed, F.col("t")) * F.size("nbrs")).cast("int")

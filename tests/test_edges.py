@@ -110,3 +110,29 @@ def test_calculate_metrics_ignores_unknown(spark):
     r = M.calculate_metrics(df, "g", ["auc", "bogus", "f1"]).first()
     assert r.asDict().keys() == {"g", "auc", "f1"}
     assert r.auc == 1.0 and abs(r.f1 - 2 / 3) < 1e-12
+
+
+def _tracker(values, patience, min_delta):
+    """Plain-Python replay of an early-stopping tracker (mode max)."""
+    best, best_step, counter = None, None, 0
+    for step, v in values:
+        if best is None or v > best + min_delta:
+            best, best_step, counter = v, step, 0
+        else:
+            counter += 1
+            if counter >= patience:
+                return best, best_step, step
+    return best, best_step, None
+
+
+def test_early_stopping_matches_replay(spark):
+    from tessera.plans import fixtures as V
+
+    runs = V.v_runs(spark, "/root/testdata/sf0.001")
+    hist = {}
+    for r in runs.collect():
+        hist.setdefault(r.run_id, []).append((r.step, r.val_auc))
+    for patience, delta in [(3, 0.0), (2, 0.001), (5, 0.0005)]:
+        got = {r.run_id: (r.best_value, r.best_step, r.stop_step) for r in W.early_stopping(runs, "run_id", "step", "val_auc", patience, delta).collect()}
+        for run, vals in hist.items():
+            assert got[run] == _tracker(sorted(vals), patience, delta)
