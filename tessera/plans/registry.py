@@ -1490,3 +1490,44 @@ register(
     ORACLE["A17_vector_chunks"],
 )(lambda spark, sf: ST.stream_transform_to_parquet(
     spark, sf, "embeddings", lambda b: b.select("vec_id", A.chunks("embedding", 5, 64).alias("chunks"))))
+
+
+# ---------------------------------------------------------------- oracles for metadata / sidecar / results queries
+
+ORACLE["C1_catalog"] = with_views(
+    r"""select "column", family, fid, is_array, domain, ordinal from (
+  select column_name "column",
+    case when regexp_matches(column_name, '^user_int_feats_\d+$') then case when column_type like '%[]' then 'user_int_array' else 'user_int_scalar' end
+         when regexp_matches(column_name, '^item_int_feats_\d+$') then case when column_type like '%[]' then 'item_int_array' else 'item_int_scalar' end
+         when regexp_matches(column_name, '^user_dense_feats_\d+$') then 'user_dense'
+         when regexp_matches(column_name, '^domain_[a-z]_seq_\d+$') then 'domain_' || regexp_extract(column_name, '^domain_([a-z])_', 1)
+         when column_name in ('user_id', 'item_id', 'label_type', 'label_time', 'timestamp') then 'id_label' end family,
+    case when regexp_matches(column_name, '_\d+$') and column_name not in ('user_id', 'item_id', 'label_type', 'label_time', 'timestamp')
+         then cast(regexp_extract(column_name, '(\d+)$', 1) as int) else -1 end fid,
+    column_type like '%[]' is_array,
+    case when regexp_matches(column_name, '^domain_[a-z]_seq_\d+$') then 'seq_' || regexp_extract(column_name, '^domain_([a-z])_', 1) end domain,
+    cast(row_number() over () - 1 as int) ordinal
+  from (describe v_wide)) where family is not null""",
+    "v_wide",
+)
+
+ORACLE["S5_S6_schema_sidecar_roundtrip"] = with_views(
+    f""", {INFER_SQL}
+select kind, cast(fid as bigint) fid, vocab, dim from inferred where kind in ('user_int', 'item_int')
+union all
+select kind, cast(fid as bigint), cast(null as bigint), dim from inferred where kind = 'user_dense'""",
+    "v_wide",
+)
+
+ORACLE["S8_results_write"] = with_views(
+    f""", {_AUC_SQL.strip()},
+ll as (select split, avg({_LL_SQL}) logloss, avg(case when (prob >= 0.5) = (label = 1) then 1.0 else 0.0 end) accuracy
+       from v_scored group by 1)
+select split, metric, round(value, 6) value from (
+  select split, 'auc' metric, auc value from auc
+  union all select split, 'logloss', logloss from ll
+  union all select split, 'accuracy', accuracy from ll)""",
+    "v_scored",
+)
+_q_results_raw = QUERIES["S8_results_write"]
+QUERIES["S8_results_write"] = lambda spark, sf: _q_results_raw(spark, sf).withColumn("value", _r6(F.col("value")))
