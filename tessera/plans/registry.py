@@ -1531,3 +1531,26 @@ select split, metric, round(value, 6) value from (
 )
 _q_results_raw = QUERIES["S8_results_write"]
 QUERIES["S8_results_write"] = lambda spark, sf: _q_results_raw(spark, sf).withColumn("value", _r6(F.col("value")))
+
+
+def _train_sql() -> str:
+    src = "(select id, coalesce(f1, 0.0) f1, coalesce(f2, 0.0) f2, coalesce(f3, 0.0) f3, coalesce(f4, 0.0) f4, cast(label_type - 1 as double) y from v_features)"
+    return f"""tr as (select * from (
+  select *, cast(floor(n*0.2+0.5) as bigint) nt from ({_rank_sql(src, 'id', 'y', 'split')})) s
+  where rk >= nt + cast(floor((n - nt)*{0.1 / 0.8!r}+0.5) as bigint))"""
+
+
+def _anova_train_sql(cols) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"""select '{c}' feature, ((sum(n * m * m) - sum(n) * pow(sum(n * m) / sum(n), 2)) / (count(*) - 1))
+  / (sum(coalesce((n - 1) * v, 0)) / (sum(n) - count(*))) f_score
+from (select y, count({c}) n, avg({c}) m, var_samp({c}) v from tr group by 1)""")
+    return "\nunion all\n".join(parts)
+
+
+ORACLE["F4_select_top_k"] = with_views(
+    f""", {_train_sql()}
+select feature from ({_anova_train_sql(FEAT_COLS)}) order by f_score desc limit 2""",
+    "v_features",
+)
