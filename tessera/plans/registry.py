@@ -1554,3 +1554,38 @@ ORACLE["F4_select_top_k"] = with_views(
 select feature from ({_anova_train_sql(FEAT_COLS)}) order by f_score desc limit 2""",
     "v_features",
 )
+
+
+# exact kNN / SMOTE oracles: brute force over all minority pairs with DuckDB's
+# top-n min_by (about 6 s at sf0.01)
+_KNN_CTES = """
+f as (select id, coalesce(f1, 0.0) f1, coalesce(f2, 0.0) f2, coalesce(f3, 0.0) f3, coalesce(f4, 0.0) f4,
+             cast(label_type - 1 as bigint) y from v_features),
+m as (select * from f where y = 1),
+nn as (select a.id, min_by(struct_pack(d := sqrt((a.f1-b.f1)*(a.f1-b.f1) + (a.f2-b.f2)*(a.f2-b.f2) + (a.f3-b.f3)*(a.f3-b.f3) + (a.f4-b.f4)*(a.f4-b.f4)), n := b.id),
+                               struct_pack(d := sqrt((a.f1-b.f1)*(a.f1-b.f1) + (a.f2-b.f2)*(a.f2-b.f2) + (a.f3-b.f3)*(a.f3-b.f3) + (a.f4-b.f4)*(a.f4-b.f4)), n := b.id), 5) nbrs
+       from m a, m b where a.id <> b.id group by a.id)"""
+
+ORACLE["J6_knn_minority"] = with_views(
+    f""", {_KNN_CTES.strip()}
+select id, list_transform(nbrs, lambda s: s.n) nbr_ids, round(nbrs[5].d, 6) d_k from nn""",
+    "v_features",
+)
+
+ORACLE["N12_smote"] = with_views(
+    f""", {_KNN_CTES.strip()},
+cnt as (select count(*) filter (where y = 1) n_min, count(*) filter (where y <> 1) n_maj from f),
+ord as (select id, row_number() over (order by h, id) - 1 q from (select id, {hash32_sql(SqlExpr('id'), 'smote', '42')} h from m)),
+reps as (select ord.id, (n_maj - n_min) // n_min + case when q < (n_maj - n_min) % n_min then 1 else 0 end r from ord, cnt),
+syn as (select id, unnest(range(0, r)) t from reps where r > 0),
+pick as (select syn.id, syn.t,
+                nn.nbrs[cast(floor({uniform_sql(SqlExpr('syn.id'), 'smote:nn', '42', SqlExpr('syn.t'))} * len(nn.nbrs)) as int) + 1].n nb,
+                {uniform_sql(SqlExpr('syn.id'), 'smote:gap', '42', SqlExpr('syn.t'))} gap
+         from syn join nn on syn.id = nn.id)
+select id, f1, f2, f3, f4, y, false synthetic, cast(null as int) t from f
+union all
+select p.id, x.f1 + p.gap * (b.f1 - x.f1), x.f2 + p.gap * (b.f2 - x.f2), x.f3 + p.gap * (b.f3 - x.f3), x.f4 + p.gap * (b.f4 - x.f4),
+       cast(1 as bigint), true, cast(p.t as int)
+from pick p join m x on x.id = p.id join m b on b.id = p.nb""",
+    "v_features",
+)
