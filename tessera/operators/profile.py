@@ -90,7 +90,10 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count per value (nulls excluded) and share of non-null rows."""
     g = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    # the total is a one-row aggregate attached by broadcast: no global window
+    # over a possibly high-cardinality count table
+    total = g.agg(F.sum("n").alias("_total"))
+    return g.crossJoin(F.broadcast(total)).select(col, "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def time_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = (
@@ -39,17 +39,15 @@ def blocks(df_with_meta: DataFrame, block_rows: int) -> DataFrame:
 
 
 def with_block_ordinal(df_with_meta: DataFrame, block_rows: int) -> DataFrame:
-    """Dense global block ordinal in (file name, block) order. The ordinal
-    table has one row per block (bounded by data size / block_rows) and is
-    joined back by broadcast."""
-    blk = blocks(df_with_meta, block_rows)
-    ordn = blk.select(
-        "_file", "block_in_file", "rows",
-        (F.dense_rank().over(Window.orderBy("_file", "block_in_file")) - 1)
-        .cast("bigint").alias("block"),
-    )
+    """Dense global block ordinal in (file name, block) order. The block table
+    has one row per block; it is numbered by a distributed range sort and
+    joined back on (file, block)."""
+    from tessera.operators.ordering import global_row_number
+
+    blk = blocks(df_with_meta, block_rows).select("_file", "block_in_file")
+    ordn = global_row_number(blk, ["_file", "block_in_file"], "block").withColumn("block", F.col("block") - 1)
     return df_with_meta.withColumn("block_in_file", F.floor(F.col("_row") / block_rows)).join(
-        F.broadcast(ordn.drop("rows")), ["_file", "block_in_file"]
+        ordn, ["_file", "block_in_file"]
     )
 
 

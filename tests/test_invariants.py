@@ -102,3 +102,12 @@ def test_augmentation_partition_independent(spark):
         return {tuple(map(str, r)) for r in out.collect()}
 
     assert run(w.repartition(1)) == run(w.repartition(7))
+
+
+def test_block_ordinal_dense(spark):
+    from tessera.sources import tables as T
+
+    d = T.with_block_ordinal(T.read_parquet_dir(spark, f"{SF}/events.parquet"), 100)
+    got = sorted({(r.block_in_file, r.block) for r in d.select("block_in_file", "block").collect()})
+    assert [b for _, b in got] == list(range(len(got)))
+    assert all(int(a) == b for a, b in got)
