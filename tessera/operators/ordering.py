@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from tessera.session import materialize
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_index << 33 | position
+# Largest per-key table a single window task may sort (checked before use).
+WINDOW_ROWS_MAX = 2_000_000
 
 
 def _offsets(totals: DataFrame, part_col: str, value_cols: Sequence[str]) -> DataFrame:
@@ -102,11 +104,21 @@ def exact_quantiles(
         vc = materialize(vc)
     else:  # already one row per (key, value) with its count
         vc = long_df.where(ok).select(key_col, F.col(value_col).cast("double").alias("_v"), F.col(count_col).alias("_c"))
-    cum = prefix_sums(vc, [key_col, "_v"], ["_c"])
-    per_key = vc.groupBy(key_col).agg(F.sum("_c").alias("_n"))
+    per_key = materialize(vc.groupBy(key_col).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_distinct")))
+    widest = per_key.agg(F.max("_distinct")).first()[0] or 0
+    if widest <= WINDOW_ROWS_MAX:
+        # checked fast path: every key has few distinct values, so a per-key
+        # running sum is a bounded window (at most WINDOW_ROWS_MAX rows a task)
+        run = Window.partitionBy(key_col).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        cum = vc.withColumn("cum__c", F.sum("_c").over(run))
+        key_zero = True
+    else:
+        cum = prefix_sums(vc, [key_col, "_v"], ["_c"])
+        key_zero = False
     key_off = per_key.select(
         key_col, "_n",
-        F.coalesce(F.sum("_n").over(Window.orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_koff"),
+        (F.lit(0).cast("bigint") if key_zero else
+         F.coalesce(F.sum("_n").over(Window.orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_koff"),
     )
     qdf = long_df.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
     targets = key_off.crossJoin(F.broadcast(qdf)).select(

@@ -1,5 +1,6 @@
 """Split / fold / shard / augmentation invariants and partition independence."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import augment as N
@@ -111,3 +112,20 @@ def test_block_ordinal_dense(spark):
     got = sorted({(r.block_in_file, r.block) for r in d.select("block_in_file", "block").collect()})
     assert [b for _, b in got] == list(range(len(got)))
     assert all(int(a) == b for a, b in got)
+
+
+@pytest.mark.parametrize("window_max", [0, 2_000_000])
+def test_exact_quantiles_both_paths_match_numpy(spark, monkeypatch, window_max):
+    import numpy as np
+
+    from tessera.operators import ordering as O
+
+    monkeypatch.setattr(O, "WINDOW_ROWS_MAX", window_max)  # 0 forces the range-sort path
+    f = V.v_features(spark, SF, with_id=False)
+    long = f.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in ["f1", "f2", "f3"]])).alias("e")).select("e.*")
+    got = {(r.k, r.q): r.value for r in O.exact_quantiles(long, "k", "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    pdf = f.toPandas()
+    for c in ["f1", "f2", "f3"]:
+        x = pdf[c].dropna().to_numpy()
+        for q in [0.0, 0.25, 0.5, 0.9, 1.0]:
+            assert abs(got[(c, q)] - float(np.quantile(x, q))) < 1e-9 * max(1.0, abs(float(np.quantile(x, q))))
