@@ -71,16 +71,15 @@ def embedding_bag_mean(
     rows: DataFrame, row_key: str, ids_col: str, table: DataFrame, key: str, vec: str, vocab: int, dim: int
 ) -> DataFrame:
     """Mean of looked-up vectors over the valid (non-padding, in-vocab)
-    ids of each row; zero vector when none. Per-dimension sums are algebraic
-    partial aggregates, so a row with a huge id list is combined map-side."""
+    ids of each row; zero vector when none."""
     ex = rows.select(row_key, F.explode(ids_col).alias("_id")).where((F.col("_id") > 0) & (F.col("_id") < vocab))
     t = table.select(F.col(key).alias("_id"), F.col(vec).alias("_vec"))
-    j = ex.join(t, "_id", "left").select(
-        row_key, F.posexplode(F.coalesce(F.col("_vec"), F.array_repeat(F.lit(0.0).cast("float"), dim))).alias("_d", "_x")
-    )
-    per_dim = j.groupBy(row_key, "_d").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    vecs = per_dim.groupBy(row_key).agg(F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_s"))
-    vecs = vecs.select(row_key, F.transform("_s", lambda s: s["_m"]).alias("bag"))
+    j = ex.join(t, "_id", "left").select(row_key, F.coalesce(F.col("_vec"), F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("_vec"))
+    # one avg per dimension in a single grouped aggregate: rows stay one per
+    # (row, id) — no per-dimension explode — and the partial aggregates absorb
+    # a row with a very long id list
+    per = j.groupBy(row_key).agg(*[F.avg(F.col("_vec")[i].cast("double")).alias(f"_m{i}") for i in range(dim)])
+    vecs = per.select(row_key, F.array(*[F.col(f"_m{i}") for i in range(dim)]).alias("bag"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return rows.select(row_key).join(vecs, row_key, "left").select(row_key, F.coalesce("bag", zero).alias("bag"))
 
