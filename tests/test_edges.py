@@ -136,3 +136,15 @@ def test_early_stopping_matches_replay(spark):
         got = {r.run_id: (r.best_value, r.best_step, r.stop_step) for r in W.early_stopping(runs, "run_id", "step", "val_auc", patience, delta).collect()}
         for run, vals in hist.items():
             assert got[run] == _tracker(sorted(vals), patience, delta)
+
+
+def test_public_api_smoke(spark):
+    from tessera import api
+
+    v = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("label")
+    )
+    s = api.split(v, "id", "label")
+    assert s.count() == v.count()
+    folds = api.kfold(v, "id", "label", 3).select("fold").distinct().count()
+    assert folds == 3
