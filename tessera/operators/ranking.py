@@ -18,11 +18,19 @@ def head(df: DataFrame, col: str, n: int, tiebreak: Sequence[str] = ()) -> DataF
     return sort_desc(df, col, tiebreak).limit(n)
 
 
-def top_k_per_group(df: DataFrame, group: str, metric: str, step: str, k: int = 3) -> DataFrame:
+def top_k_per_group(df: DataFrame, group: str, metric: str, step: str, k: int = 3, salt_buckets: int = 64) -> DataFrame:
     """Keep the best k steps per run by metric; an equal metric never
-    displaces an earlier step (ties ordered by step)."""
-    w = Window.partitionBy(group).orderBy(F.col(metric).desc(), F.col(step).asc())
-    return df.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    displaces an earlier step (ties ordered by step).
+
+    Two-stage top-k so a huge run is not sorted in one task: top k inside
+    (run, hash(step) % salt_buckets), then top k over the <= salt_buckets*k
+    survivors of each run. Exact, because the order (metric desc, step asc)
+    is total within a run."""
+    order = [F.col(metric).desc(), F.col(step).asc()]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(step)), F.lit(salt_buckets)))
+    first = salted.withColumn("_r1", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order))).where(F.col("_r1") <= k)
+    w = Window.partitionBy(group).orderBy(*order)
+    return first.drop("_salt", "_r1").withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def best_step(df: DataFrame, group: str, metric: str, step: str, mode: str = "max") -> DataFrame:
