@@ -1000,10 +1000,11 @@ def q_aug_dataset(spark, sf):
 
 register(
     "N11_batch_dense_augment",
-    f"""select vec_id, case when (vec_id % 32) < 3 then
+    f"""select vec_id, list_transform(case when (vec_id % 32) < 3 then
   list_transform(embedding, lambda v, i: cast(v * (0.9 + {0.2!r} * {uniform_sql(SqlExpr('vec_id'), 'n11s', '42')}) + {gaussian_sql(SqlExpr('vec_id'), 'n11g', '42', SqlExpr('i - 1'))} * 0.01 as float))
-  else embedding end embedding from embeddings""",
-)(lambda spark, sf: N.batch_dense_augment(V.embeddings(spark, sf).select("vec_id", "embedding"), "embedding", "vec_id", "vec_id", 32, 0.1, 0.01, (0.9, 1.1)))
+  else embedding end, lambda x: round(cast(x as double), 5)) embedding from embeddings""",
+)(lambda spark, sf: N.batch_dense_augment(V.embeddings(spark, sf).select("vec_id", "embedding"), "embedding", "vec_id", "vec_id", 32, 0.1, 0.01, (0.9, 1.1))
+  .withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 5))))
 
 _PAIR_SQL = f"""select *, coalesce(lead({{c}}) over w, first_value({{c}}) over wa) {{c}}_partner from (
   select *, {hash32_sql(SqlExpr('{k}'), 'pair', '42')} h, {hash32_sql(SqlExpr('{k}'), 'pair', '42')} >> 22 b from {{src}})
