@@ -586,8 +586,8 @@ def q_len_profile(spark, sf):
 
 register(
     "G8_dense_profile",
-    """select count(*) "count", round(avg(v), 6) mean, round(stddev_pop(v), 6) std, round(min(v), 6) "min",
-  round(max(v), 6) "max", round((select avg(len(embedding)) from embeddings), 6) mean_len
+    """select count(*) "count", round(avg(v), 6) mean, round(stddev_pop(v), 6) std, round(cast(min(v) as double), 6) "min",
+  round(cast(max(v) as double), 6) "max", round((select avg(len(embedding)) from embeddings), 6) mean_len
 from (select unnest(embedding) v from embeddings)""",
 )(lambda spark, sf: G.dense_profile(V.embeddings(spark, sf), "embedding").select(
     "count", *[_r6(F.col(c)).alias(c) for c in ["mean", "std", "min", "max", "mean_len"]]))
