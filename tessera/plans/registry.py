@@ -56,7 +56,7 @@ register(
 
 
 R2_SQL = """
-select split, label_type, n, split_rows,
+select split, label_type, n, cast(split_rows as bigint) split_rows,
        round(split_rows * 100.0 / sum(n) over (), 6) split_pct,
        round(n * 1.0 / split_rows, 6) label_share
 from (select split, label_type, count(*) n, sum(count(*)) over (partition by split) split_rows
@@ -890,7 +890,8 @@ register(
           max(val_auc) over (partition by run_id order by step rows between unbounded preceding and 1 preceding) prev_best from v_runs),
 i as (select *, max(case when prev_best is null or val_auc > prev_best then rn end)
           over (partition by run_id order by rn rows between unbounded preceding and current row) last_imp from h)
-select run_id, max(val_auc) best_value, arg_min(step, struct_pack(nv := -val_auc, s := step)) best_step, any_value(stop_step) stop_step
+select run_id, max(val_auc) best_value, cast(arg_min(step, struct_pack(nv := -val_auc, s := step)) as bigint) best_step,
+       cast(any_value(stop_step) as bigint) stop_step
 from (select *, min(case when rn - last_imp >= 3 then step end) over (partition by run_id) stop_step from i)
 where stop_step is null or step <= stop_step group by 1""",
         "v_runs",
@@ -985,9 +986,9 @@ _AKEY = "concat_ws('#', cast(sample_id as varchar), cast(copy + 42 as varchar))"
 @register(
     "N10_augmented_dataset",
     with_views(
-        ", ".join([]) + f"""select sample_id, {', '.join(f'round(cast({c} as double), 4) {c}' for c in AUG_SCALARS)}, {', '.join(AUG_ARRAYS + AUG_SEQS)}, 0 copy from v_wide
+        ", ".join([]) + f"""select sample_id, {', '.join(f'round(cast({c} as double), 4) {c}' for c in AUG_SCALARS)}, {', '.join(AUG_ARRAYS + AUG_SEQS)}, cast(0 as int) copy from v_wide
 union all
-select sample_id, {_preset_sql('conservative', _AKEY)}, copy
+select sample_id, {_preset_sql('conservative', _AKEY)}, cast(copy as int)
 from (select *, unnest(range(1, 3)) copy from v_wide), {_WSD}""",
         "v_wide",
     ),
