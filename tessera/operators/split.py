@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import hash32
-from tessera.session import checked_broadcast, materialize
+from tessera.session import BROADCAST_ROW_LIMIT, materialize
 
 DEFAULT_SEED = 42
 DEFAULT_BITS = 16
@@ -55,25 +55,29 @@ def rank_assign(
     ``assign`` must be monotone non-decreasing in rank."""
     cls = F.col(class_col) if class_col else F.lit(0)
     d = df.withColumn("_cls", cls).withColumn("_h", hash32(F.col(id_col), salt, seed))
+    run = Window.partitionBy("_cls").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     while True:
-        # histogram over (class, top ``bits`` of h); refined with more bits if
-        # any bucket is too large to rank in one task (only on huge inputs)
+        # histogram over (class, top ``bits`` of h) with bucket start offsets,
+        # pinned once; one small job gives its size and largest bucket. It is
+        # rebuilt with more bits if a bucket is too large to rank in one task
+        # (only on huge inputs).
         d = d.withColumn("_b", F.shiftright("_h", 32 - bits))
-        hist = materialize(d.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_cnt")))
-        biggest = hist.agg(F.max("_cnt")).first()[0] or 0
-        if biggest <= MAX_BUCKET_ROWS or bits >= 32:
+        hist = d.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+        hist = hist.select(
+            "_cls", "_b", "_cnt",
+            (F.sum("_cnt").over(run) - F.col("_cnt")).alias("_start"),
+            F.sum("_cnt").over(Window.partitionBy("_cls")).alias("_n"),
+        )
+        hist = materialize(hist)
+        size = hist.agg(F.count(F.lit(1)).alias("rows"), F.max("_cnt").alias("biggest")).first()
+        if (size["biggest"] or 0) <= MAX_BUCKET_ROWS or bits >= 32:
             break
-        bits = min(32, bits + max(1, math.ceil(math.log2(biggest / MAX_BUCKET_ROWS))))
-    run = Window.partitionBy("_cls").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.select(
-        "_cls", "_b", "_cnt",
-        (F.sum("_cnt").over(run) - F.col("_cnt")).alias("_start"),
-        F.sum("_cnt").over(Window.partitionBy("_cls")).alias("_n"),
-    )
+        bits = min(32, bits + max(1, math.ceil(math.log2(size["biggest"] / MAX_BUCKET_ROWS))))
     lo = assign(F.col("_start"), F.col("_n"))
     hi = assign(F.col("_start") + F.col("_cnt") - 1, F.col("_n"))
     hist = hist.select("_cls", "_b", "_start", "_n", F.when(lo == hi, lo).alias("_whole"))
-    hist = checked_broadcast(hist)
+    # at most classes x 2^bits rows, counted above: broadcast only when small
+    hist = F.broadcast(hist) if size["rows"] <= BROADCAST_ROW_LIMIT else hist
     j = d.join(hist, (d["_cls"].eqNullSafe(hist["_cls"])) & (d["_b"] == hist["_b"])).drop(hist["_cls"]).drop(hist["_b"])
     whole = j.where(F.col("_whole").isNotNull()).withColumn(out_col, F.col("_whole"))
     w = Window.partitionBy("_cls", "_b").orderBy("_h", id_col)
