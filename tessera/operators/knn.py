@@ -100,8 +100,8 @@ def smote(
     originals (synthetic = false) then synthetic rows (origin id, draw t)."""
     y = F.col(label_col)
     mino = df.where(y == minority)
-    n_min = mino.count()
-    n_maj = df.where(y != minority).count()
+    counts = df.agg(F.count_if(y == minority).alias("n_min"), F.count_if(y != minority).alias("n_maj")).first()
+    n_min, n_maj = counts["n_min"], counts["n_maj"]
     orig = df.select(id_col, *cols, label_col, F.lit(False).alias("synthetic"), F.lit(None).cast("int").alias("t"))
     n_syn = int(ratio * n_maj) - n_min
     if n_syn <= 0 or n_min < 2:
