@@ -113,13 +113,20 @@ def _desc_curve(df: DataFrame, group: str, label: str, score: str) -> DataFrame:
     return cum.join(F.broadcast(tot), group)
 
 
-def roc_curve(df: DataFrame, group: str, label: str = "label", score: str = "prob") -> DataFrame:
-    """One ROC point per distinct score (descending thresholds)."""
+def roc_curve(df: DataFrame, group: str, label: str = "label", score: str = "prob", with_origin: bool = True) -> DataFrame:
+    """One ROC point per distinct score (descending thresholds), plus
+    the (0, 0) point at threshold +inf as sklearn reports it."""
     c = _desc_curve(df, group, label, score)
-    return c.select(
+    pts = c.select(
         group, F.col(score).alias("threshold"),
         _safe_div(F.col("cum_neg"), F.col("N"), NAN).alias("fpr"), _safe_div(F.col("cum_pos"), F.col("P"), NAN).alias("tpr"),
     )
+    if not with_origin:
+        return pts
+    origin = c.select(group).distinct().select(
+        group, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+    )
+    return pts.unionByName(origin)
 
 
 def pr_curve(df: DataFrame, group: str, label: str = "label", score: str = "prob") -> DataFrame:

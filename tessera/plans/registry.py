@@ -765,7 +765,9 @@ register(
     with_views(
         f""", {_CURVE_SQL.strip()}
 select split, prob threshold, round(case when n > 0 then cum_neg / n else 'nan'::double end, 6) fpr,
-       round(case when p > 0 then cum_pos / p else 'nan'::double end, 6) tpr from cc""",
+       round(case when p > 0 then cum_pos / p else 'nan'::double end, 6) tpr from cc
+union all
+select distinct split, 'inf'::double, 0.0, 0.0 from cc""",
         "v_scored",
     ),
 )(lambda spark, sf: M.roc_curve(_scored(spark, sf), "split").select("split", "threshold", _r6(F.col("fpr")).alias("fpr"), _r6(F.col("tpr")).alias("tpr")))
