@@ -151,10 +151,17 @@ def grouped_prefix_sums(
     df: DataFrame, group_col: str, order_col: str, value_cols: Sequence[str], descending: bool = False
 ) -> DataFrame:
     """Running sums of ``value_cols`` along ``order_col`` inside each group
-    (``(group, order)`` must be unique). One distributed ``prefix_sums`` over
-    the composite key, minus each group's starting offset (a tiny table with
-    one row per group)."""
+    (``(group, order)`` must be unique). When every group has at most
+    WINDOW_ROWS_MAX rows (checked) a per-group window is enough; otherwise one
+    distributed ``prefix_sums`` over the composite key, minus each group's
+    starting offset (a tiny table with one row per group)."""
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    df = materialize(df)
+    widest = df.groupBy(group_col).count().agg(F.max("count")).first()[0] or 0
+    if widest <= WINDOW_ROWS_MAX:
+        # checked fast path: each group is small enough for one window task
+        run = Window.partitionBy(group_col).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(run).alias(f"cum_{c}") for c in value_cols])
     cum = prefix_sums(df, [F.col(group_col).asc(), o], value_cols)
     totals = df.groupBy(group_col).agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     w = Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)

@@ -129,3 +129,17 @@ def test_exact_quantiles_both_paths_match_numpy(spark, monkeypatch, window_max):
         x = pdf[c].dropna().to_numpy()
         for q in [0.0, 0.25, 0.5, 0.9, 1.0]:
             assert abs(got[(c, q)] - float(np.quantile(x, q))) < 1e-9 * max(1.0, abs(float(np.quantile(x, q))))
+
+
+@pytest.mark.parametrize("window_max", [0, 2_000_000])
+def test_auc_both_prefix_paths(spark, monkeypatch, window_max):
+    from tessera.operators import metrics as M
+    from tessera.operators import ordering as O
+
+    monkeypatch.setattr(O, "WINDOW_ROWS_MAX", window_max)
+    s = V.v_scored(spark, SF)
+    got = {r.split: r.auc for r in M.auc(s, "split").collect()}
+    monkeypatch.setattr(O, "WINDOW_ROWS_MAX", 2_000_000 - window_max)
+    other = {r.split: r.auc for r in M.auc(s, "split").collect()}
+    for k in got:
+        assert (got[k] != got[k] and other[k] != other[k]) or abs(got[k] - other[k]) < 1e-12
