@@ -154,13 +154,18 @@ def tail_split(
     return df.withColumn("part", part).where(F.col("part").isNotNull())
 
 
-def shard(df: DataFrame, block_col: str, world_size: int, num_workers: int = 1) -> DataFrame:
+def shard(df: DataFrame, block_col: str, world_size: int, num_workers: int = 1, physical: bool = False) -> DataFrame:
     """Strided sharding of blocks: rank = block % world_size, worker =
-    (block // world_size) % num_workers. Union over ranks covers each row once."""
+    (block // world_size) % num_workers. Union over ranks covers each row once.
+    ``physical=True`` also lays the data out one Spark partition per
+    (rank, worker) so each consumer reads only its own partition."""
     b = F.col(block_col)
-    return df.withColumn("rank", F.pmod(b, F.lit(world_size)).cast("int")).withColumn(
+    out = df.withColumn("rank", F.pmod(b, F.lit(world_size)).cast("int")).withColumn(
         "worker", F.pmod(F.floor(b / world_size), F.lit(num_workers)).cast("int")
     )
+    if physical:
+        out = out.repartitionByRange(world_size * num_workers, "rank", "worker")
+    return out
 
 
 def batch_ids(df: DataFrame, pos_col: str, batch_size: int) -> DataFrame:

@@ -143,3 +143,10 @@ def test_auc_both_prefix_paths(spark, monkeypatch, window_max):
     other = {r.split: r.auc for r in M.auc(s, "split").collect()}
     for k in got:
         assert (got[k] != got[k] and other[k] != other[k]) or abs(got[k] - other[k]) < 1e-12
+
+
+def test_physical_shards(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet").withColumn("block", F.floor(F.col("event_id") / 20))
+    s = R.shard(e, "block", 2, 2, physical=True).withColumn("pid", F.spark_partition_id())
+    per = s.groupBy("pid").agg(F.countDistinct("rank", "worker").alias("k")).collect()
+    assert all(r.k == 1 for r in per) and s.count() == e.count()
