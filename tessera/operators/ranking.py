@@ -63,10 +63,13 @@ def dedupe(df: DataFrame, key: str, order: str, keep: str = "last") -> DataFrame
 def early_stopping(
     df: DataFrame, group: str, step: str, value: str, patience: int = 10, min_delta: float = 1e-4, mode: str = "max"
 ) -> DataFrame:
-    """Replay an early-stopping tracker over each run's metric history
-    (histories are per-run step lists, small by nature): best value, its
-    step, and the first step where ``patience`` non-improving steps in a row
-    were seen (null if never)."""
+    """Replay an early-stopping tracker over each run's metric history:
+    best value, its step, and the first step where ``patience``
+    non-improving steps in a row were seen (null if never). min_delta = 0 runs
+    as windows; a positive min_delta (hysteresis, inherently sequential)
+    replays the per-run step list, which is small by nature."""
+    if min_delta == 0:
+        return _early_stopping_windows(df, group, step, value, patience, mode)
     hist = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v")))).alias("h"))
     init = F.struct(
         F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_step"),
@@ -90,6 +93,28 @@ def early_stopping(
     return r.select(group, F.col("r.best").alias("best_value"), F.col("r.best_step").alias("best_step"), F.col("r.stop_step").alias("stop_step"))
 
 
+def _early_stopping_windows(df: DataFrame, group: str, step: str, value: str, patience: int, mode: str) -> DataFrame:
+    """W8 with min_delta = 0 as sort-based windows (no per-run arrays): a
+    step improves when it beats every earlier value; the counter is the
+    distance to the last improvement; the run stops at the first step whose
+    counter reaches ``patience``."""
+    w = Window.partitionBy(group).orderBy(step)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col(value)
+    prev = F.max(v).over(before) if mode == "max" else F.min(v).over(before)
+    better = (v > prev) if mode == "max" else (v < prev)
+    d = df.select(group, step, value, F.row_number().over(w).alias("_rn"), (prev.isNull() | better).alias("_imp"))
+    d = d.withColumn("_last", F.max(F.when(F.col("_imp"), F.col("_rn"))).over(upto))
+    d = d.withColumn("_stop_rn", F.min(F.when(F.col("_rn") - F.col("_last") >= patience, F.col("_rn"))).over(Window.partitionBy(group)))
+    kept = d.where(F.col("_stop_rn").isNull() | (F.col("_rn") <= F.col("_stop_rn")))
+    key = F.struct(-v, F.col(step)) if mode == "max" else F.struct(v, F.col(step))
+    return kept.groupBy(group).agg(
+        F.min_by(F.struct(v.alias("v"), F.col(step).cast("long").alias("s")), key).alias("_b"),
+        F.max(F.when(F.col("_rn") == F.col("_stop_rn"), F.col(step).cast("long"))).alias("stop_step"),
+    ).select(group, F.col("_b.v").alias("best_value"), F.col("_b.s").alias("best_step"), "stop_step")
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Row-wise concat by column name (UNION ALL)."""
     out = frames[0]

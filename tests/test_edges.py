@@ -162,3 +162,16 @@ def test_predictions_object_and_sidecar_resolution(spark):
     SK.write_json_sidecar(spark, {"user_int": [[1, 5, 1]], "item_int": [], "user_dense": []}, f"{good}/schema.json")
     got = SK.resolve_sidecar(spark, "schema.json", SK.scratch_path(spark, "missing"), good)
     assert got.first().user_int == [[1, 5, 1]]
+
+
+def test_early_stopping_window_path_matches_replay(spark):
+    from tessera.plans import fixtures as V
+
+    runs = V.v_runs(spark, "/root/testdata/sf0.001")
+    hist = {}
+    for r in runs.collect():
+        hist.setdefault(r.run_id, []).append((r.step, r.val_auc))
+    for patience in (1, 3, 6):
+        got = {r.run_id: (r.best_value, r.best_step, r.stop_step) for r in W.early_stopping(runs, "run_id", "step", "val_auc", patience, 0.0).collect()}
+        for run, vals in hist.items():
+            assert got[run] == _tracker(sorted(vals), patience, 0.0)
