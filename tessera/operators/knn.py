@@ -32,12 +32,32 @@ INF = float("inf")
 
 
 def _direction(df: DataFrame, cols: Sequence[str]) -> list[float]:
-    var = df.agg(*[F.var_pop(c).alias(c) for c in cols]).first()  # one row of per-column variances
-    vals = [float(var[c] or 0.0) for c in cols]
-    top = max(range(len(cols)), key=lambda i: vals[i])
-    raw = [1.0 if i == top else 1e-3 * (i + 1) for i in range(len(cols))]
-    norm = math.sqrt(sum(x * x for x in raw))
-    return [x / norm for x in raw]
+    """Unit vector along the first principal axis. The d x d covariance comes
+    from one aggregate (sums and cross products); its eigenvector is metadata
+    computed on the driver. Falls back to the widest column if degenerate."""
+    import numpy as np
+
+    d = len(cols)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
+    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    r = df.agg(*aggs).first()
+    n = float(r["n"] or 0)
+    if n < 2:
+        return [1.0] + [0.0] * (d - 1)
+    mean = np.array([float(r[f"s{i}"] or 0.0) / n for i in range(d)])
+    cov = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            cov[i, j] = cov[j, i] = float(r[f"p{i}_{j}"] or 0.0) / n - mean[i] * mean[j]
+    vals, vecs = np.linalg.eigh(cov)
+    v = vecs[:, int(np.argmax(vals))]
+    # tilt slightly so distinct points rarely share a projection
+    v = v + 1e-3 * np.arange(1, d + 1) * (np.abs(v).max() or 1.0)
+    norm = float(np.linalg.norm(v))
+    if not np.isfinite(norm) or norm == 0:
+        widest = int(np.argmax(np.diag(cov)))
+        return [1.0 if i == widest else 0.0 for i in range(d)]
+    return [float(x) / norm for x in v]
 
 
 def _dist(a: Column, b: Column) -> Column:
