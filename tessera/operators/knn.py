@@ -2,8 +2,8 @@
 
 Sorted-neighbourhood search with a certified radius
 ---------------------------------------------------
-Points are projected on a unit direction ``v`` (the highest-variance
-feature, slightly tilted so distinct points rarely tie) and numbered in
+Points are projected on a unit direction ``v`` (the first principal axis,
+slightly tilted so distinct points rarely tie) and numbered in
 (projection, id) order by a distributed range sort. A point's candidates
 are the 2(m+1) points around it in that order — an equi-join on the row
 number, so each point emits a bounded number of rows whatever the density.
