@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_quotient, simhash_mih
+import public_tokenizers
+
+from tessera.llm import bpe_tree, exact_quotient, language_kernel, mixing_tree, simhash_mih
 from tessera.sources.sinks import scratch_path
 
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Below this score a language is not taken as recognised.
+MIN_LANGUAGE_SCORE = 0.1
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents without a recognised language go (null and
+    letterless texts, scores below MIN_LANGUAGE_SCORE)."""
+    return language_kernel.keep_known(docs, language_kernel.train(docs), MIN_LANGUAGE_SCORE)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: of equal texts the kept row stays."""
     return exact_quotient.drop_exact_copies(docs)
@@ -18,9 +31,23 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash_mih.drop_near_copies(docs, shingle=3, max_bits=3)
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: every copy of a document that the mix takes is a row."""
+    return mixing_tree.mixed_rows(docs)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: token ids of every row, with digests of them and of their decoding."""
+    spec = bpe_tree.read_spec(TOKENIZER)
+    return bpe_tree.digests(bpe_tree.encode(docs, spec), "ids")
+
+
 STAGES = [
+    ("language_id", language_id),
     ("exact_dedup", exact_dedup),
     ("simhash_dedup", simhash_dedup),
+    ("mixing", mixing),
+    ("bpe", bpe),
 ]
 
 #: Fingerprints and merges cannot be stated in SQL; tests use brute force.

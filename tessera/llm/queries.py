@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_quotient, simhash_mih
+from tessera.functions.rand import SqlExpr, hash32_sql
+from tessera.llm import bpe_tree, exact_quotient, language_kernel, mixing_tree, simhash_mih
 from tessera.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,40 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_simhash_dedup")
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_mih.near_components(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@register("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_kernel.predict(docs, language_kernel.train(docs))
+
+
+@register("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    spec = bpe_tree.read_spec(public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_tree.digests(bpe_tree.encode(read_table(spark, sf_dir, "documents"), spec))
+
+
+OP10_SQL = rf"""
+with t as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size,
+                  {hash32_sql(SqlExpr('doc_id'), 'mix', '42')} h from documents),
+s as (select source, cast(sum(size) as bigint) source_size, 3 * sum(size) cap,
+             cast([5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as double) w from t group by source),
+l as (select *, (sum(source_size) over () - coalesce(sum(cap) over before, 0)) / sum(w) over from_here as level
+      from s window before as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding),
+                    from_here as (order by cap / w, source nulls last rows between current row and unbounded following)),
+a as (select source, source_size, least(cap, w * (select min_by(level, cap / w) from l where cap >= w * level)) target from l),
+d as (select t.*, source_size, target, floor(target / nullif(source_size, 0)) passes,
+             sum(size) over (partition by t.source order by h, doc_id, size rows unbounded preceding) upto
+      from t join a on t.source is not distinct from a.source)
+select doc_id, size, source_size, round(target, 6) target,
+       cast(coalesce(size * (passes + case when upto - size / 2.0 <= target - passes * source_size then 1 else 0 end), 0) as bigint) taken
+from d
+"""
+
+
+@register("op10_mixing", OP10_SQL)
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_tree.taken_words(mixing_tree.mix(read_table(spark, sf_dir, "documents")))
