@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import SqlExpr, hash32_sql
-from tessera.llm import bpe_tree, exact_quotient, language_kernel, mixing_tree, simhash_mih
+from tessera.llm import bpe_tree, exact_quotient, language_kernel, license_index, mixing_tree, secret_ledger, simhash_mih
 from tessera.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,66 @@ from d
 @register("op10_mixing", OP10_SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_tree.taken_words(mixing_tree.mix(read_table(spark, sf_dir, "documents")))
+
+
+def _op2_sql() -> str:
+    """The contract's plain runs for the base kinds; spans by running sums of
+    the lengths between and of the matches."""
+    plain = {"access": (r"AKIA[A-Z0-9]+", 0, 16), "hex": (r"[0-9a-f]+", 0, 32)}
+    kinds = []
+    for place, r in enumerate(secret_ledger.RULES):
+        pattern, group, least = plain.get(r.kind, (r.pattern, r.group, r.least))
+        q = "'" + pattern.replace("'", "''") + "'"
+        kinds.append(f"""select r, {place} place, '{r.kind}' kind, {least} least, unnest(m) m, unnest(v) v, unnest(g[1:len(m)]) g, unnest(range(len(m))) k
+from (select r, regexp_extract_all(t, {q}) m, regexp_extract_all(t, {q}, {group}) v, string_split_regex(t, {q}) g from d)""")
+    return f"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+h as ({" union all ".join(kinds)}),
+e as (select *, sum(length(g) + length(m)) over (partition by r, place order by k rows unbounded preceding) ends from h),
+s as (select r, kind, place, kind || ':' || cast(ends - length(m) as bigint) || ':' || cast(ends as bigint) span, cast(ends - length(m) as bigint) start from e where length(v) >= least),
+a as (select r, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access, count(*) filter (kind = 'hex') n_hex,
+             string_agg(span, ',' order by start, place) filter (place < 3) base, string_agg(span, ',' order by start, place) spans from s group by r)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex,
+       sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from d left join a using (r)
+"""
+
+
+@register("op2_secret_scan", _op2_sql())
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    ledger = secret_ledger.scan(docs, secret_ledger.empty_ledger(spark))
+    return secret_ledger.digests(secret_ledger.findings(docs, ledger))
+
+
+def _op9_sql() -> str:
+    """Base phrases by comparing word lists; labels from aligned words."""
+    sql_list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    base = [t for t in license_index.TEMPLATES if t.base]
+    places = ", ".join(
+        f"list_transform(list_filter(range(len(words)), lambda i: words[i + 1:i + {len(t.words)}] = {sql_list(t.words)}), lambda i: {{'at': i, 'label': '{t.label}'}})" for t in base
+    )
+    postings = ", ".join(
+        f"('{w}', {n}, {o}, {len(t.words)}, {o in t.key_offsets}, {len(t.key.split())}, '{t.label}')"
+        for n, t in enumerate(license_index.TEMPLATES) for o, w in enumerate(t.words)
+    )
+    return rf"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') words from documents),
+b as (select *, flatten([{places}]) base from d),
+p(word, template, place, length, is_key, keys, label) as (values {postings}),
+u as (select r, unnest(words) word, unnest(range(len(words))) as pos from d),
+v as (select r, template, label, pos - place start, count(*) agree, count(*) filter (is_key) key_agree, any_value(length) length, any_value(keys) keys
+      from u join p using (word) group by r, template, label, pos - place),
+l as (select r, string_agg(distinct label, ',' order by label) labels, max(round(agree / length, 6)) score from v
+      where key_agree = keys and agree >= length * {license_index.LEAST_SHARE} group by r)
+select doc_id, cast(len(words) as bigint) n_words, cast(len(base) as bigint) n_base,
+       list_min(list_transform(base, lambda x: x.at)) first_word, list_max(list_transform(base, lambda x: x.at)) last_word,
+       array_to_string(list_sort(list_distinct(list_transform(base, lambda x: x.label))), ',') base_labels,
+       coalesce(labels, '') labels, coalesce(score, 0.0) score
+from b left join l using (r)
+"""
+
+
+@register("op9_license_scan", _op9_sql())
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.digests(license_index.scan(read_table(spark, sf_dir, "documents")))
