@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import SqlExpr, hash32_sql
-from tessera.llm import bpe_tree, exact_quotient, language_kernel, license_index, mixing_tree, secret_ledger, simhash_mih
+from tessera.llm import bpe_tree, exact_quotient, importance, language_kernel, license_index, mixing_tree, paragraph_sketch, secret_ledger, simhash_mih
 from tessera.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,18 @@ from b left join l using (r)
 @register("op9_license_scan", _op9_sql())
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.digests(license_index.scan(read_table(spark, sf_dir, "documents")))
+
+
+@register("op3_paragraph_sketch")
+def op3_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+@register("op6_importance_resampling")
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled of good quality; as many documents are taken
+    as the labels' share of good ones suggests."""
+    labels = read_table(spark, sf_dir, "labels")
+    share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 0.0
+    good = labels.where("quality = 1").select("doc_id")
+    return importance.resample(read_table(spark, sf_dir, "documents"), good, share=share)
