@@ -26,6 +26,7 @@ from tessera.llm.common import map_arrow, pinned, settle_rows
 
 SEED = 42
 DENSE_BUCKET = 256
+EDGES_PER_TASK = 200_000
 
 
 def fingerprint(text: str | None, words_per_shingle: int) -> int:
@@ -111,21 +112,24 @@ def components(edges: DataFrame) -> DataFrame:
     shrink the edges by a constant factor a round, long chains included."""
     steps: list[DataFrame] = []
     edges = pinned(edges.select("a", "b"))
-    while edges.limit(1).count():
+    while n := edges.count():
+        # no more tasks than the edges that are left need
+        tasks = n // EDGES_PER_TASK + 1
         place = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), c).alias("h"), F.col(c).alias("node"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min(place("b")).alias("to"))
-        step = pinned(first.select(F.col("a").alias("node"), F.least(place("a"), F.col("to"))["node"].alias("root")))
+        step = pinned(first.select(F.col("a").alias("node"), F.least(place("a"), F.col("to"))["node"].alias("root")).coalesce(tasks))
         steps.append(step)
         x, y = (step.select(F.col("node").alias(c), F.col("root").alias(to)) for c, to in (("a", "x"), ("b", "y")))
         moved = edges.join(x, "a").join(y, "b").where("x != y")
-        edges = pinned(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = pinned(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().coalesce(tasks))
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps.pop()
     while steps:
-        later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        out = pinned(steps.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+        step, later = steps.pop(), out.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        out = step.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        out = pinned(out.coalesce(step.rdd.getNumPartitions()))
     return out
 
 
