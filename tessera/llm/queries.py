@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import SqlExpr, hash32_sql
-from tessera.llm import bpe_tree, exact_quotient, importance, language_kernel, license_index, mixing_tree, paragraph_sketch, secret_ledger, simhash_mih
+from tessera.llm import bpe_tree, exact_quotient, html_template, importance, language_kernel, license_index, mixing_tree, paragraph_sketch, secret_ledger, simhash_mih
 from tessera.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,8 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 0.0
     good = labels.where("quality = 1").select("doc_id")
     return importance.resample(read_table(spark, sf_dir, "documents"), good, share=share)
+
+
+@register("op1_html_text")
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(read_table(spark, sf_dir, "pages"))
