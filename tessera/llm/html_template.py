@@ -287,7 +287,7 @@ def with_host_rows(rows: DataFrame, per_host: DataFrame, weight: str) -> DataFra
     slim = per_host.drop(weight)
     if total <= BROADCAST_BYTES:
         return rows.drop("salt").join(F.broadcast(slim), "host", "left")
-    salted = slim.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    salted = slim.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     return rows.join(salted, ["host", "salt"], "left").drop("salt")
 
 
