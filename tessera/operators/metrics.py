@@ -109,8 +109,9 @@ def classification_report(df: DataFrame, group: str, label: str = "label", score
 def _desc_curve(df: DataFrame, group: str, label: str, score: str) -> DataFrame:
     sc = score_counts(df, group, label, score)
     cum = grouped_prefix_sums(sc, group, score, ["pos", "neg"], descending=True)
-    tot = sc.groupBy(group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return cum.join(F.broadcast(tot), group)
+    # one row a group: AQE decides how to join it; the null group stays
+    tot = cum.groupBy(F.col(group).alias("_g")).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return cum.join(tot, cum[group].eqNullSafe(tot["_g"])).drop("_g")
 
 
 def roc_curve(df: DataFrame, group: str, label: str = "label", score: str = "prob", with_origin: bool = True) -> DataFrame:
@@ -180,12 +181,18 @@ def nan_filter(df: DataFrame, score: str = "prob") -> tuple[DataFrame, DataFrame
     return df.where(~bad), df.agg(F.count_if(bad).cast("bigint").alias("n_nan"))
 
 
+def _join_groups(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
+    """Left join on the group, where null is a group like any other."""
+    right = right.withColumnRenamed(group, "_g")
+    return left.join(right, left[group].eqNullSafe(right["_g"]), "left").drop("_g")
+
+
 def metric_table(df: DataFrame, group: str, label: str = "label", score: str = "prob", single_class=NAN) -> DataFrame:
     """Auc, logloss, accuracy per group (e.g. split)."""
     a = auc(df, group, label, score, single_class)
     ll = logloss(df, group, label, score)
     tm = threshold_metrics(df, group, label, score).select(group, "accuracy")
-    return a.join(ll, group).join(tm, group)
+    return _join_groups(_join_groups(a, ll, group), tm, group)
 
 
 def split_comparison(metrics_by_split: DataFrame, key: str = "model") -> DataFrame:
@@ -207,10 +214,10 @@ def calculate_metrics(df: DataFrame, group: str, names=("auc", "logloss", "accur
     want = [n for n in names if n in _KNOWN]
     out = df.select(group).distinct()
     if "auc" in want:
-        out = out.join(auc(df, group, label, score), group, "left")
+        out = _join_groups(out, auc(df, group, label, score), group)
     if "logloss" in want:
-        out = out.join(logloss(df, group, label, score), group, "left")
+        out = _join_groups(out, logloss(df, group, label, score), group)
     rest = [n for n in want if n in ("accuracy", "precision", "recall", "f1")]
     if rest:
-        out = out.join(threshold_metrics(df, group, label, score, t).select(group, *rest), group, "left")
+        out = _join_groups(out, threshold_metrics(df, group, label, score, t).select(group, *rest), group)
     return out.select(group, *want)

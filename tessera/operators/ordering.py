@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 from tessera.session import materialize
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_index << 33 | position
-# Largest per-key table a single window task may sort (checked before use).
-WINDOW_ROWS_MAX = 2_000_000
 
 
 def _offsets(totals: DataFrame, part_col: str, value_cols: Sequence[str]) -> DataFrame:
@@ -46,41 +44,98 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str | Column], name: s
     )
 
 
-def _running_sum_fn(value_cols: Sequence[str]):
+def _same(a: pd.Series, b: pd.Series) -> pd.Series:
+    return (a == b) | (a.isna() & b.isna())
+
+
+def _segment_sums(group: str | None, value_cols: Sequence[str]):
+    """Running sums that start again with each group, over the sorted batches
+    of one partition; ``_seg`` numbers the groups of the partition from 0."""
+
     def run(batches: Iterable[pd.DataFrame]):
+        last, seg, pos = None, 0, 0
         carry = {c: 0 for c in value_cols}
         for pdf in batches:
+            if not len(pdf):
+                continue
+            if group is None:
+                segs = pd.Series(0, index=pdf.index)
+            else:
+                g = pdf[group]
+                new = ~_same(g, g.shift())
+                new.iloc[0] = last is not None and not _same(last, g.iloc[:1].reset_index(drop=True)).iloc[0]
+                segs = new.cumsum() + seg
+                last = g.iloc[-1:].reset_index(drop=True)
             for c in value_cols:
-                cs = pdf[c].cumsum() + carry[c]
-                if len(cs):
-                    carry[c] = cs.iloc[-1]
-                pdf[f"_cum_{c}"] = cs
+                run_sum = pdf.groupby(segs, sort=False)[c].cumsum()
+                pdf[f"_cum_{c}"] = run_sum + (segs == seg) * carry[c]
+                carry[c] = pdf[f"_cum_{c}"].iloc[-1]
+            seg = int(segs.iloc[-1])
+            pdf["_seg"] = segs.astype("int64")
+            pdf["_pos"] = range(pos, pos + len(pdf))
+            pos += len(pdf)
             yield pdf
 
     return run
 
 
-def prefix_sums(df: DataFrame, order_cols, value_cols: Sequence[str], descending: bool = False) -> DataFrame:
+def grouped_prefix_sums(
+    df: DataFrame, group_col: str | None, order_cols, value_cols: Sequence[str], descending: bool = False
+) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` of ``value_cols`` along ``order_cols``
-    (a unique key; pre-aggregate ties first).
-
-    Range-partitioned sort (sampled bounds) -> per-partition running sum over
-    Arrow batches -> per-partition totals (one row per partition) ->
-    broadcast offsets. No single-task window over the data."""
+    inside each group (null is a group; ``(group, order)`` must be unique, so
+    pre-aggregate ties first; without ``group_col`` the table is one group).
+
+    Range-partitioned sort over (group, order) with sampled bounds, so a hot
+    group is split -> running sums per partition over Arrow batches -> one row
+    of totals per partition gives the offset of a partition's first group if it
+    goes on from the partition before -> offsets broadcast back. One path for
+    every size; no window over the data or over the groups."""
     if isinstance(order_cols, (str, Column)):
         order_cols = [order_cols]
     keys = [(F.col(c).desc() if descending else F.col(c).asc()) if isinstance(c, str) else c for c in order_cols]
+    if group_col is not None:
+        keys = [F.col(group_col).asc(), *keys]
     s = df.orderBy(*keys).withColumn("_p", F.spark_partition_id())
     out_schema = T.StructType(
-        list(s.schema.fields) + [T.StructField(f"_cum_{c}", s.schema[c].dataType, True) for c in value_cols]
+        list(s.schema.fields)
+        + [T.StructField(f"_cum_{c}", s.schema[c].dataType, True) for c in value_cols]
+        + [T.StructField("_seg", T.LongType()), T.StructField("_pos", T.LongType())]
+    )
+    s = materialize(s.mapInPandas(_segment_sums(group_col, value_cols), schema=out_schema))
+    at_end = lambda c: F.max_by(c, "_pos")
+    group = F.col(group_col) if group_col is not None else F.lit(0)
+    totals = s.groupBy("_p").agg(
+        F.min_by(F.struct(group.alias("g")), "_pos").alias("first"), F.max_by(F.struct(group.alias("g")), "_pos").alias("last"),
+        F.max("_seg").alias("segs"), *[at_end(f"_cum_{c}").alias(c) for c in value_cols],
     )
-    s = materialize(s.mapInPandas(_running_sum_fn(value_cols), schema=out_schema))
-    totals = s.groupBy("_p").agg(*[F.sum(c).alias(c) for c in value_cols])
-    offs = _offsets(totals, "_p", value_cols)
+    # one row a partition, in order: what is carried into its first group
+    offsets, before, carried = [], None, {c: 0 for c in value_cols}
+    for r in sorted(totals.collect(), key=lambda r: r["_p"]):
+        same = _continues(before, r["first"]["g"])
+        into = {c: carried[c] if same else 0 for c in value_cols}
+        offsets.append((r["_p"], *[into[c] for c in value_cols]))
+        carried = {c: r[c] + (into[c] if r["segs"] == 0 else 0) for c in value_cols}
+        before = (r["last"]["g"],)
+    off_schema = T.StructType([T.StructField("_p", T.IntegerType())] + [T.StructField(f"_off_{c}", s.schema[c].dataType) for c in value_cols])
+    offs = df.sparkSession.createDataFrame(offsets, off_schema)
     out = s.join(F.broadcast(offs), "_p")
     for c in value_cols:
-        out = out.withColumn(f"cum_{c}", F.col(f"_cum_{c}") + F.col(f"_off_{c}")).drop(f"_cum_{c}", f"_off_{c}")
-    return out.drop("_p")
+        out = out.withColumn(f"cum_{c}", F.col(f"_cum_{c}") + F.when(F.col("_seg") == 0, F.col(f"_off_{c}")).otherwise(0)).drop(f"_cum_{c}", f"_off_{c}")
+    return out.drop("_p", "_seg", "_pos")
+
+
+def _continues(before: tuple | None, group) -> bool:
+    """Whether ``group`` is that of the row before: null equals null, NaN equals NaN."""
+    if before is None:
+        return False
+    was = before[0]
+    return was is group or was == group or (was != was and group != group)
+
+
+def prefix_sums(df: DataFrame, order_cols, value_cols: Sequence[str], descending: bool = False) -> DataFrame:
+    """Running sums of the whole table as one group."""
+    return grouped_prefix_sums(df, None, order_cols, value_cols, descending)
 
 
 def exact_quantiles(
@@ -91,82 +146,26 @@ def exact_quantiles(
     group's values in one task:
 
     1. value counts per (key, value) — partial aggregation;
-    2. running counts along (key, value) by ``prefix_sums`` (range sort);
-    3. for each quantile the ranks floor(h), ceil(h) with h = (n-1)q are
-       located by a range filter; the few hit rows are interpolated.
-    Output: key, q, value (double). Nulls are ignored.
+    2. running counts per key along the values by ``grouped_prefix_sums``;
+    3. the ranks floor(h), ceil(h) with h = (n-1)q of every quantile are both
+       located in one pass: a value covers ranks [before, upto) of its key, and
+       only values that cover a wanted rank leave it.
+    Output: key, q, value (double). Null values are ignored; a null key is a key.
     """
     ok = F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))
-    if count_col is None:
-        vc = long_df.where(ok).groupBy(key_col, F.col(value_col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        # pin the (much smaller) value-count table: the passes below then
-        # re-read it instead of recomputing the input
-        vc = materialize(vc)
-    else:  # already one row per (key, value) with its count
-        vc = long_df.where(ok).select(key_col, F.col(value_col).cast("double").alias("_v"), F.col(count_col).alias("_c"))
-    per_key = materialize(vc.groupBy(key_col).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_distinct")))
-    widest = per_key.agg(F.max("_distinct")).first()[0] or 0
-    if widest <= WINDOW_ROWS_MAX:
-        # checked fast path: every key has few distinct values, so a per-key
-        # running sum is a bounded window (at most WINDOW_ROWS_MAX rows a task)
-        run = Window.partitionBy(key_col).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        cum = vc.withColumn("cum__c", F.sum("_c").over(run))
-        key_zero = True
-    else:
-        cum = prefix_sums(vc, [key_col, "_v"], ["_c"])
-        key_zero = False
-    key_off = per_key.select(
-        key_col, "_n",
-        (F.lit(0).cast("bigint") if key_zero else
-         F.coalesce(F.sum("_n").over(Window.orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_koff"),
-    )
-    qdf = long_df.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    targets = key_off.crossJoin(F.broadcast(qdf)).select(
-        key_col, "q", "_koff",
-        F.floor((F.col("_n") - 1) * F.col("q")).cast("bigint").alias("_lo"),
-        F.ceil((F.col("_n") - 1) * F.col("q")).cast("bigint").alias("_hi"),
-        ((F.col("_n") - 1) * F.col("q") - F.floor((F.col("_n") - 1) * F.col("q"))).alias("_frac"),
-    )
-    # rank r (0-based, within key) sits at the row with cum_prev <= r < cum
-    c = cum.join(F.broadcast(key_off.select(key_col, "_koff")), key_col).select(
-        key_col, "_v", (F.col("cum__c") - F.col("_c") - F.col("_koff")).alias("_from"),
-        (F.col("cum__c") - F.col("_koff")).alias("_to"),
-    )
-    def at(rank_col: str, name: str) -> DataFrame:
-        t = targets.select(key_col, "q", F.col(rank_col).alias("_r"))
-        return c.join(F.broadcast(t), key_col).where((F.col("_from") <= F.col("_r")) & (F.col("_r") < F.col("_to"))).select(
-            key_col, "q", F.col("_v").alias(name)
-        )
-
-    lo, hi = at("_lo", "_vlo"), at("_hi", "_vhi")
-    return (
-        targets.select(key_col, "q", "_frac")
-        .join(lo, [key_col, "q"])
-        .join(hi, [key_col, "q"])
-        .select(key_col, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
+    n = F.count(F.lit(1)) if count_col is None else F.sum(count_col)
+    vc = long_df.where(ok).groupBy(key_col, F.col(value_col).cast("double").alias("_v")).agg(n.alias("_c"))
+    cum = grouped_prefix_sums(vc, key_col, "_v", ["_c"])
+    sizes = cum.groupBy(F.col(key_col).alias("_k")).agg(F.max("cum__c").alias("_n"))
+    c = cum.join(sizes, F.col(key_col).eqNullSafe(F.col("_k"))).drop("_k")
+    rank = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    wanted = F.array(*[
+        F.struct(F.lit(float(q)).alias("q"), F.floor(rank(q)).cast("bigint").alias("lo"), F.ceil(rank(q)).cast("bigint").alias("hi"), (rank(q) - F.floor(rank(q))).alias("frac"))
+        for q in qs
+    ])
+    covers = lambda r: (F.col("cum__c") - F.col("_c") <= r) & (r < F.col("cum__c"))
+    hits = c.select(key_col, "_v", "_c", "cum__c", F.explode(F.filter(wanted, lambda w: covers(w["lo"]) | covers(w["hi"]))).alias("w"))
+    at = hits.groupBy(key_col, F.col("w.q").alias("q")).agg(
+        F.max(F.when(covers(F.col("w.lo")), F.col("_v"))).alias("_vlo"), F.max(F.when(covers(F.col("w.hi")), F.col("_v"))).alias("_vhi"), F.first("w.frac").alias("_frac")
     )
-
-
-def grouped_prefix_sums(
-    df: DataFrame, group_col: str, order_col: str, value_cols: Sequence[str], descending: bool = False
-) -> DataFrame:
-    """Running sums of ``value_cols`` along ``order_col`` inside each group
-    (``(group, order)`` must be unique). When every group has at most
-    WINDOW_ROWS_MAX rows (checked) a per-group window is enough; otherwise one
-    distributed ``prefix_sums`` over the composite key, minus each group's
-    starting offset (a tiny table with one row per group)."""
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    df = materialize(df)
-    widest = df.groupBy(group_col).count().agg(F.max("count")).first()[0] or 0
-    if widest <= WINDOW_ROWS_MAX:
-        # checked fast path: each group is small enough for one window task
-        run = Window.partitionBy(group_col).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(run).alias(f"cum_{c}") for c in value_cols])
-    cum = prefix_sums(df, [F.col(group_col).asc(), o], value_cols)
-    totals = df.groupBy(group_col).agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
-    w = Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(group_col, *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_g_{c}") for c in value_cols])
-    out = cum.join(F.broadcast(offs), group_col)
-    for c in value_cols:
-        out = out.withColumn(f"cum_{c}", F.col(f"cum_{c}") - F.col(f"_g_{c}")).drop(f"_g_{c}")
-    return out
+    return at.select(key_col, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))

@@ -114,35 +114,42 @@ def test_block_ordinal_dense(spark):
     assert all(int(a) == b for a, b in got)
 
 
-@pytest.mark.parametrize("window_max", [0, 2_000_000])
-def test_exact_quantiles_both_paths_match_numpy(spark, monkeypatch, window_max):
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_exact_quantiles_match_numpy(spark, parts):
     import numpy as np
 
     from tessera.operators import ordering as O
 
-    monkeypatch.setattr(O, "WINDOW_ROWS_MAX", window_max)  # 0 forces the range-sort path
     f = V.v_features(spark, SF, with_id=False)
     long = f.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in ["f1", "f2", "f3"]])).alias("e")).select("e.*")
+    long = long.withColumn("k", F.when(F.col("k") != "f3", F.col("k")))  # null is a key too
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     got = {(r.k, r.q): r.value for r in O.exact_quantiles(long, "k", "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
     pdf = f.toPandas()
-    for c in ["f1", "f2", "f3"]:
+    for c, k in [("f1", "f1"), ("f2", "f2"), ("f3", None)]:
         x = pdf[c].dropna().to_numpy()
         for q in [0.0, 0.25, 0.5, 0.9, 1.0]:
-            assert abs(got[(c, q)] - float(np.quantile(x, q))) < 1e-9 * max(1.0, abs(float(np.quantile(x, q))))
+            assert abs(got[(k, q)] - float(np.quantile(x, q))) < 1e-9 * max(1.0, abs(float(np.quantile(x, q))))
 
 
-@pytest.mark.parametrize("window_max", [0, 2_000_000])
-def test_auc_both_prefix_paths(spark, monkeypatch, window_max):
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_grouped_running_sums_keep_the_null_group(spark, parts):
     from tessera.operators import metrics as M
     from tessera.operators import ordering as O
 
-    monkeypatch.setattr(O, "WINDOW_ROWS_MAX", window_max)
-    s = V.v_scored(spark, SF)
-    got = {r.split: r.auc for r in M.auc(s, "split").collect()}
-    monkeypatch.setattr(O, "WINDOW_ROWS_MAX", 2_000_000 - window_max)
-    other = {r.split: r.auc for r in M.auc(s, "split").collect()}
-    for k in got:
-        assert (got[k] != got[k] and other[k] != other[k]) or abs(got[k] - other[k]) < 1e-12
+    rows = [(g, i * 0.5, i % 4, 1) for g, n in ((None, 30), ("a", 200), ("b", 1), ("c", 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, o double, x long, y long").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    for desc in (False, True):
+        got = {(r.g, r.o): (r.cum_x, r.cum_y) for r in O.grouped_prefix_sums(df, "g", "o", ["x", "y"], desc).collect()}
+        want = {(g, o): (sum(r[2] for r in rows if r[0] == g and (r[1] >= o if desc else r[1] <= o)), sum(r[3] for r in rows if r[0] == g and (r[1] >= o if desc else r[1] <= o))) for g, o, *_ in rows}
+        assert got == want
+    scored = df.select("g", F.pmod(F.col("x"), F.lit(2)).cast("int").alias("label"), (F.col("o") / 200).alias("prob"))
+    groups = {None, "a", "b", "c"}
+    for t in (M.auc, M.roc_curve, M.pr_curve, M.average_precision, M.metric_table, M.calculate_metrics):
+        assert {r.g for r in t(scored, "g").collect()} == groups
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
 def test_physical_shards(spark):
