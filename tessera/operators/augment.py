@@ -157,17 +157,21 @@ def augmented_dataset(
 
 
 def batch_dense_augment(
-    df: DataFrame, col: str, key_col: str, pos_col: str, batch_size: int, ratio: float = 0.1, noise_std: float = 0.01,
+    df: DataFrame, col: str, key_col: str, block_col: str, pos_col: str, batch_size: int, ratio: float = 0.1, noise_std: float = 0.01,
     scale_range: tuple[float, float] = (0.9, 1.1), seed: int = 42,
 ) -> DataFrame:
     """Within each batch the first int(B*ratio) rows have their dense
     vector replaced by x*s + N(0, std) (s uniform per row); row count and
-    other columns are unchanged."""
-    n_aug = int(batch_size * ratio)
-    in_head = F.pmod(F.col(pos_col), F.lit(batch_size)) < n_aug
+    other columns are unchanged. Batches are cut block by block from the
+    positions in a block, so B is smaller for the last batch of a block."""
+    sizes = df.groupBy(F.col(block_col).alias("_blk")).agg(F.count(F.lit(1)).alias("_rows"))
+    df = df.join(sizes, df[block_col].eqNullSafe(sizes["_blk"])).drop("_blk")
+    pos = F.pmod(F.col(pos_col), F.lit(batch_size))
+    rows = F.least(F.lit(batch_size), F.col("_rows") - (F.col(pos_col) - pos))
+    in_head = pos < F.floor(rows * F.lit(float(ratio)) + F.lit(1e-9))
     s = F.lit(scale_range[0]) + F.lit(scale_range[1] - scale_range[0]) * uniform(_key(key_col), "n11s", seed)
     new = F.transform(F.col(col), lambda v, i: (v * s + gaussian(_key(key_col), "n11g", seed, i) * noise_std).cast("float"))
-    return df.withColumn(col, F.when(in_head, new).otherwise(F.col(col)))
+    return df.withColumn(col, F.when(in_head, new).otherwise(F.col(col))).drop("_rows")
 
 
 # ---------------------------------------------------------------- pairing (J3) and mixing
@@ -175,44 +179,48 @@ def batch_dense_augment(
 PAIR_BUCKET_ROWS = 1 << 20
 
 
-def pair_bits(n_rows: int, floor_bits: int = 10) -> int:
-    """Hash bits for pairing buckets: at least 2^10 buckets, and enough that a
-    bucket (one window partition) holds about 1M rows or fewer."""
-    need = math.ceil(math.log2(n_rows / PAIR_BUCKET_ROWS)) if n_rows > PAIR_BUCKET_ROWS else 0
-    return min(32, max(floor_bits, need))
-
-
 def pair_partners(
     df: DataFrame, key_col: str, cols: Sequence[str], by: Sequence[str] = (), seed: int = 42, bits: int | None = None
 ) -> DataFrame:
-    """Pair every row with a shuffled partner: rows are ordered by a seeded
-    hash inside (by..., hash bucket) and each row takes the next row's
-    ``cols`` (the last wraps to the first). Buckets are hash-uniform, so no
-    window partition grows with key skew, and the bucket count grows with
-    the row count; output is one partner per row."""
+    """A random cyclic permutation of the rows of each class (``by``; null
+    is a class): rows in the order of a seeded hash take the ``cols`` of the
+    next row, the last row those of the first. Only the row of a class of its
+    own is its own partner.
+
+    The order is cut by the leading ``bits`` of the hash, so that a window
+    partition has about PAIR_BUCKET_ROWS rows or fewer, whatever the class
+    sizes; the last row of a bucket takes the first row of the class's next
+    bucket, from a table of one row a bucket. ``bits`` does not change results."""
     if bits is None:
-        bits = pair_bits(df.count())
+        bits = min(32, max(4, (df.count() // PAIR_BUCKET_ROWS).bit_length()))
     h = RD.hash32(F.col(key_col), "pair", seed)
-    d = df.withColumn("_h", h).withColumn("_b", F.shiftright(h, 32 - bits))
-    w = Window.partitionBy(*by, "_b").orderBy("_h", key_col)
-    wa = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = d
-    for c in cols:
-        out = out.withColumn(f"{c}_partner", F.coalesce(F.lead(c).over(w), F.first(c).over(wa)))
-    return out.drop("_h", "_b")
-
-
-def beta_sample(key: Column, salt: str, a: float, seed: int = 42, attempts: int = 8) -> Column:
-    """Beta(a, a) by Johnk's rejection method on hash uniforms, in log space;
-    the first accepted of ``attempts`` draws is used (0.5 if none)."""
-    res = F.lit(0.5)
-    for t in reversed(range(attempts)):
-        lx = F.log(F.lit(1.0) - uniform(key, f"{salt}:x", seed, t)) / a
-        ly = F.log(F.lit(1.0) - uniform(key, f"{salt}:y", seed, t)) / a
-        m = F.greatest(lx, ly)
-        lse = m + F.log(F.exp(lx - m) + F.exp(ly - m))
-        res = F.when(lse <= 0, F.lit(1.0) / (F.lit(1.0) + F.exp(ly - lx))).otherwise(res)
-    return res
+    d = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 32 - bits))
+    row = F.struct(*[F.col(c).alias(f"{c}_partner") for c in cols])
+    heads = d.groupBy(*by, "_b").agg(F.min_by(row, F.struct("_h", key_col)).alias("_head"))
+    order = Window.partitionBy(*by).orderBy("_b")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.withColumn("_next", F.coalesce(F.lead("_head").over(order), F.first("_head").over(whole)))
+    heads = heads.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_b").alias("_hb"), "_next")
+    d = d.withColumn("_lead", F.lead(row).over(Window.partitionBy(*by, "_b").orderBy("_h", key_col)))
+    cond = F.col("_b") == F.col("_hb")
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    partner = F.coalesce("_lead", "_next")
+    return d.join(heads, cond).select(*df.columns, *[partner[f"{c}_partner"].alias(f"{c}_partner") for c in cols])
+
+
+def beta_sample(key: Column, salt: str, a: float, seed: int = 42) -> Column:
+    """Beta(a, a) for any a > 0 from four hash uniforms, without rejection.
+
+    Y ~ Beta(a+1, a+1) by the closed form for symmetric beta variables; as a
+    Gamma(a) variable is a Gamma(a+1) variable times U^(1/a), the odds of the
+    result are Y / (1 - Y) * (U1 / U2)^(1/a)."""
+    u = {s: uniform(key, f"{salt}:{s}", seed) for s in "uvab"}
+    spread = F.sqrt(F.lit(1.0) - F.pow(F.lit(1.0) - u["v"], F.lit(2.0 / (2.0 * a + 1.0))))
+    y = F.lit(0.5) * (F.lit(1.0) + F.cos(F.lit(2 * math.pi) * u["u"]) * spread)
+    y = F.least(F.greatest(y, F.lit(1e-16)), F.lit(1.0 - 1e-16))
+    odds = F.log(y) - F.log(F.lit(1.0) - y) + (F.log(F.lit(1.0) - u["a"]) - F.log(F.lit(1.0) - u["b"])) / a
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
 def mixup(df: DataFrame, key_col: str, feat_cols: Sequence[str], label_col: str, alpha: float = 0.2, seed: int = 42) -> DataFrame:

@@ -1,9 +1,8 @@
 """Join-shaped operators.
 
-Small sides are broadcast only behind a size check (``checked_broadcast``)
-or when their size is bounded by a parameter (a codebook of K rows, a
-one-row statistics table); everything else is left to Catalyst/AQE
-(sort-merge or shuffled hash join on the key).
+Only one-row tables (statistics, blocks of a codebook) are broadcast by a
+hint; everything else is left to Catalyst/AQE (sort-merge or shuffled hash
+join on the key, or a broadcast of what is measured small).
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import global_row_number
-from tessera.session import checked_broadcast
+from tessera.session import materialize
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -84,24 +83,30 @@ def embedding_bag_mean(
     return rows.select(row_key).join(vecs, row_key, "left").select(row_key, F.coalesce("bag", zero).alias("bag"))
 
 
-def nearest_code(df: DataFrame, key: str, vec: str, codebook: DataFrame, code_key: str, code_vec: str, max_codes: int = 4096) -> DataFrame:
+CODES_PER_BLOCK = 1024
+
+
+def nearest_code(df: DataFrame, key: str, vec: str, codebook: DataFrame, code_key: str, code_vec: str) -> DataFrame:
     """Nearest codebook row by squared L2 (lowest code id on ties).
 
-    The codebook (K rows, K bounded by ``max_codes``) is packed into ONE row
-    holding an array of (id, vector) and attached by broadcast; each row
-    scans the K codes inside a higher-order function — no pair rows are
-    materialized."""
-    n = codebook.count()
-    if n > max_codes:
-        raise ValueError(f"codebook has {n} rows > max_codes={max_codes}")
-    packed = codebook.agg(F.collect_list(F.struct(F.col(code_key).alias("id"), F.col(code_vec).alias("v"))).alias("_codes"))
-    d = df.crossJoin(F.broadcast(packed))
+    The codebook is cut into blocks of about CODES_PER_BLOCK codes, each packed
+    into ONE row (an array of (id, vector)) and attached by broadcast; each row
+    scans a block inside a higher-order function and keeps the better of its
+    best and the block's — no pair rows, and no limit on the number of codes."""
+    book = materialize(codebook.select(F.col(code_key).alias("id"), F.col(code_vec).alias("v")))
+    n_blocks = max(1, -(-book.count() // CODES_PER_BLOCK))
     x = F.col(vec)
 
     def dist(c):
         return F.aggregate(F.zip_with(x, c["v"], lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2)), F.lit(0.0), lambda s, v: s + v)
 
-    best = F.array_min(F.transform("_codes", lambda c: F.struct(dist(c).alias("d2"), c["id"].alias("id"), c["v"].alias("q"))))
+    d, best = df, None
+    for i in range(n_blocks):
+        block = book.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i)
+        d = d.crossJoin(F.broadcast(block.agg(F.collect_list(F.struct("id", "v")).alias("_codes"))))
+        found = F.array_min(F.transform("_codes", lambda c: F.struct(dist(c).alias("d2"), c["id"].alias("id"), c["v"].alias("q"))))
+        d = d.withColumn("_best", found if best is None else F.least("_best", found)).drop("_codes")
+        best = F.col("_best")
     return d.select(key, best["id"].alias("code"), best["d2"].alias("d2"), best["q"].alias("quantized"))
 
 

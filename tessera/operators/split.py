@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import hash32
-from tessera.session import BROADCAST_ROW_LIMIT, materialize
+from tessera.session import broadcast_if_small, materialize
 
 DEFAULT_SEED = 42
 DEFAULT_BITS = 16
@@ -77,7 +77,7 @@ def rank_assign(
     hi = assign(F.col("_start") + F.col("_cnt") - 1, F.col("_n"))
     hist = hist.select("_cls", "_b", "_start", "_n", F.when(lo == hi, lo).alias("_whole"))
     # at most classes x 2^bits rows, counted above: broadcast only when small
-    hist = F.broadcast(hist) if size["rows"] <= BROADCAST_ROW_LIMIT else hist
+    hist = broadcast_if_small(hist, size["rows"], 96)
     j = d.join(hist, (d["_cls"].eqNullSafe(hist["_cls"])) & (d["_b"] == hist["_b"])).drop(hist["_cls"]).drop(hist["_b"])
     whole = j.where(F.col("_whole").isNotNull()).withColumn(out_col, F.col("_whole"))
     w = Window.partitionBy("_cls", "_b").orderBy("_h", id_col)
@@ -179,6 +179,13 @@ def batch_count(block_sizes: DataFrame, rows_col: str, batch_size: int) -> DataF
     return block_sizes.agg(F.sum(F.ceil(F.col(rows_col) / batch_size)).cast("bigint").alias("n_batches"))
 
 
+def cut_batches(shuffled: DataFrame, id_col: str, batch_size: int) -> DataFrame:
+    """The shuffled rows of a buffer window cut again into batches; the
+    last of a window may be smaller. A window holds ``buffer_blocks`` blocks."""
+    w = Window.partitionBy("shuffle_window").orderBy("shuffle_key", id_col)
+    return shuffled.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch_size).cast("bigint"))
+
+
 def windowed_shuffle(
     df: DataFrame, block_col: str, id_col: str, buffer_blocks: int, seed: int = DEFAULT_SEED, partitions: int | None = None
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import global_row_number
+from tessera.functions.rand import SqlExpr, hash32, hash32_sql
 from tessera.sources.tables import read_table
 
 
@@ -74,39 +74,37 @@ def v_basket(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored predictions: id, label, prob (3 decimals, so ties exist), split."""
+    """Scored predictions: id, label, score, prob (the score to 3 decimals, so
+    ties exist) and a split by hash of the id, so every split has both classes."""
     e = read_table(spark, sf, "events")
+    score = F.col("value") / (F.col("value") + F.lit(50.0))
+    h = F.pmod(hash32(F.col("event_id"), "scored", 42), F.lit(10))
     return e.select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"),
-        F.round(F.col("value") / (F.col("value") + F.lit(50.0)), 3).alias("prob"),
-        F.when(F.col("event_type") == "view", "train")
-        .when(F.col("event_type") == "click", "val")
-        .otherwise("test")
-        .alias("split"),
+        F.round(score, 3).alias("prob"),
+        F.when(h < 7, "train").when(h < 8, "val").otherwise("test").alias("split"),
+        score.alias("score"),
     )
 
 
+_ROW_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # and the price in cents
+
+
+def row_hash():
+    """60-bit id from the md5 of a lineitem row's keys and price (order and
+    line number repeat in the driver's tables); the same in DuckDB. A test
+    checks that no id repeats."""
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in _ROW_KEY], F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+
+
 def v_features(spark: SparkSession, sf: str, with_id: bool = True) -> DataFrame:
-    """Scalar features per lineitem row with a dense synthetic id over a full
-    sort key (computed by a distributed range sort, not a one-task window).
-    ``with_id=False`` skips the numbering for column-wise statistics that
-    never read the id."""
-    li = read_table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-        "l_quantity", "l_discount", "l_tax", "l_returnflag",
-    )
-    if not with_id:
-        return li.select(
-            F.col("l_quantity").alias("f1"), F.col("l_extendedprice").alias("f2"),
-            F.when(F.col("l_discount") != 0.0, F.col("l_discount")).alias("f3"), F.col("l_tax").alias("f4"),
-            F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("label_type"),
-        )
-    numbered = global_row_number(
-        li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "id"
-    )
-    return numbered.select(
-        "id",
+    """Scalar features per lineitem row, with a hash id of the row's keys: a
+    map, no sort. ``with_id=False`` leaves the id out."""
+    li = read_table(spark, sf, "lineitem")
+    return li.select(
+        *([row_hash().alias("id")] if with_id else []),
         F.col("l_quantity").alias("f1"),
         F.col("l_extendedprice").alias("f2"),
         F.when(F.col("l_discount") != 0.0, F.col("l_discount")).alias("f3"),
@@ -154,13 +152,12 @@ select l_orderkey,
        list(l_partkey order by l_linenumber, l_partkey, l_quantity) items,
        list(l_quantity order by l_linenumber, l_partkey, l_quantity) qty
 from lineitem group by 1""",
-    "v_scored": """
-select event_id id, case when event_type='purchase' then 1 else 0 end label,
-       round(value/(value+50.0),3) prob,
-       case event_type when 'view' then 'train' when 'click' then 'val' else 'test' end split
-from events""",
+    "v_scored": f"""
+select event_id id, case when event_type='purchase' then 1 else 0 end label, round(score,3) prob,
+       case when h < 7 then 'train' when h < 8 then 'val' else 'test' end split, score
+from (select *, value/(value+50.0) score, {hash32_sql(SqlExpr('event_id'), 'scored', '42')} % 10 h from events)""",
     "v_features": """
-select cast(row_number() over (order by l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice) as bigint) id,
+select cast('0x' || substr(md5(concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint))), 1, 15) as bigint) id,
        l_quantity f1, l_extendedprice f2, nullif(l_discount,0.0) f3, l_tax f4,
        case when l_returnflag='R' then 2 else 1 end label_type
 from lineitem""",

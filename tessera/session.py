@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Above this many rows a derived "small" table is joined by shuffle, not broadcast.
-BROADCAST_ROW_LIMIT = 2_000_000
+# A derived table is broadcast only when it is measured to be at most this.
+BROADCAST_BYTES = 16 << 20
 
 
 def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tessera") -> SparkSession:
@@ -36,15 +36,18 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when none is
-    configured (local tests) fall back to a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``. A fresh scratch folder is
+    used only in one-process (``local[...]``) sessions that configure none; on
+    any other master a machine-local folder would lose data, so that raises."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -56,9 +59,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Materialize a derived table and broadcast it only if its row count is
-    within ``max_rows``; otherwise return it un-hinted so the join shuffles."""
-    pinned = materialize(small)
-    n = pinned.count()
-    return F.broadcast(pinned) if n <= max_rows else pinned
+def broadcast_if_small(pinned: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Broadcast hint for a pinned table of ``rows`` rows of at most
+    ``row_bytes`` bytes, if that is at most BROADCAST_BYTES; else no hint."""
+    return F.broadcast(pinned) if rows * row_bytes <= BROADCAST_BYTES else pinned

@@ -78,17 +78,6 @@ def probability_range_ok(df: DataFrame, prob: str) -> DataFrame:
 
 
 
-def predictions_object(df: DataFrame, key: str, prob: str, max_rows: int = 1_000_000) -> DataFrame:
-    """S7 single-object form ``{"predictions": {key: prob, ...}}`` as one JSON
-    string row — only for outputs whose row count is checked to be small;
-    larger outputs must use ``write_predictions`` (JSON lines)."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} predictions > {max_rows}: write JSON lines instead")
-    m = df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(prob)))).alias("predictions"))
-    return m.select(F.to_json(F.struct("predictions")).alias("json"))
-
-
 def resolve_sidecar(spark: SparkSession, name: str, *dirs: str) -> DataFrame:
     """Read sidecar ``name`` from the first directory that has it (model
     directory first, then the data directory)."""

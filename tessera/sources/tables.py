@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import broadcast_if_small, materialize
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -20,11 +23,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_parquet_dir(spark: SparkSession, path: str) -> DataFrame:
-    """A directory of ``*.parquet`` files or a single file; keeps the file
-    path and in-file row index so a stable file/row order survives the
-    distributed scan. Errors if nothing matches."""
-    df = spark.read.parquet(path)
-    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """The ``*.parquet`` files of a directory, or a single file. Keeps the
+    file's name and path and the row index in it, so that the order by file
+    name, then row, survives the distributed scan. Raises FileNotFoundError
+    when no file matches."""
+    try:
+        df = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no *.parquet file in {path}") from e
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0)
+    return df.select("*", name.alias("_file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
 
 
 def blocks(df_with_meta: DataFrame, block_rows: int) -> DataFrame:
@@ -38,17 +46,18 @@ def blocks(df_with_meta: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
-def with_block_ordinal(df_with_meta: DataFrame, block_rows: int) -> DataFrame:
-    """Dense global block ordinal in (file name, block) order. The block table
-    has one row per block; it is numbered by a distributed range sort and
-    joined back on (file, block)."""
+def with_block_ordinal(df_with_meta: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """Rows with ``block``, the dense ordinal of their block in (file name,
+    block) order, ``_pos``, their position in it, and the number of blocks.
+    The block table has one row per block; it is numbered by a distributed
+    range sort and joined back on (file, block)."""
     from tessera.operators.ordering import global_row_number
 
     blk = blocks(df_with_meta, block_rows).select("_file", "block_in_file")
-    ordn = global_row_number(blk, ["_file", "block_in_file"], "block").withColumn("block", F.col("block") - 1)
-    return df_with_meta.withColumn("block_in_file", F.floor(F.col("_row") / block_rows)).join(
-        ordn, ["_file", "block_in_file"]
-    )
+    ordn = materialize(global_row_number(blk, ["_file", "block_in_file"], "block").withColumn("block", F.col("block") - 1))
+    n = ordn.count()
+    out = df_with_meta.withColumn("block_in_file", F.floor(F.col("_row") / block_rows)).withColumn("_pos", F.pmod("_row", F.lit(block_rows)))
+    return out.join(broadcast_if_small(ordn, n, 160), ["_file", "block_in_file"]), n
 
 
 def select_family(df: DataFrame, prefixes: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

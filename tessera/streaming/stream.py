@@ -1,11 +1,7 @@
-"""Streaming variants of the batch operators.
-
-* ``encode_stream``: Parquet file stream -> the same encode projection
-  (A10-A13) -> any sink (map-only, so every micro-batch is independent).
-* ``oob_counts_stream``: out-of-vocabulary / category counts as a running
-  aggregate (complete mode), checkpointed in the shared checkpoint dir so a
-  restarted query resumes exactly.
-"""
+"""Streaming variants of the batch operators: a Parquet file stream through a
+map-only transform (for example the encode projection A10-A13), and running
+counts by category. Both write Parquet under the shared checkpoint folder
+and keep their progress there, so a restarted query resumes."""
 
 from __future__ import annotations
 
@@ -24,19 +20,21 @@ def parquet_stream(spark: SparkSession, directory: str, glob: str, schema, max_f
 
 def category_counts_stream(spark: SparkSession, directory: str, table: str, key: str) -> DataFrame:
     """Run a file stream over ``<directory>/<table>.parquet`` to completion
-    (availableNow) with a running count per ``key`` and return the final
-    result table."""
+    (availableNow) with a running count per ``key``. Each micro-batch writes
+    the counts that changed as Parquet; the result is the last of each key."""
     schema = spark.read.parquet(f"{directory}/{table}.parquet").schema
     s = parquet_stream(spark, directory, f"{table}.parquet", schema)
-    agg = s.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    name = f"tessera_counts_{abs(hash((directory, table, key))) % 10**8}"
+    out = scratch_path(spark, f"stream-counts-{table}")
+
+    def write(batch: DataFrame, epoch: int):
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
     q = (
-        agg.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
-        .trigger(availableNow=True).start()
+        s.groupBy(key).agg(F.count(F.lit(1)).alias("n")).writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{out}/epoch=*").groupBy(key).agg(F.max_by("n", "epoch").alias("n"))
 
 
 def encode_stream_to(spark: SparkSession, source: DataFrame, encode, path: str):

@@ -150,14 +150,9 @@ def test_public_api_smoke(spark):
     assert folds == 3
 
 
-def test_predictions_object_and_sidecar_resolution(spark):
-    import json
-
+def test_sidecar_resolution(spark):
     from tessera.sources import sinks as SK
 
-    p = spark.createDataFrame([(1, 0.25), (2, 0.5)], "user_id long, prob double")
-    obj = json.loads(SK.predictions_object(p, "user_id", "prob").first().json)
-    assert obj == {"predictions": {"1": 0.25, "2": 0.5}}
     good = SK.scratch_path(spark, "model")
     SK.write_json_sidecar(spark, {"user_int": [[1, 5, 1]], "item_int": [], "user_dense": []}, f"{good}/schema.json")
     got = SK.resolve_sidecar(spark, "schema.json", SK.scratch_path(spark, "missing"), good)

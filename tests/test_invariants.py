@@ -114,6 +114,59 @@ def test_block_ordinal_dense(spark):
     assert all(int(a) == b for a, b in got)
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_feature_ids_are_unique(spark, sf):
+    f = V.v_features(spark, f"/root/testdata/sf{sf}")
+    assert f.select("id").distinct().count() == f.count()
+
+
+def test_blocks_follow_file_names(spark, tmp_path):
+    from tessera.sources import tables as T
+
+    for name, lo, n in (("b.parquet", 100, 25), ("a.parquet", 0, 12), ("c.parquet", 200, 10)):
+        spark.range(lo, lo + n).coalesce(1).write.parquet(f"{tmp_path}/x")
+        part = next((tmp_path / "x").glob("part-*.parquet"))
+        part.rename(tmp_path / name)
+        import shutil
+
+        shutil.rmtree(tmp_path / "x")
+    (tmp_path / "notes.txt").write_text("not a table")
+    rows, n = T.with_block_ordinal(T.read_parquet_dir(spark, str(tmp_path)), 10)
+    got = sorted((r["block"], r["_pos"], r["id"]) for r in rows.collect())
+    ids = [*range(12)], [*range(100, 125)], [*range(200, 210)]
+    cut = [f[i : i + 10] for f in ids for i in range(0, len(f), 10)]
+    assert n == 6 and got == [(b, p, x) for b, block in enumerate(cut) for p, x in enumerate(block)]
+    with pytest.raises(FileNotFoundError):
+        T.read_parquet_dir(spark, f"{tmp_path}/none")
+
+
+@pytest.mark.parametrize("bits", [0, 3, 20, None])
+def test_partners_are_one_cycle_a_class(spark, bits):
+    from tessera.operators import augment as N
+
+    rows = [(i, c) for c, n in (("a", 40), (None, 7), ("one", 1)) for i in range(len(c or "") * 1000, len(c or "") * 1000 + n)]
+    got = N.pair_partners(spark.createDataFrame(rows, "id long, c string"), "id", ["id", "c"], by=["c"], bits=bits).collect()
+    to = {r["id"]: r["id_partner"] for r in got}
+    assert all(r["c"] == r["c_partner"] for r in got) and len(to) == len(rows)
+    for first, n in ((1000, 40), (0, 7), (3000, 1)):
+        seen, at = [], first
+        while at not in seen:
+            seen.append(at)
+            at = to[at]
+        assert len(seen) == n
+    test_partners_are_one_cycle_a_class.seen = getattr(test_partners_are_one_cycle_a_class, "seen", to)
+    assert test_partners_are_one_cycle_a_class.seen == to  # the same at any bucket setting
+
+
+@pytest.mark.parametrize("alpha", [0.2, 1.0, 2.0])
+def test_beta_moments(spark, alpha):
+    from tessera.operators import augment as N
+
+    x = spark.range(40_000).select(N.beta_sample(F.col("id"), "t", alpha).alias("x"))
+    m = x.agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.count_if(F.col("x") == 0.5).alias("half")).first()
+    assert abs(m["m"] - 0.5) < 0.01 and abs(m["v"] - 1 / (4 * (2 * alpha + 1))) < 0.01 and m["half"] < 5
+
+
 @pytest.mark.parametrize("parts", [1, 7, 64])
 def test_exact_quantiles_match_numpy(spark, parts):
     import numpy as np
