@@ -1,113 +1,163 @@
 """Exact k-nearest neighbours inside one table (J6) and SMOTE.
 
-Sorted-neighbourhood search with a certified radius
----------------------------------------------------
-Points are projected on a unit direction ``v`` (the first principal axis,
-slightly tilted so distinct points rarely tie) and numbered in
-(projection, id) order by a distributed range sort. A point's candidates
-are the 2(m+1) points around it in that order — an equi-join on the row
-number, so each point emits a bounded number of rows whatever the density.
-Because |(y - x)·v| <= ||y - x||, every point outside the window is at least
-``gap`` away (gap = projection distance to the window edges); when the k-th
-candidate distance is <= gap the k nearest are certified exact. Only the
-uncertified points go to the next round with a 4x wider window; a window
-that covers the whole table is trivially exact. Exact duplicates certify at
-once (distance 0 <= gap 0).
+Cells of a k-d tree with exact radius checks
+--------------------------------------------
+Equal points collapse to one vector with their k + 1 lowest ids, so duplicates
+cost nothing and cells of distinct vectors can always be split. A k-d tree
+from a bounded sample cuts the space into cells of about ``cell_rows``
+vectors; the exact bounding boxes of the cells follow from one aggregate.
+Round one finds every vector's k + 1 nearest in its own cell, which bounds
+the distance r of its true ones. Round two visits just the cells whose box is
+within r of the vector (ties included) and keeps k + 1 per visit. The merge of
+both is exact, ties by id. A task holds one cell's vectors and at most
+``VISITS_PER_TASK`` visitors and works in blocks of CHUNK visitors; nothing
+is collected per point beyond k + 1 neighbours a visit.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import uniform
-from tessera.operators.ordering import global_row_number
 from tessera.operators.split import rank_assign
-from tessera.session import materialize
-
-INF = float("inf")
-
-
-def _direction(df: DataFrame, cols: Sequence[str]) -> list[float]:
-    """Unit vector along the first principal axis. The d x d covariance comes
-    from one aggregate (sums and cross products); its eigenvector is metadata
-    computed on the driver. Falls back to the widest column if degenerate."""
-    import numpy as np
-
-    d = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    r = df.agg(*aggs).first()
-    n = float(r["n"] or 0)
-    if n < 2:
-        return [1.0] + [0.0] * (d - 1)
-    mean = np.array([float(r[f"s{i}"] or 0.0) / n for i in range(d)])
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = float(r[f"p{i}_{j}"] or 0.0) / n - mean[i] * mean[j]
-    vals, vecs = np.linalg.eigh(cov)
-    v = vecs[:, int(np.argmax(vals))]
-    # tilt slightly so distinct points rarely share a projection
-    v = v + 1e-3 * np.arange(1, d + 1) * (np.abs(v).max() or 1.0)
-    norm = float(np.linalg.norm(v))
-    if not np.isfinite(norm) or norm == 0:
-        widest = int(np.argmax(np.diag(cov)))
-        return [1.0 if i == widest else 0.0 for i in range(d)]
-    return [float(x) / norm for x in v]
-
-
-def _dist(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-
-
-def knn_self_join(
-    df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, m0: int = 16, trace: list | None = None
-) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean, excluding the point itself;
-    ties broken by id) -> (id, nbrs array<struct<d: double, id>>)."""
-    pts = df.select(F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
-    v = _direction(pts.select(*[F.col("_x")[i].alias(c) for i, c in enumerate(cols)]), cols)
-    pts = pts.withColumn("_proj", sum((F.col("_x")[i] * F.lit(w) for i, w in enumerate(v)), F.lit(0.0)))
-    ranked = global_row_number(pts, ["_proj", "_id"], "_r")  # pinned by its checkpoint
-    n = ranked.count()
-    table = ranked.select(F.col("_r").alias("_tr"), F.col("_id").alias("_tid"), F.col("_proj").alias("_tp"), F.col("_x").alias("_tx"))
-    pending = ranked.select("_id", "_r", "_proj", "_x")
-    done: DataFrame | None = None
-    m = m0
-    while True:
-        w = m + 1
-        offs = F.array(*[F.lit(o) for o in range(-w, w + 1) if o != 0])
-        cand = pending.select("*", F.explode(offs).alias("_o")).withColumn("_tr", F.col("_r") + F.col("_o"))
-        j = cand.join(table, "_tr").withColumn("_d", _dist(F.col("_x"), F.col("_tx")))
-        g = j.groupBy("_id", "_r", "_proj").agg(
-            F.slice(F.array_sort(F.collect_list(F.struct(F.col("_d").alias("d"), F.col("_tid").alias("id")))), 1, k).alias("nbrs"),
-            F.min(F.when(F.col("_o") == -w, F.col("_proj") - F.col("_tp"))).alias("_glo"),
-            F.min(F.when(F.col("_o") == w, F.col("_tp") - F.col("_proj"))).alias("_ghi"),
-            F.first("_x").alias("_x"),
-        )
-        gap = F.least(F.coalesce("_glo", F.lit(INF)), F.coalesce("_ghi", F.lit(INF)))
-        covers_all = (F.col("_r") - w <= 1) & (F.col("_r") + w >= n)
-        dk = F.col("nbrs")[k - 1]["d"]
-        # tiny relative slack keeps float rounding from certifying a near-tie
-        ok = covers_all | ((F.size("nbrs") >= k) & (dk <= gap * (1 - 1e-12)))
-        g = materialize(g.withColumn("_ok", ok))
-        good = g.where("_ok").select(F.col("_id").alias(id_col), "nbrs")
-        done = good if done is None else done.unionByName(good)
-        pending = g.where(~F.col("_ok")).select("_id", "_r", "_proj", "_x")
-        left = pending.count()
-        if trace is not None:
-            trace.append((m, left))
-        if left == 0:
-            break
-        if 2 * w >= n:  # next window spans the table: that round is exact
-            m = n
+from tessera.session import BROADCAST_BYTES, materialize
+
+CELL_ROWS = 2048
+VISITS_PER_TASK = 50_000
+CHUNK = 256
+
+_NBRS = "array<struct<d:double,id:long>>"
+
+
+def _nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per query its k nearest entries by (distance, id): distances and ids."""
+    dist, found = [], []
+    for at in range(0, len(queries), CHUNK):
+        q = queries[at : at + CHUNK]
+        sq = np.zeros((len(q), len(points)))
+        for i in range(q.shape[1]):
+            sq += np.square(q[:, i, None] - points[None, :, i])
+        d = np.sqrt(sq)
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1] if len(points) > k else np.full(len(q), np.inf)
+        row, col = np.nonzero(d <= limit[:, None])
+        order = np.lexsort((ids[col], d[row, col], row))
+        row, col = row[order], col[order]
+        start = np.searchsorted(row, np.arange(len(q)))
+        keep = np.arange(len(row)) - start[row] < k
+        row, col = row[keep], col[keep]
+        cuts = np.searchsorted(row, np.arange(1, len(q)))
+        dist += np.split(d[row, col], cuts)
+        found += np.split(ids[col], cuts)
+    return dist, found
+
+
+def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(-1, dims)
+
+
+def _entries(x: np.ndarray, ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Points and ids with a vector repeated for each of its ids."""
+    lists = ids.combine_chunks()
+    count = np.diff(lists.offsets.to_numpy())
+    return np.repeat(x, count, axis=0), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _nbr_lists(dist: list[np.ndarray], found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, dist)]).astype(np.int32)
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0), *dist])), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["d", "id"])
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+
+def _tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dimension and value of the splits of a full tree, in heap order."""
+    dim, value = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1)
+    todo = [(0, sample)]
+    while todo:
+        node, rows = todo.pop()
+        if node >= len(dim):
             continue
-        m *= 4
-    return done
+        if len(rows):
+            dim[node] = int(np.argmax(rows.max(axis=0) - rows.min(axis=0)))
+            value[node] = np.median(rows[:, dim[node]])
+        right = rows[:, dim[node]] > value[node]
+        todo += [(2 * node + 1, rows[~right]), (2 * node + 2, rows[right])]
+    return dim, value
+
+
+def knn_self_join(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Exact k nearest neighbours (Euclidean, excluding the point itself;
+    ties broken by id) -> (id, nbrs array<struct<d: double, id>>). Ids are
+    unique; a table of fewer than k + 1 points gives shorter lists."""
+    spark, dims = df.sparkSession, len(cols)
+    pts = df.select(F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    # the row limit is applied in each task before the shuffle
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("_id"))
+    few = pts.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    vecs = materialize(few.groupBy("x").agg(F.array_sort(F.collect_list("_id")).alias("ids")))
+    n = vecs.count()
+
+    cells = max(1, min(-(-n // cell_rows), BROADCAST_BYTES // (16 * dims)))
+    depth = (cells - 1).bit_length()
+    wanted = min(64 << depth, BROADCAST_BYTES // (8 * dims))
+    share = min(1.0, wanted / max(n, 1))
+    picked = vecs.where(F.pmod(F.xxhash64("x"), F.lit(1 << 30)) < int(share * (1 << 30))).select("x").collect() if depth else []
+    tree = spark.sparkContext.broadcast(_tree(np.array([r["x"] for r in picked]).reshape(-1, dims), depth))
+
+    @F.arrow_udf("long")
+    def cell_of(x: pa.Array) -> pa.Array:
+        dim, value = tree.value
+        m = _matrix(pa.chunked_array([x]), dims)
+        node = np.zeros(len(m), np.int64)
+        for _ in range(depth):
+            node = 2 * node + 1 + (m[np.arange(len(m)), dim[node]] > value[node])
+        return pa.array(node)
+
+    table = materialize(vecs.select(F.col("ids")[0].alias("vid"), "x", "ids", cell_of("x").alias("cell")))
+    box = [F.array(*[f(F.col("x")[i]) for i in range(dims)]).alias(a) for f, a in ((F.min, "lo"), (F.max, "hi"))]
+    rows = table.groupBy("cell").agg(*box).collect()  # at most BROADCAST_BYTES
+    boxes = spark.sparkContext.broadcast((np.array([r["cell"] for r in rows], np.int64), np.array([r["lo"] for r in rows]).reshape(-1, dims), np.array([r["hi"] for r in rows]).reshape(-1, dims)))
+
+    def gap(lo, hi, blo, bhi):
+        """Distances between a box (or points) and boxes."""
+        return np.sqrt(np.square(np.maximum(0, np.maximum(blo - hi, lo - bhi))).sum(axis=-1))
+
+    def own(t: pa.Table) -> pa.Table:
+        x = _matrix(t["x"], dims)
+        dist, found = _nearest(x, *_entries(x, t["ids"]), k + 1)
+        r = np.array([d[-1] if len(d) > k else np.inf for d in dist]) * (1 + 1e-12)
+        cell, lo, hi = boxes.value
+        here = t["cell"][0].as_py()
+        close = np.flatnonzero((cell != here) & (gap(x.min(axis=0), x.max(axis=0), lo, hi) <= r.max()))
+        visits: list[list[int]] = [[] for _ in range(len(x))]
+        for c in close:
+            for i in np.flatnonzero(gap(x, x, lo[c], hi[c]) <= r):
+                visits[i].append(int(cell[c]))
+        vectors = t["x"].cast(pa.list_(pa.field("element", pa.float64())))
+        return pa.table({"vid": t["vid"], "x": vectors, "nbrs": _nbr_lists(dist, found), "visits": pa.array(visits, pa.list_(pa.int64()))})
+
+    first = materialize(table.groupBy("cell").applyInArrow(own, f"vid long, x array<double>, nbrs {_NBRS}, visits array<long>"))
+    visits = first.select("vid", "x", F.explode("visits").alias("cell"))
+    most = visits.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+    parts = -(-most // VISITS_PER_TASK) or 1
+    visits = visits.withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(parts)))
+    hosts = table.select("x", "ids", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+    def visit(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows:
+            return pa.table({"vid": pa.array([], pa.int64()), "nbrs": _nbr_lists([], [])})
+        return pa.table({"vid": q["vid"], "nbrs": _nbr_lists(*_nearest(_matrix(q["x"], dims), *_entries(_matrix(t["x"], dims), t["ids"]), k + 1))})
+
+    away = visits.groupBy("cell", "part").cogroup(hosts.groupBy("cell", "part")).applyInArrow(visit, f"vid long, nbrs {_NBRS}")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("nbrs"))), 1, k + 1).alias("near")
+    near = first.select("vid", "nbrs").unionByName(away).groupBy("vid").agg(best)
+    near = first.select("vid", "x").join(near, "vid").select("x", "near")
+    return pts.join(near, "x").select(F.col("_id").alias(id_col), F.slice(F.filter("near", lambda e: e["id"] != F.col("_id")), 1, k).alias("nbrs"))
 
 
 def smote(

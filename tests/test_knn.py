@@ -18,23 +18,41 @@ def _minority(spark, coarse=False):
     return f
 
 
+def _brute(ids, X, k):
+    out = {}
+    for i, key in enumerate(ids):
+        d = np.zeros(len(X))
+        for c in range(X.shape[1]):
+            d += np.square(X[:, c] - X[i, c])
+        d = np.sqrt(d)
+        out[key] = sorted((float(d[j]), int(ids[j])) for j in range(len(ids)) if j != i)[:k]
+    return out
+
+
+@pytest.mark.parametrize("cell_rows", [8, 100, 2048])
 @pytest.mark.parametrize("coarse", [False, True])
-def test_knn_matches_brute_force(spark, coarse):
+def test_knn_matches_brute_force(spark, coarse, cell_rows):
     f = _minority(spark, coarse)
-    got = {r.id: r.nbrs for r in K.knn_self_join(f, "id", COLS, k=5, m0=4).collect()}
+    got = {r.id: [(n.d, n.id) for n in r.nbrs] for r in K.knn_self_join(f, "id", COLS, k=5, cell_rows=cell_rows).collect()}
     pdf = f.toPandas().sort_values("id")
-    X = pdf[COLS].to_numpy(float)
-    ids = pdf["id"].to_numpy()
-    pos = {v: i for i, v in enumerate(ids)}
-    assert set(got) == set(ids)
-    for i, key in enumerate(ids):
-        d = np.sqrt(((X - X[i]) ** 2).sum(1))
-        d[i] = np.inf
-        want = np.sort(d)[:5]
-        reported = np.array([n.d for n in got[key]])
-        true = np.array([d[pos[n.id]] for n in got[key]])
-        assert np.allclose(reported, want) and np.allclose(true, reported)
-        assert key not in [n.id for n in got[key]]
+    assert got == _brute(pdf["id"].to_numpy(), pdf[COLS].to_numpy(float), 5)
+
+
+@pytest.mark.parametrize("visits", [40, 50_000])
+def test_knn_high_dimension_duplicates_and_ties(spark, monkeypatch, visits):
+    monkeypatch.setattr(K, "VISITS_PER_TASK", visits)
+    rng = np.random.default_rng(0)
+    X = np.vstack([rng.random((600, 12)), np.repeat(rng.random((1, 12)), 60, axis=0), np.eye(12), -np.eye(12)])
+    names = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(X)], "id long, " + ", ".join(f"{c} double" for c in names)).repartition(4)
+    got = {r.id: [(n.d, n.id) for n in r.nbrs] for r in K.knn_self_join(df, "id", names, k=5, cell_rows=64).collect()}
+    assert got == _brute(np.arange(len(X)), X, 5)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_knn_of_few_points(spark, n):
+    got = K.knn_self_join(spark.range(n).withColumn("a", F.col("id") * 1.0), "id", ["a"], k=5).collect()
+    assert sorted(len(r.nbrs) for r in got) == [max(0, n - 1)] * n
 
 
 def test_smote_counts_and_segments(spark):
