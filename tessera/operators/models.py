@@ -20,6 +20,9 @@ from tessera.functions import arrays as A
 from tessera.functions import scalars as S
 from tessera.operators import catalog as C
 from tessera.operators import joins as J
+from tessera.operators import metrics as M
+from tessera.operators import split as R
+from tessera.session import materialize
 
 
 def features_ml(df: DataFrame) -> DataFrame:
@@ -55,24 +58,22 @@ def features_ml(df: DataFrame) -> DataFrame:
 
 def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """one-way ANOVA F statistic per feature from per-class count, mean
-    and sample variance (one grouped aggregate; classes are few)."""
+    and sample variance: one grouped aggregate over the table (one row per
+    class), unpivoted to (feature, class) rows, and one small aggregate."""
     aggs = []
     for c in features:
         aggs += [F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__m"), F.var_samp(c).alias(f"{c}__v")]
-    g = df.groupBy(label).agg(*aggs)
-    rows = []
-    for c in features:
-        n, m, v = F.col(f"{c}__n"), F.col(f"{c}__m"), F.col(f"{c}__v")
-        tot_n = F.sum(n)
-        grand = F.sum(n * m) / tot_n
-        k = F.count(F.lit(1))
-        between = (F.sum(n * m * m) - tot_n * grand * grand) / (k - 1)
-        within = F.sum(F.coalesce((n - 1) * v, F.lit(0.0))) / (tot_n - k)
-        rows.append(g.agg(F.lit(c).alias("feature"), (between / within).alias("f_score")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    per_class = df.groupBy(label).agg(*aggs)
+    long = per_class.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"{c}__n").alias("n"), F.col(f"{c}__m").alias("m"), F.col(f"{c}__v").alias("v")) for c in features
+    ])))
+    n, m = F.col("n"), F.col("m")
+    g = long.groupBy("feature").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.sum(n * m * m).alias("nmm"), F.sum(n * m).alias("nm"),
+        F.sum(F.coalesce((n - 1) * F.col("v"), F.lit(0.0))).alias("within"),
+    )
+    between = (F.col("nmm") - F.col("nm") * F.col("nm") / F.col("total")) / (F.col("k") - 1)
+    return g.select("feature", (between / (F.col("within") / (F.col("total") - F.col("k")))).alias("f_score"))
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -90,11 +91,13 @@ def select_top_k(df: DataFrame, features: Sequence[str], label: str, k: int = 50
     return [features[i] for i in model.selectedFeatures]
 
 
-def with_balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """G16 weights n / (k * n_c) attached by a broadcast of the per-class table."""
-    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    g = g.select(label, (F.sum("_nc").over(Window.partitionBy()) / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(g), label)
+def with_balanced_weight(df: DataFrame, label: str, out: str = "weight", fit_on: DataFrame | None = None) -> DataFrame:
+    """G16 weights n / (k * n_c), fitted on ``fit_on`` (by default ``df``) and
+    attached by the per-class table; a class it lacks gets no weight (null)."""
+    g = (df if fit_on is None else fit_on).groupBy(F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_nc"))
+    every = Window.partitionBy()
+    g = g.select("_cls", (F.sum("_nc").over(every) / (F.count(F.lit(1)).over(every) * F.col("_nc"))).alias(out))
+    return df.join(g, df[label].eqNullSafe(g["_cls"]), "left").drop("_cls")
 
 
 def logistic_regression(features: Sequence[str], label: str = "y", C_inv: float = 1.0, n_rows: float | None = None,
@@ -149,3 +152,45 @@ def kmeans_codebook(df: DataFrame, vec: str, k: int = 256, seed: int = 42, max_i
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     from pyspark.sql import SparkSession
     return SparkSession.getActiveSession().createDataFrame(rows, "code long, center array<double>")
+
+
+def cross_validate(df: DataFrame, id_col: str, label: str, features: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """Refit per stratified fold with weights and penalty from the fold's
+    training rows; (fold, n_train, n_test, auc, logloss, accuracy) of each held-out fold."""
+    folded = materialize(R.stratified_kfold(df.select(id_col, label, *features), id_col, label, k, seed))
+    out = None
+    for i in range(k):
+        train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
+        train = with_balanced_weight(train, label)
+        w = train.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).first()
+        model = logistic_regression(features, label, 1.0, w["w"]).fit(train)
+        scored = score(model, test, ["fold", label]).withColumn("label", F.col(label).cast("int"))
+        size = scored.groupBy("fold").agg(F.lit(w["n"]).cast("long").alias("n_train"), F.count(F.lit(1)).alias("n_test"))
+        m = size.join(M.metric_table(scored, "fold", "label", "prob"), "fold")
+        out = m if out is None else out.unionByName(m)
+    return materialize(out)
+
+
+def cv_summary(folds: DataFrame) -> DataFrame:
+    """Mean and population standard deviation of each metric over the folds."""
+    metrics = ("auc", "logloss", "accuracy")
+    long = folds.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in metrics])))
+    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("folds"))
+
+
+def penalised_gradient(scored: DataFrame, model: PipelineModel, features: Sequence[str], label: str, weight: str, prob: str = "prob") -> DataFrame:
+    """F5 check: one row a coefficient (and the intercept): the gradient of the
+    weighted mean loss plus the L2 term, in units of the feature's deviation.
+    All are zero at the optimum."""
+    lr = model.stages[-1]
+    reg, coef = lr.getRegParam(), lr.coefficients.toArray().tolist()
+    err = F.col(weight) * (F.col(prob) - F.col(label))
+    one = scored.agg(
+        F.sum(weight).alias("w"), F.sum(err).alias("g"),
+        *[F.sum(err * F.col(c)).alias(f"{c}__g") for c in features], *[F.stddev_pop(c).alias(f"{c}__s") for c in features],
+    )
+    rows = [F.struct(F.lit("(intercept)").alias("feature"), (F.col("g") / F.col("w")).alias("gradient"))]
+    for c, b in zip(features, coef):
+        g = F.col(f"{c}__g") / F.col("w") + F.lit(reg * b)
+        rows.append(F.struct(F.lit(c).alias("feature"), F.when(F.col(f"{c}__s") > 0, g / F.col(f"{c}__s")).otherwise(F.lit(0.0)).alias("gradient")))
+    return one.select(F.inline(F.array(*rows)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import SqlExpr, hash32_sql
@@ -917,6 +917,27 @@ where stop_step is null or step <= stop_step group by 1""",
 )(lambda spark, sf: W.early_stopping(V.v_runs(spark, sf), "run_id", "step", "val_auc", patience=3, min_delta=0.0, mode="max"))
 
 
+def _w8_sql(margin: float, patience: int, mode: str) -> str:
+    """The tracker step by step, one recursion row a step of every run."""
+    better = f"h.val_auc > r.best + {margin!r}" if mode == "max" else f"h.val_auc < r.best - {margin!r}"
+    return f"""with recursive v_runs as ({V.SQL['v_runs']}),
+h as (select *, row_number() over (partition by run_id order by step) rn from v_runs),
+r as (select run_id, rn, val_auc best, cast(step as bigint) best_step, 0 counter, cast(null as bigint) stop_step from h where rn = 1
+  union all
+  select h.run_id, h.rn,
+         case when r.stop_step is null and {better} then h.val_auc else r.best end,
+         case when r.stop_step is null and {better} then h.step else r.best_step end,
+         case when r.stop_step is not null then r.counter when {better} then 0 else r.counter + 1 end,
+         case when r.stop_step is not null then r.stop_step when not ({better}) and r.counter + 1 >= {patience} then h.step end
+  from r join h on h.run_id = r.run_id and h.rn = r.rn + 1)
+select run_id, max_by(best, rn) best_value, max_by(best_step, rn) best_step, cast(max(stop_step) as bigint) stop_step from r group by run_id"""
+
+
+for _mode in ("max", "min"):
+    register(f"W8_early_stopping_margin_{_mode}", _w8_sql(1e-4, 5, _mode))(
+        lambda spark, sf, mode=_mode: W.early_stopping(V.v_runs(spark, sf), "run_id", "step", "val_auc", patience=5, min_delta=1e-4, mode=mode))
+
+
 # ---------------------------------------------------------------- augmentation (N, J3, A18)
 
 from tessera.functions.rand import uniform_sql, gaussian_sql  # noqa: E402,F401
@@ -1348,77 +1369,159 @@ register("F4_anova_f_scores", with_views(_anova_sql(["f1", "f2", "f3", "f4"]), "
 
 
 def _train_frame(spark, sf):
-    f = V.v_features(spark, sf).withColumn("y", S.label_shift("label_type").cast("double"))
-    f = f.fillna(0.0, subset=FEAT_COLS)
-    sp = R.stratified_split(f, "id", "y", 0.2, 0.1, 42)
-    return ML.with_balanced_weight(sp, "y")
+    """The F3 feature table with label, exact split, and weights from train
+    alone; pinned, as fits and checks read it many times."""
+    from tessera.session import materialize
+    f = ML.features_ml(V.v_wide(spark, sf))
+    features = [c for c in f.columns if c not in ("sample_id", "label_type", "label_time")]
+    f = f.select("sample_id", "user_id", S.label_shift("label_type").cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x_{c}") for c in features])
+    sp = R.stratified_split(f, "sample_id", "y", 0.2, 0.1, 42)
+    return materialize(ML.with_balanced_weight(sp, "y", fit_on=sp.where("split = 'train'"))), [f"x_{c}" for c in features]
 
 
 @register("F4_select_top_k")
 def q_select(spark, sf):
-    tr = _train_frame(spark, sf).where("split = 'train'")
+    f = V.v_features(spark, sf).withColumn("y", S.label_shift("label_type").cast("double")).fillna(0.0, subset=FEAT_COLS)
+    tr = R.stratified_split(f, "id", "y", 0.2, 0.1, 42).where("split = 'train'")
     chosen = ML.select_top_k(tr, FEAT_COLS, "y", 2)
     return spark.createDataFrame([(c,) for c in chosen], "feature string")
 
 
 def _fit_lr(spark, sf):
-    d = _train_frame(spark, sf)
+    d, features = _train_frame(spark, sf)
     tr = d.where("split = 'train'")
     w = tr.agg(F.sum("weight")).first()[0]
-    model = ML.logistic_regression(FEAT_COLS, "y", 1.0, w).fit(tr)
-    return d, model
+    return d, features, ML.logistic_regression(features, "y", 1.0, w).fit(tr)
+
+
+# Facts of a fit that DuckDB can state: rows (fact, n, ok).
+
+_FACTS = "fact string, n long, ok boolean"
+
+
+def _fact(df, name, n=None, ok=None):
+    """One row from an aggregate over ``df``: a count and a check."""
+    return df.agg(F.lit(name).alias("fact"), (F.count(F.lit(1)) if n is None else n).cast("long").alias("n"), (F.lit(True) if ok is None else ok).alias("ok"))
+
+
+def _split_facts(scored):
+    """Rows of each split, all with a probability, and the class that follows from it."""
+    ok = F.min((F.col("prob") >= 0) & (F.col("prob") <= 1) & ((F.col("prob") > 0.5).cast("int") == F.col("pred")))
+    return scored.groupBy(F.concat(F.lit("rows "), F.col("split")).alias("fact")).agg(F.count(F.lit(1)).alias("n"), ok.alias("ok"))
+
+
+def _better_than_rate(scored, weight="weight"):
+    """Whether the weighted training logloss is below that of the constant rate."""
+    t = scored.where("split = 'train'")
+    p = F.greatest(F.least(F.col("prob"), F.lit(1 - 1e-15)), F.lit(1e-15))
+    loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
+    w = F.col(weight)
+    rate = F.sum(w * F.col("y")) / F.sum(w)
+    return _fact(t, "training loss below the constant rate's", ok=F.sum(w * loss) / F.sum(w) < -(rate * F.log(rate) + (1 - rate) * F.log(1 - rate)))
+
+
+_SPLIT_SIZES_SQL = f"""{SPLIT_SQL_CORE.strip()},
+facts as (select 'rows ' || split fact, count(*) n, true ok from sp group by 1)"""
+_TRAIN_SQL = "select 'training loss below the constant rate''s', count(*), true from sp where split = 'train'"
+
+
+def _facts_sql(*more: str) -> str:
+    return with_views(f", {_SPLIT_SIZES_SQL}\nselect * from facts" + "".join(f"\nunion all {m}" for m in more), "v_interactions")
 
 
-@register("F5_F8_lr_fit_score")
+_N_FEATURES = 25  # of the wide fixture's F3 table, without ids of rows and labels
+
+
+@register("F5_F8_lr_fit_score", _facts_sql(_TRAIN_SQL, f"select 'gradient near zero', {_N_FEATURES} + 1, true"))
 def q_lr(spark, sf):
-    d, model = _fit_lr(spark, sf)
-    return ML.score(model, d, ["id", "split", "y"])
+    d, features, model = _fit_lr(spark, sf)
+    s = ML.score(model, d, d.columns)
+    g = ML.penalised_gradient(s.where("split = 'train'"), model, features, "y", "weight")
+    return _split_facts(s).unionByName(_better_than_rate(s)).unionByName(_fact(g, "gradient near zero", ok=F.max(F.abs("gradient")) < 5e-3))
 
 
-@register("F6_gbt_fit_score")
+@register("F6_gbt_fit_score", _facts_sql(_TRAIN_SQL))
 def q_gbt(spark, sf):
-    d = _train_frame(spark, sf)
-    model = ML.gbt(FEAT_COLS, "y").fit(d.where("split = 'train'"))
-    return ML.score(model, d, ["id", "split", "y"])
+    d, features = _train_frame(spark, sf)
+    model = ML.gbt(features, "y").fit(d.where("split = 'train'"))
+    s = ML.score(model, d, ["split", "y"]).withColumn("weight", F.lit(1.0))
+    return _split_facts(s).unionByName(_better_than_rate(s))
 
 
-@register("F7_gbt_weighted_early_stop")
+@register("F7_gbt_weighted_early_stop", _facts_sql(_TRAIN_SQL))
 def q_lgbm(spark, sf):
-    d = _train_frame(spark, sf).withColumn("is_val", F.col("split") == "val")
-    model = ML.gbt(FEAT_COLS, "y", max_iter=100, depth=5, subsample=1.0, colsample=1.0, weight="weight", validation="is_val").fit(
+    d, features = _train_frame(spark, sf)
+    d = d.withColumn("is_val", F.col("split") == "val")
+    model = ML.gbt(features, "y", max_iter=100, depth=5, subsample=1.0, colsample=1.0, weight="weight", validation="is_val").fit(
         d.where("split in ('train', 'val')"))
-    return ML.score(model, d, ["id", "split", "y"])
+    s = ML.score(model, d, ["split", "y", "weight"])
+    return _split_facts(s).unionByName(_better_than_rate(s))
 
 
-@register("F9_S9_importance_csv")
+@register("F9_S9_importance_csv", f"select 'coefficients' fact, {_N_FEATURES} n, true ok union all select 'in descending order', {_N_FEATURES}, true")
 def q_importance(spark, sf):
-    _, model = _fit_lr(spark, sf)
-    imp = ML.importance(model, FEAT_COLS)
+    _, features, model = _fit_lr(spark, sf)
     path = SK.scratch_path(spark, "importance")
-    SK.write_importance_csv(imp, path)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    SK.write_importance_csv(ML.importance(model, features), path)
+    back = spark.read.option("header", True).schema("feature string, value double, importance double").csv(path)
+    known = back.join(spark.createDataFrame([(f, float(c)) for f, c in zip(features, model.stages[-1].coefficients.toArray())], "feature string, c double"), "feature")
+    order = back.withColumn("at", F.monotonically_increasing_id())
+    before = F.lag("importance").over(Window.orderBy("at"))  # one row a feature
+    return _fact(known, "coefficients", ok=F.max(F.abs(F.col("value") - F.col("c"))) + F.max(F.abs(F.col("importance") - F.abs("c"))) == 0).unionByName(
+        _fact(order.withColumn("down", F.coalesce(before >= F.col("importance"), F.lit(True))), "in descending order", ok=F.min("down")))
 
 
-@register("F10_M10_evaluate_by_split")
+@register("F10_M10_evaluate_by_split", with_views(f", {_SPLIT_SIZES_SQL}\nselect fact, n, ok from facts", "v_interactions"))
 def q_evaluate(spark, sf):
-    d, model = _fit_lr(spark, sf)
-    s = ML.score(model, d, ["id", "split", "y"]).withColumn("label", F.col("y").cast("int"))
-    return M.metric_table(s, "split", "label", "prob")
+    d, _, model = _fit_lr(spark, sf)
+    s = ML.score(model, d, ["split", "y"]).withColumn("label", F.col("y").cast("int"))
+    m = M.metric_table(s, "split", "label", "prob")
+    plain = s.groupBy(F.col("split").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.avg(((F.col("prob") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("acc"))
+    ok = (F.col("auc") >= 0) & (F.col("auc") <= 1) & (F.col("logloss") > 0) & (F.abs(F.col("accuracy") - F.col("acc")) < 1e-12)
+    return m.join(plain, F.col("split") == F.col("s")).select(F.concat(F.lit("rows "), F.col("split")).alias("fact"), "n", ok.alias("ok"))
 
 
-@register("F11_kmeans_codebook_assign")
+@register("F11_kmeans_codebook_assign", "select 'assigned to the nearest centre' fact, count(*) n, true ok from embeddings union all select 'centres', 16, true")
 def q_kmeans(spark, sf):
     e = V.embeddings(spark, sf)
     book = ML.kmeans_codebook(e, "embedding", k=16)
-    return J.nearest_code(e, "vec_id", "embedding", book, "code", "center").select("vec_id", "code", _r6(F.col("d2")).alias("d2"))
+    got = J.nearest_code(e, "vec_id", "embedding", book, "code", "center")
+    # every distance to every centre, 16 a vector, the plain way
+    d2 = F.aggregate(F.zip_with(F.col("embedding"), F.col("center"), lambda a, b: F.pow(a.cast("double") - b, 2)), F.lit(0.0), lambda s, v: s + v)
+    least = e.join(F.broadcast(book)).groupBy("vec_id").agg(F.min(d2).alias("least"))
+    near = _fact(got.join(least, "vec_id"), "assigned to the nearest centre", ok=F.max(F.abs(F.col("d2") - F.col("least"))) < 1e-9)
+    return near.unionByName(_fact(book, "centres"))
 
 
-@register("S10_model_roundtrip")
+@register("S10_model_roundtrip", with_views(f", {SPLIT_SQL_CORE.strip()}\nselect 'equal scores after reload' fact, count(*) n, true ok from sp", "v_interactions"))
 def q_model_roundtrip(spark, sf):
-    d, model = _fit_lr(spark, sf)
+    d, _, model = _fit_lr(spark, sf)
     path = SK.scratch_path(spark, "lr-model")
     SK.save_model(model, path)
-    return ML.score(SK.load_model(path), d, ["id", "split"])
+    a, b = (ML.score(m, d, ["sample_id"]).withColumnRenamed("prob", p) for m, p in ((model, "a"), (SK.load_model(path), "b")))
+    return _fact(a.join(b, "sample_id"), "equal scores after reload", ok=F.max(F.abs(F.col("a") - F.col("b"))) == 0)
+
+
+@register(
+    "R3_cross_validation",
+    with_views(
+        f"""select cast(floor(((rk + 1) * 5 - 1) / n) as int) fold, any_value(total) - count(*) n_train, count(*) n_test, true ok
+from (select *, count(*) over () total from ({_rank_sql('(select sample_id, cast(label_type - 1 as double) y from v_interactions)', 'sample_id', 'y', 'fold')})) group by 1
+union all select -1, 5, 3, true""",
+        "v_interactions",
+    ),
+)
+def q_cv(spark, sf):
+    """Fold sizes, metric ranges, and in the last row the summary checked against the folds."""
+    d, features = _train_frame(spark, sf)
+    folds = ML.cross_validate(d.drop("split", "weight"), "sample_id", "y", features, 5)
+    ok = (F.col("auc") >= 0) & (F.col("auc") <= 1) & (F.col("logloss") > 0) & (F.col("accuracy") >= 0) & (F.col("accuracy") <= 1)
+    s = ML.cv_summary(folds)
+    plain = folds.agg(F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s"))
+    summary = s.crossJoin(F.broadcast(plain)).agg(
+        F.lit(-1).alias("fold"), F.max("folds").alias("n_train"), F.count(F.lit(1)).alias("n_test"),
+        F.max(F.when(F.col("metric") == "auc", (F.abs(F.col("mean") - F.col("m")) < 1e-12) & (F.abs(F.col("std") - F.col("s")) < 1e-12))).alias("ok"))
+    return folds.select("fold", "n_train", "n_test", ok.alias("ok")).unionByName(summary)
 
 
 @register("S5_S6_schema_sidecar_roundtrip")
@@ -1440,18 +1543,28 @@ def q_results(spark, sf):
 
 _PRED_SQL = "select user_id, arg_max(round(value / (value + 50.0), 3), event_id) prob from events group by 1"
 
-register("S7_predictions_last_wins", _PRED_SQL)(
-    lambda spark, sf: SK.dedupe_predictions(
-        V.read_table(spark, sf, "events").withColumn("prob", F.round(F.col("value") / (F.col("value") + F.lit(50.0)), 3)), "user_id", "prob", "event_id"))
 
+def _event_predictions(spark, sf):
+    e = V.read_table(spark, sf, "events").withColumn("prob", F.round(F.col("value") / (F.col("value") + F.lit(50.0)), 3))
+    return SK.dedupe_predictions(e, "user_id", "prob", "event_id")
+
+
+@register("S7_predictions_last_wins", _PRED_SQL)
+def q_predictions(spark, sf):
+    """Last write wins per user, written as JSON lines and read back."""
+    path = SK.scratch_path(spark, "predictions")
+    SK.write_predictions(_event_predictions(spark, sf), path)
+    return spark.read.schema("user_id long, prob double").json(path)
+
+
+# expected users: the customers, whoever has events
 register(
     "I3_prediction_checks",
     f"""select (select count(*) from ({_PRED_SQL}) p where prob is null or isnan(prob) or prob < 0 or prob > 1) n_bad_prob,
-  (select count(*) from (select distinct user_id from events) t where user_id not in (select user_id from ({_PRED_SQL}))) n_missing,
-  (select count(*) from ({_PRED_SQL}) p where user_id not in (select user_id from events)) n_extra""",
-)(lambda spark, sf: (lambda p, ids: SK.probability_range_ok(p, "prob").crossJoin(J.coverage(p, ids, "user_id")))(
-    SK.dedupe_predictions(V.read_table(spark, sf, "events").withColumn("prob", F.round(F.col("value") / (F.col("value") + F.lit(50.0)), 3)), "user_id", "prob", "event_id"),
-    V.read_table(spark, sf, "events").select("user_id").distinct()))
+  (select count(*) from customer where c_custkey not in (select user_id from ({_PRED_SQL}))) n_missing,
+  (select count(*) from ({_PRED_SQL}) p where user_id not in (select c_custkey from customer)) n_extra""",
+)(lambda spark, sf: (lambda p: SK.probability_range_ok(p, "prob").crossJoin(
+    J.coverage(p, V.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), "user_id")))(_event_predictions(spark, sf)))
 
 register(
     "I1_inference_encode",
@@ -1459,11 +1572,30 @@ register(
 )(lambda spark, sf: EN.encode_batch(V.v_wide(spark, sf), ENCODE_SCHEMA, ENCODE_MAX_LENS, is_training=False))
 
 
-@register("I2_score_users")
+@register(
+    "I2_score_users",
+    with_views(
+        """select 'users written' fact, count(distinct user_id) n, true ok from v_interactions
+union all select 'expected users without a score', (select count(*) from customer where c_custkey not in (select user_id from v_interactions)), true
+union all select 'scores of unknown users', (select count(distinct user_id) from v_interactions where user_id not in (select c_custkey from customer)), true""",
+        "v_interactions",
+    ),
+)
 def q_score_users(spark, sf):
-    """Score every row with the fitted model and keep (user key, prob)."""
-    d, model = _fit_lr(spark, sf)
-    return ML.score(model, d, ["id"]).select(F.col("id").alias("user_id"), "prob")
+    """Score every row, keep the last row's probability of each user, check
+    the users against the expected ones, and write the file."""
+    d, _, model = _fit_lr(spark, sf)
+    users = V.v_interactions(spark, sf).select("sample_id", F.col("user_id").alias("user"))
+    scored = ML.score(model, d, ["sample_id"]).join(users, "sample_id").select("sample_id", F.col("user").alias("user_id"), "prob")
+    path = SK.scratch_path(spark, "predictions")
+    SK.write_predictions(SK.dedupe_predictions(scored, "user_id", "prob", "sample_id"), path)
+    back = spark.read.schema("user_id long, prob double").json(path)
+    c = J.coverage(back, V.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), "user_id")
+    last = scored.groupBy("user_id").agg(F.max_by("prob", "sample_id").alias("p"))
+    return _fact(back.join(last, "user_id"), "users written", ok=F.max(F.abs(F.col("prob") - F.col("p"))) < 1e-12).unionByName(
+        c.select(F.inline(F.array(
+            F.struct(F.lit("expected users without a score").alias("fact"), F.col("n_missing").alias("n"), F.lit(True).alias("ok")),
+            F.struct(F.lit("scores of unknown users").alias("fact"), F.col("n_extra").alias("n"), F.lit(True).alias("ok"))))))
 
 
 # ---------------------------------------------------------------- streaming (additions)
