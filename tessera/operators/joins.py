@@ -49,6 +49,15 @@ def fit_label_codes(df: DataFrame, col: str) -> DataFrame:
     return global_row_number(vals, ["value"], "code").select("value", (F.col("code") - 1).alias("code"))
 
 
+def fit_label_codes_of(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """F2 fit of several columns in one pass over their (narrow) values."""
+    vals = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols])).alias("e"))
+    vals = vals.select("e.*").where(F.col("value").isNotNull()).distinct()
+    ranked = materialize(global_row_number(vals, ["col", "value"], "rn"))
+    first = {r["col"]: r["rn"] for r in ranked.groupBy("col").agg(F.min("rn").alias("rn")).collect()}  # a row a column
+    return {c: ranked.where(F.col("col") == c).select("value", (F.col("rn") - first.get(c, 1)).alias("code")) for c in cols}
+
+
 def apply_label_codes(df: DataFrame, codes: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Value -> code; an unseen value raises (like the fitted encoder)."""
     out = out or col

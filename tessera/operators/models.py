@@ -48,9 +48,9 @@ def features_ml(df: DataFrame) -> DataFrame:
     if "label_time" in df.columns:
         out += [S.hour_of_day("label_time").alias("label_time_hour"), S.weekday("label_time").alias("label_time_dayofweek")]
     d = df.select(*out)
-    for key in ("user_id", "item_id"):
-        if key in d.columns:
-            d = J.apply_label_codes(d, J.fit_label_codes(d, key), key)
+    keys = [k for k in ("user_id", "item_id") if k in df.columns]
+    for key, codes in (J.fit_label_codes_of(df, keys) if keys else {}).items():
+        d = J.apply_label_codes(d, codes, key)
     num = [n for n, t in d.dtypes if t in ("double", "float")]
     ints = [n for n, t in d.dtypes if t in ("bigint", "int")]
     return d.fillna(0.0, subset=num).fillna(0, subset=ints)

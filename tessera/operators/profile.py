@@ -137,25 +137,15 @@ def array_length_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def dense_profile(df: DataFrame, col: str) -> DataFrame:
     """Over all elements of a dense vector column: count, mean, population
-    std, min, max, and mean vector length. Per-row partials by HOFs, then one
-    aggregate: no explode."""
-    x = F.col(col)
-    per = df.select(
-        F.coalesce(F.size(x), F.lit(0)).alias("n"),
-        F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("s"),
-        F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v).alias("ss"),
-        F.array_min(x).alias("mn"), F.array_max(x).alias("mx"),
-    )
-    g = per.agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-        F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.avg("n").alias("mean_len"),
-    )
-    mean = F.col("s") / F.col("n")
-    return g.select(
-        F.col("n").cast("bigint").alias("count"), mean.alias("mean"),
-        F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"),
-        F.col("mn").cast("double").alias("min"), F.col("mx").cast("double").alias("max"), "mean_len",
+    std, min, max (null elements do not count) and mean vector length (null
+    vectors: 0). Elements are exploded where they are read and go through
+    Spark's merged moments, which keep their digits when the mean is large."""
+    v = F.col("v").cast("double")
+    g = df.select(F.explode(col).alias("v")).agg(
+        F.count("v").alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
     )
+    length = df.agg(F.avg(F.coalesce(F.when(F.col(col).isNotNull(), F.size(col)), F.lit(0))).alias("mean_len"))
+    return g.crossJoin(F.broadcast(length))
 
 
 def interaction_summary(df: DataFrame, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:

@@ -75,17 +75,18 @@ def rank_assign(
         bits = min(32, bits + max(1, math.ceil(math.log2(size["biggest"] / MAX_BUCKET_ROWS))))
     lo = assign(F.col("_start"), F.col("_n"))
     hi = assign(F.col("_start") + F.col("_cnt") - 1, F.col("_n"))
-    hist = hist.select("_cls", "_b", "_start", "_n", F.when(lo == hi, lo).alias("_whole"))
-    # at most classes x 2^bits rows, counted above: broadcast only when small
-    hist = broadcast_if_small(hist, size["rows"], 96)
-    j = d.join(hist, (d["_cls"].eqNullSafe(hist["_cls"])) & (d["_b"] == hist["_b"])).drop(hist["_cls"]).drop(hist["_b"])
-    whole = j.where(F.col("_whole").isNotNull()).withColumn(out_col, F.col("_whole"))
-    w = Window.partitionBy("_cls", "_b").orderBy("_h", id_col)
-    edge = j.where(F.col("_whole").isNull()).withColumn(
-        out_col, assign(F.col("_start") + F.row_number().over(w) - 1, F.col("_n"))
-    )
-    drop = ["_cls", "_h", "_b", "_start", "_n", "_whole"]
-    return whole.drop(*drop).unionByName(edge.drop(*drop))
+    hist = hist.select(F.col("_cls").alias("_hc"), F.col("_b").alias("_hb"), "_start", "_n", F.when(lo == hi, lo).alias("_whole"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    # the few rows of buckets that straddle a cut point are ranked by themselves, keys alone
+    key = d.select("_cls", "_b", "_h", F.col(id_col).alias("_id"))
+    edge = key.join(hist.where("_whole is null"), same("_cls", "_hc") & same("_b", "_hb"))
+    w = Window.partitionBy("_cls", "_b").orderBy("_h", "_id")
+    edge = edge.withColumn("_got", assign(F.col("_start") + F.row_number().over(w) - 1, F.col("_n")))
+    edge = materialize(edge.groupBy(F.col("_cls").alias("_ec"), F.col("_id").alias("_eid")).agg(F.min("_got").alias("_got")))
+    # classes x 2^bits rows at most, and about n / 2^bits a cut point: both measured
+    j = d.join(broadcast_if_small(hist.select("_hc", "_hb", "_whole"), size["rows"], 96), same("_cls", "_hc") & same("_b", "_hb"))
+    j = j.join(broadcast_if_small(edge, edge.count(), 96), same("_cls", "_ec") & same(id_col, "_eid"), "left")
+    return j.withColumn(out_col, F.coalesce("_whole", "_got")).drop("_cls", "_h", "_b", "_hc", "_hb", "_whole", "_ec", "_eid", "_got")
 
 
 def stratified_split(

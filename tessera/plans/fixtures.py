@@ -186,10 +186,11 @@ VIEWS = {
 
 # ---------------------------------------------------------------- wide sample table
 
-def v_wide(spark: SparkSession, sf: str) -> DataFrame:
+def v_wide(spark: SparkSession, sf: str, with_seq: bool = True) -> DataFrame:
     """The reference's wide layout rebuilt from driver tables: id/label block,
     scalar and multi-hot int features, a dense vector and two behaviour
-    sequence domains, named by family prefix + feature id."""
+    sequence domains, named by family prefix + feature id. ``with_seq=False``
+    leaves out the sequences and their join."""
     # One lineitem aggregation feeds both the basket arrays and item_id
     # (min partkey of the order = min of its basket), so lineitem is scanned
     # and shuffled once; the inner join keeps exactly v_interactions' rows.
@@ -204,16 +205,14 @@ def v_wide(spark: SparkSession, sf: str) -> DataFrame:
         (_epoch("o_orderdate") - F.pmod(F.col("o_orderkey"), F.lit(900))).alias("ts_now"),
         "items", "qty",
     )
-    us = v_user_seq(spark, sf)
     cust = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     part = read_table(spark, sf, "part").select("p_partkey", "p_size")
     # the two user-keyed joins run back to back so, at scale, they share one
     # exchange of the wide side on user_id; the item join follows
-    d = (
-        vi.join(cust, vi.user_id == cust.c_custkey, "left")
-        .join(us.withColumnRenamed("ts_now", "seq_now"), "user_id", "left")
-        .join(part, vi.item_id == part.p_partkey, "left")
-    )
+    d = vi.join(cust, vi.user_id == cust.c_custkey, "left")
+    if with_seq:
+        d = d.join(v_user_seq(spark, sf).withColumnRenamed("ts_now", "seq_now"), "user_id", "left")
+    d = d.join(part, vi.item_id == part.p_partkey, "left")
     return d.select(
         "sample_id", "user_id", "item_id", "label_type", "label_time",
         F.col("ts_now").alias("timestamp"),
@@ -223,11 +222,10 @@ def v_wide(spark: SparkSession, sf: str) -> DataFrame:
         F.col("qty").cast("array<float>").alias("user_dense_feats_61"),
         F.col("p_size").cast("bigint").alias("item_int_feats_5"),
         F.transform("items", lambda x: F.pmod(x, F.lit(50))).alias("item_int_feats_11"),
-        F.col("seq_type").alias("domain_a_seq_38"),
-        F.col("seq_ts").alias("domain_a_seq_39"),
-        F.col("seq_val").alias("domain_a_seq_40"),
-        F.col("seq_type").alias("domain_b_seq_70"),
-        F.col("seq_val").alias("domain_b_seq_71"),
+        *[F.col(c).alias(a) for c, a in (
+            ("seq_type", "domain_a_seq_38"), ("seq_ts", "domain_a_seq_39"), ("seq_val", "domain_a_seq_40"),
+            ("seq_type", "domain_b_seq_70"), ("seq_val", "domain_b_seq_71"),
+        ) if with_seq],
     )
 
 

@@ -1010,7 +1010,8 @@ def _preset_sql(kind: str, key: str) -> str:
 
 def _preset_spark(spark, sf, kind):
     w = V.v_wide(spark, sf).select("sample_id", *AUG_SCALARS, *AUG_ARRAYS, *AUG_SEQS)
-    a = N.STRATEGIES[kind](w, AUG_SCALARS, AUG_ARRAYS, AUG_SEQS, "sample_id")
+    narrow = V.v_wide(spark, sf, with_seq=False).select(*AUG_SCALARS)  # deviations without the sequences
+    a = N.STRATEGIES[kind](w, AUG_SCALARS, AUG_ARRAYS, AUG_SEQS, "sample_id", std_source=narrow)
     return a.withColumns({c: _r4(F.col(c)) for c in AUG_SCALARS})
 
 
