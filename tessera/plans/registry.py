@@ -152,7 +152,8 @@ from inferred where kind <> 'user_dense' group by 1""",
 # A frozen schema.json-style config for the wide fixture (vocab, dims, ts fid):
 # deliberately small vocabularies so out-of-vocabulary clipping is exercised.
 ENCODE_SCHEMA = {
-    "user_int": [[1, 25, 1], [3, 6, 1], [15, 1500, 8]],
+    # 15: no limit here; _encode_schema takes its vocabulary from the data
+    "user_int": [[1, 25, 1], [3, 6, 1], [15, 1 << 62, 8]],
     "item_int": [[5, 40, 1], [11, 50, 4]],
     "user_dense": [[61, 8]],
     "seq": {
@@ -196,8 +197,15 @@ def _encode_sql(schema=ENCODE_SCHEMA, max_lens=ENCODE_MAX_LENS) -> str:
     return "select " + ",\n  ".join(cols) + " from v_wide"
 
 
+def _encode_schema(spark, sf):
+    """ENCODE_SCHEMA with the basket's vocabulary as inferred from the table
+    (C2), so that every basket id is encoded; the other columns stay short."""
+    found = C.infer_schema(V.v_wide(spark, sf, with_seq=False).select("sample_id", "user_int_feats_15"), "sample_id").first()
+    return ENCODE_SCHEMA | {"user_int": [[f, found["vocab"] if f == 15 else v, d] for f, v, d in ENCODE_SCHEMA["user_int"]]}
+
+
 def q_encode(spark, sf):
-    return EN.encode_batch(V.v_wide(spark, sf), ENCODE_SCHEMA, ENCODE_MAX_LENS)
+    return EN.encode_batch(V.v_wide(spark, sf), _encode_schema(spark, sf), ENCODE_MAX_LENS)
 
 
 register("A10_A13_encode_batch", with_views(_encode_sql(), "v_wide"))(q_encode)
@@ -214,7 +222,7 @@ def _groups_sql() -> str:
 
 
 register("A19_feature_groups", with_views(_groups_sql(), "v_wide"))(
-    lambda spark, sf: EN.feature_groups(V.v_wide(spark, sf), "user_int_feats_", ENCODE_SCHEMA["user_int"], FEATURE_GROUPS)
+    lambda spark, sf: EN.feature_groups(V.v_wide(spark, sf), "user_int_feats_", _encode_schema(spark, sf)["user_int"], FEATURE_GROUPS)
 )
 
 
@@ -249,7 +257,7 @@ from ({u}) where n > 0"""
 
 
 register("G15_oob_stats", with_views(_oob_sql(), "v_wide"))(
-    lambda spark, sf: EN.oob_stats(V.v_wide(spark, sf), ENCODE_SCHEMA, ENCODE_MAX_LENS)
+    lambda spark, sf: EN.oob_stats(V.v_wide(spark, sf), _encode_schema(spark, sf), ENCODE_MAX_LENS)
 )
 
 
@@ -1533,6 +1541,15 @@ def q_sidecar(spark, sf):
     return SK.schema_catalog(SK.read_json_sidecar(spark, path))
 
 
+@register("S5_feature_groups_sidecar", with_views(_groups_sql(), "v_wide"))
+def q_groups_sidecar(spark, sf):
+    """The groups as written to and parsed from their sidecar, then applied."""
+    path = SK.scratch_path(spark, "groups-json")
+    SK.write_json_sidecar(spark, FEATURE_GROUPS, path)
+    groups = SK.parse_groups(SK.read_json_sidecar(spark, path))
+    return EN.feature_groups(V.v_wide(spark, sf), "user_int_feats_", _encode_schema(spark, sf)["user_int"], groups)
+
+
 @register("S8_results_write")
 def q_results(spark, sf):
     m = M.metric_table(_scored(spark, sf), "split")
@@ -1570,7 +1587,7 @@ register(
 register(
     "I1_inference_encode",
     with_views(_encode_sql().replace("cast(coalesce(label_type, 0) = 2 as bigint) label", "cast(0 as bigint) label"), "v_wide"),
-)(lambda spark, sf: EN.encode_batch(V.v_wide(spark, sf), ENCODE_SCHEMA, ENCODE_MAX_LENS, is_training=False))
+)(lambda spark, sf: EN.encode_batch(V.v_wide(spark, sf), _encode_schema(spark, sf), ENCODE_MAX_LENS, is_training=False))
 
 
 @register(
@@ -1675,9 +1692,11 @@ ORACLE["C1_catalog"] = with_views(
 
 ORACLE["S5_S6_schema_sidecar_roundtrip"] = with_views(
     f""", {INFER_SQL}
-select kind, cast(fid as bigint) fid, vocab, dim from inferred where kind in ('user_int', 'item_int')
+select kind, cast(null as varchar) "domain", cast(fid as bigint) fid, vocab, dim from inferred where kind in ('user_int', 'item_int')
+union all
+select kind, null, cast(fid as bigint), cast(null as bigint), dim from inferred where kind = 'user_dense'
 union all
-select kind, cast(fid as bigint), cast(null as bigint), dim from inferred where kind = 'user_dense'""",
+select kind, domain, cast(fid as bigint), vocab, cast(null as bigint) from inferred where kind = 'seq'""",
     "v_wide",
 )
 

@@ -30,15 +30,28 @@ def read_json_sidecar(spark: SparkSession, path: str) -> DataFrame:
 
 
 def schema_catalog(sidecar: DataFrame) -> DataFrame:
-    """Schema.json -> long catalog (kind, fid, vocab, dim) for int/dense."""
+    """Schema.json -> long catalog (kind, domain, fid, vocab, dim): int and
+    dense features, and the features of every sequence domain."""
+    none = F.lit(None)
     ints = [
         sidecar.select(F.lit(k).alias("kind"), F.explode(k).alias("e")).select(
-            "kind", F.col("e")[0].alias("fid"), F.col("e")[1].alias("vocab"), F.col("e")[2].alias("dim"))
+            "kind", none.cast("string").alias("domain"), F.col("e")[0].alias("fid"), F.col("e")[1].alias("vocab"), F.col("e")[2].alias("dim"))
         for k in ("user_int", "item_int")
     ]
     dense = sidecar.select(F.lit("user_dense").alias("kind"), F.explode("user_dense").alias("e")).select(
-        "kind", F.col("e")[0].alias("fid"), F.lit(None).cast("long").alias("vocab"), F.col("e")[1].alias("dim"))
-    return ints[0].unionByName(ints[1]).unionByName(dense)
+        "kind", none.cast("string").alias("domain"), F.col("e")[0].alias("fid"), none.cast("long").alias("vocab"), F.col("e")[1].alias("dim"))
+    out = ints[0].unionByName(ints[1]).unionByName(dense)
+    domains = sidecar.schema["seq"].dataType.names if "seq" in sidecar.columns else []
+    for d in domains:
+        seq = sidecar.select(F.explode(F.col(f"seq.{d}.features")).alias("e"))
+        out = out.unionByName(seq.select(F.lit("seq").alias("kind"), F.lit(d).alias("domain"), F.col("e")[0].alias("fid"), F.col("e")[1].alias("vocab"), none.cast("long").alias("dim")))
+    return out
+
+
+def parse_groups(sidecar: DataFrame) -> dict[str, list[int]]:
+    """A one-row groups sidecar as {group: member fids} (a schema, not data)."""
+    row = sidecar.first()
+    return {g: list(row[g]) for g in sidecar.columns if row[g] is not None}
 
 
 def dedupe_predictions(df: DataFrame, key: str, prob: str, order: str) -> DataFrame:
