@@ -11,7 +11,9 @@ encoding exactly if every adjacent pair is, so the joined sequence is exact.
 
 Texts of at most ``LEAF_CHARS`` code points are one leaf, encoded where they
 are read. The vocabulary travels to the tasks as one broadcast value of the
-tokenizer file's fixed size. Word caches are bounded by ``CACHE_WORDS``.
+tokenizer file's fixed size. A worker caches the ids of words in two
+generations of at most ``CACHE_WORDS`` each: words of the old one that come up
+again move to the new one, the others go when the new one is full.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,15 @@ from tessera.llm.common import arrow_schema, shuffle_width
 
 LEAF_CHARS = 16_384
 LEAF_SYMBOLS = 4_096
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 _CHUNK = re.compile(r"[^ \t\n\r]+")
 # ASCII signs between a letter or digit and white space: a token of their own
 _TAIL = re.compile(r"(?<=[^\W_])([!-&(-/:-@\[-^`{-~]+)(?=[ \n])")
 # beyond Latin letters, or perhaps a special token: not put in lower case here
 _AS_IS = re.compile(r"[^\x00-\u024f]|<\|")
+# words that are one token group each: many are encoded in one call
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 _SPACES = " \t\n\r"
 
 
@@ -56,8 +59,11 @@ class Encoder:
         self.suffix = model["end_of_word_suffix"] or ""
         self._inner = Tokenizer(models.BPE(**kind))
         self._last = Tokenizer(models.BPE(**kind, end_of_word_suffix=self.suffix or None))
-        self._words: dict[str, tuple[list[int], str]] = {}
+        self._new: dict[str, bytes] = {}  # word to its ids as int32
+        self._old: dict[str, bytes] = {}
         self._pieces: dict[int, str] = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self._ends = np.zeros(max(self._pieces) + 1, bool)
+        self._ends[[i for i, t in self._pieces.items() if self.suffix and t.endswith(self.suffix)]] = True
 
     def decoded(self, ids: Iterable[int]) -> str:
         """decode(ids, skip_special_tokens=False) of a file without a decoder."""
@@ -72,28 +78,37 @@ class Encoder:
             out += run if isinstance(run, list) else self.tree(self.leaves(run))
         return out
 
-    def plain(self, text: str) -> tuple[list[int], str]:
-        """Tokens of a text and their decoding, by words cached over texts."""
+    def plain(self, text: str) -> np.ndarray:
+        """Tokens of a text, by words cached over texts."""
         # fewer different words to cache, with the same tokens: the normalizer
         # folds case anyway, and the splitter ends a token where _TAIL cuts
         if not _AS_IS.search(text):
             text = _TAIL.sub(r" \1", text.lower())
-        words, cache = _CHUNK.findall(text), self._words
-        missing = [w for w in set(words) if w not in cache]
+        words = _CHUNK.findall(text)
+        missing = set(words).difference(self._new)
         if missing:
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                missing = list(set(words))
-            short = [w for w in missing if len(w) <= LEAF_SYMBOLS]
-            for w, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False)):
-                ids = e.ids
-                cache[w] = ids, self.decoded(ids)
-            for w in missing:
-                if len(w) > LEAF_SYMBOLS:
-                    ids = self.chunk(w)
-                    cache[w] = ids, self.decoded(ids)
-        got = [cache[w] for w in words]
-        return list(chain.from_iterable([g[0] for g in got])), " ".join([g[1] for g in got if g[1]])
+            if len(self._new) + len(missing) > CACHE_WORDS:
+                self._old, self._new = self._new, {}
+                missing = set(words)
+            self._learn(missing)
+        return np.frombuffer(b"".join(map(self._new.__getitem__, words)), np.int32)
+
+    def _learn(self, missing: set[str]) -> None:
+        new, old = self._new, self._old
+        unknown = []
+        for w in missing:
+            if w in old:
+                new[w] = old[w]
+            else:
+                unknown.append(w)
+        letters = [w for w in unknown if len(w) <= LEAF_SYMBOLS and _LETTERS.fullmatch(w)] if self.suffix else []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, np.int32)
+        at = 0
+        for w, end in zip(letters, (np.flatnonzero(self._ends[ids]) + 1).tolist()):
+            new[w] = ids[at:end].tobytes()
+            at = end
+        for w in set(unknown).difference(letters):
+            new[w] = np.array(self.chunk(w), np.int32).tobytes()
 
     # ---- unsplit runs
 
@@ -219,7 +234,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 got = [enc.plain(t) for t in part.column(1).to_pylist()]
-                yield _ids_batch({"doc_id": part.column(0)}, [g[0] for g in got], out, decoded=[g[1] for g in got])
+                yield _ids_batch({"doc_id": part.column(0)}, got, out, decoded=[enc.decoded(g.tolist()) for g in got])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
@@ -231,7 +246,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     def encode_leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
         for b in batches:
-            ids = [enc.leaf(t, last) if s else enc.plain(t)[0] for s, last, t in zip(*(b.column(i).to_pylist() for i in (4, 5, 6)))]
+            ids = [np.array(enc.leaf(t, last), np.int32) if s else enc.plain(t) for s, last, t in zip(*(b.column(i).to_pylist() for i in (4, 5, 6)))]
             yield _ids_batch({n: b.column(i) for i, n in enumerate(done.names[:-1])}, ids, done)
 
     def join(table: pa.Table) -> pa.Table:
@@ -247,7 +262,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
             if i + 1 == len(rows) or rows[i + 1][0] != seq:
                 ids += enc.join_all(run)
                 run = []
-        b = _ids_batch({"doc_id": table["doc_id"].slice(0, 1).combine_chunks()}, [ids], out, decoded=[enc.decoded(ids)])
+        b = _ids_batch({"doc_id": table["doc_id"].slice(0, 1).combine_chunks()}, [np.array(ids, np.int32)], out, decoded=[enc.decoded(ids)])
         return pa.Table.from_batches([b])
 
     short = src.where(~is_long).mapInArrow(whole, _OUT)
@@ -281,9 +296,9 @@ def _leaves(enc: Encoder, text: str) -> list[tuple[int, int, bool, bool, str]]:
     return out
 
 
-def _ids_batch(cols: dict, ids: list[list[int]], schema: pa.Schema, decoded: list[str] | None = None) -> pa.RecordBatch:
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])))
+def _ids_batch(cols: dict, ids: list[np.ndarray], schema: pa.Schema, decoded: list[str] | None = None) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
     cols = dict(cols, ids=pa.ListArray.from_arrays(pa.array(ends), flat))
     if decoded is not None:
         cols["decoded"] = pa.array(decoded, pa.string())

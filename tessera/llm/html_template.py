@@ -103,7 +103,7 @@ def _path(parent: int, name: str, attrs: str) -> int:
     key = (parent, name, attrs)
     h = _known.get(key)
     if h is None:
-        if len(_known) > 200_000:
+        if len(_known) > 50_000:
             _known.clear()
         marks = " ".join(m[1] or m[2] or m[3] or "" for m in _MARKED.finditer(attrs)) if attrs else ""
         h = _known[key] = xxhash.xxh64_intdigest(f"{name} {marks}".encode("utf-8", "surrogatepass"), parent)

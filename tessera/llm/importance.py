@@ -31,7 +31,7 @@ from tessera.operators.ordering import global_row_number
 CELLS = 1 << 16
 SEED = 42
 #: Distinct words of which a worker keeps the hash.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _hashes: dict[str, int] = {}

@@ -203,7 +203,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in (part.slice(at, 512) for part in batches for at in range(0, part.num_rows, 512)):
             langs, scores = judge(m, b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores)], schema=out)
 
@@ -228,7 +228,10 @@ def keep_known(docs: DataFrame, model: Model, min_score: float, text_col: str =
 
     @F.arrow_udf("boolean")
     def known(text: pa.Array) -> pa.Array:
-        langs, scores = judge(shared.value, text.to_pylist())
-        return pa.array([p != UNKNOWN and s >= min_score for p, s in zip(langs, scores)], pa.bool_())
+        out = []
+        for at in range(0, len(text), 512):
+            langs, scores = judge(shared.value, text.slice(at, 512).to_pylist())
+            out += [p != UNKNOWN and s >= min_score for p, s in zip(langs, scores)]
+        return pa.array(out, pa.bool_())
 
     return docs.where(known(F.col(f"`{text_col}`")))
