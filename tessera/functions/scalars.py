@@ -19,7 +19,6 @@ BUCKET_BOUNDARIES = [
     11664000, 15552000,
     31536000,
 ]
-NUM_TIME_BUCKETS = len(BUCKET_BOUNDARIES) + 1
 EPS = 1e-15
 
 
