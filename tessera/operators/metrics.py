@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators.ordering import grouped_prefix_sums
+from tessera.session import broadcast_if_small, materialize
 
 NAN = float("nan")
 
@@ -109,9 +110,9 @@ def classification_report(df: DataFrame, group: str, label: str = "label", score
 def _desc_curve(df: DataFrame, group: str, label: str, score: str) -> DataFrame:
     sc = score_counts(df, group, label, score)
     cum = grouped_prefix_sums(sc, group, score, ["pos", "neg"], descending=True)
-    # one row a group: AQE decides how to join it; the null group stays
-    tot = cum.groupBy(F.col(group).alias("_g")).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return cum.join(tot, cum[group].eqNullSafe(tot["_g"])).drop("_g")
+    # one row a group, broadcast only if that is measured small; the null group stays
+    tot = materialize(cum.groupBy(F.col(group).alias("_g")).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
+    return cum.join(broadcast_if_small(tot, tot.count(), 128), cum[group].eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def roc_curve(df: DataFrame, group: str, label: str = "label", score: str = "prob", with_origin: bool = True) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import materialize
+from tessera.session import broadcast_if_small, materialize
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_index << 33 | position
 
@@ -156,8 +156,8 @@ def exact_quantiles(
     n = F.count(F.lit(1)) if count_col is None else F.sum(count_col)
     vc = long_df.where(ok).groupBy(key_col, F.col(value_col).cast("double").alias("_v")).agg(n.alias("_c"))
     cum = grouped_prefix_sums(vc, key_col, "_v", ["_c"])
-    sizes = cum.groupBy(F.col(key_col).alias("_k")).agg(F.max("cum__c").alias("_n"))
-    c = cum.join(sizes, F.col(key_col).eqNullSafe(F.col("_k"))).drop("_k")
+    sizes = materialize(cum.groupBy(F.col(key_col).alias("_k")).agg(F.max("cum__c").alias("_n")))
+    c = cum.join(broadcast_if_small(sizes, sizes.count(), 128), F.col(key_col).eqNullSafe(F.col("_k"))).drop("_k")
     rank = lambda q: (F.col("_n") - 1) * F.lit(float(q))
     wanted = F.array(*[
         F.struct(F.lit(float(q)).alias("q"), F.floor(rank(q)).cast("bigint").alias("lo"), F.ceil(rank(q)).cast("bigint").alias("hi"), (rank(q) - F.floor(rank(q))).alias("frac"))
