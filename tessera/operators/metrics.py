@@ -222,3 +222,13 @@ def calculate_metrics(df: DataFrame, group: str, names=("auc", "logloss", "accur
     if rest:
         out = _join_groups(out, threshold_metrics(df, group, label, score, t).select(group, *rest), group)
     return out.select(group, *want)
+
+
+def history(df: DataFrame, run: str, step: str, label: str = "label", score: str = "prob", logit: str = "logit") -> DataFrame:
+    """The metric history of scored rows: one row a (run, step) with the
+    mean loss on logits, AUC, logloss and accuracy."""
+    d = df.withColumn("_hist", F.concat_ws(":", F.col(run).cast("string"), F.col(step).cast("string")))
+    names = d.groupBy("_hist").agg(F.first(run).alias(run), F.first(step).alias(step))
+    loss = bce_logits_mean(d, "_hist", label, logit).withColumnRenamed("bce", "loss")
+    table = _join_groups(_join_groups(names, loss, "_hist"), metric_table(d, "_hist", label, score), "_hist")
+    return table.select(run, step, "loss", "auc", "logloss", "accuracy")

@@ -851,6 +851,19 @@ select 'events' model, round(max(case when split = 'train' then auc end), 6) auc
 )(lambda spark, sf: M.split_comparison(M.auc(_scored(spark, sf), "split").withColumn("model", F.lit("events")), "model").select(
     "model", *[_r6(F.col(c)).alias(c) for c in ["auc_train", "auc_val", "auc_test", "auc_gap"]]))
 
+_HIST = "(select label, prob, id, split run, id % 5 step, split || ':' || (id % 5) split from v_scored)"
+register(
+    "M11_metric_history",
+    with_views(
+        f""", {_AUC_SQL.strip().replace('from v_scored', f'from {_HIST}')},
+rest as (select split, any_value(run) run, any_value(step) step, avg({_BCE_SQL}) loss, avg({_LL_SQL}) logloss,
+                avg(case when (prob >= 0.5) = (label = 1) then 1.0 else 0.0 end) accuracy from {_HIST} group by 1)
+select run, step, round(loss, 6) loss, round(auc, 6) auc, round(logloss, 6) logloss, round(accuracy, 6) accuracy from rest join auc using (split)""",
+        "v_scored",
+    ),
+)(lambda spark, sf: M.history(_scored_logit(spark, sf).withColumn("run", F.col("split")).withColumn("step", F.pmod("id", F.lit(5))), "run", "step", logit="x")
+  .select("run", "step", *[_r6(F.col(c)).alias(c) for c in ["loss", "auc", "logloss", "accuracy"]]))
+
 register(
     "M11_history_table",
     with_views(
