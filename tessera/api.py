@@ -118,3 +118,15 @@ def predictions(df: DataFrame, key: str, prob: str, order: str, expected: DataFr
     missing / extra coverage counts (S11)."""
     p = _SK.dedupe_predictions(df, key, prob, order)
     return p, (_J.coverage(p, expected, key) if expected is not None else None)
+
+
+def cross_validate(df: DataFrame, id_col: str, label: str, features: Sequence[str], k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Logistic regression refitted per stratified fold (R3): metrics of each
+    held-out fold, and their mean and population standard deviation."""
+    folds = _ML.cross_validate(df, id_col, label, features, k, seed)
+    return folds, _ML.cv_summary(folds)
+
+
+def history(df: DataFrame, run: str, step: str, label: str = "label", score_col: str = "prob", logit: str = "logit") -> DataFrame:
+    """Loss, AUC, log-loss and accuracy per (run, step) of scored rows."""
+    return _M.history(df, run, step, label, score_col, logit)
