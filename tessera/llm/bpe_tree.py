@@ -21,7 +21,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from tessera.llm.common import arrow_schema, shuffle_width
+from tessera.llm.common import arrow_schema, lean, shuffle_width
 
 LEAF_CHARS = 16_384
 LEAF_SYMBOLS = 4_096
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 
 _CHUNK = re.compile(r"[^ \t\n\r]+")
 # ASCII signs between a letter or digit and white space: a token of their own
@@ -54,17 +55,29 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         model = json.loads(spec)["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        kind = dict(vocab=model["vocab"], merges=merges, unk_token=model["unk_token"])
         self.suffix = model["end_of_word_suffix"] or ""
-        self._inner = Tokenizer(models.BPE(**kind))
-        self._last = Tokenizer(models.BPE(**kind, end_of_word_suffix=self.suffix or None))
+        self._spec = spec
         self._new: dict[str, bytes] = {}  # word to its ids as int32
         self._old: dict[str, bytes] = {}
         self._pieces: dict[int, str] = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self._ends = np.zeros(max(self._pieces) + 1, bool)
         self._ends[[i for i, t in self._pieces.items() if self.suffix and t.endswith(self.suffix)]] = True
 
+    def _part_tokenizer(self, suffix: str | None) -> Tokenizer:
+        """The merges alone, for parts of a run; made when a run needs it."""
+        model = json.loads(self._spec)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        more = {"end_of_word_suffix": suffix} if suffix else {}
+        return Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, unk_token=model["unk_token"], **more))
+
+    @cached_property
+    def _inner(self) -> Tokenizer:
+        return self._part_tokenizer(None)
+
+    @cached_property
+    def _last(self) -> Tokenizer:
+        return self._part_tokenizer(self.suffix or None)
+
     def decoded(self, ids: Iterable[int]) -> str:
         """decode(ids, skip_special_tokens=False) of a file without a decoder."""
         return " ".join(map(self._pieces.__getitem__, ids))
@@ -265,10 +278,10 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
         b = _ids_batch({"doc_id": table["doc_id"].slice(0, 1).combine_chunks()}, [np.array(ids, np.int32)], out, decoded=[enc.decoded(ids)])
         return pa.Table.from_batches([b])
 
-    short = src.where(~is_long).mapInArrow(whole, _OUT)
+    short = src.where(~is_long).mapInArrow(lean(whole), _OUT)
     rows = src.where(is_long).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    parts = rows.mapInArrow(cut, _LEAF).repartition(shuffle_width(docs), "row", "seq", "part")
-    long = parts.mapInArrow(encode_leaves, _DONE).groupBy("row").applyInArrow(join, _OUT)
+    parts = rows.mapInArrow(lean(cut), _LEAF).repartition(shuffle_width(docs), "row", "seq", "part")
+    long = parts.mapInArrow(lean(encode_leaves), _DONE).groupBy("row").applyInArrow(join, _OUT)
     return short.unionByName(long)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -35,7 +36,29 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
             if b.num_rows:
                 yield pa.RecordBatch.from_pydict(fn(b), schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: Spark reuses a Python worker, and
+    what its allocators hold on to would add up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Batches = Iterable[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a partition, then ``give_back``."""
+
+    def run_lean(batches: Batches) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return run_lean
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_SPACE, arrow_schema, pinned, settle_rows, shuffle_width, small_or_not
+from tessera.llm.common import ASCII_SPACE, arrow_schema, lean, pinned, settle_rows, shuffle_width, small_or_not
 
 RANGE_FINGERPRINTS = 1 << 22
 
@@ -71,7 +71,7 @@ def partition_filters(fingerprints: DataFrame, bits: int) -> DataFrame:
             fps, counts = _merge(np.r_[fps, new], np.r_[counts, np.ones(len(new), np.int64)])
         yield _blocks(fps, counts, bits)
 
-    return fingerprints.mapInArrow(build, _BLOCK)
+    return fingerprints.mapInArrow(lean(build), _BLOCK)
 
 
 def merge_filters(filters: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def repeated(filters: DataFrame, bits: int) -> DataFrame:
                 fps = (np.frombuffer(r, np.uint64)[more] | high).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"fp": fps, "n": counts[more]}, schema=out)
 
-    return filters.mapInArrow(read, "fp long, n long")
+    return filters.mapInArrow(lean(read), "fp long, n long")
 
 
 def quotient_bits(rows: int, width: int) -> int:

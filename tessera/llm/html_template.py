@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_BYTES, arrow_schema, pinned
+from tessera.llm.common import BROADCAST_BYTES, arrow_schema, lean, pinned
 
 LEAST_PAGES = 5
 LEAST_SHARE = 0.9
@@ -234,7 +234,7 @@ def token_table(pages: DataFrame) -> DataFrame:
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), tokens], schema=out)
 
-    rows = pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(run, "host string, page long, tokens array<long>")
+    rows = pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(lean(run), "host string, page long, tokens array<long>")
     return rows.groupBy("host", "page").agg(F.first("tokens").alias("tokens"))
 
 
@@ -306,7 +306,7 @@ def templates(pages: DataFrame) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), out)], schema=out)
 
-    facts = rows.select("host", "tokens", "classes").mapInArrow(run, schema)
+    facts = rows.select("host", "tokens", "classes").mapInArrow(lean(run), schema)
     valid = facts.groupBy("host", "class").agg((F.min("valid") & (F.min("sequence") == F.max("sequence"))).alias("valid")).where("valid")
     kept = valid.groupBy("host").agg(F.collect_list("class").alias("kept")).join(classes, "host")
     tokens = F.flatten(F.transform("kept", lambda i: F.get("classes", i)))
@@ -340,4 +340,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 sizes.append(len(template))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(sizes, pa.int64())], schema=out)
 
-    return rows.select("page_id", "url", "html", "template").mapInArrow(run, schema)
+    return rows.select("page_id", "url", "html", "template").mapInArrow(lean(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import uniform
-from tessera.llm.common import arrow_schema, pinned, small_or_not
+from tessera.llm.common import arrow_schema, lean, pinned, small_or_not
 from tessera.operators.ordering import global_row_number
 
 CELLS = 1 << 16
@@ -61,7 +61,7 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 total += np.bincount(cells(t.as_py()), minlength=CELLS)
         yield pa.RecordBatch.from_pydict({"cell": np.arange(CELLS, dtype=np.int32), "n": total}, schema=out)
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def log_ratio(raw: DataFrame, target: DataFrame, smooth: float = 1.0) -> np.ndarray:
@@ -88,7 +88,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text
             weights = [float(shared.value[c].sum()) for c in found]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "log_weight": weights, "n_grams": [len(c) for c in found]}, schema=out)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(lean(run), schema)
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, k: int | None = None, share: float = 0.5, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, map_arrow
+from tessera.llm.common import arrow_schema, give_back, lean, map_arrow
 
 UNKNOWN = "und"
 ORDERS = 4
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             langs, scores = judge(m, b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores)], schema=out)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -232,6 +232,7 @@ def keep_known(docs: DataFrame, model: Model, min_score: float, text_col: str =
         for at in range(0, len(text), 512):
             langs, scores = judge(shared.value, text.slice(at, 512).to_pylist())
             out += [p != UNKNOWN and s >= min_score for p, s in zip(langs, scores)]
+        give_back()
         return pa.array(out, pa.bool_())
 
     return docs.where(known(F.col(f"`{text_col}`")))

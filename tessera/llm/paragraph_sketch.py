@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, pinned, shuffle_width
+from tessera.llm.common import arrow_schema, lean, pinned, shuffle_width
 from tessera.operators.ordering import global_row_number
 
 CELLS = 12
@@ -185,7 +185,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    return dealt.select("key", "text", "guest", "block").mapInArrow(run, _SCHEMA)
+    return dealt.select("key", "text", "guest", "block").mapInArrow(lean(run), _SCHEMA)
 
 
 def _compare(key: int, now: Fingerprint, following: Fingerprint) -> tuple:
