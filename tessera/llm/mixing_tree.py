@@ -33,6 +33,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 SEED = 42
 BLOCK_ROWS = 1024
+#: Words that a task of the finished mix has about.
+PART_WORDS = 1 << 21
 
 
 def words(text: Column) -> Column:
@@ -145,6 +147,9 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cond = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__i")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__s")) & (words(F.col(f"`{text_col}`")) == F.col("__n"))
     rows = docs.join(small_or_not(got, 96), cond)
     rows = rows.select(*[docs[c] for c in docs.columns], "__i", F.posexplode("__shards").alias("__copy", "__shard"))
+    # a shard is as many parts as its words need; the hash order shuffles each
+    words_taken = got.agg(F.sum(F.col("__n") * F.size("__shards"))).first()[0] or 0
+    parts = words_taken // (shards * PART_WORDS) + 1
     rows = rows.withColumn("__h", hash32(F.col("__i"), F.col("__copy"), "local", seed))
-    rows = rows.repartition(F.col("__shard"), F.pmod("__h", F.lit(8))).sortWithinPartitions("__shard", "__h")
+    rows = rows.repartition(shards * parts, "__shard", F.pmod("__h", F.lit(4 * parts))).sortWithinPartitions("__shard", "__h")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
