@@ -13,8 +13,9 @@ running sum of their lengths gives the code point positions. The sum is a
 window in one blob and rule, linear in its matches.
 
 Bounds: the rules are a fixed short list. Blobs are grouped by address with
-partial aggregation, so copies of a text collapse before the shuffle; findings
-of a blob are joined to its versions as one row.
+partial aggregation, so copies of a text collapse before the shuffle. Findings
+of a blob are one row; they are broadcast to the versions only if they are
+measured small, else joined by a shuffle that can split a hot blob's versions.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import BROADCAST_BYTES, pinned
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -112,7 +115,9 @@ def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", tex
         wanted = c if wanted is None else wanted | c
     rows = ledger.where(wanted).where(F.size("spans") > 0).select("blob", "kind", F.explode("spans").alias("s"))
     spans = F.array_sort(F.collect_set(F.struct("s.start", place[F.col("kind")].alias("place"), F.col("kind"), "s.end")))
-    found = rows.groupBy("blob").agg(spans.alias("spans"))
+    found = pinned(rows.groupBy("blob").agg(spans.alias("spans")))
+    size = found.agg(F.sum(F.size("spans") * 80 + 96)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
     docs = versions.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), address(F.col(f"`{text_col}`")).alias("blob"))
     none = F.array().cast("array<struct<start:long,place:int,kind:string,end:long>>")
     return docs.join(found, "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
