@@ -1266,9 +1266,10 @@ _BLOCK_ROWS = 500
 
 def _event_blocks(spark, sf, block_rows=_BLOCK_ROWS):
     """Events with their block's ordinal in file-name order, and the number of blocks."""
-    from tessera.sources.tables import read_parquet_dir, with_block_ordinal
+    from tessera.sources.tables import block_table, read_parquet_dir, with_block_ordinal
     e = read_parquet_dir(spark, f"{sf}/events.parquet").select("event_id", "_file", "_row")
-    return with_block_ordinal(e, block_rows)
+    table = block_table(e, block_rows)
+    return with_block_ordinal(e, block_rows, table), table.count()
 
 
 def _tail_sql(block_rows: int, valid_ratio: float, train_ratio: float, legacy: bool) -> str:

@@ -46,18 +46,21 @@ def blocks(df_with_meta: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
-def with_block_ordinal(df_with_meta: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
-    """Rows with ``block``, the dense ordinal of their block in (file name,
-    block) order, ``_pos``, their position in it, and the number of blocks.
-    The block table has one row per block; it is numbered by a distributed
-    range sort and joined back on (file, block)."""
+def block_table(df_with_meta: DataFrame, block_rows: int) -> DataFrame:
+    """S3: one row per block with its dense ordinal in (file name, block)
+    order, numbered by a distributed range sort; pinned."""
     from tessera.operators.ordering import global_row_number
 
     blk = blocks(df_with_meta, block_rows).select("_file", "block_in_file")
-    ordn = materialize(global_row_number(blk, ["_file", "block_in_file"], "block").withColumn("block", F.col("block") - 1))
-    n = ordn.count()
+    return materialize(global_row_number(blk, ["_file", "block_in_file"], "block").withColumn("block", F.col("block") - 1))
+
+
+def with_block_ordinal(df_with_meta: DataFrame, block_rows: int, table: DataFrame | None = None) -> DataFrame:
+    """Rows with ``block``, the ordinal of their block (``table``, by default
+    made here), and ``_pos``, their position in it."""
+    table = block_table(df_with_meta, block_rows) if table is None else table
     out = df_with_meta.withColumn("block_in_file", F.floor(F.col("_row") / block_rows)).withColumn("_pos", F.pmod("_row", F.lit(block_rows)))
-    return out.join(broadcast_if_small(ordn, n, 160), ["_file", "block_in_file"]), n
+    return out.join(broadcast_if_small(table, table.count(), 256), ["_file", "block_in_file"])
 
 
 def select_family(df: DataFrame, prefixes: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
