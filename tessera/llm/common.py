@@ -78,7 +78,8 @@ def pinned(df: DataFrame) -> DataFrame:
 
 def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
     """Broadcast hint for a pinned table whose counted rows times ``row_bytes``
-    (an upper bound of one row) stay under BROADCAST_BYTES; else no hint."""
+    (an upper bound of a row in a hash table, with its copy of the key) stay
+    under BROADCAST_BYTES; else no hint."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 

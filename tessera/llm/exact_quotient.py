@@ -124,12 +124,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     bits = quotient_bits(keys.count(), shuffle_width(docs))
     dup = pinned(repeated(merge_filters(partition_filters(keys.select("fp"), bits)), bits))
-    routed = src.select(F.xxhash64("norm").alias("fp"), "norm").join(small_or_not(dup.select("fp"), 16), "fp", "left_semi")
+    routed = src.select(F.xxhash64("norm").alias("fp"), "norm").join(small_or_not(dup.select("fp"), 64), "fp", "left_semi")
     verified = routed.groupBy("fp", "norm").count().where("count > 1").select(F.unhex(F.sha2("norm", 256)).alias("sha"))
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
     groups = keys.groupBy("sha").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")).where("group_size > 1").join(verified, "sha", "left_semi")
     groups = pinned(groups.select("sha", "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")))
-    j = keys.join(small_or_not(groups, 96), "sha", "left")
+    j = keys.join(small_or_not(groups, 176), "sha", "left")
     alone = F.col("group_size").isNull()
     return j.select(
         "doc_id",
@@ -149,4 +149,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marks = marks.where("not once or n > 1").select("doc_id", "text_sha256", "n_chars", "once")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keys = {"doc_id": F.col(f"`{id_col}`"), "text_sha256": F.sha2(normalised(text), 256), "n_chars": F.length(text).cast("long")}
-    return settle_rows(docs, marks, keys, 160)
+    return settle_rows(docs, marks, keys, 320)

@@ -104,7 +104,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, k: int | None = None, share
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     src = docs.select(id_.cast("long").alias("doc_id"), text.alias("text"))
     wanted = pinned(target_ids.select(F.col(f"`{target_ids.columns[0]}`").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
-    target = src.join(small_or_not(wanted, 16), "doc_id", "left_semi")
+    target = src.join(small_or_not(wanted, 64), "doc_id", "left_semi")
     ratio = log_ratio(counts(src), counts(target))
     u = uniform(F.col("doc_id"), "gumbel", seed)  # below 1; 0 gives minus infinity's neighbour
     weighed = log_weights(src, ratio).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log((u + 1e-10) / (1 + 2e-10))))

@@ -183,7 +183,9 @@ def held_out(id_col, folds: int = 5):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 256, landmarks_per_lang: int = 32, ridge: float = 1e-2, folds: int = 5) -> Model:
-    return fit(sample(docs, id_col, text_col, lang_col, sample_per_lang, folds), landmarks_per_lang, ridge)
+    model = fit(sample(docs, id_col, text_col, lang_col, sample_per_lang, folds), landmarks_per_lang, ridge)
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:

@@ -117,12 +117,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ends = split_quotas(counts, shards, np.random.default_rng(seed)).cumsum(axis=0)
     quotas = spark.createDataFrame([(i, [int(x) for x in ends[:, i]]) for i in range(len(sums))], T.StructType.fromDDL("sid int, ends array<long>"))
     place = F.row_number().over(Window.partitionBy("sid").orderBy(hash32(F.col("sid"), F.col("block"), F.col("pass"), "permute", seed), "block", "pass"))
-    dealt = copies.withColumn("place", place).join(small_or_not(pinned(quotas), 16 + 8 * shards), "sid")
+    dealt = copies.withColumn("place", place).join(small_or_not(pinned(quotas), 96 + 8 * shards), "sid")
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))))
     dealt = dealt.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("got"))
     plan = pinned(blocks.select("sid", "block", "start", "more").join(dealt, ["sid", "block"]).select("sid", "block", "start", "more", F.col("got.shard").alias("shards")))
 
-    own = rows.join(small_or_not(plan, 64 + 4 * (MAX_REPEATS + 1)), ["sid", "block"], "left")
+    own = rows.join(small_or_not(plan, 176), ["sid", "block"], "left")
     out = ["doc_id", "source", "size", "source_size", "target", "shards"]
     none = F.array().cast("array<int>")
     sure = own.where("more is null or more != 'part'").withColumn("shards", F.coalesce("shards", none)).select(*out)
@@ -145,7 +145,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     got = got.groupBy("doc_id", "source", "size").agg(F.max_by("shards", F.size("shards")).alias("shards")).where(F.size("shards") > 0)
     got = pinned(got.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("shards").alias("__shards")))
     cond = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__i")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__s")) & (words(F.col(f"`{text_col}`")) == F.col("__n"))
-    rows = docs.join(small_or_not(got, 96), cond)
+    rows = docs.join(small_or_not(got, 256), cond)
     rows = rows.select(*[docs[c] for c in docs.columns], "__i", F.posexplode("__shards").alias("__copy", "__shard"))
     # a shard is as many parts as its words need; the hash order shuffles each
     words_taken = got.agg(F.sum(F.col("__n") * F.size("__shards"))).first()[0] or 0

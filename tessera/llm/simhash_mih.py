@@ -167,4 +167,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     c = near_components(docs, id_col, text_col, shingle, max_bits).where("doc_id is not null")
     marks = c.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("once"), F.count(F.lit(1)).alias("n"))
     marks = marks.where("not once or n > 1").select("doc_id", "once")
-    return settle_rows(docs, marks, {"doc_id": F.col(f"`{id_col}`").cast("long")}, 32)
+    return settle_rows(docs, marks, {"doc_id": F.col(f"`{id_col}`").cast("long")}, 96)

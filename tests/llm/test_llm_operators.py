@@ -500,3 +500,24 @@ def test_mix_reaches_targets(docs):
 def test_mixed_rows_of_edge_rows(edges):
     assert mixing_tree.mixed_rows(edges).columns == edges.columns
     assert mixing_tree.mixed_rows(edges.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- nothing small enough to broadcast
+
+
+@pytest.mark.parametrize("name", ["secrets", "exact", "importance", "simhash", "mixing"])
+def test_same_results_without_broadcasts(name, edges, docs, monkeypatch):
+    op = operators()[name]
+    table = edges.select("doc_id", "text", "lang", "source").unionByName(docs.select("doc_id", "text", "lang", "source"))
+    want = sorted(map(repr, op(table).collect()))
+    monkeypatch.setattr("tessera.llm.common.BROADCAST_BYTES", -1)
+    monkeypatch.setattr(secret_ledger, "BROADCAST_BYTES", -1)
+    assert sorted(map(repr, op(table).collect())) == want
+
+
+def test_stages_without_broadcasts(edges, monkeypatch):
+    stages = (exact_quotient.drop_exact_copies, simhash_mih.drop_near_copies, mixing_tree.mixed_rows)
+    ids = lambda d: sorted(str(r["doc_id"]) for r in d.collect())
+    want = [ids(f(edges)) for f in stages]
+    monkeypatch.setattr("tessera.llm.common.BROADCAST_BYTES", -1)
+    assert [ids(f(edges)) for f in stages] == want
