@@ -69,16 +69,9 @@ def split_quotas(counts: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.vstack([split_quotas(left, shards // 2, rng), split_quotas(counts - left, shards // 2, rng)])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, shards: int = 16, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, shards (array<int>, an entry for each copy taken).
-
-    Sources in code point order, null last, weigh ``weights`` in turn; a null
-    source is a source. Null and blank texts have size 0 and no effect on
-    quotas. Documents are ordered by a hash of their id, so ties (repeated
-    ids) are ordered by id and size; rows that tie in these as well are alike.
-    A result depends on ids, sizes, sources and ``seed`` alone, so reruns
-    agree. An empty table gives an empty result; other columns are not read.
-    """
+def _decide(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Narrow rows of the documents with their copies, the table of sources,
+    that of the blocks with copies, and the leading hash bits of a block."""
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     spark = docs.sparkSession
@@ -87,19 +80,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(f"`{source_col}`").cast("string").alias("source"),
         words(F.col(f"`{text_col}`")).alias("size"),
     )
-    base = pinned(base.withColumn("h", hash32(F.col("doc_id"), "mix", seed)))
+    base = pinned(base.withColumn("h", _order(F.col("doc_id"), seed)))
     sums = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     sums = sorted(sums, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     aim = targets([r["size"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))])
-    bits = min(16, max(4, (sum(r["n"] for r in sums) // BLOCK_ROWS).bit_length()))
+    bits = min(16, max(4, (sum(r["n"] for r in sums) // (BLOCK_ROWS * max(1, len(sums)))).bit_length()))
     passes = [int(t / r["size"]) if r["size"] else 0 for r, t in zip(sums, aim)]
     quota_of = spark.createDataFrame(
         [(i, r["source"], r["size"], t, p, t - p * r["size"]) for i, (r, t, p) in enumerate(zip(sums, aim, passes))],
         "sid int, source string, source_size long, target double, passes int, rest double",
     )
     quota_of = small_or_not(pinned(quota_of), 256)
-    of_source = lambda d: d.join(quota_of.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    rows = of_source(base).withColumn("block", F.shiftright("h", 32 - bits))
+    rows = _of_source(base, quota_of).withColumn("block", F.shiftright("h", 32 - bits))
 
     # words up to each block of a source, in hash order
     run = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
@@ -109,8 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # copies of blocks: every pass, and the part of one more
     copies = blocks.select("sid", "block", "passes", "more").withColumn("k", F.col("passes") + (F.col("more") != "none").cast("int")).where("k > 0")
-    copies = copies.select("sid", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("pass"))
-    copies = pinned(copies)
+    copies = pinned(copies.select("sid", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("pass")))
     counts = np.zeros(len(sums), np.int64)
     for r in copies.groupBy("sid").count().collect():
         counts[r["sid"]] = r["count"]
@@ -121,15 +112,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))))
     dealt = dealt.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("got"))
     plan = pinned(blocks.select("sid", "block", "start", "more").join(dealt, ["sid", "block"]).select("sid", "block", "start", "more", F.col("got.shard").alias("shards")))
+    plan = small_or_not(plan, 176)
 
-    own = rows.join(small_or_not(plan, 176), ["sid", "block"], "left")
-    out = ["doc_id", "source", "size", "source_size", "target", "shards"]
+    own = rows.join(plan, ["sid", "block"], "left")
+    out = ["doc_id", "source", "size", "source_size", "target", "more", "shards"]
     none = F.array().cast("array<int>")
     sure = own.where("more is null or more != 'part'").withColumn("shards", F.coalesce("shards", none)).select(*out)
     upto = F.col("start") + F.sum("size").over(Window.partitionBy("sid", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     edge = own.where("more = 'part'").withColumn("last", upto - F.col("size") / 2.0 <= F.col("rest"))
     edge = edge.withColumn("shards", F.when(F.col("last"), F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.size("shards") - 1))).select(*out)
-    return sure.unionByName(edge)
+    return sure.unionByName(edge), quota_of, plan, bits
+
+
+def _order(doc_id: Column, seed: int) -> Column:
+    """32-bit hash in whose order a source's documents are taken."""
+    return hash32(doc_id, "mix", seed)
+
+
+def _of_source(rows: DataFrame, quota_of: DataFrame) -> DataFrame:
+    """Rows with the columns of their source's quota; null is a source."""
+    return rows.join(quota_of.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, shards: int = 16, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, shards (array<int>, an entry for each copy taken).
+
+    Sources in code point order, null last, weigh ``weights`` in turn; a null
+    source is a source. Null and blank texts have size 0 and no effect on
+    quotas. Documents are ordered by a hash of their id, so ties (repeated
+    ids) are ordered by id and size; rows that tie in these as well are alike.
+    A result depends on ids, sizes, sources and ``seed`` alone, so reruns
+    agree. An empty table gives an empty result; other columns are not read.
+    """
+    return _decide(docs, id_col, text_col, source_col, weights, shards, seed)[0].drop("more")
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
@@ -141,14 +156,23 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: every copy taken, as a row of ``docs`` with all its
     columns, each shard together and shuffled in itself. Rows that repeat an
     id, source and size get the same number of copies."""
-    got = mix(docs, id_col, text_col, source_col, weights, shards, seed)
-    got = got.groupBy("doc_id", "source", "size").agg(F.max_by("shards", F.size("shards")).alias("shards")).where(F.size("shards") > 0)
-    got = pinned(got.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("shards").alias("__shards")))
-    cond = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__i")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__s")) & (words(F.col(f"`{text_col}`")) == F.col("__n"))
-    rows = docs.join(small_or_not(got, 256), cond)
+    decided, quota_of, plan, bits = _decide(docs, id_col, text_col, source_col, weights, shards, seed)
+    # whole blocks are decided by (source, block); only the documents of the
+    # one straddling block of a source are looked up by themselves
+    part = decided.where("more = 'part'").groupBy("doc_id", "source", "size").agg(F.max_by("shards", F.size("shards")).alias("shards"))
+    part = pinned(part.select(F.col("doc_id").alias("__pi"), F.col("source").alias("__ps"), F.col("size").alias("__pn"), F.col("shards").alias("__own")))
+    words_taken = decided.agg(F.sum(F.col("size") * F.size("shards"))).first()[0] or 0
+    own = {"__i": F.col(f"`{id_col}`").cast("long"), "__src": F.col(f"`{source_col}`").cast("string")}
+    rows = docs.withColumns(own).withColumn("__block", F.shiftright(_order(F.col("__i"), seed), 32 - bits))
+    q = quota_of.select(F.col("sid").alias("__sid"), F.col("source").alias("__qs"))
+    b = plan.select(F.col("sid").alias("__bs"), F.col("block").alias("__bb"), F.col("more").alias("__more"), F.col("shards").alias("__shards"))
+    rows = rows.join(q, F.col("__src").eqNullSafe(F.col("__qs"))).join(b, (F.col("__sid") == F.col("__bs")) & (F.col("__block") == F.col("__bb")))
+    size = F.when(F.col("__more") == "part", words(F.col(f"`{text_col}`")))
+    cond = (F.col("__more") == "part") & F.col("__i").eqNullSafe(F.col("__pi")) & F.col("__src").eqNullSafe(F.col("__ps")) & (size == F.col("__pn"))
+    rows = rows.join(small_or_not(part, 320), cond, "left")
+    rows = rows.withColumn("__shards", F.when(F.col("__more") == "part", F.col("__own")).otherwise(F.col("__shards")))
     rows = rows.select(*[docs[c] for c in docs.columns], "__i", F.posexplode("__shards").alias("__copy", "__shard"))
     # a shard is as many parts as its words need; the hash order shuffles each
-    words_taken = got.agg(F.sum(F.col("__n") * F.size("__shards"))).first()[0] or 0
     parts = words_taken // (shards * PART_WORDS) + 1
     rows = rows.withColumn("__h", hash32(F.col("__i"), F.col("__copy"), "local", seed))
     rows = rows.repartition(shards * parts, "__shard", F.pmod("__h", F.lit(4 * parts))).sortWithinPartitions("__shard", "__h")
