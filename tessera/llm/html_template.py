@@ -50,6 +50,7 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I | re.A) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
@@ -117,7 +118,7 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
     runs: list[Run] = []
     # open blocks: tag, path, furniture, in article, in main
     stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
-    block, links, at, raw_end = 0, 0, 0, None
+    block, links, at = 0, 0, 0
 
     def text(part: str) -> None:
         if part and not part.isspace():
@@ -139,14 +140,7 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
             if stack[i][0] in bounds:
                 return
 
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if raw_end is not None:  # in a raw element: only its end counts
-            if not (m[1] or m[4]) or (m[2] or m[5] or "").lower() != raw_end:
-                continue
-            at, raw_end = m.end(), None
-            continue
+    while m := _TAG.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
@@ -169,8 +163,9 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
                 runs[-1].text += "\n"
             continue
         if name in RAW:
-            if not ending and not attrs.endswith("/"):
-                raw_end = name
+            if not ending and not attrs.endswith("/"):  # what it holds is no markup: only its own end counts
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
             continue
         block += 1
         if ending:
@@ -188,8 +183,7 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
         gone = gone or furniture(name, attrs, article)
         stack.append((name, path, gone, article or name == "article", main or name == "main"))
         links = 0 if name in CLOSES_P else links
-    if raw_end is None:
-        text(page[at:])
+    text(page[at:])
     return tokens, runs
 
 

@@ -133,6 +133,21 @@ def test_main_text(source, text):
         assert got == text
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(var i=0;i<n;i++){go()}</script>",
+    "<script>if(a<b&&c>d){x=\"</p>\"}</SCRIPT >",
+    "<script>var s='<!--';</script>",
+    "<script>var s='<a title=\"';</script>",
+    "<style>/* <b it's */</style>",
+    "<script>var s='</scripts><b>';i<n</script\n>",
+    "<textarea><!-- a <b </textarea>",
+])
+def test_raw_elements_end_at_their_own_end(raw):
+    read = lambda source: html_template.main_text(html_template.parse(source)[1], frozenset())
+    assert read(f"{raw}<article><p>Main text</p></article>") == "Main text"
+    assert read(f"<article><p>One</p>{raw}<p>Two</p></article><script>1</script>") == "One\nTwo"
+
+
 def pages_of_hosts(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(300)]
