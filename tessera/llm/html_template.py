@@ -56,44 +56,54 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
 LIST_BOUNDS = frozenset("ul ol menu dl table".split())
 
-#: Page furniture by element, and by word of a class, id or role.
+#: Page furniture by element, and by the last word of a class, id or role.
 FURNITURE = frozenset("nav header footer aside form button select input object canvas svg video audio map dialog menu head datalist".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising aside banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies disqus footer "
     "gdpr header login masthead menu modal nav navbar navigation navigationbar newsletter notice notices notification pagination pager popup promo promoted promotion recommended "
-    "related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tagcloud teaser toolbar topbar tracking widget".split()
+    "related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tagcloud teaser toolbar topbar tracking".split()
 )
-#: Inside an article its own header stays; an article goes only as one of these.
+#: Inside an article its own header stays.
 ARTICLE_WORDS = FURNITURE_WORDS - {"header", "banner", "byline"}
 #: Not furniture themselves: `no-sidebar`, `has-menu`, `with-ads`.
 NEGATIONS = frozenset("no has with without not is show hide".split())
+#: Beside a furniture word these make the name one of content: `tag-search`, `category-social`.
+CONTENT_WORDS = frozenset("article body cat category content entry format post story tag tags term text topic type".split())
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
+
+
+def _names(attrs: str) -> Iterator[list[str]]:
+    """The words of each class, id and role."""
+    for m in _MARKED.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            if parts := [w.lower() for w in _WORD.findall(name)]:
+                yield parts
+
+
+def named(attrs: str, in_article: bool) -> bool:
+    """Whether a name of the element is a furniture word or ends in one,
+    without a content word or a negation beside it."""
+    words = ARTICLE_WORDS if in_article else FURNITURE_WORDS
+    return bool(attrs) and any(p[-1] in words and CONTENT_WORDS.isdisjoint(p) and NEGATIONS.isdisjoint(p) for p in _names(attrs))
 
 
 def furniture(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether the element is page furniture and not content."""
+    """Whether the element is page furniture by its kind, or hidden."""
     if tag in FURNITURE and not (tag == "header" and in_article):
         return True
     if not attrs or tag in ("html", "body"):
         return False
-    if _HIDDEN.search(attrs):
-        return True
-    words = ARTICLE_WORDS if in_article or tag in ("article", "main") else FURNITURE_WORDS
-    for m in _MARKED.finditer(attrs):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            parts = [w.lower() for w in _WORD.findall(name)]
-            if parts and parts[0] not in NEGATIONS and not words.isdisjoint(parts):
-                return True
-    return False
+    return bool(_HIDDEN.search(attrs))
 
 
 class Run:
     """A run of text: its token, text, block number and where it stands."""
 
-    __slots__ = ("token", "text", "block", "gone", "article", "main", "link")
+    __slots__ = ("token", "text", "block", "gone", "article", "main", "link", "named")
 
-    def __init__(self, token, text, block, gone, article, main, link):
+    def __init__(self, token, text, block, gone, article, main, link, named):
         self.token, self.text, self.block = token, text, block
-        self.gone, self.article, self.main, self.link = gone, article, main, link
+        self.gone, self.article, self.main, self.link, self.named = gone, article, main, link, named
 
 
 _known: dict[tuple, int] = {}
@@ -112,21 +122,26 @@ def _path(parent: int, name: str, attrs: str) -> int:
 
 
 def parse(source: str | None) -> tuple[list[int], list[Run]]:
-    """Tokens of the page in order, and its runs of text."""
+    """Tokens of the page in order, and its runs of text.
+
+    A block named as furniture goes with all it holds, unless it holds a main
+    element or an outermost article; of its articles, comments do not count.
+    These two themselves never go by a name."""
     page = source or ""
     tokens: list[int] = []
     runs: list[Run] = []
-    # open blocks: tag, path, furniture, in article, in main
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # open blocks: tag, path, furniture, in article, in main, blocks around it named as furniture
+    stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = [("", 0, False, False, False, ())]
+    spared: set[int] = set()
     block, links, at = 0, 0, 0
 
     def text(part: str) -> None:
         if part and not part.isspace():
             clean = entities.unescape(part) if "&" in part else part
-            _, path, gone, article, main = stack[-1]
+            _, path, gone, article, main, marks = stack[-1]
             token = xxhash.xxh64_intdigest(" ".join(clean.split()).encode("utf-8", "surrogatepass"), path)
             tokens.append(token)
-            runs.append(Run(token, clean, block, gone, article, main, links > 0))
+            runs.append(Run(token, clean, block, gone, article, main, links > 0, marks))
         elif part and runs:
             runs[-1].text += " "
 
@@ -152,7 +167,7 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
                 links = max(0, links + (-1 if ending else 1))
             if name in ("td", "th") and runs:
                 runs[-1].text += " "
-            if not ending and name in ("span", "a", "label") and attrs and furniture(name, attrs, stack[-1][3]) and name != "a":
+            if not ending and name in ("span", "label") and (furniture(name, attrs, stack[-1][3]) or named(attrs, stack[-1][3])):
                 # a marked inline element: skip to its end
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 if end:
@@ -175,15 +190,22 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
             close(("p",), LIST_BOUNDS | {"article", "main", "body", "div", "section"})
         if name in CLOSES_SELF:
             close(CLOSES_SELF[name], LIST_BOUNDS)
-        _, path, gone, article, main = stack[-1]
+        _, path, gone, article, main, marks = stack[-1]
         path = _path(path, name, attrs)
         tokens.append(path)
         if name in VOID:
             continue
         gone = gone or furniture(name, attrs, article)
-        stack.append((name, path, gone, article or name == "article", main or name == "main"))
+        if name == "main" or name == "article" and not article and not (marks and any(p[0] in COMMENT_WORDS or p[-1] in COMMENT_WORDS for p in _names(attrs))):
+            if not gone:
+                spared.update(marks)
+        elif name not in ("html", "body") and named(attrs, article):
+            marks += (block,)
+        stack.append((name, path, gone, article or name == "article", main or name == "main", marks))
         links = 0 if name in CLOSES_P else links
     text(page[at:])
+    for r in runs:
+        r.gone = r.gone or not spared.issuperset(r.named)
     return tokens, runs
 
 

@@ -148,6 +148,20 @@ def test_raw_elements_end_at_their_own_end(raw):
     assert read(f"<article><p>One</p>{raw}<p>Two</p></article><script>1</script>") == "One\nTwo"
 
 
+@pytest.mark.parametrize("body, text", [
+    ("<article class='post category-social-media tag-search'><p>Story</p></article>", "Story"),
+    ("<article class='post social'><p>Story</p></article><article class='sponsored'><p>Two</p></article>", "Story\nTwo"),
+    ("<article><div class='elementor-widget elementor-widget-text-editor'><p>Story</p></div></article>", "Story"),
+    ("<div class='content-with-sidebar'><p>Story</p></div><div class='main-sidebar'><p>side</p></div>", "Story"),
+    ("<div class='sidebar'><div><article><p>Story</p></article></div></div>", "Story"),
+    ("<div id='social'><main><p>Story</p><p class='ads'>ad</p></main></div>", "Story"),
+    ("<article><p>Story</p></article><div id='comments'><article class='comment-body'><p>c</p></article></div>", "Story"),
+    ("<article><p>Story</p><div class='cookie-notice'>c</div><div class='right-sidebar'>s</div><div id='ad-1'>a</div></article>", "Story"),
+])
+def test_furniture_by_the_head_of_a_name(body, text):
+    assert html_template.main_text(html_template.parse(page(body))[1], frozenset()) == text
+
+
 def pages_of_hosts(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(300)]
