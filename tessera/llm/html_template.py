@@ -210,23 +210,25 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
 
 
 def main_text(runs: list[Run], template: frozenset[int]) -> str:
-    """The text of the slots that remain: of the articles if there are any,
-    else of the main element, else of the body without blocks of links."""
+    """The text of the slots that remain, without blocks of links outside
+    articles and main; only that of the articles if they hold most of it, else
+    only that of the main element if that does."""
     left = [r for r in runs if not r.gone and r.token not in template]
+    linked: dict[int, list[int]] = {}
+    for r in left:
+        if not (r.article or r.main):
+            linked.setdefault(r.block, [0, 0])[r.link] += len(r.text.strip())
+    menus = {b for b, (plain, link) in linked.items() if link > 4 * plain}
+    left = [r for r in left if r.article or r.main or r.block not in menus]
+    total = sum(len(r.text.strip()) for r in left)
     for inside in ("article", "main"):
-        if any(getattr(r, inside) for r in left):
-            left = [r for r in left if getattr(r, inside)]
-            menus: set[int] = set()
+        own = [r for r in left if getattr(r, inside)]
+        if 2 * sum(len(r.text.strip()) for r in own) > total:
+            left = own
             break
-    else:
-        linked: dict[int, list[int]] = {}
-        for r in left:
-            linked.setdefault(r.block, [0, 0])[r.link] += len(r.text.strip())
-        menus = {b for b, (plain, link) in linked.items() if link > 4 * plain}
     blocks: dict[int, list[str]] = {}
     for r in left:
-        if r.block not in menus:
-            blocks.setdefault(r.block, []).append(r.text)
+        blocks.setdefault(r.block, []).append(r.text)
     lines = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(line for line in lines if line)
 

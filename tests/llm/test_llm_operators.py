@@ -162,6 +162,18 @@ def test_furniture_by_the_head_of_a_name(body, text):
     assert html_template.main_text(html_template.parse(page(body))[1], frozenset()) == text
 
 
+@pytest.mark.parametrize("body, text", [
+    ("<main><p>A long story of many words.</p></main><p>out</p><article class='card'><p>Card</p></article>", "A long story of many words."),
+    ("<main><p>A long story of many words.</p><article><p>Card</p></article></main>", "A long story of many words.\nCard"),
+    ("<div><p>A long story of many words.</p></div><article class='card'><p>Card</p></article>", "A long story of many words.\nCard"),
+    ("<div><p>A long story of many words.</p></div><main><p>x</p></main><ul><li><a href=1>Menu</a></ul>", "A long story of many words.\nx"),
+    ("<p>before</p><article><p>A long story of many words.</p></article><p>after</p>", "A long story of many words."),
+    ("<ul><li><a href=1>A menu of links as long as the story</a></ul><article><p>A story.</p></article>", "A story."),
+])
+def test_article_only_if_it_holds_most(body, text):
+    assert html_template.main_text(html_template.parse(page(body))[1], frozenset()) == text
+
+
 def pages_of_hosts(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(300)]
