@@ -212,20 +212,21 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
 def main_text(runs: list[Run], template: frozenset[int]) -> str:
     """The text of the slots that remain, without blocks of links outside
     articles and main; only that of the articles if they hold most of it, else
-    only that of the main element if that does."""
-    left = [r for r in runs if not r.gone and r.token not in template]
+    only that of the main element if that does. What articles that hold most
+    of the text have in common stays: it is content, not template text."""
+    left = [r for r in runs if not r.gone and (r.article or r.token not in template)]
     linked: dict[int, list[int]] = {}
     for r in left:
         if not (r.article or r.main):
             linked.setdefault(r.block, [0, 0])[r.link] += len(r.text.strip())
     menus = {b for b, (plain, link) in linked.items() if link > 4 * plain}
     left = [r for r in left if r.article or r.main or r.block not in menus]
-    total = sum(len(r.text.strip()) for r in left)
     for inside in ("article", "main"):
         own = [r for r in left if getattr(r, inside)]
-        if 2 * sum(len(r.text.strip()) for r in own) > total:
+        if 2 * sum(len(r.text.strip()) for r in own) > sum(len(r.text.strip()) for r in left):
             left = own
             break
+        left = [r for r in left if r.token not in template]
     blocks: dict[int, list[str]] = {}
     for r in left:
         blocks.setdefault(r.block, []).append(r.text)

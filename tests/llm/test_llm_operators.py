@@ -197,6 +197,14 @@ def test_template_text_goes_and_slots_stay(spark, monkeypatch):
     assert html_template.extract(pages.limit(0)).count() == 0
 
 
+def test_what_articles_share_stays(spark):
+    rows = [(i, "http://mirror.example/a", page(f"<div>ad {i}</div><article><h1>One story</h1><p>told on every page</p></article><div>All about us</div>"), "One story\ntold on every page") for i in range(6)]
+    rows += [(10 + i, "http://cook.example/a", page(f"<article><h2>Ingredients</h2><p>{'egg ' * (i + 3)}</p></article>"), f"Ingredients\n{'egg ' * (i + 3)}".strip()) for i in range(6)]
+    rows += [(20 + i, "http://news.example/a", page(f"<div><p>Long story {'w ' * (i + 9)}</p></div><article class='card'>Card</article><p>About</p>"), f"Long story {'w ' * (i + 9)}".strip()) for i in range(6)]
+    got = html_template.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(r[0], r[3]) for r in rows]
+
+
 def test_class_order_and_nesting():
     facts = lambda tokens, classes: {c: v for c, _, v in html_template.class_facts(np.array(tokens), classes)}
     assert facts([1, 3, 4, 3, 4, 2], [[1, 2], [3, 4]]) == {0: True, 1: True}
