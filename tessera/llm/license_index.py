@@ -60,7 +60,66 @@ TEMPLATES: tuple[Template, ...] = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
     Template("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     Template("all-rights-reserved", "all rights reserved", "all rights reserved"),
-)
+    # the licences' own notices and bodies, several keys a label
+    *(
+        Template(label, key, key)
+        for label, keys in {
+            "mit": (
+                "the mit license mit",
+                "permission is hereby granted free of charge to any person obtaining a copy",
+                "to deal in the software without restriction",
+            ),
+            "apache-2": ("apache license 2 0", "apache 2 0 license", "apache software license version 2"),
+            "gpl-3": (
+                "gnu general public license as published by the free software foundation either version 3",
+                "gnu general public license as published by the free software foundation version 3",
+                "gnu general public license v3",
+                "gnu gpl version 3",
+                "gnu gpl v3",
+            ),
+            "gpl-2": (
+                "gnu general public license as published by the free software foundation either version 2",
+                "gnu general public license as published by the free software foundation version 2",
+                "gnu general public license v2",
+                "gnu gpl version 2",
+                "gnu gpl v2",
+            ),
+            "lgpl": ("gnu library general public license",),
+            "agpl": (
+                "gnu affero general public license as published by",
+                "under the gnu affero general public license",
+                "gnu affero general public license version 3 19 november 2007",
+                "gnu affero general public license v3",
+            ),
+            "mpl-2": ("mozilla public license version 2", "mozilla public license 2 0", "mozilla public license v2"),
+            "epl": ("eclipse public license",),
+            "bsd": ("redistributions of source code must retain the above copyright notice", "bsd license", "bsd style license", "bsd 2 clause", "bsd 3 clause"),
+            "isc": (
+                "isc license",
+                "fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+            ),
+            "cc0": (
+                "cc0 1 0",
+                "creative commons zero",
+                "creative commons cc0",
+                "has waived all copyright and related or neighboring rights",
+                "creativecommons org publicdomain zero",
+            ),
+            "cc-by": ("creative commons attribution 4 0", "creative commons attribution 3 0", "creative commons attribution license", "cc by 4 0", "cc by 3 0", "creativecommons org licenses by 4 0", "creativecommons org licenses by 3 0"),
+            "cc-by-sa": ("creative commons attribution sharealike", "creative commons attribution share alike", "creativecommons org licenses by sa"),
+            "cc-by-nd": ("creative commons attribution noderivatives", "creative commons attribution noderivs", "cc by nd", "creativecommons org licenses by nd"),
+            "cc-by-nc": ("creative commons attribution noncommercial", "creative commons attribution non commercial", "creativecommons org licenses by nc"),
+        }.items()
+        for key in keys
+    ),
+    *(
+        Template(label, f"spdx license identifier {name}", f"spdx license identifier {name}")
+        for label, name in (
+            ("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-3", "gpl 3 0"), ("gpl-2", "gpl 2 0"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("mpl-2", "mpl 2 0"), ("epl", "epl"),
+            ("bsd", "bsd"), ("isc", "isc"), ("cc0", "cc0"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa"), ("cc-by-nd", "cc by nd"), ("cc-by-nc", "cc by nc"),
+        )
+    ),
+)
 #: Share of a template's words that must be in place, its key phrase always.
 LEAST_SHARE = 0.5
 

@@ -506,6 +506,44 @@ def test_licences_against_plain_search(spark, edges):
     assert labels[203] == ("gpl-3", 1.0) and labels[202] == ("gpl-3", 0.5)
 
 
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, {} of the License, or (at your option) any later version."
+NOTICES = [
+    ("gpl-3", GPL.format("", "either version 3")),
+    ("gpl-3", "under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
+    ("gpl-2", GPL.format("", "either version 2").replace("Foundation,", "Foundation;")),
+    ("gpl-2", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("gpl-2", "GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
+    ("lgpl", GPL.format("Lesser ", "either version 2.1")),
+    ("lgpl", GPL.format("Library ", "either version 2")),
+    ("agpl", GPL.format("Affero ", "either version 3")),
+    ("agpl", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+    ("mit", "The MIT License (MIT)"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"),
+    ("bsd", "1. Redistributions of source code must retain the above copyright notice, this list of conditions"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("apache-2", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed"),
+    ("mpl-2", "Mozilla Public License Version 2.0"),
+    ("epl", "made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nd", "Creative Commons Attribution-NoDerivs 3.0"),
+    ("cc0", "has waived all copyright and related or neighboring rights to this work"),
+    ("cc0", "CC0 1.0 Universal"),
+    ("gpl-2", "// SPDX-License-Identifier: GPL-2.0-only"),
+    ("", "No general public, no licence; the free software foundation has published version 3 of its mission."),
+]
+
+
+def test_labels_of_standard_notices(spark):
+    table = spark.createDataFrame([(i, f"some words before {x}\nand after") for i, (_, x) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_index.digests(license_index.scan(table)).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == [k for k, _ in NOTICES]
+
+
 # ---------------------------------------------------------------- 10
 
 
