@@ -33,19 +33,50 @@ CELLS = 12
 GROW = 4
 BLOCK_ROWS = 512
 MAX_BLOCKS = 1 << 17
-#: A line goes on until a sentence ends after so many characters.
+#: Longer lines are cut; a piece but the last has at least half as many characters.
 PARAGRAPH_CHARS = 200
 
-_PARAGRAPH = re.compile(r"[^\n]{%d,}?[.!?](?=\s|$)|[^\n]+" % PARAGRAPH_CHARS)
+#: Sentence ends: ASCII before white space, others anywhere, with closing marks.
+_END = re.compile("[.!?][\"')\\]]*(?=\\s|\\Z)|[\u3002\uff01\uff1f\uff61\uff0e\u2026\u203c\u2047-\u2049\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4\u1803\u1809][\u201d\u2019\u300d\u300f\uff09\u3011]*")
+#: Code points before a place that decide on a cut there.
+_WINDOW = 8
+_POWERS = np.array([pow(0x01000193, i, 1 << 32) for i in range(_WINDOW)], np.uint32)
 _MASK = (1 << 64) - 1
 
 
+def _content_cut(part: str) -> int:
+    """A place in the latter half of ``part``: the first with the least hash of
+    the code points before it."""
+    codes = np.frombuffer(part[len(part) // 2 - _WINDOW :].encode("utf-32-le", "surrogatepass"), np.uint32)
+    rolled = (np.lib.stride_tricks.sliding_window_view(codes, _WINDOW) * _POWERS).sum(axis=1, dtype=np.uint32)
+    return len(part) // 2 + int(np.argmin((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x85EBCA6B)))
+
+
+def paragraphs(text: str) -> Iterator[str]:
+    """Lines; of a line the next piece ends with the first sentence that ends in
+    the latter half of PARAGRAPH_CHARS characters, else, if the line goes on
+    beyond these, at a place there chosen by the code points around it."""
+    for line in text.split("\n"):
+        at = 0
+        while at < len(line):
+            low, high = at + PARAGRAPH_CHARS // 2, at + PARAGRAPH_CHARS
+            end = _END.search(line, low - 1, high + 1)  # one more, to see what follows
+            if end and end.end() <= high:
+                cut = end.end()
+            elif len(line) > high:
+                cut = at + _content_cut(line[at:high])
+            else:
+                cut = len(line)
+            yield line[at:cut]
+            at = cut
+
+
 def digests(text: str) -> list[int]:
-    """64-bit digests of the paragraphs: lines, long ones cut at sentence ends;
-    the n-th repeat of a paragraph has a digest of its own."""
+    """64-bit digests of the paragraphs: lines, long ones in pieces; the n-th
+    repeat of a paragraph has a digest of its own."""
     seen: dict[str, int] = {}
     out = []
-    for p in _PARAGRAPH.findall(text):
+    for p in paragraphs(text):
         p = p.strip()
         if p:
             n = seen.get(p, 0)

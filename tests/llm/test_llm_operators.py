@@ -256,6 +256,27 @@ def test_sketch_difference_is_exact():
         assert len(set(x.digests)) == len(x.digests)
 
 
+def test_half_edits_of_long_lines_leave_half():
+    rng = random.Random(9)
+    word = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    makers = [
+        lambda n: "".join(word("天地人日月山水火木金土", 21) + "。" for _ in range(n // 22)),
+        lambda n: word("กขคงจฉชซ", n),
+        lambda n: " ".join(word("abcde", 5) for _ in range(n // 6)),
+        lambda n: word("ab", n),
+        lambda n: "word " * (n // 5),
+        lambda n: " ".join(word("abcde", 60).capitalize() + "." for _ in range(n // 62)),
+    ]
+    for make in makers:
+        text, following = make(10_000), "\n".join(word("xyz", 140) for _ in range(80))
+        pieces = list(paragraph_sketch.paragraphs(text))
+        assert "".join(pieces) == text and max(map(len, pieces)) <= paragraph_sketch.PARAGRAPH_CHARS
+        one, new = paragraph_sketch.Fingerprint(text), paragraph_sketch.Fingerprint(paragraph_sketch.edited(text, following))
+        assert 0.35 < one.likeness(new) < 0.65
+    short = makers[2](450)
+    assert paragraph_sketch.Fingerprint(short).likeness(paragraph_sketch.Fingerprint(paragraph_sketch.edited(short, "z " * 300))) > 0.2
+
+
 def test_next_document(spark, edges, monkeypatch):
     monkeypatch.setattr(paragraph_sketch, "BLOCK_ROWS", 3)
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else float("-inf")), r["text"] or "") for r in edges.collect())
