@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.rand import SqlExpr, hash32_sql
-from tessera.llm import bpe_tree, exact_quotient, html_template, importance, language_kernel, license_index, mixing_tree, paragraph_sketch, secret_ledger, simhash_mih
+from tessera.llm import (
+    bpe_tree, collocation, exact_quotient, html_template, importance, language_kernel, license_index, mixing_tree, paragraph_sketch, secret_ledger, simhash_mih,
+    token_alignment, toxicity,
+)
 from tessera.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +168,44 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_html_text")
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(read_table(spark, sf_dir, "pages"))
+
+
+@register("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_alignment.read_files(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.link_digests(read_table(spark, sf_dir, "documents"), files)
+
+
+#: Every contiguous phrase of every piece, counted one by one.
+OP13_SQL = r"""
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from p),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) phrase
+      from w, (select unnest([1, 2, 3, 4]) k) where len(ws) >= k),
+f as (select lang, k, phrase, count(*) f from g group by all),
+n as (select lang, cast(sum(f) as bigint) n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') ws from f where k >= 2 and f >= 30),
+u as (select c.*, cut, array_to_string(ws[1:cut], ' ') lp, array_to_string(ws[cut + 1:], ' ') rp from c, (select unnest([1, 2, 3]) cut) where cut < k),
+s as (select u.*, x.f l, y.f r, cast((cast(u.a as hugeint) * 2000000) // (cast(x.f as hugeint) + y.f) as bigint) score
+      from u join f x on x.lang = u.lang and x.phrase = lp and x.k = cut join f y on y.lang = u.lang and y.phrase = rp and y.k = u.k - cut),
+b as (select *, row_number() over (partition by lang, phrase order by score, cut) pick from s),
+i as (select lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda j: array_to_string(ws[j:j + m - 1], ' '))))) phrase from c where k > 2),
+m as (select lang, phrase, max(a) longer from i group by all),
+t as (select b.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+      from b left join m using (lang, phrase) where pick = 1 and (longer is null or cast(longer as hugeint) * 100 < cast(a as hugeint) * 80))
+select lang, rank, phrase, a, l, r, n, score from t join n using (lang) where rank <= 2000
+"""
+
+
+@register("op13_collocations", OP13_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read_table(spark, sf_dir, "documents"))
