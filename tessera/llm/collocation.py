@@ -21,8 +21,7 @@ number of those phrases up to MOST_BITS, the proven bound of what is broadcast.
 
 from __future__ import annotations
 
-import re
-import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,25 +34,53 @@ from tessera.sources.sinks import scratch_path
 
 NO_LANG = "und"
 OVERLAP = 3
-MODULUS = 6
+MODULUS = 16
 LONGEST = 256
 MOST_WORDS = OVERLAP + 1
 MOST_BITS = 1 << 27
-#: Rows of a task's own sums before they are handed on.
+#: Phrases of a task's own sums before they are handed on.
 HELD = 200_000
+#: Bytes of texts that are parsed together, and chunks that are counted together.
+TOGETHER = 1 << 21
+CHUNKS = 16_384
 
-_ENDS = re.compile(rb"[.,;:!?\n-\r]+")
+_SPACE, _END = 32, 10
+# A-Z in lower case, the signs that end a piece all as one
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BLOCK = 1 << 15
 _CHUNK = "lang string, chunk string, tail boolean, n long"
 _COUNT = "lang string, phrase string, f long"
 
+_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the prime and of its inverse modulo 2^64, n of each at least."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = 1 << n.bit_length()
+        _powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, p)], dtype=np.uint64) for p in (_PRIME, _INVERSE))
+    return _powers
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word data[start:end]: differences of a running sum
+    of bytes times powers, brought to the same power."""
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), _BLOCK):
+        b, e = starts[at : at + _BLOCK], ends[at : at + _BLOCK]
+        part = data[b[0] : e[-1]]
+        power, inverse = _powers_to(len(part))
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=run[1:])
+        out[at : at + _BLOCK] = (run[e - b[0]] - run[b - b[0]]) * inverse[b - b[0]]
+    return out
 
 
 def _windows(h: np.ndarray, n: int, seed: np.ndarray | int = 0) -> np.ndarray:
-    """A 64-bit hash of every n words in a row; ``seed`` goes with a position."""
+    """A hash of every n words in a row; ``seed`` goes with a position."""
     size = max(0, len(h) - n + 1)
     x = np.full(size, n, np.uint64) + (seed[:size] if isinstance(seed, np.ndarray) else np.uint64(seed))
     for k in range(n):
@@ -62,20 +89,24 @@ def _windows(h: np.ndarray, n: int, seed: np.ndarray | int = 0) -> np.ndarray:
     return x
 
 
-def runs(text: str) -> list[list[bytes]]:
-    """Words of each piece of a text, A-Z in lower case (bytes.lower folds no
-    other letter; within a piece bytes.split cuts at space and tab alone)."""
-    return [w for w in map(bytes.split, _ENDS.split(text.encode().lower())) if w]
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and run of every word of folded text: words end at space and
+    tab, runs at the sign that ends a piece."""
+    a = np.frombuffer(data, np.uint8)
+    inside = (a != _SPACE) & (a != 9) & (a != _END)
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    return starts, ends, np.searchsorted(np.flatnonzero(a == _END), starts)
 
 
-def cuts(words: list[bytes], begins: np.ndarray) -> np.ndarray:
-    """Starts of the chunks of runs that lie one after the other in ``words``
-    and begin at ``begins`` (the end of the words included)."""
-    n = len(words)
+def cuts(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """First words of the chunks of runs of words with hashes ``h``; the runs lie
+    one after the other and begin at ``begins`` (the end of the words included)."""
+    n = len(h)
     run_end = np.repeat(begins[1:], np.diff(begins))
     trigger = np.zeros(n, bool)
-    window = _windows(_hashes(words), OVERLAP)
-    trigger[: len(window)] = window % np.uint64(MODULUS) == 0
+    window = _windows(h, OVERLAP)
+    trigger[: len(window)] = (window >> np.uint64(33)) % np.uint64(MODULUS) == 0
     place = np.arange(n)
     # a word at least before the window and after it
     trigger &= place + OVERLAP < run_end
@@ -89,18 +120,30 @@ def cuts(words: list[bytes], begins: np.ndarray) -> np.ndarray:
     return starts
 
 
-class _Sums:
-    """Sums of a task by key, handed on when there are HELD of them."""
-
-    def __init__(self, schema: pa.Schema, columns):
-        self.sums: dict[tuple, int] = {}
-        self.schema, self.columns = schema, columns
-
-    def flush(self, least: int = 1) -> Iterator[pa.RecordBatch]:
-        if len(self.sums) >= least:
-            arrays = [*self.columns(list(self.sums)), list(self.sums.values())]
-            self.sums.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, self.schema)], schema=self.schema)
+def chunks_of(data: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The parse of folded text: each chunk's place, its words by single spaces,
+    and whether it ends its run."""
+    starts, ends, run = words_of(data)
+    if not len(starts):
+        return starts, [], np.zeros(0, bool)
+    begins = np.r_[0, np.flatnonzero(np.diff(run)) + 1, len(run)]
+    a = np.frombuffer(data, np.uint8)
+    first = cuts(word_hashes(a, starts, ends), begins)
+    run_end = np.repeat(begins[1:], np.diff(begins))[first]
+    following = np.r_[first[1:], len(starts)]
+    tails = following == run_end
+    last = np.where(tails, run_end, following + OVERLAP) - 1
+    # a chunk whose words stand one space apart is a slice of the text
+    wide = (starts[1:] - ends[:-1] != 1) | (a[ends[:-1]] != _SPACE)
+    wide = np.r_[0, np.cumsum(wide)]
+    chunks = [data[s:e] for s, e in zip(starts[first].tolist(), ends[last].tolist())]
+    for i in np.flatnonzero(wide[last] != wide[first]).tolist():
+        chunks[i] = b" ".join(chunks[i].split())
+    return starts[first], chunks, tails
+
+
+def _strings(values: Iterable[bytes | None]) -> pa.Array:
+    return pa.array(values, pa.binary()).cast(pa.string())
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -110,39 +153,59 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     src = docs.select(lang, F.col(f"`{text_col}`").alias("text")).where("text is not null")
     schema = arrow_schema(docs.sparkSession, _CHUNK)
 
-    def columns(keys: list[tuple]) -> tuple:
-        return [k[0] for k in keys], [k[1].decode() for k in keys], [k[2] for k in keys]
-
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Sums(schema, columns)
-        sums = held.sums
+        def parsed(langs: list[str], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            place, chunks, tails = chunks_of(b"\n".join(texts))
+            if chunks:
+                text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), place, side="right")
+                t = pa.table({"lang": pa.array(langs, pa.string()).take(pa.array(text)), "chunk": _strings(chunks), "tail": pa.array(tails)})
+                t = t.group_by(["lang", "chunk", "tail"]).aggregate([([], "count_all")])
+                yield from t.select(["lang", "chunk", "tail", "count_all"]).cast(schema.with_metadata(None).set(3, pa.field("count_all", pa.int64()))).rename_columns(schema.names).to_batches()
+
+        langs, texts, size = [], [], 0
         for b in (part.slice(at, 64) for part in batches for at in range(0, part.num_rows, 64)):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                pieces = runs(text)
-                if not pieces:
-                    continue
-                words = [w for p in pieces for w in p]
-                begins = np.cumsum([0, *map(len, pieces)])
-                starts = cuts(words, begins)
-                run_end = np.repeat(begins[1:], np.diff(begins))[starts]
-                following = np.r_[starts[1:], len(words)]
-                tails = following == run_end
-                ends = np.where(tails, run_end, following + OVERLAP)
-                for s, e, tail in zip(starts.tolist(), ends.tolist(), tails.tolist()):
-                    key = (lang, b" ".join(words[s:e]), tail)
-                    sums[key] = sums.get(key, 0) + 1
-                yield from held.flush(HELD)
-        yield from held.flush()
-
-    parsed = src.mapInArrow(lean(parse), _CHUNK)
-    return parsed.groupBy("lang", "chunk", "tail").agg(F.sum("n").alias("n"))
-
-
-def _bit_places(lang: list[bytes], words: list[bytes], sizes: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """The bit of every n words in a row, ``lang`` and ``sizes`` by chunk; a
-    place is meant only where n words of one chunk follow."""
-    seed = np.repeat(_hashes(lang), sizes)
-    return _windows(_hashes(words), n, seed) % np.uint64(bits)
+                langs.append(lang)
+                texts.append(text.encode().translate(_FOLD))
+                size += len(texts[-1])
+                if size > TOGETHER:
+                    yield from parsed(langs, texts)
+                    langs, texts, size = [], [], 0
+        yield from parsed(langs, texts)
+
+    return src.mapInArrow(lean(parse), _CHUNK).groupBy("lang", "chunk", "tail").agg(F.sum("n").alias("n"))
+
+
+class _Words:
+    """The words of a column of strings whose words stand one space apart."""
+
+    def __init__(self, strings: pa.Array, langs: list[str]):
+        _, offsets, data = strings.buffers()
+        at = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+        self.data = data.to_pybytes()[at[0] : at[-1]] if data is not None else b""
+        at -= at[0]
+        a = np.frombuffer(self.data, np.uint8)
+        inside = a != _SPACE
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        first[at[:-1]] = True  # no string is empty
+        last[at[1:] - 1] = True
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        upto = np.searchsorted(self.starts, at)
+        self.sizes, self.upto = np.diff(upto), upto[1:]
+        self.h = word_hashes(a, self.starts, self.ends)
+        code: dict[str, int] = {}
+        for x in langs:
+            if x not in code:
+                raw = np.frombuffer(x.encode(), np.uint8)
+                code[x] = int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0]) if len(raw) else 0
+        self.seeds = np.repeat(np.array([code[x] for x in langs], np.uint64), self.sizes)
+
+    def bits(self, n: int, bits: int) -> np.ndarray:
+        """The bit of every n words in a row; meant only where n words of one
+        string follow."""
+        return (_windows(self.h, n, self.seeds) >> np.uint64(20)) % np.uint64(bits)
 
 
 def _flags(spark: SparkSession, frequent: DataFrame, n: int) -> tuple[int, np.ndarray]:
@@ -154,9 +217,9 @@ def _flags(spark: SparkSession, frequent: DataFrame, n: int) -> tuple[int, np.nd
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [p.encode().split(b" ") for p in b.column(1).to_pylist()]
-            at = _bit_places([x.encode() for x in b.column(0).to_pylist()], [w for p in words for w in p], np.full(len(words), n), n, bits)[::n].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], schema=schema)
+            if b.num_rows:
+                at = _Words(b.column(1).cast(pa.string()), b.column(0).to_pylist()).bits(n, bits)[::n].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], schema=schema)
 
     set_bits = frequent.select("lang", "phrase").mapInArrow(place, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit"))
     flags = np.zeros(bits >> 5, np.uint32)
@@ -173,43 +236,45 @@ def phrase_counts(dictionary: DataFrame, n: int, least: int, shorter: DataFrame
     schema = arrow_schema(spark, _COUNT)
     shared = spark.sparkContext.broadcast(_flags(spark, shorter, n - 1) if shorter is not None else None)
 
-    def columns(keys: list[tuple]) -> tuple:
-        return [k[0] for k in keys], [k[1].decode() if k[1] is not None else None for k in keys]
-
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Sums(schema, columns)
-        sums = held.sums
+        held: dict[str, Counter] = defaultdict(Counter)
         flags = shared.value
-        for b in (part.slice(at, 4096) for part in batches for at in range(0, part.num_rows, 4096)):
-            langs, tails, weights = b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_pylist()
-            chunks = [c.encode().split(b" ") for c in b.column(1).to_pylist()]
-            words = [w for c in chunks for w in c]
-            sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-            ends = np.cumsum(sizes)
-            # starts: n words to the chunk's end, and not in the window that the next chunk begins with
-            room = ends - np.where(tails, 0, OVERLAP)
-            place = np.arange(len(words))
-            ok = (place + n <= np.repeat(ends, sizes)) & (place < np.repeat(room, sizes))
+
+        def hand_on(least: int = 0) -> Iterator[pa.RecordBatch]:
+            if sum(map(len, held.values())) > least:
+                for lang, sums in held.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sums), pa.string()), _strings(sums), pa.array(sums.values(), pa.int64())], schema=schema)
+                held.clear()
+
+        for b in (part.slice(at, CHUNKS) for part in batches for at in range(0, part.num_rows, CHUNKS)):
+            langs, weights = b.column(0).to_pylist(), b.column(3).to_numpy()
+            w = _Words(b.column(1).cast(pa.string()), langs)
+            tails = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            place = np.arange(len(w.starts))
+            # n words to the chunk's end, and not from the window that the next chunk begins with
+            ok = (place + n <= np.repeat(w.upto, w.sizes)) & (place < np.repeat(w.upto - np.where(tails, 0, OVERLAP), w.sizes))
             if flags is not None:
                 bits, table = flags
-                at = _bit_places([x.encode() for x in langs], words, sizes, n - 1, bits)
-                known = np.zeros(len(words) + 1, bool)
+                at = w.bits(n - 1, bits)
+                known = np.zeros(len(place) + 1, bool)
                 known[: len(at)] = (table[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
                 ok &= known[:-1] & known[1:]
-            chunk_of = np.repeat(np.arange(len(chunks)), sizes)
-            if n == 1:
-                for s, c in zip(np.flatnonzero(ok).tolist(), chunk_of[ok].tolist()):
-                    key = (langs[c], words[s])
-                    sums[key] = sums.get(key, 0) + weights[c]
-                counted = np.bincount(chunk_of[ok], minlength=len(chunks)).tolist()
-                for lang, w, k in zip(langs, weights, counted):
-                    sums[(lang, None)] = sums.get((lang, None), 0) + w * k
-            else:
-                for s, c in zip(np.flatnonzero(ok).tolist(), chunk_of[ok].tolist()):
-                    key = (langs[c], b" ".join(words[s : s + n]))
-                    sums[key] = sums.get(key, 0) + weights[c]
-            yield from held.flush(HELD)
-        yield from held.flush()
+            chunk = np.repeat(np.arange(len(langs)), w.sizes)[ok]
+            at = np.flatnonzero(ok)
+            starts, ends, times = w.starts[at], w.ends[at + n - 1], weights[chunk]
+            of = np.array(langs, object)[chunk]
+            for lang in dict.fromkeys(langs):
+                mine = of == lang
+                sums = held[lang]
+                once = mine & (times == 1)
+                sums.update([w.data[s:e] for s, e in zip(starts[once].tolist(), ends[once].tolist())])
+                more = mine & (times != 1)
+                for s, e, k in zip(starts[more].tolist(), ends[more].tolist(), times[more].tolist()):
+                    sums[w.data[s:e]] += k
+                if n == 1:
+                    sums[None] += int(times[mine].sum())
+            yield from hand_on(HELD)
+        yield from hand_on()
 
     f = dictionary.mapInArrow(lean(count), _COUNT).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return f.where((F.col("f") >= least) | F.col("phrase").isNull())

@@ -208,15 +208,29 @@ def test_collocation_scores_beyond_64_bits(spark):
 def test_chunks_overlap_by_the_window_and_cover_once():
     rng = random.Random(2)
     for _ in range(50):
-        runs = [[b"%d" % rng.randint(0, 9) for _ in range(rng.randint(1, 400))] for _ in range(3)]
-        words = [w for r in runs for w in r]
-        begins = np.cumsum([0, *map(len, runs)])
-        starts = collocation.cuts(words, begins).tolist()
-        assert set(begins[:-1].tolist()) <= set(starts)
-        for s, e in zip(starts, [*starts[1:], len(words)]):
+        runs = [" ".join(str(rng.randint(0, 9)) for _ in range(rng.randint(1, 600))) for _ in range(3)]
+        data = "\n".join(runs).encode()
+        starts, ends, run = collocation.words_of(data)
+        begins = np.r_[0, np.flatnonzero(np.diff(run)) + 1, len(run)]
+        first = collocation.cuts(collocation.word_hashes(np.frombuffer(data, np.uint8), starts, ends), begins).tolist()
+        assert set(begins[:-1].tolist()) <= set(first)
+        for s, e in zip(first, [*first[1:], len(starts)]):
             assert 0 < e - s <= collocation.LONGEST
             if e not in begins:  # the window that the next chunk begins with lies in one run
                 assert any(b <= s and e + collocation.OVERLAP < c for b, c in zip(begins, begins[1:]))
+        _, chunks, tails = collocation.chunks_of(data)
+        words = [len(c.split()) - (0 if t else collocation.OVERLAP) for c, t in zip(chunks, tails)]
+        assert sum(words) == len(starts) and sum(tails) == 3
+
+
+def test_word_hashes_depend_on_the_word_alone(monkeypatch):
+    monkeypatch.setattr(collocation, "_BLOCK", 5)
+    words = [b"a", b"ab", b"ba", b"\x00", b"aa", b"\xc3\xa9", b"x" * 1000] * 7
+    random.Random(3).shuffle(words)
+    data = b" ".join(words)
+    starts, ends, _ = collocation.words_of(data)
+    h = collocation.word_hashes(np.frombuffer(data, np.uint8), starts, ends)
+    assert len(set(h.tolist())) == 7 and len({(w, x) for w, x in zip(words, h.tolist())}) == 7
 
 
 def test_collocation_bits_only_let_too_much_through(spark, monkeypatch):
