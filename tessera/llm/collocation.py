@@ -39,7 +39,7 @@ LONGEST = 256
 MOST_WORDS = OVERLAP + 1
 MOST_BITS = 1 << 27
 #: Phrases of a task's own sums before they are handed on.
-HELD = 200_000
+HELD = 500_000
 #: Bytes of texts that are parsed together, and chunks that are counted together.
 TOGETHER = 1 << 21
 CHUNKS = 16_384
@@ -176,6 +176,26 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return src.mapInArrow(lean(parse), _CHUNK).groupBy("lang", "chunk", "tail").agg(F.sum("n").alias("n"))
 
 
+def _count_words(chunks: list[bytes], tails: np.ndarray, weights: np.ndarray, sums: Counter) -> None:
+    """Adds the words of chunks, times their occurrences, and all of them at None;
+    words of a window with which the next chunk begins are counted there."""
+    once = weights == 1
+    words = b" ".join([c for c, one in zip(chunks, once.tolist()) if one]).split()
+    sums.update(words)
+    total = len(words)
+    for i in np.flatnonzero(~once).tolist():
+        words, k = chunks[i].split(b" "), int(weights[i])
+        total += k * len(words)
+        for x in words:
+            sums[x] += k
+    for i in np.flatnonzero(~tails).tolist():
+        k = int(weights[i])
+        total -= k * OVERLAP
+        for x in chunks[i].rsplit(b" ", OVERLAP)[1:]:
+            sums[x] -= k
+    sums[None] += total
+
+
 class _Words:
     """The words of a column of strings whose words stand one space apart."""
 
@@ -248,31 +268,34 @@ def phrase_counts(dictionary: DataFrame, n: int, least: int, shorter: DataFrame
 
         for b in (part.slice(at, CHUNKS) for part in batches for at in range(0, part.num_rows, CHUNKS)):
             langs, weights = b.column(0).to_pylist(), b.column(3).to_numpy()
-            w = _Words(b.column(1).cast(pa.string()), langs)
             tails = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            code = {x: i for i, x in enumerate(dict.fromkeys(langs))}
+            of = np.array([code[x] for x in langs], np.int32)
+            if n == 1:
+                chunks = b.column(1).cast(pa.binary())
+                for lang, i in code.items():
+                    mine = np.flatnonzero(of == i)
+                    _count_words(chunks.take(pa.array(mine)).to_pylist(), tails[mine], weights[mine], held[lang])
+                yield from hand_on(HELD)
+                continue
+            w = _Words(b.column(1).cast(pa.string()), langs)
             place = np.arange(len(w.starts))
             # n words to the chunk's end, and not from the window that the next chunk begins with
             ok = (place + n <= np.repeat(w.upto, w.sizes)) & (place < np.repeat(w.upto - np.where(tails, 0, OVERLAP), w.sizes))
-            if flags is not None:
-                bits, table = flags
-                at = w.bits(n - 1, bits)
-                known = np.zeros(len(place) + 1, bool)
-                known[: len(at)] = (table[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
-                ok &= known[:-1] & known[1:]
-            chunk = np.repeat(np.arange(len(langs)), w.sizes)[ok]
-            at = np.flatnonzero(ok)
-            starts, ends, times = w.starts[at], w.ends[at + n - 1], weights[chunk]
-            of = np.array(langs, object)[chunk]
-            for lang in dict.fromkeys(langs):
-                mine = of == lang
-                sums = held[lang]
+            bits, table = flags
+            bit = w.bits(n - 1, bits)
+            known = np.zeros(len(place) + 1, bool)
+            known[: len(bit)] = (table[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+            at = np.flatnonzero(ok & known[:-1] & known[1:])
+            chunk = np.repeat(np.arange(len(langs)), w.sizes)[at]
+            starts, ends, times, of = w.starts[at], w.ends[at + n - 1], weights[chunk], of[chunk]
+            for lang, i in code.items():
+                mine, sums = of == i, held[lang]
                 once = mine & (times == 1)
                 sums.update([w.data[s:e] for s, e in zip(starts[once].tolist(), ends[once].tolist())])
                 more = mine & (times != 1)
                 for s, e, k in zip(starts[more].tolist(), ends[more].tolist(), times[more].tolist()):
                     sums[w.data[s:e]] += k
-                if n == 1:
-                    sums[None] += int(times[mine].sum())
             yield from hand_on(HELD)
         yield from hand_on()
 
