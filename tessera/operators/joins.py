@@ -1,8 +1,9 @@
 """Join-shaped operators.
 
-Only one-row tables (statistics, blocks of a codebook) are broadcast by a
-hint; everything else is left to Catalyst/AQE (sort-merge or shuffled hash
-join on the key, or a broadcast of what is measured small).
+Only one-row tables (statistics, blocks of a codebook) and the vectors of a
+bounded number of hot ids are broadcast by a hint; everything else is left to
+Catalyst/AQE (sort-merge or shuffled hash join on the key, or a broadcast of what
+is measured small).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import global_row_number
-from tessera.session import materialize
+from tessera.session import BROADCAST_BYTES, materialize
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -66,13 +67,44 @@ def apply_label_codes(df: DataFrame, codes: DataFrame, col: str, out: str | None
     return j.withColumn(out, code.cast("bigint")).drop("_v", "code")
 
 
+#: An id is hot if it has at least this share of the looked-up ids; the sketch
+#: that finds such ids tracks TRACKED of them in every task.
+HOT_SHARE = 1 / 512
+TRACKED = 8192
+
+
+def hot_ids(ids: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` ids that a mergeable frequent-items sketch estimates at
+    HOT_SHARE of the rows or more. Which ids it finds changes no result, only how
+    their vectors travel."""
+    est = ids.agg(F.count(id_col).alias("n"), F.expr(f"approx_top_k(`{id_col}`, {min(int(1 / HOT_SHARE), most)}, {TRACKED})").alias("top")).first()
+    hot = [(int(t["item"]),) for t in est["top"] or [] if t["item"] is not None and t["count"] >= HOT_SHARE * est["n"]]
+    return ids.sparkSession.createDataFrame(hot, "_hot long")
+
+
+def _with_vectors(ids: DataFrame, id_col: str, table: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
+    """``ids`` with ``_vec`` (null where the table has no such key). Vectors of
+    hot ids are broadcast, at most as many as fit BROADCAST_BYTES; all other ids
+    meet theirs by a shuffle in which no id is frequent any more."""
+    t = table.select(F.col(key).cast("long").alias("_k"), F.col(vec).alias("_vec"))
+    most = min(int(1 / HOT_SHARE), BROADCAST_BYTES // (4 * dim + 64))
+    hot = hot_ids(ids, id_col, most) if most else None
+    if hot is None or hot.isEmpty():
+        return ids.join(t, F.col(id_col) == F.col("_k"), "left").drop("_k")
+    keys = F.broadcast(hot)
+    few = F.broadcast(t.join(keys, F.col("_k") == F.col("_hot"), "right").select("_hot", "_vec"))
+    warm = ids.join(few, F.col(id_col) == F.col("_hot")).drop("_hot")
+    cold = ids.join(keys, F.col(id_col) == F.col("_hot"), "left_anti").join(t, F.col(id_col) == F.col("_k"), "left").drop("_k")
+    return warm.unionByName(cold)
+
+
 def lookup_vectors(ids: DataFrame, id_col: str, table: DataFrame, key: str, vec: str, vocab: int, dim: int) -> DataFrame:
-    """Id -> vector; id <= 0 or id >= vocab (padding / OOV) -> zero vector."""
-    valid = (F.col(id_col) > 0) & (F.col(id_col) < vocab)
-    t = table.select(F.col(key).alias("_k"), F.col(vec).alias("_vec"))
-    j = ids.join(t, valid & (F.col(id_col) == F.col("_k")), "left")
+    """Id -> vector; id <= 0 or id >= vocab (padding / OOV) -> zero vector.
+    Ids out of range do not take part in the join."""
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return j.withColumn(vec, F.when(valid, F.coalesce(F.col("_vec"), zero)).otherwise(zero)).drop("_k", "_vec")
+    valid = F.coalesce((F.col(id_col) > 0) & (F.col(id_col) < vocab), F.lit(False))
+    found = _with_vectors(ids.where(valid), id_col, table, key, vec, dim).withColumn(vec, F.coalesce("_vec", zero)).drop("_vec")
+    return found.unionByName(ids.where(~valid).withColumn(vec, zero))
 
 
 def embedding_bag_mean(
@@ -81,8 +113,7 @@ def embedding_bag_mean(
     """Mean of looked-up vectors over the valid (non-padding, in-vocab)
     ids of each row; zero vector when none."""
     ex = rows.select(row_key, F.explode(ids_col).alias("_id")).where((F.col("_id") > 0) & (F.col("_id") < vocab))
-    t = table.select(F.col(key).alias("_id"), F.col(vec).alias("_vec"))
-    j = ex.join(t, "_id", "left").select(row_key, F.coalesce(F.col("_vec"), F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("_vec"))
+    j = _with_vectors(ex, "_id", table, key, vec, dim).select(row_key, F.coalesce(F.col("_vec"), F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("_vec"))
     # one avg per dimension in a single grouped aggregate: rows stay one per
     # (row, id) — no per-dimension explode — and the partial aggregates absorb
     # a row with a very long id list

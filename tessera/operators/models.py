@@ -21,6 +21,7 @@ from tessera.functions import scalars as S
 from tessera.operators import catalog as C
 from tessera.operators import joins as J
 from tessera.operators import metrics as M
+from tessera.operators import newton
 from tessera.operators import split as R
 from tessera.session import materialize
 
@@ -114,8 +115,8 @@ def logistic_regression(features: Sequence[str], label: str = "y", C_inv: float
 def gbt(features: Sequence[str], label: str = "y", max_iter: int = 100, depth: int = 6, lr: float = 0.1,
         subsample: float = 0.8, colsample: float = 0.8, weight: str | None = None, validation: str | None = None,
         seed: int = 42) -> Pipeline:
-    """F6 (XGBoost config) / F7 (LightGBM config: weights + early stopping on
-    a validation indicator; leaf-wise growth approximated by a depth cap)."""
+    """level-wise boosted trees (MLlib). With weights and a validation
+    indicator also a depth-capped form of F7; ``boosting`` grows leaf by leaf."""
     kw = dict(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=lr,
               subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=seed)
     if weight:
@@ -156,19 +157,15 @@ def kmeans_codebook(df: DataFrame, vec: str, k: int = 256, seed: int = 42, max_i
 
 def cross_validate(df: DataFrame, id_col: str, label: str, features: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Refit per stratified fold with weights and penalty from the fold's
-    training rows; (fold, n_train, n_test, auc, logloss, accuracy) of each held-out fold."""
+    training rows, all folds in one pass a Newton step; (fold, n_train, n_test,
+    auc, logloss, accuracy) of each held-out fold."""
     folded = materialize(R.stratified_kfold(df.select(id_col, label, *features), id_col, label, k, seed))
-    out = None
-    for i in range(k):
-        train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
-        train = with_balanced_weight(train, label)
-        w = train.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).first()
-        model = logistic_regression(features, label, 1.0, w["w"]).fit(train)
-        scored = score(model, test, ["fold", label]).withColumn("label", F.col(label).cast("int"))
-        size = scored.groupBy("fold").agg(F.lit(w["n"]).cast("long").alias("n_train"), F.count(F.lit(1)).alias("n_test"))
-        m = size.join(M.metric_table(scored, "fold", "label", "prob"), "fold")
-        out = m if out is None else out.unionByName(m)
-    return materialize(out)
+    scored = newton.fit_folds(folded, "fold", label, features, k).score(folded, "fold", ["fold", label])
+    scored = materialize(scored.withColumn("label", F.col(label).cast("int")))
+    size = scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))  # a row a fold
+    size = size.withColumn("n_train", F.sum("n_test").over(Window.partitionBy()) - F.col("n_test"))
+    table = size.select("fold", "n_train", "n_test").join(M.metric_table(scored, "fold", "label", "prob"), "fold")
+    return materialize(table)
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:

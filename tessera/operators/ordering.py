@@ -138,6 +138,20 @@ def prefix_sums(df: DataFrame, order_cols, value_cols: Sequence[str], descending
     return grouped_prefix_sums(df, None, order_cols, value_cols, descending)
 
 
+#: Tables of at most so many rows are summed up by a window.
+FEW_ROWS = 1 << 16
+
+
+def running_sums(df: DataFrame, group_col: str, order_col: str, value_col: str) -> DataFrame:
+    """``grouped_prefix_sums`` of one column; a table that is counted to have at
+    most FEW_ROWS rows takes a window a group, which needs fewer jobs."""
+    df = materialize(df)
+    if df.count() > FEW_ROWS:
+        return grouped_prefix_sums(df, group_col, order_col, [value_col])
+    w = Window.partitionBy(group_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(f"cum_{value_col}", F.sum(value_col).over(w))
+
+
 def exact_quantiles(
     long_df: DataFrame, key_col: str, value_col: str, qs: Sequence[float], count_col: str | None = None
 ) -> DataFrame:
@@ -155,7 +169,7 @@ def exact_quantiles(
     ok = F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))
     n = F.count(F.lit(1)) if count_col is None else F.sum(count_col)
     vc = long_df.where(ok).groupBy(key_col, F.col(value_col).cast("double").alias("_v")).agg(n.alias("_c"))
-    cum = grouped_prefix_sums(vc, key_col, "_v", ["_c"])
+    cum = running_sums(vc, key_col, "_v", "_c")
     sizes = materialize(cum.groupBy(F.col(key_col).alias("_k")).agg(F.max("cum__c").alias("_n")))
     c = cum.join(broadcast_if_small(sizes, sizes.count(), 128), F.col(key_col).eqNullSafe(F.col("_k"))).drop("_k")
     rank = lambda q: (F.col("_n") - 1) * F.lit(float(q))
@@ -169,3 +183,63 @@ def exact_quantiles(
         F.max(F.when(covers(F.col("w.lo")), F.col("_v"))).alias("_vlo"), F.max(F.when(covers(F.col("w.hi")), F.col("_v"))).alias("_vhi"), F.first("w.frac").alias("_frac")
     )
     return at.select(key_col, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
+
+
+#: Ranks of the sketches that bracket a quantile are off by at most 1 / ACCURACY.
+ACCURACY = 10_000
+
+
+def bracket_of(value: Column, qs: Sequence[float]) -> Column:
+    """An aggregate: mergeable quantile sketches' values a little below and above
+    every quantile (an array of two a quantile; a group's state is bounded)."""
+    ps = [min(1.0, max(0.0, q + side * 2 / ACCURACY)) for q in qs for side in (-1, 1)]
+    return F.percentile_approx(value, ps, ACCURACY)
+
+
+def bracketed_quantiles(df: DataFrame, values: dict[str, Column], brackets: dict[str, list[float] | None], sizes: dict[str, int], qs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles of several columns without a sort
+    of their values: ``brackets`` (``bracket_of``) and ``sizes`` (values that are
+    neither null nor NaN) come from an aggregate over the same rows.
+
+    One pass counts what lies below a bracket and keeps the values inside: about
+    4 / ACCURACY of the rows a quantile, collapsed to value counts. Running sums
+    over those alone find the two ranks around the quantile. Brackets are
+    checked; if a sketch was off, that column's values are all ranked.
+    Output: key, q, value (double).
+    """
+    picks, wanted = [], []
+    for i, (name, v) in enumerate(values.items()):
+        v = v.cast("double")
+        known = v.isNotNull() & ~F.isnan(v)
+        for j, q in enumerate(qs):
+            if not sizes[name] or brackets[name] is None:
+                continue
+            a, z = (F.lit(float(x)) for x in brackets[name][2 * j : 2 * j + 2])
+            slot = F.lit(i * len(qs) + j)
+            picks.append(F.when(known & (v < a), F.struct(slot.alias("slot"), F.lit(None).cast("double").alias("v"))).when(known & (v <= z), F.struct(slot.alias("slot"), v.alias("v"))))
+            h = (sizes[name] - 1) * float(q)
+            wanted.append((i * len(qs) + j, name, float(q), int(h), -int(-h // 1), h - int(h)))
+    spark = df.sparkSession
+    out = spark.createDataFrame([], "key string, q double, value double")
+    if not picks:
+        return out
+    kept = df.select(F.explode(F.array_compact(F.array(*picks))).alias("e")).groupBy("e.slot", "e.v").agg(F.count(F.lit(1)).alias("c"))
+    kept = materialize(kept)
+    w = spark.createDataFrame(wanted, "slot int, key string, q double, lo long, hi long, frac double")
+    below = kept.where("v is null").select("slot", F.col("c").alias("below"))
+    # one row a column and quantile
+    w = w.join(F.broadcast(below), "slot", "left").fillna(0, ["below"])
+    cum = running_sums(kept.where("v is not null"), "slot", "v", "c").join(F.broadcast(w), "slot")
+    end = F.col("below") + F.col("cum_c")
+    covers = lambda r: (end - F.col("c") <= F.col(r)) & (F.col(r) < end)
+    at = cum.where(covers("lo") | covers("hi")).groupBy("key", "q").agg(
+        F.max(F.when(covers("lo"), F.col("v"))).alias("vlo"), F.max(F.when(covers("hi"), F.col("v"))).alias("vhi"), F.first("frac").alias("frac")
+    )
+    at = materialize(at)
+    found = {(r["key"], r["q"]) for r in at.where("vlo is not null and vhi is not null").select("key", "q").collect()}
+    off = sorted({name for _, name, q, *_ in wanted if (name, q) not in found})
+    out = at.where(~F.col("key").isin(off)).select("key", "q", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value"))
+    if off:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), values[n].cast("double").alias("v")) for n in off])).alias("e")).select("e.*")
+        out = out.unionByName(exact_quantiles(long, "key", "v", qs))
+    return out

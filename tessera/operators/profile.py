@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators.ordering import exact_quantiles
+from tessera.operators.ordering import bracket_of, bracketed_quantiles, exact_quantiles
 from tessera.session import materialize
 
 
@@ -59,23 +59,26 @@ def missing_summary(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     )
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, sample std, min, exact 25/50/75% (linear), max per column."""
-    wide = df.agg(
-        *[
-            agg
-            for c in cols
-            for agg in (
-                F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-                F.stddev_samp(c).alias(f"{c}__std"), F.min(F.col(c).cast("double")).alias(f"{c}__min"),
-                F.max(F.col(c).cast("double")).alias(f"{c}__max"),
-            )
+    """Count, mean, sample std, min, exact 25/50/75% (linear), max per column.
+    One aggregate gives the moments and brackets the quartiles, a second pass
+    reads the quartiles off the few values inside the brackets."""
+    aggs = []
+    for c in cols:
+        v = F.col(c).cast("double")
+        known = F.when(~F.isnan(v), v)
+        aggs += [
+            F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"),
+            F.max(v).alias(f"{c}__max"), F.count(known).alias(f"{c}__known"), bracket_of(known, QUARTILES).alias(f"{c}__bracket"),
         ]
-    )
+    wide = materialize(df.agg(*aggs))
     stats = _unpivot_one_row(wide, cols, ["count", "mean", "std", "min", "max"])
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("e")).select("e.*")
-    q = exact_quantiles(long, "column", "v", [0.25, 0.5, 0.75])
-    qw = q.groupBy("column").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    row = wide.first()
+    q = bracketed_quantiles(df, {c: F.col(c) for c in cols}, {c: row[f"{c}__bracket"] for c in cols}, {c: row[f"{c}__known"] for c in cols}, QUARTILES)
+    qw = q.groupBy(F.col("key").alias("column")).pivot("q", QUARTILES).agg(F.first("value"))
     qw = qw.select("column", F.col("`0.25`").alias("p25"), F.col("`0.5`").alias("p50"), F.col("`0.75`").alias("p75"))
     return stats.join(qw, "column", "left")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,30 +68,66 @@ def early_stopping(
     best value, its step, and the first step where ``patience``
     non-improving steps in a row were seen (null if never). min_delta = 0 runs
     as windows; a positive min_delta (hysteresis, inherently sequential)
-    replays the per-run step list, which is small by nature."""
+    reads each run once in order."""
     if min_delta == 0:
         return _early_stopping_windows(df, group, step, value, patience, mode)
-    hist = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v")))).alias("h"))
-    init = F.struct(
-        F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_step"),
-        F.lit(0).alias("counter"), F.lit(None).cast("long").alias("stop_step"),
-    )
-
-    def merge(acc, x):
-        better = (x["v"] > acc["best"] + min_delta) if mode == "max" else (x["v"] < acc["best"] - min_delta)
-        first = acc["best"].isNull()
-        stopped = acc["stop_step"].isNotNull()
-        improved = first | better
-        counter = F.when(stopped, acc["counter"]).when(improved, F.lit(0)).otherwise(acc["counter"] + 1)
-        return F.struct(
-            F.when(~stopped & improved, x["v"]).otherwise(acc["best"]).alias("best"),
-            F.when(~stopped & improved, x["s"].cast("long")).otherwise(acc["best_step"]).alias("best_step"),
-            counter.alias("counter"),
-            F.when(stopped, acc["stop_step"]).when(counter >= patience, x["s"].cast("long")).alias("stop_step"),
-        )
-
-    r = hist.select(group, F.aggregate("h", init, merge).alias("r"))
-    return r.select(group, F.col("r.best").alias("best_value"), F.col("r.best_step").alias("best_step"), F.col("r.stop_step").alias("stop_step"))
+    return _early_stopping_scan(df, group, step, value, patience, min_delta, mode)
+
+
+class Tracker:
+    """One run's early stopping, step by step: the best value and its step, the
+    steps since, and the step that stopped it. Null and NaN never improve."""
+
+    def __init__(self, patience: int, min_delta: float, mode: str, state: tuple | None = None):
+        self.patience, self.min_delta, self.sign = patience, min_delta, 1.0 if mode == "max" else -1.0
+        self.best, self.best_step, self.counter, self.stop_step = state or (None, None, 0, None)
+
+    def see(self, step: int, value: float) -> None:
+        if self.stop_step is not None:
+            return
+        known = value is not None and value == value
+        better = known and (self.best is None or (value > self.best + self.min_delta if self.sign > 0 else value < self.best - self.min_delta))
+        if better:
+            self.best, self.best_step, self.counter = value, step, 0
+            return
+        self.counter += 1
+        if self.counter >= self.patience:
+            self.stop_step = step
+
+    @property
+    def state(self) -> tuple:
+        return self.best, self.best_step, self.counter, self.stop_step
+
+
+def _early_stopping_scan(df: DataFrame, group: str, step: str, value: str, patience: int, min_delta: float, mode: str) -> DataFrame:
+    """W8 with a margin: each step depends on the one before, so a run is read in
+    order, by a sort within partitions (which spills) and one pass that holds
+    the tracker's four values; no run is collected."""
+    src = df.select(F.col(group).alias("g"), F.col(step).cast("long").alias("s"), F.col(value).cast("double").alias("v"))
+    of = df.schema[group].dataType.simpleString()
+    names = ["g", "best_value", "best_step", "stop_step"]
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, tracker, out = None, None, []
+        for b in batches:
+            out = []
+            for g, s, v in zip(*(c.to_pylist() for c in b.columns)):
+                if tracker is None or g != run:
+                    if tracker is not None:
+                        out.append((run, tracker.best, tracker.best_step, tracker.stop_step))
+                    run, tracker = g, Tracker(patience, min_delta, mode)
+                tracker.see(s, v)
+            yield _rows(out, b.schema.field(0).type, names)
+        if tracker is not None:
+            yield _rows([(run, tracker.best, tracker.best_step, tracker.stop_step)], b.schema.field(0).type, names)
+
+    runs = src.repartition("g").sortWithinPartitions("g", "s").mapInArrow(scan, f"g {of}, best_value double, best_step long, stop_step long")
+    return runs.withColumnRenamed("g", group)
+
+
+def _rows(rows: list[tuple], key: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, pa.float64(), pa.int64(), pa.int64()))], names)
 
 
 def _early_stopping_windows(df: DataFrame, group: str, step: str, value: str, patience: int, mode: str) -> DataFrame:

@@ -5,9 +5,14 @@ and keep their progress there, so a restarted query resumes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.ranking import Tracker
 from tessera.sources.sinks import scratch_path
 
 
@@ -58,3 +63,58 @@ def stream_transform_to_parquet(spark: SparkSession, directory: str, table: str,
     q = encode_stream_to(spark, parquet_stream(spark, directory, f"{table}.parquet", schema), transform, out)
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+_RUN = "best double, best_step long, counter long, stop_step long, last long, kept array<struct<value:double,step:long>>"
+
+
+def track_runs(source: DataFrame, group: str, step: str, value: str, patience: int = 10, min_delta: float = 1e-4, mode: str = "max", top_k: int = 3) -> DataFrame:
+    """W8 and W3 online: a stream of (run, step, value) as one state a run, the
+    early-stopping tracker's four values and the ``top_k`` best steps (a later
+    step does not displace an equal one). Each micro-batch gives the runs that
+    went on, as they stand: best, where the run stops (null while it goes on),
+    kept values and steps, best first.
+
+    Steps of a run come in order from batch to batch; inside a batch they are
+    sorted. A step at or before the last one seen (a repeat) is passed over.
+    """
+    types = dict(source.dtypes)
+    out = f"{group} {types[group]}, best_value double, best_step long, stop_step long, kept_values array<double>, kept_steps array<long>, last_step long"
+    sign = 1.0 if mode == "max" else -1.0
+
+    def go_on(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("s", kind="stable")  # one run's steps of one micro-batch
+        none = lambda v: None if v is None or v != v else v
+        best, best_step, counter, stop, last, kept = state.get if state.exists else (None, None, 0, None, None, [])
+        tracker = Tracker(patience, min_delta, mode, (none(best), none(best_step), counter, none(stop)))
+        last = none(last)
+        top = [(k["value"], k["step"]) for k in kept]
+        for s, v in zip(rows["s"], rows["v"]):
+            if last is not None and s <= last:
+                continue
+            last = int(s)
+            tracker.see(last, v)
+            if v == v and v is not None:
+                top = sorted([*top, (float(v), last)], key=lambda x: (-sign * x[0], x[1]))[:top_k]
+        state.update((tracker.best, tracker.best_step, tracker.counter, tracker.stop_step, last, [{"value": v, "step": s} for v, s in top]))
+        yield pd.DataFrame([(key[0], tracker.best, tracker.best_step, tracker.stop_step, [v for v, _ in top], [s for _, s in top], last)], columns=[group, "best_value", "best_step", "stop_step", "kept_values", "kept_steps", "last_step"]).astype({"best_step": "Int64", "stop_step": "Int64", "last_step": "Int64"})
+
+    src = source.select(group, F.col(step).cast("long").alias("s"), F.col(value).cast("double").alias("v"))
+    return src.groupBy(group).applyInPandasWithState(go_on, out, _RUN, "update", GroupStateTimeout.NoTimeout)
+
+
+def track_run_files(spark: SparkSession, directory: str, group: str, step: str, value: str, **settings) -> DataFrame:
+    """``track_runs`` over the Parquet files of a folder, a file a micro-batch in
+    the order of their times, run to completion; the last state of every run."""
+    schema = spark.read.parquet(directory).schema
+    out = scratch_path(spark, "runs")
+
+    def write(batch: DataFrame, epoch: int):
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    tracked = track_runs(parquet_stream(spark, directory, "*.parquet", schema), group, step, value, **settings)
+    q = tracked.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch_path(spark, "runs-ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(f"{out}/epoch=*")
+    others = [c for c in got.columns if c not in (group, "epoch")]
+    return got.groupBy(group).agg(F.max_by(F.struct(*others), "epoch").alias("r")).select(group, "r.*")

@@ -14,7 +14,8 @@ SQL = E.oracle_sql()
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6)
+        # as text: minus zero is not zero
+        return "nan" if math.isnan(v) else repr(round(v, 6)) if v == 0 else round(v, 6)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dict):
