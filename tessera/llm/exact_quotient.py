@@ -62,44 +62,49 @@ def _merge(fps: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def partition_filters(fingerprints: DataFrame, bits: int) -> DataFrame:
-    """One counting quotient filter per partition of the one-column (long) table."""
+    """One counting quotient filter per partition of the one-column (long) table.
+    Batches become sorted runs; runs of like size are merged, so a fingerprint
+    is moved about log2(batches) times."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
             new = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            fps, counts = _merge(np.r_[fps, new], np.r_[counts, np.ones(len(new), np.int64)])
-        yield _blocks(fps, counts, bits)
+            runs.append(_merge(new, np.ones(len(new), np.int64)))
+            while len(runs) > 1 and 2 * len(runs[-1][0]) > len(runs[-2][0]):
+                runs[-2:] = [_merge(*map(np.concatenate, zip(*runs[-2:])))]
+        if runs:
+            yield _blocks(*_merge(*map(np.concatenate, zip(*runs))), bits)
 
     return fingerprints.mapInArrow(lean(build), _BLOCK)
 
 
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    fps = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["remainders"]])
+    return _merge(fps, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["counts"]]))
+
+
 def merge_filters(filters: DataFrame) -> DataFrame:
     """All blocks of a quotient merged to one."""
 
     def merge(table: pa.Table) -> pa.Table:
-        fps = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["remainders"]])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["counts"]])
-        fps, counts = _merge(fps, counts)
+        fps, counts = _merged(table)
         return pa.table({"quotient": pa.array([table["quotient"][0].as_py()], pa.int32()), "remainders": [fps.tobytes()], "counts": [counts.tobytes()]})
 
     return filters.groupBy("quotient").applyInArrow(merge, _BLOCK)
 
 
 def repeated(filters: DataFrame, bits: int) -> DataFrame:
-    """(fp, n) of the entries counted more than once."""
-    out = arrow_schema(filters.sparkSession, "fp long, n long")
+    """(fp, n) of the entries that the filters of all partitions together count
+    more than once: a quotient's blocks are merged and read off in one step."""
 
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for q, r, c in zip(*(b.column(i).to_pylist() for i in range(3))):
-                counts = np.frombuffer(c, np.int64)
-                more = counts > 1
-                high = np.uint64(q << (64 - bits)) if bits else np.uint64(0)
-                fps = (np.frombuffer(r, np.uint64)[more] | high).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"fp": fps, "n": counts[more]}, schema=out)
+    def read(table: pa.Table) -> pa.Table:
+        fps, counts = _merged(table)
+        more = counts > 1
+        high = np.uint64(table["quotient"][0].as_py() << (64 - bits)) if bits else np.uint64(0)
+        return pa.table({"fp": (fps[more] | high).view(np.int64), "n": counts[more]})
 
-    return filters.mapInArrow(lean(read), "fp long, n long")
+    return filters.groupBy("quotient").applyInArrow(read, "fp long, n long")
 
 
 def quotient_bits(rows: int, width: int) -> int:
@@ -118,27 +123,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``text_col`` are read, so other columns cannot clash.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), normalised(text).alias("norm"))
-    keys = pinned(
-        src.select("doc_id", "n_chars", F.unhex(F.sha2("norm", 256)).alias("sha"), F.xxhash64("norm").alias("fp"), F.monotonically_increasing_id().alias("row"))
-    )
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), normalised(text).alias("norm")).withColumn("fp", F.xxhash64("norm"))
+    keys = pinned(src.select("doc_id", "n_chars", F.unhex(F.sha2("norm", 256)).alias("sha"), "fp"))
     bits = quotient_bits(keys.count(), shuffle_width(docs))
-    dup = pinned(repeated(merge_filters(partition_filters(keys.select("fp"), bits)), bits))
-    routed = src.select(F.xxhash64("norm").alias("fp"), "norm").join(small_or_not(dup.select("fp"), 64), "fp", "left_semi")
-    verified = routed.groupBy("fp", "norm").count().where("count > 1").select(F.unhex(F.sha2("norm", 256)).alias("sha"))
+    dup = pinned(repeated(partition_filters(keys.select("fp"), bits), bits))
+    few = small_or_not(dup.select("fp"), 64)
+    # rows of fingerprints that the filter counts once are alone; of the others
+    # the bytes decide
+    alone = keys.join(few, "fp", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "n_chars")
+    routed = src.join(few, "fp", "left_semi").withColumn("row", F.monotonically_increasing_id())
+    routed = pinned(routed)  # the rows' numbers must not change between the two uses
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
-    groups = keys.groupBy("sha").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")).where("group_size > 1").join(verified, "sha", "left_semi")
-    groups = pinned(groups.select("sha", "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")))
-    j = keys.join(small_or_not(groups, 176), "sha", "left")
-    alone = F.col("group_size").isNull()
-    return j.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-        "n_chars",
-    )
+    groups = routed.groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    groups = pinned(groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")))
+    of = routed.select("doc_id", "n_chars", F.unhex(F.sha2("norm", 256)).alias("sha"), "row").join(small_or_not(groups, 176), "sha")
+    both = alone.unionByName(of.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha", "n_chars"))
+    return both.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "n_chars")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,10 +40,8 @@ SALTS = 32
 
 # ---------------------------------------------------------------- one page
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE = re.compile(r"=\s*([\"'])")
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
@@ -53,8 +52,13 @@ RAW = frozenset("iframe noembed noframes noscript script style template textarea
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I | re.A) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+_INLINE_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("span", "label")}
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
+_CLOSABLE = frozenset("p li dt dd tr option".split())
 LIST_BOUNDS = frozenset("ul ol menu dl table".split())
+P_BOUNDS = LIST_BOUNDS | {"article", "main", "body", "div", "section"}
+#: Blocks of running text: inside an article, template text in them is content.
+TEXT_BLOCKS = frozenset("article h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre caption figcaption table tr".split())
 
 #: Page furniture by element, and by the last word of a class, id or role.
 FURNITURE = frozenset("nav header footer aside form button select input object canvas svg video audio map dialog menu head datalist".split())
@@ -67,6 +71,11 @@ FURNITURE_WORDS = frozenset(
 ARTICLE_WORDS = FURNITURE_WORDS - {"header", "banner", "byline"}
 #: Not furniture themselves: `no-sidebar`, `has-menu`, `with-ads`.
 NEGATIONS = frozenset("no has with without not is show hide".split())
+#: Furniture as the first word of a name too: `comments-area`, `ad-slot`.
+LEADING_WORDS = frozenset(
+    "ad ads adsbygoogle advert advertisement breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr nav navbar newsletter "
+    "pagination popup promo promoted recommended related reply replies respond sharing sidebar sponsor sponsored subscribe".split()
+)
 #: Beside a furniture word these make the name one of content: `tag-search`, `category-social`.
 CONTENT_WORDS = frozenset("article body cat category content entry format post story tag tags term text topic type".split())
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
@@ -81,10 +90,10 @@ def _names(attrs: str) -> Iterator[list[str]]:
 
 
 def named(attrs: str, in_article: bool) -> bool:
-    """Whether a name of the element is a furniture word or ends in one,
-    without a content word or a negation beside it."""
+    """Whether a name of the element is a furniture word, ends in one or begins
+    with one of LEADING_WORDS, without a content word or a negation beside it."""
     words = ARTICLE_WORDS if in_article else FURNITURE_WORDS
-    return bool(attrs) and any(p[-1] in words and CONTENT_WORDS.isdisjoint(p) and NEGATIONS.isdisjoint(p) for p in _names(attrs))
+    return bool(attrs) and any((p[-1] in words or p[0] in LEADING_WORDS) and CONTENT_WORDS.isdisjoint(p) and NEGATIONS.isdisjoint(p) for p in _names(attrs))
 
 
 def furniture(tag: str, attrs: str, in_article: bool) -> bool:
@@ -96,14 +105,74 @@ def furniture(tag: str, attrs: str, in_article: bool) -> bool:
     return bool(_HIDDEN.search(attrs))
 
 
+class Tags:
+    """The tags of a page from left to right, in time linear in its length.
+
+    A quote after `=` hides a `>` up to the next one like it; a tag that this
+    leaves open to the end of the page ends at its first `>` instead. What a
+    search has not found from a place on, no later search looks for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.none = {c: len(page) + 1 for c in (">", '"', "'")}  # none of these from here on
+        self.stuck: set[int] = set()  # places outside quotes from which no tag ends
+
+    def find(self, c: str, at: int) -> int:
+        if at >= self.none[c]:
+            return -1
+        found = self.page.find(c, at)
+        if found < 0:
+            self.none[c] = at
+        return found
+
+    def end(self, at: int) -> int:
+        """Place of the `>` that ends a tag whose name ends before ``at``, or -1."""
+        seen, place = [], at
+        while place not in self.stuck:
+            seen.append(place)
+            close = self.find(">", place)
+            if close < 0:
+                break
+            q = _QUOTE.search(self.page, place, close)
+            while q and (shut := self.find(q[1], q.end())) < 0:  # never closed: no quote
+                q = _QUOTE.search(self.page, q.end(), close)
+            if not q:
+                return close
+            place = shut + 1
+        self.stuck.update(seen)
+        return self.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(start, end, name or None, whether it is an end tag, attributes)."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, (end + 3 if end >= 0 else len(page)), None, False, ""
+            if page.startswith(("<!", "<?"), start):
+                end = self.find(">", start)
+                if end >= 0:
+                    return start, end + 1, None, False, ""
+                return None
+            ending = page.startswith("/", start + 1)
+            name = _NAME.match(page, start + 1 + ending) if page[start + 1 + ending : start + 2 + ending].isascii() else None
+            if name:
+                end = self.end(name.end())
+                if end < 0:  # no tag ends any more
+                    return None
+                return start, end + 1, name[0].lower(), ending, page[name.end() : end]
+            at = start + 1
+        return None
+
+
 class Run:
     """A run of text: its token, text, block number and where it stands."""
 
-    __slots__ = ("token", "text", "block", "gone", "article", "main", "link", "named")
+    __slots__ = ("token", "text", "block", "gone", "article", "main", "link", "named", "tag")
 
-    def __init__(self, token, text, block, gone, article, main, link, named):
+    def __init__(self, token, text, block, gone, article, main, link, named, tag):
         self.token, self.text, self.block = token, text, block
-        self.gone, self.article, self.main, self.link, self.named = gone, article, main, link, named
+        self.gone, self.article, self.main, self.link, self.named, self.tag = gone, article, main, link, named, tag
 
 
 _known: dict[tuple, int] = {}
@@ -130,38 +199,39 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
     page = source or ""
     tokens: list[int] = []
     runs: list[Run] = []
-    # open blocks: tag, path, furniture, in article, in main, blocks around it named as furniture
-    stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = [("", 0, False, False, False, ())]
+    # open blocks: tag, path, furniture, in article, in main, blocks around it
+    # named as furniture, and the places of the open p and of the open items of
+    # the list around it that a next one closes (0: none)
+    stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...], dict[str, int]]] = [("", 0, False, False, False, (), {})]
+    opened: Counter[str] = Counter()
     spared: set[int] = set()
     block, links, at = 0, 0, 0
+    no_end: dict[str, int] = {}  # from here on an inline element of this name has no end
 
     def text(part: str) -> None:
         if part and not part.isspace():
             clean = entities.unescape(part) if "&" in part else part
-            _, path, gone, article, main, marks = stack[-1]
+            tag, path, gone, article, main, marks, _ = stack[-1]
             token = xxhash.xxh64_intdigest(" ".join(clean.split()).encode("utf-8", "surrogatepass"), path)
             tokens.append(token)
-            runs.append(Run(token, clean, block, gone, article, main, links > 0, marks))
+            runs.append(Run(token, clean, block, gone, article, main, links > 0, marks, tag))
         elif part and runs:
             runs[-1].text += " "
 
-    def close(names: tuple[str, ...], bounds: frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                for name, path, *_ in stack[: i - 1 : -1]:
-                    tokens.append(path ^ 1)
-                del stack[i:]
-                return
-            if stack[i][0] in bounds:
-                return
-
-    while m := _TAG.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+    def close(place: int) -> None:
+        """Ends the open blocks from ``place`` of the stack on."""
+        for name, path, *_ in reversed(stack[place:]):
+            tokens.append(path ^ 1)
+            opened[name] -= 1
+        del stack[place:]
+
+    tags = Tags(page)
+    while m := tags.next(at):
+        start, end, name, ending, attrs = m
+        text(page[at:start])
+        at = end
         if name is None:
             continue
-        name, ending, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in INLINE:
             if name == "a":
                 links = max(0, links + (-1 if ending else 1))
@@ -169,9 +239,11 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
                 runs[-1].text += " "
             if not ending and name in ("span", "label") and (furniture(name, attrs, stack[-1][3]) or named(attrs, stack[-1][3])):
                 # a marked inline element: skip to its end
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
+                shut = _INLINE_END[name].search(page, at) if at < no_end.get(name, len(page)) else None
+                if shut:
+                    at = shut.end()
+                else:
+                    no_end[name] = min(at, no_end.get(name, at))
             continue
         if name == "br":
             if runs:
@@ -179,18 +251,18 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
             continue
         if name in RAW:
             if not ending and not attrs.endswith("/"):  # what it holds is no markup: only its own end counts
-                end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
+                shut = _RAW_END[name].search(page, at)
+                at = shut.end() if shut else len(page)
             continue
         block += 1
         if ending:
-            close((name,))
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
             continue
-        if name in CLOSES_P:
-            close(("p",), LIST_BOUNDS | {"article", "main", "body", "div", "section"})
-        if name in CLOSES_SELF:
-            close(CLOSES_SELF[name], LIST_BOUNDS)
-        _, path, gone, article, main, marks = stack[-1]
+        for other in (("p",) if name in CLOSES_P else ()) + CLOSES_SELF.get(name, ()):
+            if place := stack[-1][6].get(other, 0):
+                close(place)
+        _, path, gone, article, main, marks, near = stack[-1]
         path = _path(path, name, attrs)
         tokens.append(path)
         if name in VOID:
@@ -201,7 +273,14 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
                 spared.update(marks)
         elif name not in ("html", "body") and named(attrs, article):
             marks += (block,)
-        stack.append((name, path, gone, article or name == "article", main or name == "main", marks))
+        if name in LIST_BOUNDS:
+            near = {}
+        elif name in P_BOUNDS and "p" in near:
+            near = {k: v for k, v in near.items() if k != "p"}
+        if name in _CLOSABLE:
+            near = {**near, name: len(stack)}
+        stack.append((name, path, gone, article or name == "article", main or name == "main", marks, near))
+        opened[name] += 1
         links = 0 if name in CLOSES_P else links
     text(page[at:])
     for r in runs:
@@ -212,9 +291,9 @@ def parse(source: str | None) -> tuple[list[int], list[Run]]:
 def main_text(runs: list[Run], template: frozenset[int]) -> str:
     """The text of the slots that remain, without blocks of links outside
     articles and main; only that of the articles if they hold most of it, else
-    only that of the main element if that does. What articles that hold most
-    of the text have in common stays: it is content, not template text."""
-    left = [r for r in runs if not r.gone and (r.article or r.token not in template)]
+    only that of the main element if that does. Template text goes, but for what
+    articles have in common in their headings and running text: that is content."""
+    left = [r for r in runs if not r.gone and (r.token not in template or r.article and r.tag in TEXT_BLOCKS)]
     linked: dict[int, list[int]] = {}
     for r in left:
         if not (r.article or r.main):
