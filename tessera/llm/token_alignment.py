@@ -29,8 +29,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,14 @@ from tessera.sources.sinks import scratch_path
 
 CHUNK_CHARS = 8 << 20
 CHUNK_ROWS = 4_096
-CACHE_UNITS = 100_000
+CACHE_UNITS = 150_000
 CACHED_CHARS = 48
 
 _CUT = re.compile(r"(?<=\S) (?!\Z)")
 _ODD = tuple(c + " " for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
 
+_SPAN = attrgetter("id"), attrgetter("begin"), attrgetter("end")
+
 #: A ids, B ids, end bytes of both.
 Tokens = tuple[list[int], list[int], list[int], list[int]]
 
@@ -92,6 +95,11 @@ def refine(spans: Sequence[tuple[int, int]], decoded: Sequence[bytes], runs: Seq
     return ends if at == len(data) else None
 
 
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the numbers are in ``y``; both ascend, ``y`` is not empty."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 class Aligner:
     """One pair of tokenizers; the digests of short units are cached, in two
     generations of at most about CACHE_UNITS each."""
@@ -111,6 +119,14 @@ class Aligner:
         self._is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
         self._b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(pieces, self._is_byte)]
         self.b_size = len(pieces)
+        most = max(self._a_bytes) + 1
+        self._a_list = [self._a_bytes.get(i, b"") for i in range(most)]
+        self._a_len = np.array([len(x) for x in self._a_list])
+        self._b_len = np.array([len(x) for x in self._b_bytes])
+        self._b_byte = np.array(self._is_byte)
+        # an id as it is written inside a group and at the end of its side
+        self._a_text = [[f"{i}{c}" for i in range(most)] for c in ",|"]
+        self._b_text = [[f"{i}{c}" for i in range(len(pieces))] for c in ",;"]
         self._new: dict[str, tuple | None] = {}
         self._old: dict[str, tuple | None] = {}
 
@@ -132,25 +148,80 @@ class Aligner:
             out.append(None if a_ends is None or b_ends is None else (a_ids, b_ids, a_ends, b_ends))
         return out
 
-    def digest(self, t: Tokens | None) -> tuple | None:
-        """Numbers of A ids, B ids, groups; the groups' text; the linked pairs."""
-        if t is None:
+    def _joined(self, parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids and end bytes of units that are encoded as one text, or None if
+        the libraries' spans or bytes do not agree with it everywhere."""
+        text = " " + " ".join(parts)
+        data = text.encode()
+        a = self.a.encode(text, add_special_tokens=False)
+        a_ids = np.array(a.ids)
+        spans = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
+        pieces = self.b.encode(text[1:], return_type="proto").pieces
+        b_ids, begin, end = (np.fromiter(map(f, pieces), np.int64, len(pieces)) for f in _SPAN)
+        a_ends, b_ends = np.cumsum(self._a_len[a_ids]), np.cumsum(self._b_len[b_ids])
+        if a_ends[-1] != len(data) or b_ends[-1] != len(data):
+            return None
+        place = np.arange(len(text) + 1)
+        if len(data) != len(text):  # characters to bytes
+            lead = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+            place = np.r_[np.flatnonzero(lead), len(data)]
+        # coarse cuts of the spans: no shared character, no run of byte tokens
+        a_cut = np.r_[spans[1:, 0] >= spans[:-1, 1], True]
+        b_cut = np.r_[(begin[1:] >= end[:-1]) & ~(self._b_byte[b_ids][1:] & self._b_byte[b_ids][:-1]), True] & (end > np.r_[0, end[:-1]])
+        if (place[spans[a_cut, 1]] != a_ends[a_cut]).any() or (end[b_cut] + 1 != b_ends[b_cut]).any():
             return None
-        a_ids, b_ids, a_ends, b_ends = t
-        pairs, groups = array("q"), []
-        i = j = a_from = b_from = 0
-        size = self.b_size
-        while i < len(a_ids):
-            pairs.append(a_ids[i] * size + b_ids[j])
-            if a_ends[i] == b_ends[j]:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a_ids[a_from:i])) + "|" + ",".join(map(str, b_ids[b_from:j])))
-                a_from, b_from = i, j
-            elif a_ends[i] < b_ends[j]:
-                i += 1
+        if b"".join(map(self._a_list.__getitem__, a_ids.tolist())) != data or b"".join(map(self._b_bytes.__getitem__, b_ids.tolist())) != data:
+            return None
+        return a_ids, b_ids, a_ends, b_ends
+
+    def digests(self, parts: Sequence[str]) -> list[tuple | None]:
+        """Per unit the numbers of its A ids, B ids and groups, the groups' text
+        (each with a `;` behind it) and its linked pairs; None without tokens.
+
+        Units that end in a character other than white space are encoded
+        together, as they stand in texts; where that text does not come back,
+        halves of them, at last one by one."""
+        out: list[tuple | None] = [None] * len(parts)
+        todo = [[i for i, p in enumerate(parts) if p and not p[-1].isspace()]]
+        alone = [i for i, p in enumerate(parts) if not p or p[-1].isspace()]
+        while todo:
+            some = todo.pop()
+            if not some:
+                continue
+            own = [parts[i] for i in some]
+            t = self._joined(own)
+            ends = np.cumsum([len(p.encode()) + 1 for p in own])
+            if t is not None and _among(ends, t[2]).all() and _among(ends, t[3]).all():
+                for i, d in zip(some, self._digests(ends, *t)):
+                    out[i] = d
+            elif len(some) > 1:
+                todo += [some[: len(some) // 2], some[len(some) // 2 :]]
             else:
-                j += 1
-        return len(a_ids), len(b_ids), len(groups), ";".join(groups), pairs.tobytes()
+                alone += some
+        for i, t in zip(alone, self.tokens([parts[i] for i in alone]) if alone else []):
+            if t is not None:
+                ids_and_ends = [np.array(x) for x in t]
+                out[i] = next(self._digests(ids_and_ends[2][-1:], *ids_and_ends))
+        return out
+
+    def _digests(self, unit_ends: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> Iterator[tuple]:
+        """Digests of units from the tokens of their joined text."""
+        a_last, b_last = _among(a_ends, b_ends), _among(b_ends, a_ends)
+        both = a_ends[a_last]  # ends of groups
+        # between two ends of any tokens just one token of either side goes on: a link
+        ends = np.sort(np.r_[a_ends, b_ends[~b_last]], kind="stable")
+        pairs = a_ids[np.searchsorted(a_ends, ends)] * self.b_size + b_ids[np.searchsorted(b_ends, ends)]
+        # order of writing: by group, A before B
+        a_group, b_group = (np.cumsum(x) - x for x in (a_last, b_last))
+        order = np.argsort(np.r_[2 * a_group, 2 * b_group + 1], kind="stable")
+        words = [self._a_text[k][i] for i, k in zip(a_ids.tolist(), a_last.tolist())] + [self._b_text[k][i] for i, k in zip(b_ids.tolist(), b_last.tolist())]
+        words = [words[i] for i in order.tolist()]
+        upto = [np.searchsorted(x, unit_ends, side="right") for x in (a_ends, b_ends, both, ends)]
+        n_a, n_b, n_groups = (np.diff(x, prepend=0).tolist() for x in upto[:3])
+        write = np.r_[0, upto[0] + upto[1]].tolist()
+        links = np.r_[0, upto[3]].tolist()
+        for k in range(len(unit_ends)):
+            yield n_a[k], n_b[k], n_groups[k], "".join(words[write[k] : write[k + 1]]), pairs[links[k] : links[k + 1]].tobytes()
 
     def entries(self, texts: Sequence[list[str]]) -> list[list[tuple | None]]:
         """The digests of every text's units, by units cached over texts."""
@@ -164,7 +235,7 @@ class Aligner:
         unknown = sorted(missing.difference(found))
         for at in range(0, len(unknown), 4096):
             some = unknown[at : at + 4096]
-            found.update(zip(some, map(self.digest, self.tokens(some))))
+            found.update(zip(some, self.digests(some)))
         new.update((u, e) for u, e in found.items() if len(u) <= CACHED_CHARS)
         long = {u: e for u, e in found.items() if len(u) > CACHED_CHARS}
         get = (lambda u: long[u] if u in long else new[u]) if long else new.__getitem__
@@ -245,7 +316,7 @@ def _chunk(al: Aligner, rows: list[tuple[int | None, str]]) -> tuple:
             else:
                 n_a, n_b, n_groups, groups, _ = zip(*entries)
                 sizes.append((sum(n_a), sum(n_b), sum(n_groups)))
-                shas.append(hashlib.sha256(";".join(groups).encode()).hexdigest())
+                shas.append(hashlib.sha256("".join(groups)[:-1].encode()).hexdigest())
             pair, n = np.unique(np.frombuffer(b"".join([e[4] for e in entries]), np.int64), return_counts=True)
             own.append(pair)
             times.append(n)
