@@ -3,21 +3,27 @@ as lazy DataFrame functions (names follow the toolkit's workflow)."""
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import scalars as _S
 from tessera.operators import augment as augment  # noqa: F401  (augment.* presets and transforms)
+from tessera.operators import boosting as _BO
 from tessera.operators import catalog as _C
+from tessera.operators import codes as _CO
 from tessera.operators import encode as _EN
+from tessera.operators import heavy as _HV
 from tessera.operators import joins as _J
 from tessera.operators import knn as _K
 from tessera.operators import metrics as _M
 from tessera.operators import models as _ML
+from tessera.operators import neighbours as _NB
 from tessera.operators import profile as _G
 from tessera.operators import ranking as _W
+from tessera.operators import scorer as _SC
 from tessera.operators import split as _R
+from tessera.sources import rowgroups as _RG
 from tessera.sources import sinks as _SK
 
 
@@ -130,3 +136,33 @@ def cross_validate(df: DataFrame, id_col: str, label: str, features: Sequence[st
 def history(df: DataFrame, run: str, step: str, label: str = "label", score_col: str = "prob", logit: str = "logit") -> DataFrame:
     """Loss, AUC, log-loss and accuracy per (run, step) of scored rows."""
     return _M.history(df, run, step, label, score_col, logit)
+
+
+def fit_leafwise(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, validation: str | None = None, **settings) -> _BO.LeafwiseModel:
+    """Leaf-wise boosted trees with early stopping by patience."""
+    return _BO.fit_leafwise(df, features, label, weight, validation, **settings)
+
+
+def score_external(df: DataFrame, scorer: _SC.Scorer, keep: Sequence[str]) -> DataFrame:
+    """Scores of a model that MLlib does not hold."""
+    return _SC.score_external(df, scorer, keep)
+
+
+def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 10, target_recall: float = 0.95) -> tuple[DataFrame, float]:
+    """k nearest neighbours in many dimensions and their measured recall."""
+    return _NB.knn_forest(df, id_col, vec_col, k, target_recall)
+
+
+def nearest_codes(df: DataFrame, key: str, vec: str, codebook: DataFrame, code_key: str, code_vec: str) -> DataFrame:
+    """Nearest codebook row, exactly, by few distances."""
+    return _CO.nearest_code_pruned(df, key, vec, codebook, code_key, code_vec)
+
+
+def most_frequent(df: DataFrame, col: str, n: int) -> DataFrame:
+    """The n most frequent values of a column, exactly."""
+    return _HV.most_frequent(df, col, n)[0]
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """Row groups of a folder's Parquet files from their footers (S3)."""
+    return _RG.row_groups(spark, path)

@@ -16,7 +16,7 @@ is collected per point beyond k + 1 neighbours a visit.
 
 from __future__ import annotations
 
-from typing import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -161,11 +161,13 @@ def knn_self_join(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, c
 
 
 def smote(
-    df: DataFrame, id_col: str, cols: Sequence[str], label_col: str, minority=1, ratio: float = 1.0, k: int = 5, seed: int = 42
+    df: DataFrame, id_col: str, cols: Sequence[str], label_col: str, minority=1, ratio: float = 1.0, k: int = 5, seed: int = 42,
+    neighbours: Callable[[DataFrame, str, Sequence[str], int], DataFrame] = knn_self_join,
 ) -> DataFrame:
     """Oversample the minority class to ``ratio * n_majority`` rows:
     each synthetic row is x + gap * (neighbour - x) with a random one of the
-    k exact nearest minority neighbours and gap ~ U[0,1). Synthetic rows are
+    k nearest minority neighbours and gap ~ U[0,1); ``neighbours`` finds them
+    (exactly, unless a forest is given for many dimensions). Synthetic rows are
     spread evenly over the minority points in a seeded hash order. Output:
     originals (synthetic = false) then synthetic rows (origin id, draw t)."""
     y = F.col(label_col)
@@ -176,7 +178,7 @@ def smote(
     n_syn = int(ratio * n_maj) - n_min
     if n_syn <= 0 or n_min < 2:
         return orig
-    nn = knn_self_join(mino, id_col, cols, k)
+    nn = neighbours(mino, id_col, cols, k)
     base, extra = divmod(n_syn, n_min)
     # the first ``extra`` points in a seeded hash order get one more sample:
     # exact ranks from the bucketed histogram, no global sort

@@ -85,15 +85,23 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct non-null values per column (exact, or HyperLogLog++).
-    Exact: narrow (column, value) rows through one distinct and one count, so
-    a row is not copied whole for every column."""
+    Exact: narrow (column, value) rows, numbers as numbers, through one distinct
+    and one count, so a row is not copied whole for every column."""
     if approx:
         return _unpivot_one_row(df.agg(*[F.approx_count_distinct(c).alias(f"{c}__n_distinct") for c in cols]), cols, ["n_distinct"])
     types = dict(df.dtypes)
-    # adding zero makes -0.0 and 0.0 one text
-    text = lambda c: (F.col(c) + F.lit(0.0) if types[c] in ("double", "float") else F.col(c)).cast("string")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(cols)])).alias("e")).select("e.*")
-    values = long.where(F.col("v").isNotNull()).distinct()
+
+    def slots(i: int, c: str) -> Column:
+        whole, real = types[c] in ("bigint", "int", "smallint", "tinyint"), types[c] in ("double", "float")
+        none = F.lit(None)
+        # adding zero makes -0.0 and 0.0 one value
+        return F.struct(
+            F.lit(i).alias("i"), (F.col(c) if whole else none).cast("long").alias("l"), (F.col(c) + F.lit(0.0) if real else none).cast("double").alias("d"),
+            (none if whole or real else F.col(c)).cast("string").alias("s"),
+        )
+
+    long = df.select(F.explode(F.array(*[slots(i, c) for i, c in enumerate(cols)])).alias("e")).select("e.*")
+    values = long.where("l is not null or d is not null or s is not null").distinct()
     wide = values.agg(*[F.count_if(F.col("i") == i).alias(f"{c}__n_distinct") for i, c in enumerate(cols)])
     return _unpivot_one_row(wide, cols, ["n_distinct"])
 

@@ -2021,3 +2021,41 @@ def q_row_groups(spark, sf):
         .unionByName(_fact(per, "rows of the training and validation groups", n=F.sum("got"), ok=F.min((F.col("got") == F.col("rows")) & (F.col("held") == (F.col("block") >= cut).cast("int")))))
         .unionByName(_fact(same, "orders of one customer through the row groups"))
     )
+
+
+# ---------------------------------------------------------------- encode and count as a stream
+
+
+def _wide_files(spark, sf):
+    path = SK.scratch_path(spark, "wide")
+    V.v_wide(spark, sf).repartition(3, "sample_id").write.parquet(path)
+    return path
+
+
+register("ST_encode_stream", ORACLE["A10_A13_encode_batch"])(
+    lambda spark, sf: ST.encode_stream(spark, _wide_files(spark, sf), _encode_schema(spark, sf), ENCODE_MAX_LENS, is_training=True)[0])
+register("ST_G15_oob_over_batches", ORACLE["G15_oob_stats"])(
+    lambda spark, sf: ST.encode_stream(spark, _wide_files(spark, sf), _encode_schema(spark, sf), ENCODE_MAX_LENS)[1])
+
+
+def _forest_of_features(df, id_col, cols, k):
+    return NB.knn_forest(df.select(id_col, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), id_col, "x", k, target_recall=0.97)[0]
+
+
+@register(
+    "N12_smote_forest",
+    with_views("""select 'rows of the majority' fact, count(*) n, true ok from v_features where label_type <> 2
+union all select 'rows of the minority with its synthetic ones', count(*), true from v_features where label_type <> 2""", "v_features"),
+)
+def q_smote_forest(spark, sf):
+    """SMOTE over the forest's neighbours: class sizes become equal, and every
+    synthetic value lies within the minority's range."""
+    f = _minority_features(spark, sf).select("id", *FEAT_COLS, "y")
+    out = KN.smote(f, "id", FEAT_COLS, "y", minority=1, ratio=1.0, k=5, neighbours=_forest_of_features)
+    box = f.where("y = 1").agg(*[g(c).alias(f"{a}_{c}") for c in FEAT_COLS for a, g in (("lo", F.min), ("hi", F.max))])
+    inside = None
+    for c in FEAT_COLS:
+        x = (F.col(c) >= F.col(f"lo_{c}") - 1e-9) & (F.col(c) <= F.col(f"hi_{c}") + 1e-9)
+        inside = x if inside is None else inside & x
+    mine = out.where("y = 1").crossJoin(F.broadcast(box))
+    return _fact(out.where("y <> 1"), "rows of the majority").unionByName(_fact(mine, "rows of the minority with its synthetic ones", ok=F.min(inside)))

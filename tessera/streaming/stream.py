@@ -5,13 +5,14 @@ and keep their progress there, so a restarted query resumes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators import encode
 from tessera.operators.ranking import Tracker
 from tessera.sources.sinks import scratch_path
 
@@ -118,3 +119,30 @@ def track_run_files(spark: SparkSession, directory: str, group: str, step: str,
     got = spark.read.parquet(f"{out}/epoch=*")
     others = [c for c in got.columns if c not in (group, "epoch")]
     return got.groupBy(group).agg(F.max_by(F.struct(*others), "epoch").alias("r")).select(group, "r.*")
+
+
+def encode_stream(spark: SparkSession, directory: str, schema: Mapping, max_lens: Mapping[str, int], score: Callable[[DataFrame], DataFrame] | None = None, is_training: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Wide rows as a stream of Parquet files: each micro-batch is encoded
+    (A10-A13), scored by ``score`` if given, and written; its out-of-vocabulary
+    counts (G15) are written beside it. Run to completion; the written rows and
+    the counts accumulated over all micro-batches.
+
+    A micro-batch that is run again after a failure writes to the same place, so
+    rows and counts are those of every file once."""
+    out, counts = scratch_path(spark, "encoded"), scratch_path(spark, "oob")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        encoded = encode.encode_batch(batch, schema, max_lens, is_training=is_training)
+        (score(encoded) if score else encoded).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        encode.oob_stats(batch, schema, max_lens).write.mode("overwrite").parquet(f"{counts}/epoch={epoch}")
+
+    source = parquet_stream(spark, directory, "*.parquet", spark.read.parquet(directory).schema)
+    q = source.writeStream.foreachBatch(write).option("checkpointLocation", scratch_path(spark, "encode-ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/epoch=*"), merge_oob(spark.read.parquet(f"{counts}/epoch=*"))
+
+
+def merge_oob(parts: DataFrame) -> DataFrame:
+    """G15 over batches: counts add up, extremes are those of all batches."""
+    merged = parts.groupBy("grp", "column", "vocab").agg(F.sum("oob_count").alias("oob_count"), F.min("min_oob").alias("min_oob"), F.max("max_oob").alias("max_oob"))
+    return merged.withColumn("direction", F.when(F.col("min_oob") >= F.col("vocab"), "TOO_HIGH").otherwise("TOO_LOW"))
