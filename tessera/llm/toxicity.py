@@ -64,8 +64,10 @@ FEATURES = (
 _INSULT, _PROFANITY, _THREAT, _LEARNED, _PERSON, _CAPS, _SIGNS, _MIXED, _STRETCHED, _MASKED, _HIDDEN, _LETTER, _LONG = (1 << i for i in range(13))
 _HIT = _INSULT | _PROFANITY | _THREAT | _LEARNED
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
+_RUN, _LONG_RUN = re.compile(r"(.)\1+"), re.compile(r"(.)\1{2,}")
+_THRICE = re.compile(r"(\w)\1\1")
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…«»„“”‘’–—¡¿"
-_CACHED = 100_000
+_CACHED = 150_000
 _TOKEN = 64
 NEAR = 10
 SPACED = 4
@@ -93,7 +95,9 @@ class Lexicon:
             if bits & ~_LEARNED:
                 by_shape.setdefault((w[0], len(w)), []).append(w)
         object.__setattr__(self, "by_shape", by_shape)
+        # flags of known tokens, in two generations of at most _CACHED each
         object.__setattr__(self, "cache", {})
+        object.__setattr__(self, "old", {})
 
     def hidden(self, core: str) -> int:
         """Lexicon bits of a word in another spelling, else 0."""
@@ -102,17 +106,30 @@ class Lexicon:
                 if all(a in (b, "*") for a, b in zip(core, w)) and core.count("*") * 2 <= len(core):
                     return self.plain[w]
         read = core.translate(_LEET)
-        read = "".join(c for c in unicodedata.normalize("NFKD", read) if c.isalpha())
-        for form in (read, re.sub(r"(.)\1{2,}", r"\1\1", read), re.sub(r"(.)\1+", r"\1", read)):
+        if not read.isascii():
+            read = unicodedata.normalize("NFKD", read)
+        if not read.isalpha():
+            read = "".join(filter(str.isalpha, read))
+        forms = (read, _LONG_RUN.sub(r"\1\1", read), _RUN.sub(r"\1", read)) if _RUN.search(read) else (read,)
+        for form in forms:
             if len(form) > 2 and form != core and form in self.plain:
                 return self.plain[form] & ~_LEARNED
         return 0
 
     def flags(self, token: str) -> int:
-        """Flags of one run of characters without white space."""
-        known = self.cache.get(token)
-        if known is not None:
-            return known
+        """Flags of one run of characters without white space, remembered."""
+        out = self.old.get(token)
+        if out is None:
+            out = self._flags(token)
+        if len(token) <= _TOKEN:
+            if len(self.cache) >= _CACHED:
+                self.old.clear()
+                self.old.update(self.cache)
+                self.cache.clear()
+            self.cache[token] = out
+        return out
+
+    def _flags(self, token: str) -> int:
         core = token.strip(_EDGE)
         low = core.lower()
         out = self.plain.get(low, 0)
@@ -127,21 +144,15 @@ class Lexicon:
         if len(token) > _TOKEN:
             return out | _LONG
         if not low.isalpha() and core:
-            letters = sum(map(str.isalpha, core))
-            if "*" in core and letters:
-                out |= _MASKED
-            elif letters:
-                out |= _MIXED
-        if len(low) > 3 and re.search(r"(\w)\1\1", low):
+            if any(map(str.isalpha, core)):
+                out |= _MASKED if "*" in core else _MIXED
+        if len(low) > 3 and _THRICE.search(low):
             out |= _STRETCHED
         # another spelling is tried where the word itself gives cause
         if not out & _HIT and len(core) > 2 and (out & (_MIXED | _MASKED | _STRETCHED) or not low.isascii() or token[0] in "@$" or "!" in token[:-1]):
             bits = self.hidden(low if out & (_MIXED | _MASKED | _STRETCHED) else token.lower().strip(".,;:?\"'()")) & _HIT
             if bits:
                 out |= bits | _HIDDEN
-        if len(self.cache) >= _CACHED:
-            self.cache.clear()
-        self.cache[token] = out
         return out
 
     def features(self, text: str) -> list[float]:
@@ -149,7 +160,10 @@ class Lexicon:
         tokens = text.split()
         if not tokens:
             return [0.0] * len(FEATURES)
-        flags = np.fromiter(map(self.flags, tokens), np.int64, len(tokens))
+        known = list(map(self.cache.get, tokens))
+        if None in known:
+            known = [self.flags(t) if f is None else f for f, t in zip(known, tokens)]
+        flags = np.array(known, np.int64)
         spaced, more = self._spaced(tokens, flags)
         n = len(tokens)
         count = lambda bit: int(np.count_nonzero(flags & bit))
@@ -277,7 +291,7 @@ def train(
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows)
     lexicon = Lexicon(learned_words(sample.where("part < 3"), words))
     rows = featured(sample.where("part >= 3").select("part", F.col("y").cast("double").alias("label"), "text"), lexicon)
-    rows = pinned(rows.repartition(8, "features"))
+    rows = pinned(rows.repartition(8))  # the bounded sample, read by many small jobs
     seen = {(r["grown"], r["label"]): r["count"] for r in rows.groupBy((F.col("part") < 7).alias("grown"), "label").count().collect()}
     total = sum(seen.values())
     share = sum(n for (_, y), n in seen.items() if y == 1) / total if total else 0.0
