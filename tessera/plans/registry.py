@@ -2005,7 +2005,7 @@ def q_row_groups(spark, sf):
     tail by row groups, and read back with a filter."""
     orders = V.read_table(spark, sf, "orders")
     path = SK.scratch_path(spark, "orders")
-    orders.orderBy("o_orderkey").coalesce(3).write.option("parquet.block.size", str(1 << 16)).option("parquet.block.size.row.check.min", "100").parquet(path)
+    orders.repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("parquet.block.size", str(1 << 16)).option("parquet.block.size.row.check.min", "100").parquet(path)
     from tessera.session import materialize
     blocks = materialize(RG.row_groups(spark, path))
     n = blocks.count()

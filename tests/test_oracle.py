@@ -12,12 +12,12 @@ SF = "/root/testdata/sf0.001"
 SQL = E.oracle_sql()
 
 
-def _norm(v):
+def _norm(v, inside=False):
     if isinstance(v, float):
-        # as text: minus zero is not zero
-        return "nan" if math.isnan(v) else repr(round(v, 6)) if v == 0 else round(v, 6)
+        # in arrays, which are compared as they are, minus zero is not zero
+        return "nan" if math.isnan(v) else repr(round(v, 6)) if inside and round(v, 6) == 0 else round(v, 6)
     if isinstance(v, (list, tuple)):
-        return tuple(_norm(x) for x in v)
+        return tuple(_norm(x, True) for x in v)
     if isinstance(v, dict):
         return tuple(sorted((k, _norm(x)) for k, x in v.items()))
     if hasattr(v, "asDict"):

@@ -210,7 +210,7 @@ def test_bags_without_hot_ids_or_rows(spark):
 def test_minus_zero_is_seen(spark):
     from test_oracle import _norm
 
-    assert _norm([0.0]) != _norm([-0.0]) and _norm((1.0, [0.0])) == _norm((1.0, [0.0]))
+    assert _norm([0.0]) != _norm([-0.0]) and _norm(0.0) == _norm(-0.0) and _norm((1.0, [0.0])) == _norm((1.0, [0.0]))
     rounded = spark.range(1).select(F.transform(F.array(F.lit(-1e-7)), lambda x: F.round(x, 6) + F.lit(0.0)).alias("v")).first()["v"]
     assert math.copysign(1, rounded[0]) == 1
 
