@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pyarrow as pa
@@ -74,9 +75,15 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
     return listed.withColumn("block", (rank - 1).cast("long"))
 
 
-class _Group(InputPartition):
-    def __init__(self, file: str, group: int, block: int):
-        self.file, self.group, self.block = file, group, block
+#: Most partitions of a read; beyond it neighbouring row groups share one.
+MOST_PARTITIONS = 512
+
+
+class _Groups(InputPartition):
+    """Row groups (file, row group, block) that one task reads, in order."""
+
+    def __init__(self, groups: list[tuple[str, int, int]]):
+        self.groups = groups
 
 
 class _Reader(DataSourceReader):
@@ -94,17 +101,20 @@ class _Reader(DataSourceReader):
             yield f  # Spark applies it to the rows as well
 
     def partitions(self) -> list[InputPartition]:
-        return [_Group(*g) for g in self.groups]
-
-    def read(self, partition: _Group) -> Iterator[pa.RecordBatch]:
-        system, inner = _open(partition.file)
-        with system.open_input_file(inner) as source:
-            file = pq.ParquetFile(source)
-            if not self._may_hold(file.metadata.row_group(partition.group)):
-                return
-            for b in file.iter_batches(row_groups=[partition.group], columns=self.names or [file.schema_arrow.names[0]], batch_size=8192):
-                cols = {n: b.column(n) for n in self.names} | {"_block": pa.array([partition.block] * b.num_rows, pa.int64())}
-                yield pa.RecordBatch.from_arrays([cols[n] for n in self.fields], self.fields)
+        size = max(1, -(-len(self.groups) // MOST_PARTITIONS))
+        return [_Groups(self.groups[at : at + size]) for at in range(0, len(self.groups), size)]
+
+    def read(self, partition: _Groups) -> Iterator[pa.RecordBatch]:
+        for name, groups in groupby(partition.groups, key=lambda g: g[0]):
+            system, inner = _open(name)
+            with system.open_input_file(inner) as source:
+                file = pq.ParquetFile(source)  # the footer once for all of the file's groups
+                for _, group, block in groups:
+                    if not self._may_hold(file.metadata.row_group(group)):
+                        continue
+                    for b in file.iter_batches(row_groups=[group], columns=self.names or [file.schema_arrow.names[0]], batch_size=8192):
+                        cols = {n: b.column(n) for n in self.names} | {"_block": pa.array([block] * b.num_rows, pa.int64())}
+                        yield pa.RecordBatch.from_arrays([cols[n] for n in self.fields], self.fields)
 
     def _may_hold(self, group: Any) -> bool:
         """Whether the row group's statistics leave room for every filter."""
@@ -137,7 +147,7 @@ class RowGroupSource(DataSource):
 
 def read_row_groups(spark: SparkSession, path: str, blocks: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """The rows of a folder's row groups with their ``_block``, a partition a row
-    group; ``blocks`` (with file, row_group and block, a part of ``row_groups``)
+    group up to MOST_PARTITIONS, then some row groups each; ``blocks`` (with file, row_group and block, a part of ``row_groups``)
     chooses which are opened at all, ``columns`` which columns are read."""
     chosen = (row_groups(spark, path) if blocks is None else blocks).select("file", "row_group", "block").orderBy("block").collect()  # footers: a row a row group
     schema = spark.read.parquet(path).schema

@@ -1,10 +1,13 @@
 """Scale faults of round 3: where rows land and which work is done twice."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from tessera.operators import models as ML
 from tessera.plans import fixtures as V
 from tessera.plans import registry as Q
+from tessera.sources import rowgroups as RG
 from tessera.streaming import stream as ST
 
 from conftest import SMALL
@@ -77,3 +80,24 @@ def test_wide_files_are_many_and_batches_few(spark, monkeypatch):
 def ST_queries(spark):
     rows = Q.QUERIES["ST_encode_stream"](spark, SMALL).count()
     return rows, sorted(map(tuple, Q.QUERIES["ST_G15_oob_over_batches"](spark, SMALL).select("grp", "column", "oob_count").collect()))
+
+
+def test_many_row_groups_share_partitions(spark, tmp_path, monkeypatch):
+    """Partitions do not grow with the row groups; rows and blocks stay."""
+    path = f"{tmp_path}/rg"
+    d = spark.range(0, 20_000, 1, 2).select("id", F.xxhash64("id").alias("h"))
+    d.write.option("parquet.block.size", "1024").option("parquet.block.size.row.check.min", "100").parquet(path)
+    blocks = RG.row_groups(spark, path).collect()
+    assert len(blocks) > 20
+    plain = RG.read_row_groups(spark, path)
+    want = sorted(map(tuple, plain.collect()))
+    assert plain.rdd.getNumPartitions() == len(blocks)
+    monkeypatch.setattr(RG, "MOST_PARTITIONS", 7)
+    got = RG.read_row_groups(spark, path)
+    # the limit is read where the partitions are planned, in a worker of its own
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 20_000
+    reader = RG._Reader(plain.schema, {"groups": json.dumps([(b["file"], b["row_group"], b["block"]) for b in blocks])})
+    parts = reader.partitions()
+    assert len(parts) <= 7 and sum(len(p.groups) for p in parts) == len(blocks)
+    read = [r for p in parts for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(read) == want
