@@ -2,9 +2,12 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import knn as KN
 from tessera.operators import models as ML
+from tessera.operators import neighbours as NB
 from tessera.plans import fixtures as V
 from tessera.plans import registry as Q
 from tessera.sources import rowgroups as RG
@@ -101,3 +104,39 @@ def test_many_row_groups_share_partitions(spark, tmp_path, monkeypatch):
     assert len(parts) <= 7 and sum(len(p.groups) for p in parts) == len(blocks)
     read = [r for p in parts for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns))]
     assert sorted(read) == want
+
+
+def test_forest_that_cannot_reach_its_recall_compares_blocks(spark, monkeypatch):
+    """Vectors without structure: no round after one that shows it, then all
+    pairs in blocks, with ties and copies, exactly."""
+    x = np.random.default_rng(8).normal(size=(900, 40))
+    x[300:320] = x[7]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, x array<double>").repartition(4)
+    asked = []
+    real = NB.recall_of
+    monkeypatch.setattr(NB, "recall_of", lambda *a, **kw: asked.append(1) or real(*a, **kw))
+    monkeypatch.setattr(NB, "BLOCK_BYTES", 40 * 8 * 200)
+    got, recall = NB.knn_forest(df, "id", "x", k=5, cell_rows=32)
+    rows = {r["id"]: [n["id"] for n in r["nbrs"]] for r in got.collect()}
+    d = np.sqrt(np.square(x[:, None] - x[None]).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert recall == 1.0 and len(asked) == 1
+    assert rows == {i: [int(j) for j in np.lexsort((np.arange(900), d[i]))[:5]] for i in range(900)}
+
+
+def test_matrix_product_finds_what_a_scan_finds():
+    """Far from zero, with ties and copies, in single and double precision."""
+    rng = np.random.default_rng(9)
+    for dims, far in ((4, 1e6), (40, 1e3)):
+        x = np.round(rng.normal(size=(1500, dims)), 1) + far
+        x[::50] = x[0]
+        ids = rng.permutation(1500)
+        d = np.zeros((1500, 1500))
+        for i in range(dims):
+            d += np.square(x[:, None, i] - x[None, :, i])
+        d = np.sqrt(d)
+        row, dist, near = KN.nearest_flat(x, x, ids, 6)
+        want = [np.lexsort((ids, d[i]))[:6] for i in range(1500)]
+        assert (row.reshape(-1, 6) == np.arange(1500)[:, None]).all()
+        assert (near.reshape(-1, 6) == ids[np.array(want)]).all()
+        assert (dist.reshape(-1, 6) == np.take_along_axis(d, np.array(want), 1)).all()
