@@ -5,6 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import joins as JO
 from tessera.operators import knn as KN
 from tessera.operators import models as ML
 from tessera.operators import neighbours as NB
@@ -140,3 +141,32 @@ def test_matrix_product_finds_what_a_scan_finds():
         assert (row.reshape(-1, 6) == np.arange(1500)[:, None]).all()
         assert (near.reshape(-1, 6) == ids[np.array(want)]).all()
         assert (dist.reshape(-1, 6) == np.take_along_axis(d, np.array(want), 1)).all()
+
+
+def test_bags_add_up_where_their_vectors_meet(spark, monkeypatch):
+    """Copies of ids and of rows, nulls and missing vectors; whole table and
+    looked-up part; no sums pass a shuffle."""
+    rng = np.random.default_rng(10)
+    rows = [(int(k) if k % 9 else None, [int(v) if v % 7 else None for v in rng.integers(-2, 30, rng.integers(0, 6))]) for k in rng.integers(0, 80, 150)]
+    vecs = [(i, [float(i), None if i % 5 == 0 else i / 3]) for i in [*range(1, 20), 4, 4, 12]] + [(22, None)]
+    df = spark.createDataFrame([*rows, (500, None)], "row long, ids array<long>").repartition(3)
+    table = spark.createDataFrame(vecs, "k long, v array<float>")
+    want, seen = {}, {}
+    for k, own in rows:
+        for i in own:
+            if k is not None and i is not None and 0 < i < 25:
+                seen.setdefault(k, []).extend([v or [0.0, 0.0] for j, v in vecs if j == i] or [[0.0, 0.0]])
+    for k, own in [*rows, (500, None)]:
+        per = [[v[d] for v in seen.get(k, [[0.0, 0.0]]) if v[d] is not None] for d in (0, 1)]
+        want.setdefault(k, []).append([round(sum(x) / len(x), 5) if x else None for x in per])
+    for added in (JO.ADDED, 3):
+        monkeypatch.setattr(JO, "ADDED", added)
+        out = JO.embedding_bag_mean(df, "row", "ids", table, "k", "v", 25, 2)
+        assert "avg(" not in _plan(out)
+        got = {}
+        for r in out.collect():
+            got.setdefault(r["row"], []).append([x if x is None else round(x, 5) for x in r["bag"]])
+        assert {k: sorted(map(str, v)) for k, v in got.items()} == {k: sorted(map(str, v)) for k, v in want.items()}
+    many = spark.range(0, 3000).select(F.col("id").alias("row"), F.expr("array(1L, 2L, 3L, 4L)").alias("ids"))
+    out = JO.embedding_bag_mean(many, "row", "ids", table.where("k < 4"), "k", "v", 25, 2)
+    assert {tuple(round(x, 5) for x in r["bag"]) for r in out.collect()} == {(1.5, 0.5)} and out.count() == 3000
