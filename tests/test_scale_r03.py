@@ -5,6 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import codes as CO
 from tessera.operators import joins as JO
 from tessera.operators import knn as KN
 from tessera.operators import models as ML
@@ -170,3 +171,24 @@ def test_bags_add_up_where_their_vectors_meet(spark, monkeypatch):
     many = spark.range(0, 3000).select(F.col("id").alias("row"), F.expr("array(1L, 2L, 3L, 4L)").alias("ids"))
     out = JO.embedding_bag_mean(many, "row", "ids", table.where("k < 4"), "k", "v", 25, 2)
     assert {tuple(round(x, 5) for x in r["bag"]) for r in out.collect()} == {(1.5, 0.5)} and out.count() == 3000
+
+
+def test_codes_by_matrix_products_equal_a_scan(spark, monkeypatch):
+    """Vectors without structure, where little is pruned, ties and far values:
+    as in a scan; one file feeds all cores."""
+    rng = np.random.default_rng(12)
+    codes, x = (np.round(rng.normal(size=(n, 24)), 1) + 50 for n in (3000, 400))
+    codes[900:960] = codes[:60]
+    x[:20] = codes[:20]
+    block = CO.Block.build(np.arange(3000), codes, 40)
+    d2, ids, scanned = block.nearest(x, np.full(400, np.inf), np.full(400, np.iinfo(np.int64).max))
+    want = np.array([np.square(codes - v).sum(axis=1) for v in x])
+    assert (ids == want.argmin(axis=1)).all() and (d2 == want.min(axis=1)).all()
+    assert scanned.min() > 40 and scanned.sum() > 0.5 * want.size
+    x[0, 0], x[1] = 1e18, np.nan
+    far = np.square(codes - x[0]).sum(axis=1)
+    d2, ids, _ = block.nearest(x, np.full(400, np.inf), np.full(400, np.iinfo(np.int64).max))
+    assert ids[0] == far.argmin() and d2[0] == far.min() and (ids[2:] == want[2:].argmin(axis=1)).all()
+    make = lambda m: spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(m)], "id long, x array<double>")
+    got = CO.nearest_code_pruned(make(codes).coalesce(1), "id", "x", make(codes[:50]), "id", "x")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
