@@ -192,3 +192,13 @@ def test_codes_by_matrix_products_equal_a_scan(spark, monkeypatch):
     make = lambda m: spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(m)], "id long, x array<double>")
     got = CO.nearest_code_pruned(make(codes).coalesce(1), "id", "x", make(codes[:50]), "id", "x")
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_augmented_copies_come_from_one_pass(spark):
+    plan = _plan(Q.q_aug_dataset(spark, SMALL))
+    assert "Union" not in plan and plan.count("events.parquet") <= 1 and plan.lower().count("collect_list(struct(t") <= 1
+    got = Q.q_aug_dataset(spark, SMALL)
+    first = V.v_wide(spark, SMALL).select("sample_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in Q.AUG_SCALARS], *Q.AUG_ARRAYS, *Q.AUG_SEQS)
+    mine = got.where("copy = 0").drop("copy")
+    assert mine.exceptAll(first).count() == 0 and first.exceptAll(mine).count() == 0
+    assert {r["copy"]: r["count"] for r in got.groupBy("copy").count().collect()} == dict.fromkeys((0, 1, 2), first.count())
