@@ -202,3 +202,13 @@ def test_augmented_copies_come_from_one_pass(spark):
     mine = got.where("copy = 0").drop("copy")
     assert mine.exceptAll(first).count() == 0 and first.exceptAll(mine).count() == 0
     assert {r["copy"]: r["count"] for r in got.groupBy("copy").count().collect()} == dict.fromkeys((0, 1, 2), first.count())
+
+
+def test_forest_keeps_rows_that_come_twice(spark, monkeypatch):
+    x = np.random.default_rng(13).normal(size=(200, 30))
+    df = spark.createDataFrame([(i % 200, [float(a) for a in x[i % 200]]) for i in range(260)], "id long, x array<double>").repartition(3)
+    monkeypatch.setattr(NB, "BLOCK_BYTES", 30 * 8 * 90)
+    for reach in (0.0, 1.1):  # by the first round, by all pairs
+        rows = NB.knn_forest(df, "id", "x", k=4, cell_rows=64, target_recall=reach)[0].collect()
+        assert sorted(r["id"] for r in rows) == sorted(i % 200 for i in range(260))
+        assert all(len(r["nbrs"]) == 4 for r in rows)
