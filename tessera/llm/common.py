@@ -14,6 +14,9 @@ from tessera.session import materialize
 #: A derived table is broadcast only when its measured size is at most this.
 BROADCAST_BYTES = 16 << 20
 
+#: Whole texts travel to Python in Arrow batches of about so many bytes.
+BATCH_BYTES = 2 << 20
+
 #: The white space of the operators' contracts: `[\x20\x09-\x0D]`.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -48,6 +51,15 @@ def give_back() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES at most in this session: for every task
+    the JVM holds a batch outside its heap, as column buffers and once more as
+    the bytes to send. Changes no result; a limit that the session sets stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 Batches = Iterable[pa.RecordBatch]
 
 

@@ -12,7 +12,7 @@ from tessera.llm import (
     bpe_tree, collocation, exact_quotient, html_template, importance, language_kernel, license_index, mixing_tree, paragraph_sketch, secret_ledger, simhash_mih,
     token_alignment, toxicity,
 )
-from tessera.llm.common import read_table
+from tessera.llm.common import read_table, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,6 +60,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     spec = bpe_tree.read_spec(public_tokenizers.path("word_bpe_49k.json"))
     return bpe_tree.digests(bpe_tree.encode(read_table(spark, sf_dir, "documents"), spec))
 
