@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import joins as JO
+from tessera.operators import neighbours as NB
 
 
 def _plan(df):
@@ -40,3 +41,26 @@ def test_rows_of_bags_come_as_a_stream(spark, monkeypatch, small_batches):
         assert "CoGroups" not in _plan(out)
         got = [(r["row"], *(x if x is None else round(x, 5) for x in r["bag"])) for r in out.collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_all_pairs_copy_no_vectors(spark, monkeypatch):
+    """Blocks meet where they are pinned: no exchange has vectors in it but the one
+    that makes the blocks; results as by brute force, ids that repeat included."""
+    x = np.random.default_rng(22).integers(-4, 5, (300, 20)).astype(float)
+    x[250:] = x[:50]
+    points = spark.createDataFrame([(i % 280, [float(a) for a in v]) for i, v in enumerate(x)], "id long, x array<double>").repartition(5)
+    monkeypatch.setattr(NB, "BLOCK_BYTES", 20 * 8 * 70)
+    out = NB.exact_pairs(points.localCheckpoint(), 300, 20, 4)
+    plan = _plan(out).split("== Physical Plan ==")[1]
+    assert "CartesianProduct" in plan and "CoGroups" not in plan
+    assert not any("x#" in line or "y#" in line for line in plan.splitlines() if "Exchange" in line)
+    rows = out.collect()
+    assert sorted(r["id"] for r in rows) == sorted(i % 280 for i in range(300))
+    want = {}
+    for i in range(300):
+        d = sorted((float(np.sqrt(np.square(x[i] - x[j]).sum())), j % 280) for j in range(300) if j % 280 != i % 280)[:4]
+        want.setdefault(i % 280, []).append([(round(a, 9), j) for a, j in d])
+    got = {}
+    for r in rows:
+        got.setdefault(r["id"], []).append([(round(e["d"], 9), e["id"]) for e in r["nbrs"]])
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
