@@ -6,9 +6,14 @@ the one with the largest gain is split, up to ``max_leaves``. Split finding
 needs per leaf, feature and bin the sums of gradients and Hessians: one
 aggregate over the rows (summed in every task, then by key), of the smaller
 child alone, as its sibling is the parent less the child. One job computes the
-children of the PREFETCH most promising leaves, which changes no split but saves
-jobs. The job for the root of a tree also sums the losses of the trees
-before it, so the validation loss costs no pass of its own.
+children of the PREFETCH most promising nodes, those among them that are not yet
+part of the tree: this changes no split but saves jobs, so that a tree takes about
+as many as it has levels. The job for the root of a tree also sums the losses of
+the trees before it, so the validation loss costs no pass of its own.
+
+Rows are pinned as blocks of up to BLOCK_ROWS, a block's columns as bytes: a pass
+reads arrays, not rows. It follows a block's rows only to the nodes asked for, and
+computes margins and gradients of those rows alone.
 
 Gradients are summed as integers (2^-SCALE_BITS units): results do not depend on
 how rows are dealt to tasks, nor on retries.
@@ -31,10 +36,11 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 SCALE_BITS = 24
-PREFETCH = 8
+PREFETCH = 16
 REFRESH = 8
+BLOCK_ROWS = 1 << 16
 
-_ROWS = "y double, w double, held boolean, margin double, bins binary"
+_BLOCKS = "y binary, w binary, held binary, margin binary, bins binary"
 _SUMS = "slot long, g long, h long, n long"
 
 
@@ -63,32 +69,43 @@ class Tree:
                 column.append(x)
         return children
 
-    def nodes_of(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of every row."""
-        feature, cut, left, right = (np.array(c) for c in (self.feature, self.cut, self.left, self.right))
-        node = np.zeros(len(bins), np.int64)
-        at = np.arange(len(bins))
-        while len(at):
-            f = feature[node[at]]
-            at, f = at[f >= 0], f[f >= 0]
-            here = node[at]
-            node[at] = np.where(bins[at, f] <= cut[here], left[here], right[here])
-        return node
-
-
-def _margin(bins: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
-    out = np.zeros(len(bins))
+    def rows_of(self, bins: np.ndarray, rows: np.ndarray, wanted: Iterable[int] | None = None) -> dict[int, np.ndarray]:
+        """Which of ``rows`` (columns of ``bins``) are in the leaves ``wanted``, by default all."""
+        on_way = None
+        if wanted is not None:
+            above = {c: n for n, f in enumerate(self.feature) if f >= 0 for c in (self.left[n], self.right[n])}
+            on_way = set()
+            for n in wanted:
+                while n not in on_way:
+                    on_way.add(n)
+                    n = above.get(n, 0)
+        out, todo = {}, [(0, rows)]
+        while todo:
+            n, at = todo.pop()
+            if on_way is not None and n not in on_way:
+                continue
+            if self.feature[n] < 0:
+                out[n] = at
+                continue
+            go = bins[self.feature[n]][at] <= self.cut[n]
+            todo += [(self.left[n], at[go]), (self.right[n], at[~go])]
+        return out
+
+
+def _margin(bins: np.ndarray, trees: Sequence[Tree], rows: np.ndarray | None = None) -> np.ndarray:
+    """Summed values of the trees for every one of ``rows``, by default all."""
+    out = np.zeros(bins.shape[1])
     for t in trees:
-        out += np.array(t.value)[t.nodes_of(bins)]
-    return out
+        for n, at in t.rows_of(bins, np.arange(bins.shape[1]) if rows is None else rows).items():
+            out[at] += t.value[n]
+    return out if rows is None else out[rows]
 
 
-def _bin(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
-    """One byte a feature: 0 for missing values, else 1 + the edges below."""
-    out = np.zeros(x.shape, np.uint8)
-    for i, e in enumerate(edges):
-        v = x[:, i]
-        out[:, i] = np.where(np.isnan(v), 0, 1 + np.searchsorted(e, v, side="left"))
+def _bin(columns: Sequence[np.ndarray], edges: Sequence[np.ndarray]) -> np.ndarray:
+    """(features, rows), one byte each: 0 for missing values, else 1 + the edges below."""
+    out = np.zeros((len(edges), len(columns[0]) if len(columns) else 0), np.uint8)
+    for i, (v, e) in enumerate(zip(columns, edges)):
+        out[i] = np.where(np.isnan(v), 0, 1 + np.searchsorted(e, v, side="left"))
     return out
 
 
@@ -134,7 +151,7 @@ class LeafwiseModel:
         @F.arrow_udf("double")
         def prob(*columns: pa.Array) -> pa.Array:
             edges, trees, init = model.value
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            x = [c.to_numpy(zero_copy_only=False) for c in columns]
             return pa.array(1 / (1 + np.exp(-(init + _margin(_bin(x, [np.array(e) for e in edges]), trees)))))
 
         scored = df.select(*keep, prob(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.features]).alias("prob"))
@@ -160,16 +177,60 @@ def _binned(df: DataFrame, features: Sequence[str], edges: list[list[float]], la
     ).where("y is not null and w is not null")
     known = [np.array(e) for e in edges]
 
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        y, w, held = (t.column(i).to_numpy() for i in range(3))
+        codes = _bin([t.column(3 + i).to_numpy() for i in range(len(known))], known)
+        held = np.array([h is True for h in held]) if held.dtype == object else held  # null: no validation row
+        return _block(y, w, held, np.full(len(y), init), codes)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
         for b in batches:
-            codes = _bin(np.stack([b.column(3 + i).to_numpy(zero_copy_only=False) for i in range(len(known))], axis=1), known)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.full(b.num_rows, init)), pa.array([r.tobytes() for r in codes], pa.binary())], ["y", "w", "held", "margin", "bins"])
-
-    return src.mapInArrow(run, _ROWS)
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+            for at in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(at, BLOCK_ROWS)
+                if n + part.num_rows > BLOCK_ROWS:
+                    yield block(parts)
+                    parts, n = [], 0
+                parts.append(part)
+                n += part.num_rows
+        if parts:
+            yield block(parts)
+
+    return src.mapInArrow(run, _BLOCKS)
+
+
+def _block(y: np.ndarray, w: np.ndarray, held: np.ndarray, margin: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
+    columns = (np.ascontiguousarray(c, dtype=kind) for c, kind in ((y, np.float64), (w, np.float64), (held, np.uint8), (margin, np.float64), (bins, np.uint8)))
+    return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["y", "w", "held", "margin", "bins"])
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """y, w, held, margin and bins (features, rows) of every block."""
+    kinds = (np.float64, np.float64, np.bool_, np.float64, np.uint8)
+    for b in batches:
+        for i in range(b.num_rows):
+            *columns, bins = (np.frombuffer(b.column(c)[i].as_buffer(), kind) for c, kind in enumerate(kinds))
+            yield *columns, bins.reshape(width, len(columns[0]))
+
+
+def _add_histograms(acc: np.ndarray, codes: np.ndarray, sel: np.ndarray, slot: np.ndarray, values: Sequence[np.ndarray | None]) -> None:
+    """Adds to ``acc`` (slots, values, features, bins) the values (None: 1 each) of
+    the rows ``sel`` by their slot. They are whole numbers with sums below 2^53 in a
+    block: exact as doubles. Two features share a pass where their cells are few."""
+    slots, _, width, bins = acc.shape
+    two = 4 * slots * bins * bins <= len(sel)
+    for f in range(0, width, 2 if two else 1):
+        cell = slot * bins + codes[f][sel]
+        both = two and f + 1 < width
+        if both:
+            cell = cell * bins + codes[f + 1][sel]
+        shape = (slots, bins, bins) if both else (slots, bins)
+        for j, v in enumerate(values):
+            sums = np.bincount(cell, v, minlength=int(np.prod(shape))).reshape(shape).astype(np.int64)
+            acc[:, j, f] += sums.sum(axis=2) if both else sums
+            if both:
+                acc[:, j, f + 1] += sums.sum(axis=1)
 
 
 #: Rows of a leaf on one side of a split: (leaf, feature, cut, left).
@@ -184,30 +245,24 @@ def _sums(rows: DataFrame, width: int, bins: int, recent: Sequence[Tree], tree:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, now, want = shared.value
-        acc = np.zeros((len(want), 3, size), np.int64)
+        acc = np.zeros((len(want), 3, width, bins), np.int64)
         loss = np.zeros((2, 3), np.int64)
         unit = float(1 << SCALE_BITS)
-        offsets = np.arange(width) * bins
-        for b in batches:
-            y, w, margin = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            held = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            codes = _matrix(b.column(4), width)
-            margin = margin + _margin(codes, before)
+        for y, w, held, margin, codes in _blocks(batches, width):
             if losses:
+                margin = margin + _margin(codes, before)
                 each = np.rint(w * (np.logaddexp(0, margin) - y * margin) * unit).astype(np.int64)
                 for i, part in enumerate((~held, held)):
                     loss[i] += [each[part].sum(), np.rint(w[part] * unit).astype(np.int64).sum(), part.sum()]
-            codes, y, w, margin = codes[~held], y[~held], w[~held], margin[~held]
-            p = 1 / (1 + np.exp(-margin))
-            g, h = np.rint(w * (p - y) * unit), np.rint(w * p * (1 - p) * unit)
-            node = now.nodes_of(codes) if any(want) else None
-            for i, x in enumerate(want):
-                at = slice(None) if x is None else np.flatnonzero((node == x[0]) & ((codes[:, x[1]] <= x[2]) == x[3]))
-                flat = (codes[at] + offsets).ravel()
-                acc[i, 2] += np.bincount(flat, minlength=size)
-                for j, v in enumerate((g, h)):
-                    # whole numbers below 2^53: exact as doubles
-                    acc[i, j] += np.bincount(flat, np.repeat(v[at], width), size).astype(np.int64)
+            train = np.flatnonzero(~held)
+            at = now.rows_of(codes, train, {x[0] for x in want if x is not None}) if any(want) else {}
+            asked = [train if x is None else at[x[0]][(codes[x[1]][at[x[0]]] <= x[2]) == x[3]] for x in want]
+            slot, sel = np.repeat(np.arange(len(want)), [len(a) for a in asked]), np.concatenate(asked)
+            m = margin[sel] if losses else margin[sel] + _margin(codes, before, sel)
+            p = 1 / (1 + np.exp(-m))
+            g, h = np.rint(w[sel] * (p - y[sel]) * unit), np.rint(w[sel] * p * (1 - p) * unit)
+            _add_histograms(acc, codes, sel, slot, (g, h, None))
+        acc = acc.reshape(len(want), 3, size)
         slot, cell = np.nonzero(acc[:, 2])
         out = [np.r_[slot * size + cell, -1, -2], *(np.r_[acc[slot, j, cell], loss[:, j]] for j in range(3))]
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], ["slot", "g", "h", "n"])
@@ -229,7 +284,6 @@ class _Leaf:
     gain: float = 0.0
     feature: int = -1
     cut: int = 0
-    children: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def _best_split(hist: np.ndarray, min_rows: int, min_hessian: float, l2: float) -> _Leaf:
@@ -275,7 +329,7 @@ def fit_leafwise(
     r = train.where(y.isNotNull()).agg(F.sum(w * y).alias("pos"), F.sum(w).alias("all")).first()
     share = min(max((r["pos"] or 0.0) / (r["all"] or 1.0), 1e-12), 1 - 1e-12)
     init = float(np.log(share / (1 - share)))
-    rows = materialize(_binned(df, features, edges, label, weight, validation, init))
+    rows = _few_tasks(materialize(_binned(df, features, edges, label, weight, validation, init)))
     trees: list[Tree] = []
     recent: list[Tree] = []  # not yet in the rows' margins
     history: list[tuple[int, float, float | None]] = []
@@ -300,43 +354,55 @@ def fit_leafwise(
         trees.append(tree)
         recent.append(tree)
         if len(recent) == REFRESH:
-            rows, recent = materialize(_with_margin(rows, width, recent)), []
+            rows, recent = _few_tasks(materialize(_with_margin(rows, width, recent))), []
     return LeafwiseModel(list(features), edges, init, trees, history, best, stopped)
 
 
+def _few_tasks(blocks: DataFrame) -> DataFrame:
+    """Every task of a pass gives sums of its own, and holds a few blocks: a task
+    takes many partitions."""
+    return blocks.coalesce(4 * blocks.sparkSession.sparkContext.defaultParallelism)
+
+
 def _with_margin(rows: DataFrame, width: int, recent: Sequence[Tree]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(list(recent))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            margin = b.column(3).to_numpy(zero_copy_only=False) + _margin(_matrix(b.column(4), width), shared.value)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(margin), b.column(4)], b.schema.names)
+        for y, w, held, margin, bins in _blocks(batches, width):
+            yield _block(y, w, held, margin + _margin(bins, shared.value), bins)
 
-    return rows.mapInArrow(run, _ROWS)
+    return rows.mapInArrow(run, _BLOCKS)
 
 
 def _grow(rows: DataFrame, width: int, bins: int, recent: Sequence[Tree], tree: Tree, root: np.ndarray, max_leaves: int, rate: float, limits: tuple[int, float, float]) -> None:
-    """Best-first growth of ``tree`` from the root's histogram."""
+    """Best-first growth of ``tree`` from the root's histogram. ``known`` has all
+    nodes whose histogram is known, more than the tree will get."""
     l2 = limits[2]
-    leaves = {0: _best_split(root, *limits)}
+    known, nodes = Tree(), [_best_split(root, *limits)]
+    leaves = {0: 0}  # node of ``known`` by leaf of ``tree``
+    used = set()  # nodes of ``known`` that are split in ``tree``
     while tree.leaves < max_leaves:
-        order = sorted((n for n, x in leaves.items() if x.gain > 0), key=lambda n: (-leaves[n].gain, n))
+        order = sorted((n for n, k in leaves.items() if nodes[k].gain > 0), key=lambda n: (-nodes[leaves[n]].gain, n))
         if not order:
             return
-        if leaves[order[0]].children is None:
-            ahead = [n for n in order if leaves[n].children is None][: min(PREFETCH, max_leaves - tree.leaves)]
-            small = {}
-            for n in ahead:
-                x = leaves[n]
-                left = x.hist[2][x.feature, : x.cut + 1].sum()
-                small[n] = bool(2 * left <= x.hist[2][x.feature].sum())
-            got, _ = _sums(rows, width, bins, recent, tree, [(n, leaves[n].feature, leaves[n].cut, small[n]) for n in ahead], False)
-            for n, hist in zip(ahead, got):
-                rest = leaves[n].hist - hist
-                leaves[n].children = (hist, rest) if small[n] else (rest, hist)
         node = order[0]
-        x = leaves.pop(node)
-        assert x.children is not None
-        made = tree.split(node, x.feature, x.cut, x.gain, (_value(x.children[0], rate, l2), _value(x.children[1], rate, l2)))
-        for n, hist in zip(made, x.children):
-            leaves[n] = _best_split(hist, *limits)
+        at = leaves.pop(node)
+        if known.feature[at] < 0:
+            # of the nodes not yet split no more can be than splits are left
+            best = sorted((k for k, x in enumerate(nodes) if k not in used and k != at and x.gain > 0), key=lambda k: (-nodes[k].gain, k))[: max_leaves - tree.leaves - 1]
+            ahead = [at, *[k for k in best if known.feature[k] < 0][: PREFETCH - 1]]
+            small = []
+            for k in ahead:
+                x = nodes[k]
+                left = x.hist[2][x.feature, : x.cut + 1].sum()
+                small.append(bool(2 * left <= x.hist[2][x.feature].sum()))
+            got, _ = _sums(rows, width, bins, recent, known, [(k, nodes[k].feature, nodes[k].cut, s) for k, s in zip(ahead, small)], False)
+            for k, hist, s in zip(ahead, got, small):
+                x = nodes[k]
+                known.split(k, x.feature, x.cut, x.gain, (0.0, 0.0))
+                rest = x.hist - hist
+                nodes += [_best_split(h, *limits) for h in ((hist, rest) if s else (rest, hist))]
+        used.add(at)
+        x, children = nodes[at], (known.left[at], known.right[at])
+        made = tree.split(node, x.feature, x.cut, x.gain, tuple(_value(nodes[k].hist, rate, l2) for k in children))
+        leaves.update(zip(made, children))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import boosting as BO
 from tessera.operators import joins as JO
 from tessera.operators import neighbours as NB
 
@@ -64,3 +65,24 @@ def test_all_pairs_copy_no_vectors(spark, monkeypatch):
     for r in rows:
         got.setdefault(r["id"], []).append([(round(e["d"], 9), e["id"]) for e in r["nbrs"]])
     assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
+def test_boosting_reads_blocks_in_few_passes(spark, monkeypatch):
+    """Rows are pinned as blocks, one record each; a tree of 31 leaves takes about as
+    many passes as it has levels; neither changes a tree."""
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(1500, 4))
+    y = (rng.random(1500) < 0.5).astype(float)  # noise: the best leaf is often a new one
+    df = spark.createDataFrame([(*map(float, v), float(t), i % 5 == 0) for i, (v, t) in enumerate(zip(x, y))], "a double, b double, c double, d double, y double, held boolean")
+    names = ["a", "b", "c", "d"]
+    edges = BO.bin_edges(df, names, 64)
+    assert BO._binned(df.coalesce(2), names, edges, "y", None, "held", 0.0).count() <= 2
+    calls, whole = [], BO._sums
+    monkeypatch.setattr(BO, "_sums", lambda *a: calls.append(a) or whole(*a))
+    fit = lambda: BO.fit_leafwise(df.coalesce(2), names, "y", None, "held", max_iter=1, min_rows=5)
+    m = fit()
+    assert m.trees[0].leaves == 31 and len(calls) - 2 <= 15
+    few = len(calls)
+    monkeypatch.setattr(BO, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(BO, "PREFETCH", 1)
+    assert fit().to_json() == m.to_json() and len(calls) - few == 32  # one split, one pass
