@@ -86,3 +86,23 @@ def test_boosting_reads_blocks_in_few_passes(spark, monkeypatch):
     monkeypatch.setattr(BO, "BLOCK_ROWS", 70)
     monkeypatch.setattr(BO, "PREFETCH", 1)
     assert fit().to_json() == m.to_json() and len(calls) - few == 32  # one split, one pass
+
+
+def test_bin_edges_are_summed_up_in_arrays(spark, monkeypatch):
+    """No sketch a row and feature in the aggregate; few values give exact quantiles,
+    many near ones, nulls and NaN none."""
+    rng = np.random.default_rng(24)
+    many = rng.normal(size=6000)
+    df = spark.createDataFrame([(float(i % 5), float(v), None if i % 3 else float("nan"), -0.0 if i % 2 else 0.0) for i, v in enumerate(many)], "a double, b double, c double, d double")
+    monkeypatch.setattr(BO, "BLOCK_ROWS", 500)
+    a, b, c, d = BO.bin_edges(df.repartition(3), ["a", "b", "c", "d"], 12, accuracy=300)
+    assert a == [0.0, 1.0, 2.0, 3.0] and c == [] and d == []
+    ranks = np.searchsorted(np.sort(many), b, side="right") / len(many)
+    assert len(b) == 10 and np.abs(ranks - np.arange(1, 11) / 11).max() < 5 / 300
+    exact = spark.createDataFrame([(float(i),) for i in range(400)], "a double")
+    want = exact.selectExpr(f"percentile_approx(a, array({', '.join(f'{i}/11d' for i in range(1, 11))}), 10000) e").first()["e"]
+    assert BO.bin_edges(exact, ["a"], 12)[0] == want
+    seen = []
+    monkeypatch.setattr(BO.F, "percentile_approx", lambda *x: seen.append(x), raising=False)
+    BO.bin_edges(exact, ["a"], 12)
+    assert not seen
